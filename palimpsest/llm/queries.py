@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op4_line_dedup(spark, sf_dir):
     from .line_dedup import line_dedup
 
@@ -44,5 +51,104 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
        doc_id = first_value(doc_id) OVER w AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 """
-QUERIES = {"op4_line_dedup": op4_line_dedup, "op7_exact_dedup": op7_exact_dedup}
-SQL = {"op4_line_dedup": SQL_OP4, "op7_exact_dedup": SQL_OP7}
+
+def op10_best_fit_packing(spark, sf_dir, tokenizer_path=None):
+    from .packing import best_fit_packing
+
+    return best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_path or vocabulary("word_bpe_49k.json"))
+
+
+def op3_exact_topk(spark, sf_dir):
+    from .topk import exact_topk
+
+    return exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+SQL_OP3 = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+QUALIFY rank <= 5
+"""
+
+def op2_arc_to_warc(spark, sf_dir):
+    from .warc import pages_through_archives
+
+    found = pages_through_archives(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_pii_surrogates(spark, sf_dir, key=b"surrogates of the corpus"):
+    """doc_id, text (with surrogates), n_entities and kinds per row of documents; texts without entities are as they were."""
+    from .pii import surrogates
+
+    return surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
+
+
+def op6_substring_dedup(spark, sf_dir):
+    from .substring_dedup import substring_dedup
+
+    found = substring_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+SQL_OP6 = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), win AS (
+  SELECT doc_id, i, list_aggregate(ws[i:i + 12], 'string_agg', ' ') AS seq FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)
+), least AS (
+  SELECT seq, min(doc_id) AS d FROM win GROUP BY seq
+), hit AS (
+  SELECT win.doc_id, win.i FROM win JOIN least USING (seq) WHERE least.d < win.doc_id
+), word AS (
+  SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM w
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS i FROM (SELECT doc_id, i, unnest(range(0, 13)) AS k FROM hit)
+), judged AS (
+  SELECT word.doc_id, word.i, word.word, gone.i IS NOT NULL AS gone FROM word LEFT JOIN gone ON word.doc_id = gone.doc_id AND word.i = gone.i
+)
+SELECT w.doc_id, count(j.i) AS n_words, count(*) FILTER (WHERE j.gone) AS n_removed,
+       sha256(coalesce(string_agg(j.word, ' ' ORDER BY j.i) FILTER (WHERE NOT j.gone), '')) AS kept_sha256
+FROM w LEFT JOIN judged j USING (doc_id) GROUP BY w.doc_id
+"""
+
+
+def op9_toxicity(spark, sf_dir):
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted", "n_passages")
+
+
+SQL_OP2 = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload FROM pages
+), g AS (
+  SELECT page_id, payload, max(page_id) OVER (PARTITION BY payload) AS first FROM p
+), h AS (
+  SELECT *, sha1(payload) AS hex FROM g
+), bits AS (
+  SELECT page_id, payload, first, string_agg(format('{:04b}', ('0x' || c)::INTEGER), '' ORDER BY i) AS b
+  FROM (SELECT page_id, payload, first, unnest(range(1, 41)) AS i, unnest(string_split(hex, '')) AS c FROM h) GROUP BY page_id, payload, first
+)
+SELECT page_id, strlen(payload) AS payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + list_sum(list_transform(range(1, 6), lambda k: CASE WHEN substr(b, (5 * i + k)::BIGINT, 1) = '1' THEN (1 << (5 - k)::INTEGER) ELSE 0 END))::INTEGER, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM bits
+"""
+QUERIES = {
+    "op2_arc_to_warc": op2_arc_to_warc,
+    "op3_exact_topk": op3_exact_topk,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_pii_surrogates": op5_pii_surrogates,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_exact_dedup": op7_exact_dedup,
+    "op9_toxicity": op9_toxicity,
+    "op10_best_fit_packing": op10_best_fit_packing,
+}
+SQL = {"op2_arc_to_warc": SQL_OP2, "op3_exact_topk": SQL_OP3, "op4_line_dedup": SQL_OP4, "op6_substring_dedup": SQL_OP6, "op7_exact_dedup": SQL_OP7}
