@@ -14,6 +14,17 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Keys the surrogates; a user gives their own.
+SURROGATE_KEY = b"surrogates of the corpus"
+
+
+def op1_sentencepiece(spark, sf_dir, model_path=None):
+    """doc_id, n_tokens, ids_crc32 of the ids, decoded_sha256 of the text decoded from them, per row of documents."""
+    from .pieces import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), model_path or vocabulary("piece_bpe_32k.model"))
+
+
 def op4_line_dedup(spark, sf_dir):
     from .line_dedup import line_dedup
 
@@ -82,7 +93,7 @@ def op2_arc_to_warc(spark, sf_dir):
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-def op5_pii_surrogates(spark, sf_dir, key=b"surrogates of the corpus"):
+def op5_pii_surrogates(spark, sf_dir, key=SURROGATE_KEY):
     """doc_id, text (with surrogates), n_entities and kinds per row of documents; texts without entities are as they were."""
     from .pii import surrogates
 
@@ -118,6 +129,12 @@ FROM w LEFT JOIN judged j USING (doc_id) GROUP BY w.doc_id
 """
 
 
+def op8_ngram_jaccard(spark, sf_dir):
+    from .near_dup import ngram_jaccard_classes
+
+    return ngram_jaccard_classes(table(spark, sf_dir, "documents"), words=3, t=(90, 100))
+
+
 def op9_toxicity(spark, sf_dir):
     from .toxicity import toxicity
 
@@ -142,12 +159,14 @@ SELECT page_id, strlen(payload) AS payload_bytes,
 FROM bits
 """
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_arc_to_warc": op2_arc_to_warc,
     "op3_exact_topk": op3_exact_topk,
     "op4_line_dedup": op4_line_dedup,
     "op5_pii_surrogates": op5_pii_surrogates,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_toxicity": op9_toxicity,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
