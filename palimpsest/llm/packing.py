@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -17,35 +18,79 @@ from .common import chunks, staged
 REMEMBERED = 400_000
 #: Pieces ranked by one task within a length.
 RANKED = 200_000
+#: The same for runs of letters, figures and signs, of which words are made.
+RUNS = 800_000
 _loaded: dict = {}
+#: What the tokenizer's pattern makes of a word in lower case with characters below 256 alone.
+_RUN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾]+").findall
+#: Words that are left to the tokenizer as a whole: special tokens, and what may count as white space within.
+_ODD = re.compile(rb"<\||[\x00-\x1f]|\xc2[\x80-\xa0]").search
+
+
+def _byte_letters() -> dict[int, str]:
+    """Characters below 256 as the letters that stand for their UTF-8 bytes: a byte that prints stands for itself, the
+    others are counted on from 256."""
+    letters, n = {}, 256
+    for b in range(256):
+        shown = 33 <= b <= 126 or 161 <= b <= 172 or b >= 174
+        letters[b] = chr(b if shown else n)
+        n += not shown
+    return {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
 
 
 def _tokenizer(path: str):
-    """The tokenizer in a file, and this worker's words with their ids as bytes."""
+    """The tokenizer in a file, its bare model, and this worker's words and runs with their ids as bytes."""
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _loaded[path] = Tokenizer.from_file(path), {}
+        whole = Tokenizer.from_file(path)
+        _loaded[path] = whole, Tokenizer(whole.model), {}, {}
     return _loaded[path]
 
 
+_LETTERS = _byte_letters()
+
+
+def _encode_runs(bare, runs: list[str]) -> list[bytes]:
+    got = bare.encode([r.translate(_LETTERS) for r in runs], is_pretokenized=True, add_special_tokens=False)
+    ids, which = np.array(got.ids, "<u4"), np.array(got.word_ids, np.int64)
+    at = np.searchsorted(which, np.arange(len(runs) + 1)) * 4
+    raw = ids.tobytes()
+    return [raw[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
 def encode_words(path: str, texts: list[bytes]) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit numbers.
 
     No token of this tokenizer reaches over ASCII white space and none stands for it, so words are encoded one by one,
-    and each only once while it is remembered.
+    and each only once while it is remembered. A word of characters below 256, which normal form C leaves as they are,
+    is cut into the runs that the tokenizer's pattern makes of it, and the bare model encodes the new ones; any other
+    word goes through the whole tokenizer.
     """
-    tokenizer, known = _tokenizer(path)
+    whole, bare, known, runs = _tokenizer(path)
     words = [x.split() for x in texts]
-    new = list(set().union(*words) - known.keys())
+    new = set().union(*words) - known.keys()
     if len(known) + len(new) > REMEMBERED:
         known.clear()
-        new = list(set().union(*words))
-    batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-    for i in range(0, len(new), 20_000):
-        part = new[i : i + 20_000]
-        for w, e in zip(part, batch([w.decode() for w in part], add_special_tokens=False), strict=True):
+        new = set().union(*words)
+    cut, odd = {}, []
+    for w in new:
+        text = w.decode()
+        if not _ODD(w) and (w.isascii() or max(text) < "\u0100"):
+            cut[w] = _RUN(text.lower())
+        else:
+            odd.append(w)
+    fresh = list(set().union(*cut.values()) - runs.keys())
+    if len(runs) + len(fresh) > RUNS:
+        runs.clear()
+        fresh = list(set().union(*cut.values()))
+    for i in range(0, len(fresh), 20_000):
+        runs.update(zip(part := fresh[i : i + 20_000], _encode_runs(bare, part), strict=True))
+    known.update((w, b"".join([runs[r] for r in rs])) for w, rs in cut.items())
+    for i in range(0, len(odd), 20_000):
+        part = odd[i : i + 20_000]
+        for w, e in zip(part, whole.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
             known[w] = np.array(e.ids, "<u4").tobytes()
     return [b"".join(map(known.__getitem__, w)) for w in words]
 
