@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower
+from .common import BLANKS, ascii_lower, staged
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
@@ -18,8 +18,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
 
     Plan: a line becomes (128-bit hash of its key, position); sorting these within the row marks each key's first line
     there, so counting rows per key needs one shuffle with map-side sums, however hot the key. Keys over the threshold
-    are joined back to the lines; they are unique, so a hot key makes only one side long, which the adaptive skew join
-    splits. The texts are shuffled once, by doc_id, to meet the positions they lose and be put together again.
+    are written as a table, so that their size is known, and joined back to the lines: broadcast under Spark's limit, else
+    by hash. They are unique, so a hot key makes only one side long, which the adaptive skew join splits. The texts are shuffled once, by doc_id, to meet the positions they lose and be put together again.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
@@ -34,7 +34,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
     keys = keys.select("doc_id", F.explode(F.transform("k", lambda x, i: F.struct(x["h"].alias("h"), x["g"].alias("g"), x["at"].alias("at"), (1 - F.coalesce(first(x, i), F.lit(0))).alias("first")))).alias("k"))
     keys = keys.select("doc_id", "k.*")
     frequent = keys.groupBy("h", "g").agg(F.sum("first").alias("n"), F.max("doc_id").alias("holder")).where(F.col("n") >= min_docs)
-    gone = keys.select("doc_id", "h", "g", "at").join(frequent.select("h", "g", "holder"), ["h", "g"]).where("doc_id <> holder")
+    frequent = staged(frequent.select("h", "g", "holder"), "frequent")
+    gone = keys.select("doc_id", "h", "g", "at").join(frequent, ["h", "g"]).where("doc_id <> holder")
     gone = gone.groupBy("doc_id").agg(F.collect_set("at").alias("gone"))
     met = docs.join(gone, "doc_id", "left").select("doc_id", "text", "gone", F.split("text", "\n", -1).alias("lines"))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"), lambda i: F.get("lines", i))

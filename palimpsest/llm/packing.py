@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
@@ -68,7 +69,14 @@ def encode_words(path: str, texts: list[bytes]) -> list[bytes]:
     is cut into the runs that the tokenizer's pattern makes of it, and the bare model encodes the new ones; any other
     word goes through the whole tokenizer.
     """
-    whole, bare, known, runs = _tokenizer(path)
+    gc.disable()  # many small lists, and no cycles
+    try:
+        return _encode_words(*_tokenizer(path), texts)
+    finally:
+        gc.enable()
+
+
+def _encode_words(whole, bare, known: dict, runs: dict, texts: list[bytes]) -> list[bytes]:
     words = [x.split() for x in texts]
     new = set().union(*words) - known.keys()
     if len(known) + len(new) > REMEMBERED:
