@@ -1,0 +1,59 @@
+"""Text nodes of an HTML page with what labels them; for use within executors."""
+
+from __future__ import annotations
+
+from html.parser import HTMLParser
+
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+LABELS = ("label", "th", "dt", "strong", "b")
+EMPTY = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+CLOSED_BY = {"p": ("p", "div", "ul", "ol", "table", "h1", "h2", "h3"), "li": ("li",), "td": ("td", "th", "tr"), "th": ("td", "th", "tr"), "tr": ("tr",), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
+
+
+class _Reader(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open: list[str] = []
+        self.out: list[tuple] = []
+        self.heading = self.label = ""
+        self.headers: list[str] = []
+        self.column = -1
+
+    def handle_starttag(self, tag, attrs):
+        while self.open and tag in CLOSED_BY.get(self.open[-1], ()):
+            self.open.pop()
+        if tag == "table":
+            self.headers = []
+        elif tag == "tr":
+            self.column = -1
+        elif tag in ("td", "th"):
+            self.column += 1
+        if tag not in EMPTY:
+            self.open.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.open:
+            while self.open.pop() != tag:
+                pass
+
+    def handle_data(self, data):
+        text = " ".join(data.split())
+        if not text or any(t in ("script", "style") for t in self.open):
+            return
+        tag = self.open[-1] if self.open else ""
+        header = self.headers[self.column] if "td" in self.open and 0 <= self.column < len(self.headers) else ""
+        self.out.append((len(self.out), self.getpos()[0], tag, text, self.heading, self.label, header, self.open[-2] if len(self.open) > 1 else ""))
+        short = text.rstrip(":").strip()[:80]
+        if tag in HEADINGS:
+            self.heading = short
+        elif tag in LABELS or text.endswith(":"):
+            self.label = short
+        if tag == "th":
+            self.headers.append(short)
+
+
+def nodes(html: str) -> list[tuple]:
+    reader = _Reader()
+    reader.feed(html)
+    reader.close()
+    return reader.out
