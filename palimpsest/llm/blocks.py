@@ -81,6 +81,28 @@ def repeated(sent: DataFrame) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(_repeated, ANSWERS)
 
 
+def _counted(t: pa.Table) -> pa.Table:
+    """more: 32 bits a value, in how many documents of the block it is. least: in how many of all, for values in several."""
+    values, at = _gathered(t)
+    own = np.concatenate([np.frombuffer(m, "<u4") for m in t["more"].to_pylist()]).astype(np.int64)
+    order = np.argsort(values, kind="stable")
+    v = values[order]
+    first = np.ones(len(v), bool)
+    first[1:] = v[1:] != v[:-1]
+    number = np.cumsum(first) - 1
+    total = np.empty(len(v), np.int64)
+    total[order] = np.add.reduceat(own[order], np.flatnonzero(first))[number]
+    rows = []
+    for i, (k, b) in enumerate(zip(t["blk"].to_pylist(), t["bucket"].to_pylist(), strict=True)):
+        part = total[at[i] : at[i + 1]]
+        rows.append((k, b, np.packbits(part > 1).tobytes(), narrow(part[part > 1])))
+    return as_table(rows, ANSWERS)
+
+
+def counted(sent: DataFrame) -> DataFrame:
+    return sent.groupBy("bucket").applyInArrow(_counted, ANSWERS)
+
+
 def _least(t: pa.Table) -> pa.Table:
     """more: 32 further bits of each value's hash; owners: the block's smallest document. least: the smallest of all
     for values where it is smaller than the block's own, which mask marks."""

@@ -9,15 +9,18 @@ Steps (t is the least similarity, a set the distinct shingles of a document):
    below. Parts in which a set has nothing tell little, so there are some parts to spare and these are left out,
    unless a set has more of them than there are to spare. Keys that several leaders have are found by an exchange of
    sorted arrays.
-3. A leader's group is the least of its shared keys: similar documents mostly have it in common. A leader that shares
-   a key with members of another group is a query to that group. Large groups are cut into shares of SHARE members.
+3. A leader's group is the one of its shared keys that most leaders have: similar documents have it in common, so
+   they fall into few groups. Large groups are cut into shares of SHARE members.
 4. In a share, the tokens of its members (those in two sets at least) and its members make a matrix, whose product
    with itself has all overlaps. Each share also holds the group's pivot, the member with the most shared keys.
-5. Members that are not connected with their pivot, and queries whose group is not yet known to be connected with the
-   pivot of the other one, are held against all shares of the group: first the count of their tokens in the union of
-   the share bounds what any member can have in common with them, and only shares that reach the bound are opened.
-
-Every pair of different sets that links is either compared or in one component already, so components are exact.
+5. Pivots of groups that share keys are held against one another's groups, which connects most of these. Then members
+   that are not connected with their own pivot are queries to all groups they share a key with, and other members to
+   those whose pivot is not connected with their own. Against a share, first the count of a query's tokens in the
+   union of the share bounds what any member can have in common with it; only shares that reach the bound are opened.
+
+Every pair of different sets that links is either compared or in one component already, so components are exact: of a
+pair that shares a key, either one is not connected with its pivot, and asks the other's group; or both are, and ask
+unless their pivots are connected.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import ENTRIES, answered, as_table, block_of, entries, repeated
+from .blocks import ENTRIES, answered, as_table, block_of, counted, entries
 from .common import chunks, mix, sequences, staged, word_hashes, words_of
 from .components import components
 
@@ -140,7 +143,7 @@ CANDIDATE = "rep long, n long, home long, n_shared int, shared array<long>"
 
 
 def candidates(leaders: DataFrame, blocks: int) -> DataFrame:
-    """Leaders (rep, n, keys) that share a key with others: their shared keys, the least of which is their group."""
+    """Leaders (rep, n, keys) that share a key with others: their shared keys, and the most frequent of these."""
 
     def laid(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         own = [np.frombuffer(x, "<u8") for x in t["keys"].to_pylist()]
@@ -153,15 +156,18 @@ def candidates(leaders: DataFrame, blocks: int) -> DataFrame:
     def tell(t: pa.Table) -> pa.Table:
         k, d, first = laid(t)
         at = np.flatnonzero(first)
-        several = np.diff(np.append(at, len(k))) > 1
-        return as_table(entries(t["blk"][0].as_py(), blocks, k[at], several.astype(np.uint8), None), ENTRIES)
+        times = np.diff(np.append(at, len(k))).astype("<u4")
+        return as_table(entries(t["blk"][0].as_py(), blocks, k[at], times, None), ENTRIES)
 
     def pick(left: pa.Table, right: pa.Table) -> pa.Table:
         k, d, first = laid(left)
-        mask, _ = answered(right, blocks, k[first])
-        hit = mask[np.cumsum(first) - 1] if len(k) else np.zeros(0, bool)
-        k, d = k[hit].view(np.int64), d[hit]
-        order = np.lexsort((k, d))
+        mask, totals = answered(right, blocks, k[first])
+        times = np.ones(len(mask), np.int64)
+        times[mask] = totals
+        times = times[np.cumsum(first) - 1] if len(k) else np.zeros(0, np.int64)
+        hit = times > 1
+        k, d, times = k[hit].view(np.int64), d[hit], times[hit]
+        order = np.lexsort((k, -times, d))
         k, d = k[order], d[order]
         at = np.searchsorted(d, np.arange(left.num_rows + 1))
         some = np.flatnonzero(np.diff(at))
@@ -169,7 +175,7 @@ def candidates(leaders: DataFrame, blocks: int) -> DataFrame:
         return pa.table([left["rep"].take(pa.array(some)), left["n"].take(pa.array(some)), pa.array(k[at[some]]), pa.array(np.diff(at)[some].astype(np.int32)), shared], names=["rep", "n", "home", "n_shared", "shared"])
 
     grouped = leaders.withColumn("blk", block_of("rep", blocks)).groupBy("blk")
-    return grouped.cogroup(repeated(grouped.applyInArrow(tell, ENTRIES)).groupBy("blk")).applyInArrow(pick, CANDIDATE)
+    return grouped.cogroup(counted(grouped.applyInArrow(tell, ENTRIES)).groupBy("blk")).applyInArrow(pick, CANDIDATE)
 
 
 def _overlaps(a: list[np.ndarray], b: list[np.ndarray], union: np.ndarray) -> np.ndarray:
@@ -283,12 +289,10 @@ def ngram_jaccard_classes(docs: DataFrame, words: int = 5, t: tuple[int, int] =
     compare = lambda df: df.select(*one).groupBy("home", "share").applyInArrow(lambda x: _compare(x, t), "a long, b long")
     near = staged(compare(alike.where("size > 1").select(*one).union(pivots.select(*one))), "near")
 
-    # which groups have members that share a key
-    keys = found.select("rep", "home", F.explode("shared").alias("key"))
-    mixed = keys.groupBy("key").agg(F.min("home").alias("x"), F.max("home").alias("y")).where("x <> y").select("key")
-    mixed = staged(keys.select("key", "home").distinct().join(mixed, "key"), "mixed")
-    cross = keys.select("rep", "key", F.col("home").alias("own")).join(mixed, "key").where("own <> home").select("rep", "own", "home").distinct()
-    cross = staged(cross, "cross")
+    # keys that leaders of several groups have, with those groups
+    keys = found.select("rep", F.col("home").alias("own"), F.explode("shared").alias("key"))
+    mixed = keys.groupBy("key").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x <> y").select("key", "x")
+    mixed = staged(keys.select("key", F.col("own").alias("home")).distinct().join(mixed, "key"), "mixed")
 
     def ask(queries: DataFrame, parts: DataFrame | None) -> DataFrame:
         """Edges of queries (rep, home) against all shares of those groups."""
@@ -300,18 +304,23 @@ def ngram_jaccard_classes(docs: DataFrame, words: int = 5, t: tuple[int, int] =
         return compare(held.select(*one).union(q.withColumn("role", F.lit(2)).withColumn("part", F.col("rep")).select(*one)))
 
     edges = near
-    if not cross.isEmpty() or not homes.where("shares > 1").isEmpty():
-        # pivots first: they connect most groups, and spare their members the questions
-        pairs = cross.select("own", "home").distinct().join(homes.select(F.col("home").alias("own"), F.col("pivot").alias("rep")), "own")
-        edges = edges.union(staged(ask(pairs.select("rep", "home"), None), "bridges"))
+    if not mixed.isEmpty() or not homes.where("shares > 1").isEmpty():
+        # pivots first: each asks the first of the groups that have a key in common
+        pairs = mixed.where("home <> x").select("home", "x").distinct().join(homes.select("home", "pivot"), "home")
+        edges = edges.union(staged(ask(pairs.select(F.col("pivot").alias("rep"), F.col("x").alias("home")), None), "bridges"))
         known = components(edges)
-        parts = placed.select("rep").distinct().join(known.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("part"))
+        parts = placed.select("rep", F.col("home").alias("own")).distinct().join(known.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "own", F.coalesce("component", "rep").alias("part"))
         parts = staged(parts, "parts")
-        main = staged(homes.join(parts.withColumnRenamed("rep", "pivot").withColumnRenamed("part", "main"), "pivot").select("home", "main"), "main")
-        own = main.select(F.col("home").alias("own"), F.col("main").alias("own_main"))
-        there = cross.union(placed.where("shares > 1").select("rep", F.col("home").alias("own"), "home"))
-        rest = there.join(parts, "rep").join(own, "own").join(main, "home").where("part <> own_main or part <> main").select("rep", "home")
-        edges = edges.union(staged(ask(rest, parts), "far"))
+        main = staged(homes.join(parts.select(F.col("rep").alias("pivot"), F.col("part").alias("main")), "pivot").select("home", "main", "shares"), "main")
+        placed_in = parts.join(main.select(F.col("home").alias("own"), F.col("main").alias("own_main"), "shares"), "own")
+        apart = staged(placed_in.where("part <> own_main").select("rep", "own", "shares"), "apart")
+        asks = keys.join(apart.select("rep"), "rep").join(mixed.select("key", "home"), "key").select("rep", "home").distinct()
+        asks = asks.union(apart.where("shares > 1").select("rep", F.col("own").alias("home"))).distinct()
+        torn = mixed.join(main, "home").select("key", "home", "main")
+        torn = torn.join(torn.groupBy("key").agg(F.min("main").alias("m"), F.max("main").alias("n")).where("m <> n").select("key"), "key")
+        firm = placed_in.where("part = own_main").select("rep", "own_main")
+        across = keys.join(staged(torn, "torn"), "key").join(firm, "rep").where("main <> own_main").select("rep", "home").distinct()
+        edges = edges.union(staged(ask(asks.union(across).distinct(), parts.select("rep", "part")), "far"))
     final = staged(components(edges), "components")
     whole = classes.select("mark", "rep").join(final, F.col("rep") == F.col("id"), "left").select("mark", F.coalesce("component", "rep").alias("least"))
     out = rows.join(whole, "mark", "left")
