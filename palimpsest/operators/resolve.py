@@ -62,8 +62,8 @@ def match_leaves(tokens: DataFrame, found: DataFrame) -> DataFrame:
     exact = F.when(F.size("t0") > 0, F.col("t0")).otherwise(F.col("t1"))
     per = per.select("doc_id", "name", "loop", exact.alias("exact"), F.array_except("t2", exact).alias("similar"))
     full = found.groupBy(F.col("accessor").alias("name")).agg(F.first("accessor").alias("full"))
-    null_safe = lambda a, b: (a["doc_id"] == b["doc_id"]) & (a["name"] == b["name"]) & a["loop"].eqNullSafe(b["loop"])
-    out = placed.alias("t").join(per.alias("p"), null_safe(placed, per), "left").join(full.alias("f"), placed["name"] == full["name"], "left")
+    same = F.expr("t.doc_id = p.doc_id and t.name = p.name and t.loop <=> p.loop")
+    out = placed.alias("t").join(per.alias("p"), same, "left").join(full.alias("f"), F.expr("t.name = f.name"), "left")
     n_exact, n_similar = F.coalesce(F.size("exact"), F.lit(0)), F.coalesce(F.size("similar"), F.lit(0))
     some = (F.greatest(n_exact, F.lit(0)) + F.greatest(n_similar, F.lit(0))) > 0
     status = F.when(some & ((n_exact == 1) | ((n_exact <= 0) & (n_similar == 1))), "resolved").when(some, "ambiguous").when(F.col("full").isNotNull(), "resolved").otherwise("unmatched")

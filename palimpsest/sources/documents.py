@@ -84,7 +84,7 @@ def read_review_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_review_markdown(spark: SparkSession, path: str) -> DataFrame:
     """leaf, scope, final of the sections '## Field: name' of a review."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     parts = whole.select(F.explode(F.slice(F.split("value", r"(?m)^## Field:\s*"), 2, 1_000_000)).alias("part"))
     pick = lambda name: F.nullif(F.trim(F.regexp_extract("part", rf"(?mi)^[-*\s]*\**{name}\**\s*:\**\s*`?([^`\n]*)`?", 1)), F.lit(""))
     return parts.select(F.trim(F.regexp_replace(F.split_part("part", F.lit("\n"), F.lit(1)), "`", "")).alias("leaf"), pick("Scope").alias("scope"), pick("Final").alias("final"))
@@ -92,7 +92,7 @@ def read_review_markdown(spark: SparkSession, path: str) -> DataFrame:
 
 def read_condition_form(spark: SparkSession, path: str) -> DataFrame:
     """id, source, condition of the blocks '### Block n' of an older form; a block ends where the next begins."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     parts = whole.select(F.explode(F.slice(F.split("value", r"(?m)^### Block\s+"), 2, 1_000_000)).alias("part"))
     pick = lambda name: F.nullif(F.trim(F.regexp_extract("part", rf"(?mi)^[-*\s]*\**{name}\**\s*:\**[ \t]*(.*)$", 1)), F.lit(""))
     return parts.select(F.regexp_extract("part", r"^(\d+)", 1).try_cast("int").alias("id"), pick("Source").alias("source"), pick("Condition").alias("condition"))
@@ -100,7 +100,7 @@ def read_condition_form(spark: SparkSession, path: str) -> DataFrame:
 
 def read_html(spark: SparkSession, path: str) -> DataFrame:
     """path, html of all HTML files of a folder."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.{html,htm,vm}").text(path)
+    files = spark.read.option("pathGlobFilter", "*.{html,htm,vm}").text(path, wholetext=True)
     return files.select(F.input_file_name().alias("path"), F.col("value").alias("html"))
 
 
