@@ -230,10 +230,11 @@ def replaced(text: str, found: list, key: bytes, exceptions: dict) -> str:
     return "".join([*out, text[at:]])
 
 
-def _collisions(docs: DataFrame, key: bytes) -> dict:
+def _collisions(docs: DataFrame, key: bytes, make: Callable[..., str] = surrogate) -> dict | None:
     """Attempts of canonical forms whose surrogate another form of the kind has too, until all are distinct.
 
-    Only names are hashed and can collide; the other kinds are permuted, and are checked all the same.
+    Only names are hashed and can collide; the other kinds are permuted, and are checked all the same. None if there
+    are more than EXCEPTIONS.
     """
 
     def detect(batches):
@@ -245,7 +246,7 @@ def _collisions(docs: DataFrame, key: bytes) -> dict:
         for batch in batches:
             kinds, canons, attempts = (c.to_pylist() for c in batch.columns)
             # names are told apart whatever their titles; a lone name and a full one differ in form
-            out = [surrogate(key, k, c, n) for k, c, n in zip(kinds, canons, attempts, strict=True)]
+            out = [make(key, k, c, n) for k, c, n in zip(kinds, canons, attempts, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=["kind", "canon", "attempt", "made"])
 
     known = docs.select("text").mapInArrow(detect, "kind string, canon string").distinct()
@@ -260,8 +261,8 @@ def _collisions(docs: DataFrame, key: bytes) -> dict:
     out: dict = {}
     for r in sorted(losers):  # so few that each is tried against all by a look-up in Spark
         for attempt in range(1, 64):
-            new = surrogate(key, r["kind"], r["canon"], attempt)
-            if new not in {surrogate(key, k, c, a) for (k, c), a in out.items() if k == r["kind"]} and made.where((F.col("kind") == r["kind"]) & (F.col("made") == new)).isEmpty():
+            new = make(key, r["kind"], r["canon"], attempt)
+            if new not in {make(key, k, c, a) for (k, c), a in out.items() if k == r["kind"]} and made.where((F.col("kind") == r["kind"]) & (F.col("made") == new)).isEmpty():
                 out[r["kind"], r["canon"]] = attempt
                 break
     return out
