@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import gc
 import re
-from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +61,7 @@ class Model:
         self.words = re.compile(f"{MARK}*[{soft}]+|{MARK}+|[^{soft}{MARK}]", re.DOTALL).findall
         self.known: dict[str, bytes] = {}
         self.apart: dict[tuple[str, str], bool] = {}
+        self.packed: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """BPE by its definition: the adjacent pair of the highest score is merged, the first of equals."""
@@ -92,40 +93,51 @@ class Model:
         return [self.bytes[b] for b in piece.encode()] if self.bytes else [self.unknown]
 
     def encode_sorted(self, words: list[str]):
-        """The ids of sorted words, depth first through their trie: states of a common prefix are those of the word before."""
+        """The pieces of sorted words, depth first through their trie: states of a common prefix are those of the word before."""
+        step = self._merge_step if self.kind == BPE else self._viterbi_step
         last, score, path = [0], [0.0], ""
         for word in words:
-            n = sum(1 for _ in takewhile(lambda x: x[0] == x[1], zip(path, word, strict=False)))
+            n = 0
+            for a, b in zip(path, word, strict=False):
+                if a != b:
+                    break
+                n += 1
             del last[n + 1 :], score[n + 1 :]
-            for i in range(n + 1, len(word) + 1):
-                reach = min(i, self.longest.get(word[i - 1], 1))
-                if self.kind == BPE:
-                    size = 1
-                    for k in range(reach, 1, -1):
-                        piece = word[i - k : i]
-                        if piece in self.ids:
-                            j = i - k
-                            if self._stay(word[j - last[j] : j], piece):
-                                size = k
-                                break
-                    last.append(size)
-                    score.append(0.0)
-                else:
-                    best, size = -np.inf, 1
-                    for k in range(reach, 0, -1):
-                        s = self.scores.get(word[i - k : i])
-                        if s is None and k == 1:
-                            s = self.penalty
-                        if s is not None and score[i - k] + s > best:
-                            best, size = score[i - k] + s, k
-                    last.append(size)
-                    score.append(best)
+            step(word, n, last, score)
             path = word
             out, i = [], len(word)
             while i:
                 out.append(word[i - last[i] : i])
                 i -= last[i]
-            yield [x for piece in reversed(out) for x in self._ids(piece)]
+            yield out[::-1]
+
+    def _merge_step(self, word: str, n: int, last: list, score: list) -> None:
+        """Adds the sizes of the last pieces of word's prefixes longer than n."""
+        ids, longest, apart = self.ids, self.longest.get, self.apart.get
+        for i in range(n + 1, len(word) + 1):
+            size = 1
+            for k in range(min(i, longest(word[i - 1], 1)), 1, -1):
+                piece = word[i - k : i]
+                if piece in ids:
+                    before = word[i - k - last[i - k] : i - k]
+                    stay = apart((before, piece))
+                    if self._stay(before, piece) if stay is None else stay:
+                        size = k
+                        break
+            last.append(size)
+
+    def _viterbi_step(self, word: str, n: int, last: list, score: list) -> None:
+        """Adds best scores, and the sizes of the last pieces on the way there, of word's prefixes longer than n."""
+        for i in range(n + 1, len(word) + 1):
+            best, size = -np.inf, 1
+            for k in range(min(i, self.longest.get(word[i - 1], 1)), 0, -1):
+                s = self.scores.get(word[i - k : i])
+                if s is None and k == 1:
+                    s = self.penalty
+                if s is not None and score[i - k] + s > best:
+                    best, size = score[i - k] + s, k
+            last.append(size)
+            score.append(best)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit numbers."""
@@ -134,11 +146,17 @@ class Model:
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             new = set().union(*words)
-        new = sorted(new)
-        for w, ids in zip(new, self.encode_sorted(new), strict=True):
-            self.known[w] = np.array(ids, "<u4").tobytes()
+        new, packed = sorted(new), self.packed
+        for w, found in zip(new, self.encode_sorted(new), strict=True):
+            self.known[w] = b"".join([packed.get(p) or self._packed(p) for p in found])
         return [b"".join(map(self.known.__getitem__, w)) for w in words]
 
+    def _packed(self, piece: str) -> bytes:
+        ids = np.array(self._ids(piece), "<u4").tobytes()
+        if piece in self.ids:
+            self.packed[piece] = ids
+        return ids
+
     def decode(self, ids: bytes) -> str:
         raw = b"".join(map(self.text.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace").replace(MARK, " ")
         return raw[1:] if self.dummy and raw.startswith(" ") else raw
@@ -162,6 +180,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches):
         m = model(model_path)
+        gc.disable()  # many small lists, and no cycles
         for batch in batches:
             for i, j, data, at in chunks(batch.column(1), 2 << 20):
                 raw = data.tobytes()
