@@ -18,6 +18,10 @@ SAMPLE = 30_000
 VOCABULARY = 100_000
 TOKEN = re.compile(r"[^\W\d_]+")
 EULER = 0.5772156649015329
+#: Lengths of the beginnings of words that count besides the words: what inflected and compound words share.
+STEMS = (4, 5, 6, 7)
+#: Words whose scores a worker remembers.
+REMEMBERED = 400_000
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -37,13 +41,49 @@ class Model:
     weights: tuple
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float, prior: float = 500.0, sure: float = 3.0) -> np.ndarray:
-    """Each token's log-odds ratio between the classes under a Dirichlet prior of the corpus' own shares, brought
-    nearer to 0 by sure standard deviations: 0 for tokens whose sign is in doubt. Counts are of texts, so that a token
-    repeated in one text tells no more."""
-    share = (toxic + clean + 0.5) / (n_toxic + n_clean + 1.0)
-    a, b = toxic + prior * share * 0.02, clean + prior * share * 0.02
-    m, n = n_toxic + prior * 0.02, n_clean + prior * 0.02
+def features(word: str) -> list[str]:
+    """A word, and its beginnings with a mark, the longest first."""
+    return [word, *(word[:n] + "*" for n in reversed(STEMS) if len(word) > n)]
+
+
+def own_stems(scores: dict, toxic: dict) -> dict:
+    """scores without beginnings that owe theirs to a word: one that scores itself, in half of their toxic texts."""
+    owed = {f for w in scores if not w.endswith("*") for f in features(w)[1:] if 2 * toxic[w] >= toxic.get(f, 0)}
+    return {f: s for f, s in scores.items() if f not in owed}
+
+
+def score_of(word: str, scores: dict, known: dict) -> float:
+    """The score of the word, or of its longest beginning that has one; 0 if none has."""
+    s = known.get(word)
+    if s is None:
+        if len(known) > REMEMBERED:
+            known.clear()
+        s = known[word] = next((scores[f] for f in features(word) if f in scores), 0.0)
+    return s
+
+
+def hits(text: str, scores: dict, known: dict) -> tuple[int, list[int], list[float]]:
+    """Tokens of a text, and positions and scores of those that score. A token's n-th occurrence counts for a part in
+    n * n of the first: repeats are no new evidence."""
+    words, times = TOKEN.findall(text.lower()), {}
+    get, at, out = known.get, [], []
+    for i, w in enumerate(words):
+        s = get(w)
+        if s is None:
+            s = score_of(w, scores, known)
+        if s:
+            n = times[w] = times.get(w, 0) + 1
+            at.append(i)
+            out.append(s / (n * n))
+    return len(words), at, out
+
+
+def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float, prior: float = 50.0, sure: float = 3.5) -> np.ndarray:
+    """Each token's log-odds ratio between the classes under a Dirichlet prior of prior texts with the sample's own
+    shares, brought nearer to 0 by sure standard deviations: 0 for tokens whose sign is in doubt. Counts are of texts, so
+    that a token repeated in one text tells no more."""
+    share = (toxic + clean) / (n_toxic + n_clean)
+    a, b, m, n = toxic + prior * share, clean + prior * share, n_toxic + prior, n_clean + prior
     delta = np.log(a / np.maximum(m - a, 0.5)) - np.log(b / np.maximum(n - b, 0.5))
     sd = np.sqrt(1 / a + 1 / b)
     return np.sign(delta) * np.maximum(0, np.abs(delta) - sure * sd)
@@ -77,17 +117,17 @@ def segments(at: list[int], scores: list[float], drift: float) -> list[tuple[int
     return [(a, b, r - l) for a, b, l, r, _ in out]
 
 
-def _evidence(model: Model, text: str) -> tuple[float, float, int, list]:
+def _evidence(model: Model, text: str, known: dict) -> tuple[float, float, int, list]:
     """best and summed excess of the segments over what a clean text of this length has, its tokens, and the segments."""
-    words = TOKEN.findall(text.lower())
-    get = model.scores.get
-    hits = [(i, s) for i, s in enumerate(map(get, words)) if s is not None]
-    if not hits:
-        return 0.0, 0.0, len(words), []
-    found = segments([i for i, _ in hits], [s for _, s in hits], model.drift)
-    floor = np.log(max(model.k * max(len(words), 1), 1e-300))
-    over = [max(0.0, model.rate * s - floor) for _, _, s in found]
-    return max(over, default=0.0), float(sum(over)), len(words), found
+    n, at, scores = hits(text, model.scores, known)
+    found = segments(at, scores, model.drift)
+    return *_excess(found, n, model.rate, model.k), n, found
+
+
+def _excess(found: list, n: int, rate: float, k: float) -> tuple[float, float]:
+    floor = np.log(max(k * max(n, 1), 1e-300))
+    over = [max(0.0, rate * s - floor) for _, _, s in found]
+    return max(over, default=0.0), float(sum(over))
 
 
 def _features(best: float, total: float) -> tuple[float, float, float]:
@@ -125,8 +165,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: in
         counts: dict = {}
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for w in set(TOKEN.findall(text.lower())):
-                    c = counts.setdefault(w, [0, 0])
+                for f in {f for w in set(TOKEN.findall(text.lower())) for f in features(w)}:
+                    c = counts.setdefault(f, [0, 0])
                     c[toxic > 0] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c[1] for c in counts.values()], pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64())], names=["token", "toxic", "clean"])
 
@@ -135,14 +175,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: in
     counted = counted.where("toxic + clean >= 3").orderBy(F.desc(F.col("toxic") + F.col("clean")), "token").limit(vocabulary).toArrow()
     toxic, clean = (counted[c].to_numpy().astype(float) for c in ("toxic", "clean"))
     s = log_odds(toxic, clean, n1, n0)
-    scores = {w: float(x) for w, x in zip(counted["token"].to_pylist(), s, strict=True) if x}
+    words = counted["token"].to_pylist()
+    scores = own_stems({w: float(x) for w, x in zip(words, s, strict=True) if x}, dict(zip(words, toxic.tolist(), strict=True)))
 
     def tokens(batches):
+        memory: dict = {}
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = TOKEN.findall(text.lower())
-                hits = [(i, scores[w]) for i, w in enumerate(words) if w in scores]
-                yield pa.RecordBatch.from_arrays([pa.array([len(words)], pa.int64()), pa.array([int(toxic > 0)]), pa.array([[float(i) for i, _ in hits]], pa.list_(pa.float64())), pa.array([[x for _, x in hits]], pa.list_(pa.float64()))], names=["n", "toxic", "at", "s"])
+            rows = [hits(text, scores, memory) for text in batch.column(0).to_pylist()]
+            lists = [pa.array([[float(x) for x in r[k]] for r in rows], pa.list_(pa.float64())) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([int(t > 0) for t in batch.column(1).to_pylist()]), *lists], names=["n", "toxic", "at", "s"])
 
     seen = known.mapInArrow(tokens, "n long, toxic long, at array<double>, s array<double>").toArrow().to_pylist()  # sample rows at most, of the scored tokens alone
     # drift: a clean text's expected score a token is negative, by as much as makes passages of some tens of tokens stand apart
@@ -154,13 +195,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: in
     # the mean of a Gumbel law: rate * E[S] = ln(k n) + Euler's constant
     k = float(np.exp(np.mean([rate * s - np.log(r["n"]) for s, r in best]) - EULER)) if best else 1.0
     model = Model(scores, drift, rate, max(k, 1e-12), (0.0, 0.0, 0.0))
-    x, y = [], []
-    for r in seen:
-        found = segments([int(i) for i in r["at"]], r["s"], drift)
-        floor = np.log(max(model.k * max(r["n"], 1), 1e-300))
-        over = [max(0.0, rate * s - floor) for _, _, s in found]
-        x.append(_features(max(over, default=0.0), sum(over)))
-        y.append(r["toxic"])
+    x = [_features(*_excess(segments([int(i) for i in r["at"]], r["s"], drift), r["n"], rate, model.k)) for r in seen]
+    y = [r["toxic"] for r in seen]
     w = _logistic(np.array(x), np.array(y, float))
     return Model(scores, drift, rate, model.k, tuple(float(v) for v in w))
 
@@ -194,12 +230,12 @@ def score_texts(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches):
-        model = sent.value
+        model, known = sent.value, {}
         for batch in batches:
             score, n, passages = [], [], []
             for text in batch.column(at):
                 text = text.as_py() or ""
-                best, total, length, found = _evidence(model, text)
+                best, total, length, found = _evidence(model, text, known)
                 logit = float(np.dot(model.weights, _features(best, total)))
                 score.append(1 / (1 + np.exp(-max(-30.0, min(30.0, logit)))))
                 floor = np.log(max(model.k * max(length, 1), 1e-300))
