@@ -13,12 +13,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: The white space that the operators' contracts name: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -39,15 +42,15 @@ def shared_folder(spark: SparkSession) -> str:
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Deletes a folder by Hadoop's file system, whichever store it is in."""
     try:
-        jvm, p = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(path)
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        del jvm
     except Exception:  # noqa: BLE001  the session may be gone; what is left is only scratch
         pass
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name in the shared folder; what is in it goes when the driver ends."""
+    ship(spark)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     atexit.register(drop_folder, spark, path)
     return path
