@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import pathlib
 import shutil
 import tempfile
@@ -15,8 +16,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_palimpsest_shipped", False):
         return
     here = pathlib.Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory() as folder:
-        copy = pathlib.Path(folder, "src", here.name)
-        shutil.copytree(here, copy, ignore=shutil.ignore_patterns("__pycache__"))
-        sc.addPyFile(shutil.make_archive(str(pathlib.Path(folder, here.name)), "zip", copy.parent))
+    folder = tempfile.mkdtemp(prefix="shipped-")  # the driver serves the archive from here until it ends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    copy = pathlib.Path(folder, "src", here.name)
+    shutil.copytree(here, copy, ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(str(pathlib.Path(folder, here.name)), "zip", copy.parent))
     sc._palimpsest_shipped = True
