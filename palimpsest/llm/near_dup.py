@@ -36,8 +36,8 @@ from .blocks import ENTRIES, answered, as_table, block_of, counted, entries
 from .common import chunks, mix, sequences, staged, word_hashes, words_of
 from .components import components
 
-#: Members of a share of a group.
-SHARE = 512
+#: Members of a share of a group, and their tokens, about; also of the queries held against a share by one task.
+SHARE, TOKENS = 512, 1_500_000
 #: Leaders in a block of the exchange of keys, about.
 LEADERS = 2500
 _SHINGLE, _WHOLE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -183,22 +183,29 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray], union: np.ndarray) -> np
     out = np.zeros((len(a), len(b)), np.float32)
 
     def cells(sets):
-        col = np.searchsorted(union, all_ := np.concatenate([np.zeros(0, np.uint64), *sets]))
-        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-        ok = (col < len(union)) & (union[np.minimum(col, len(union) - 1)] == all_)
-        order = np.argsort(col[ok], kind="stable")
-        return row[ok][order], col[ok][order]
+        every = np.concatenate([np.zeros(0, np.uint64), *sets])
+        col = np.searchsorted(union, every)
+        ok = (col < len(union)) & (union[np.minimum(col, len(union) - 1)] == every)
+        row = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])[ok]
+        col = col[ok].astype(np.int32)
+        order = np.argsort(col, kind="stable")
+        return row[order], col[order]
 
     if not len(union):
         return out
-    (ra, ca), (rb, cb) = cells(a), cells(b)
+    left = cells(a)
+    right = left if b is a else cells(b)
+
+    def matrix(n, row, col, c, width):
+        m = np.zeros((n, width), np.float32)
+        part = slice(*np.searchsorted(col, [c, c + width]))
+        m[row[part], col[part] - c] = 1
+        return m
+
     for c in range(0, len(union), 4096):
         width = min(4096, len(union) - c)
-        x, y = np.zeros((len(a), width), np.float32), np.zeros((len(b), width), np.float32)
-        for m, row, col in ((x, ra, ca), (y, rb, cb)):
-            part = slice(*np.searchsorted(col, [c, c + width]))
-            m[row[part], col[part] - c] = 1
-        out += x @ y.T
+        x = matrix(len(a), *left, c, width)
+        out += x @ (x if b is a else matrix(len(b), *right, c, width)).T
     return out
 
 
@@ -238,8 +245,10 @@ def _compare(t: pa.Table, link: tuple[int, int]) -> pa.Table:
         b.append(rep[roots[roots != np.arange(c)]])
     elif c:
         low = n[:c].min()
-        for q0 in range(c, len(sets), SHARE):
-            asked = range(q0, min(len(sets), q0 + SHARE))
+        load = np.cumsum([len(x) for x in sets[c:]])
+        part_of = np.maximum(np.arange(len(load)) // SHARE, load // TOKENS)
+        for p in np.unique(part_of):
+            asked = range(c + int(np.searchsorted(part_of, p)), c + int(np.searchsorted(part_of, p, "right")))
             bound = np.array([np.isin(sets[i], every, assume_unique=True).sum() for i in asked])
             size = n[list(asked)]
             open_ = np.array(asked)[link[1] * bound >= link[0] * np.maximum(size, low)]
@@ -278,15 +287,16 @@ def ngram_jaccard_classes(docs: DataFrame, words: int = 5, t: tuple[int, int] =
 
     asked = docs.select(F.col("doc_id").alias("rep"), "text").join(found.select("rep").distinct(), "rep").select("rep", "text")
     sets = asked.mapInArrow(tokens, "rep long, n long, tokens binary")
-    homes = staged(found.groupBy("home").agg(F.count("*").alias("size"), F.max_by("rep", F.struct("n_shared", F.bitwise_not("rep"))).alias("pivot")), "homes")
-    homes = homes.withColumn("shares", F.ceil(F.col("size") / SHARE).cast("int"))
+    homes = staged(found.groupBy("home").agg(F.count("*").alias("size"), F.sum("n").alias("load"), F.max_by("rep", F.struct("n_shared", F.bitwise_not("rep"))).alias("pivot")), "homes")
+    parts_of = lambda size, load: F.ceil(F.greatest(F.col(size) / SHARE, F.col(load) / TOKENS)).cast("int")
+    homes = homes.withColumn("shares", parts_of("size", "load"))
     share = F.pmod(F.xxhash64("rep"), F.col("shares")).cast("int")
     placed = staged(found.select("rep", "n", "home").join(homes, "home").withColumn("share", share).join(sets, ["rep", "n"]), "members")
-    one = ["home", "share", "rep", "n", "tokens", "role", "part"]
-    alike = placed.withColumn("role", F.lit(0)).withColumn("part", F.col("rep"))
-    pivots = placed.where("shares > 1 and rep = pivot").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).where("at <> share")
+    one = ["home", "share", "turn", "rep", "n", "tokens", "role", "part"]
+    alike = placed.withColumn("turn", F.lit(0)).withColumn("role", F.lit(0)).withColumn("part", F.col("rep"))
+    pivots = placed.where("shares > 1 and rep = pivot").withColumn("turn", F.lit(0)).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).where("at <> share")
     pivots = pivots.withColumn("share", F.col("at")).withColumn("role", F.lit(1)).withColumn("part", F.col("rep"))
-    compare = lambda df: df.select(*one).groupBy("home", "share").applyInArrow(lambda x: _compare(x, t), "a long, b long")
+    compare = lambda df: df.select(*one).groupBy("home", "share", "turn").applyInArrow(lambda x: _compare(x, t), "a long, b long")
     near = staged(compare(alike.where("size > 1").select(*one).union(pivots.select(*one))), "near")
 
     # keys that leaders of several groups have, with those groups
@@ -295,10 +305,12 @@ def ngram_jaccard_classes(docs: DataFrame, words: int = 5, t: tuple[int, int] =
     mixed = staged(keys.select("key", F.col("own").alias("home")).distinct().join(mixed, "key"), "mixed")
 
     def ask(queries: DataFrame, parts: DataFrame | None) -> DataFrame:
-        """Edges of queries (rep, home) against all shares of those groups."""
-        q = queries.join(homes.select("home", "shares"), "home").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-        q = q.select("home", "share", "rep").join(placed.select("rep", "n", "tokens").dropDuplicates(["rep"]), "rep")
-        held = alike.join(q.select("home", "share").distinct(), ["home", "share"], "left_semi")
+        """Edges of queries (rep, home) against all shares of those groups, so many queries in turn as a task can hold."""
+        q = staged(queries.join(placed.select("rep", "n", "tokens").dropDuplicates(["rep"]), "rep"), "queries")
+        turns = q.groupBy("home").agg(F.count("*").alias("asks"), F.sum("n").alias("weigh")).withColumn("turns", parts_of("asks", "weigh"))
+        q = q.join(turns, "home").withColumn("turn", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("turns")).cast("int"))
+        q = q.join(homes.select("home", "shares"), "home").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+        held = alike.drop("turn").join(turns.select("home", "turns"), "home").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
         if parts is not None:
             held = held.drop("part").join(parts, "rep")
         return compare(held.select(*one).union(q.withColumn("role", F.lit(2)).withColumn("part", F.col("rep")).select(*one)))
