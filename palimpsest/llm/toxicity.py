@@ -78,15 +78,20 @@ def hits(text: str, scores: dict, known: dict) -> tuple[int, list[int], list[flo
     return len(words), at, out
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float, prior: float = 50.0, sure: float = 3.5) -> np.ndarray:
+def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float, prior: float = 20.0, sure: float = 4.0) -> np.ndarray:
     """Each token's log-odds ratio between the classes under a Dirichlet prior of prior texts with the sample's own
-    shares, brought nearer to 0 by sure standard deviations: 0 for tokens whose sign is in doubt. Counts are of texts, so
-    that a token repeated in one text tells no more."""
+    shares. It is lessened by the part that sure is of the root of the likelihood ratio that the classes share the token
+    alike, so that it is 0 for tokens that chance may deal so. Counts are of texts, so that a token repeated in one text
+    tells no more."""
     share = (toxic + clean) / (n_toxic + n_clean)
     a, b, m, n = toxic + prior * share, clean + prior * share, n_toxic + prior, n_clean + prior
     delta = np.log(a / np.maximum(m - a, 0.5)) - np.log(b / np.maximum(n - b, 0.5))
-    sd = np.sqrt(1 / a + 1 / b)
-    return np.sign(delta) * np.maximum(0, np.abs(delta) - sure * sd)
+
+    def part(seen, expected):
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
+
+    ratio = sum(part(x, s) for x, s in ((toxic, share * n_toxic), (clean, share * n_clean), (n_toxic - toxic, (1 - share) * n_toxic), (n_clean - clean, (1 - share) * n_clean)))
+    return delta * np.maximum(0, 1 - sure / np.sqrt(np.maximum(2 * ratio, 1e-9)))
 
 
 def segments(at: list[int], scores: list[float], drift: float) -> list[tuple[int, int, float]]:

@@ -6,7 +6,7 @@ import corpus_pipeline as P
 from palimpsest.llm.queries import table
 from tests.llm.test_operators import brute_classes
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 def test_stages(spark, tmp_path):
