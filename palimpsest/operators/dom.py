@@ -57,3 +57,42 @@ def nodes(html: str) -> list[tuple]:
     reader.feed(html)
     reader.close()
     return reader.out
+
+
+#: Containers whose children may be a loop's rows (fixed).
+CONTAINERS = ("tbody", "ul", "ol", "table", "section", "div")
+
+
+class _Children(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open: list[tuple[str, dict]] = []
+        self.out: list[tuple[str, str, int]] = []
+
+    def _close(self):
+        tag, children = self.open.pop()
+        if tag in CONTAINERS:
+            self.out += [(tag, child, n) for child, n in children.items() if n >= 2]
+
+    def handle_starttag(self, tag, attrs):
+        while self.open and tag in CLOSED_BY.get(self.open[-1][0], ()):
+            self._close()
+        if self.open:
+            self.open[-1][1][tag] = self.open[-1][1].get(tag, 0) + 1
+        if tag not in EMPTY:
+            self.open.append((tag, {}))
+
+    def handle_endtag(self, tag):
+        if any(t == tag for t, _ in self.open):
+            while self.open[-1][0] != tag:
+                self._close()
+            self._close()
+
+
+def repeats(html: str) -> list[tuple[str, str, int]]:
+    reader = _Children()
+    reader.feed(html)
+    reader.close()
+    while reader.open:
+        reader._close()
+    return reader.out

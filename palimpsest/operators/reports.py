@@ -107,3 +107,9 @@ def fingerprint_gate(stored: DataFrame, actual: DataFrame) -> DataFrame:
     """state of a catalogue against its config (each one row with fingerprint): match, skipped or fail."""
     both = stored.select(F.col("fingerprint").alias("a")).join(F.broadcast(actual.select(F.col("fingerprint").alias("b"))))
     return both.select(F.when(F.col("a").isNull() | F.col("b").isNull(), "skipped").when(F.col("a") == F.col("b"), "match").otherwise("fail").alias("state"))
+
+
+def appended(existing: DataFrame, new: DataFrame, key: str = "leaf") -> DataFrame:
+    """existing as it is, and rows of new whose keys it lacks."""
+    fresh = new.dropDuplicates([key]).join(existing.select(key).distinct(), key, "left_anti")
+    return existing.unionByName(fresh.select(*existing.columns))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import FIELD, MARKER, OCCURRENCES, OPEN_TOKEN, VARIANT, lookup
+from ..functions.text import FIELD, MARKER, MUSTACHE, OCCURRENCES, OPEN_TOKEN, VARIANT, lookup
 
 
 def plain_text(html: Column) -> Column:
@@ -205,3 +205,28 @@ def html_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in ddl.split(", ")])
 
     return pages.select(key, html).mapInPandas(read, ddl)
+
+
+def mustache(docs: DataFrame) -> DataFrame:
+    """doc_id, pos, name of every {{name}}."""
+    return docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(MUSTACHE), 1)).alias("pos", "name"))
+
+
+def prose_conditionals(docs: DataFrame) -> DataFrame:
+    """doc_id, pos, text of every [text] of four characters or more that is no name of a loop."""
+    found = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\[([^\[\]\n]{4,})\]"), 1)).alias("pos", "text"))
+    return found.where(~F.trim("text").rlike(r"^/?[a-zA-Z_][a-zA-Z0-9_]*$"))
+
+
+def repeated_children(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """Containers whose children of one tag repeat, which a loop may stand for: key, container, child, n."""
+    ddl = f"{key} long, container string, child string, n int"
+
+    def read(batches):
+        from .dom import repeats
+
+        for batch in batches:
+            rows = [(k, *r) for k, h in zip(batch[key], batch[html], strict=True) for r in repeats(h or "")]
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in ddl.split(", ")])
+
+    return pages.select(key, html).mapInPandas(read, ddl)

@@ -512,6 +512,30 @@ def hints(spark, sf_dir):
     return tokens.best_prefix(names, spark.createDataFrame([("vehicle", "Vehicle"), ("vehicle_driver", "VehicleDriver")], "prefix string, hint string"))
 
 
+_MUSTACHE = [(1, "a {{ name }} b {{x.y}} {{bad-name}} [shown if due] [Item] [/Item] [ok]")]
+
+
+@query("mustache_variables", r"""SELECT doc_id, unnest(regexp_extract_all("text", '\{\{\s*([a-zA-Z_][a-zA-Z0-9_]*(?:\.[a-zA-Z_][a-zA-Z0-9_]*)*)\s*\}\}', 1)) AS name FROM """ + values(_MUSTACHE, 'doc_id, "text"'))
+def mustache(spark, sf_dir):
+    return tokens.mustache(spark.createDataFrame(_MUSTACHE, "doc_id int, text string")).drop("pos")
+
+
+@query("prose_conditionals", "SELECT 1 AS doc_id, 'shown if due' AS \"text\"")
+def prose(spark, sf_dir):
+    return tokens.prose_conditionals(spark.createDataFrame(_MUSTACHE, "doc_id int, text string")).drop("pos")
+
+
+@query("loop_autodetect", "SELECT page_id, 'ul' AS container, 'li' AS child, len(regexp_extract_all(html, '<li[ >]'))::INTEGER AS n FROM pages WHERE len(regexp_extract_all(html, '<li[ >]')) >= 2")
+def autodetect(spark, sf_dir):
+    return tokens.repeated_children(table(spark, sf_dir, "pages")).where("container = 'ul' and child = 'li'")
+
+
+@query("review_append", "SELECT * FROM " + values([("a", "old"), ("b", "old"), ("c", "new")], "leaf, final"))
+def review_append(spark, sf_dir):
+    ddl = "leaf string, final string"
+    return reports.appended(spark.createDataFrame([("a", "old"), ("b", "old")], ddl), spark.createDataFrame([("b", "new"), ("c", "new")], ddl))
+
+
 # --- resolution ----------------------------------------------------------------------------------------------------
 
 LEAVES = [(1, "state", None), (1, "STATE", None), (1, "Term", None), (1, "make", "Vehicle"), (1, "limit", "Vehicle"), (1, "nothing", None), (1, "policy.data.state", None), (1, "term", "Boat")]
