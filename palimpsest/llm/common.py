@@ -60,7 +60,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """df as a table written to the shared folder: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
     df.write.parquet(path := scratch(spark, name))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(old: DataFrame, new: DataFrame) -> DataFrame:
+    """new, after the staged table old, which nothing still to run reads, is deleted, and what its making shuffled too."""
+    spark = old.sparkSession
+    drop_folder(spark, old._staged_at)
+    spark._jvm.System.gc()  # Spark deletes shuffle files once nothing on the driver refers to them
+    return new
 
 
 def ascii_lower(c):

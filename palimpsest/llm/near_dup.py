@@ -8,7 +8,8 @@ Steps (t is the least similarity, a set the distinct shingles of a document):
    tokens make a 64-bit key. Sizes come in bands, and a set near the lower end of its band also sends keys for the band
    below. Parts in which a set has nothing tell little, so there are some parts to spare and these are left out,
    unless a set has more of them than there are to spare. Keys that several leaders have are found by an exchange of
-   sorted arrays.
+   sorted arrays. With parts to spare, two sets that link agree in more than one: a leader that has fewer keys in
+   common with all others together links with none, and goes no further.
 3. A leader's group is the one of its shared keys that most leaders have: similar documents have it in common, so
    they fall into few groups. Large groups are cut into shares of SHARE members.
 4. In a share, the tokens of its members (those in two sets at least) and its members make a matrix, whose product
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import ENTRIES, answered, as_table, block_of, counted, entries
-from .common import chunks, mix, sequences, staged, word_hashes, words_of
+from .common import chunks, discard, mix, sequences, staged, word_hashes, words_of
 from .components import components
 
 #: Members of a share of a group, and their tokens, about; also of the queries held against a share by one task.
@@ -90,14 +91,17 @@ class Bands:
             self.spare = np.minimum(np.ceil(mean + 2 * np.sqrt(mean)).astype(np.int64), apart // 3)
         self.parts = apart + 1 + self.spare
 
-    def keys(self, tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of sets (sorted tokens, where each begins), and where each set's keys begin."""
+    def keys(self, tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of sets (sorted tokens, where each begins); where each set's keys begin; and of each set, how many keys
+        are of its own band, and how many of them, and of those of the band below, it has in common with one it links
+        with in that band."""
         size = np.diff(at)
         band = np.searchsorted(self.tops, size)
         own = size >= self.least
         below = own & (band > 0) & (self.t[0] * size <= self.t[1] * self.tops[np.maximum(band - 1, 0)])
         keys, whose = [], []
-        for which, b in ((own, band), (below, band - 1)):
+        counts = np.zeros((3, len(size)), np.int32)
+        for i, (which, b) in enumerate(((own, band), (below, band - 1))):
             sets = np.flatnonzero(which)
             if not len(sets):
                 continue
@@ -112,60 +116,73 @@ class Bands:
             np.add.at(sums, slot, mix(salted ^ np.uint64(0x94D049BB133111EB)))
             empty = np.bincount(slot, minlength=total) == 0
             owner = np.repeat(np.arange(len(sets)), parts)
-            over = np.bincount(owner, weights=empty, minlength=len(sets)) > self.spare[b]
+            empties = np.bincount(owner, weights=empty, minlength=len(sets)).astype(np.int64)
+            over = empties > self.spare[b]
+            counts[i + 1, sets] = self.spare[b] + 1 - np.where(over, 0, empties)
             place = (np.arange(total) - base[owner] + (b[owner] << 40)).astype(np.uint64)
             keep = ~empty | over[owner]
+            if i == 0:
+                counts[0, sets] = np.bincount(owner[keep], minlength=len(sets))
             keys.append(mix(sums + mix(place))[keep])
             whose.append(sets[owner[keep]])
         k, w = np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.int64), *whose])
         order = np.argsort(w, kind="stable")
-        return k[order], np.searchsorted(w[order], np.arange(len(size) + 1))
+        return k[order], np.searchsorted(w[order], np.arange(len(size) + 1)), counts
 
 
 def _packed(items: list[bytes]) -> pa.Array:
     return pa.array(items, pa.binary())
 
 
+COUNTS = ("own", "need", "need_below")
+
+
 def described(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
-    """doc_id, n (tokens), mark (128 bits of a hash of the set; null if empty) and keys of each row."""
+    """doc_id, n (tokens), mark (128 bits of a hash of the set; null if empty), keys and COUNTS (see Bands) of each row."""
 
     def run(batches):
         for batch in batches:
             for i, j, s, at in shingle_sets(batch.column(1), words):
-                k, ka = bands.keys(s, at)
+                k, ka, counts = bands.keys(s, at)
                 marks = [hashlib.blake2b(s[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at)), _packed(marks), _packed([k[a:b].tobytes() for a, b in zip(ka[:-1], ka[1:], strict=True)])], names=["doc_id", "n", "mark", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at)), _packed(marks), _packed([k[a:b].tobytes() for a, b in zip(ka[:-1], ka[1:], strict=True)]), *map(pa.array, counts)], names=["doc_id", "n", "mark", "keys", *COUNTS])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, mark binary, keys binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, mark binary, keys binary, own int, need int, need_below int")
 
 
 CANDIDATE = "rep long, n long, home long, n_shared int, shared array<long>"
 
 
 def candidates(leaders: DataFrame, blocks: int) -> DataFrame:
-    """Leaders (rep, n, keys) that share a key with others: their shared keys, and the most frequent of these."""
-
-    def laid(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        own = [np.frombuffer(x, "<u8") for x in t["keys"].to_pylist()]
-        k, d = np.concatenate([np.zeros(0, np.uint64), *own]), np.repeat(np.arange(len(own)), [len(x) for x in own])
+    """Leaders (rep, n, keys, COUNTS) that may link: their shared keys, and the most frequent of these."""
+
+    def laid(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted keys, the row of each, whether it is of the row's own band, and whether it is the first of its like."""
+        held = [np.frombuffer(x, "<u8") for x in t["keys"].to_pylist()]
+        size = np.array([len(x) for x in held], np.int64)
+        k, d = np.concatenate([np.zeros(0, np.uint64), *held]), np.repeat(np.arange(len(held)), size)
+        own = np.arange(len(k)) - np.repeat(np.cumsum(size) - size, size) < t["own"].to_numpy()[d]
         order = np.argsort(k, kind="stable")
         first = np.ones(len(k), bool)
         first[1:] = k[order][1:] != k[order][:-1]
-        return k[order], d[order], first
+        return k[order], d[order], own[order], first
 
     def tell(t: pa.Table) -> pa.Table:
-        k, d, first = laid(t)
+        k, _, _, first = laid(t)
         at = np.flatnonzero(first)
         times = np.diff(np.append(at, len(k))).astype("<u4")
         return as_table(entries(t["blk"][0].as_py(), blocks, k[at], times, None), ENTRIES)
 
     def pick(left: pa.Table, right: pa.Table) -> pa.Table:
-        k, d, first = laid(left)
+        k, d, own, first = laid(left)
         mask, totals = answered(right, blocks, k[first])
         times = np.ones(len(mask), np.int64)
         times[mask] = totals
         times = times[np.cumsum(first) - 1] if len(k) else np.zeros(0, np.int64)
         hit = times > 1
+        for band, need in ((own, "need"), (~own, "need_below")):
+            enough = np.bincount(d[hit & band], minlength=left.num_rows) >= left[need].to_numpy()
+            hit &= ~band | enough[d]
         k, d, times = k[hit].view(np.int64), d[hit], times[hit]
         order = np.lexsort((k, -times, d))
         k, d = k[order], d[order]
@@ -275,10 +292,14 @@ def ngram_jaccard_classes(docs: DataFrame, words: int = 5, t: tuple[int, int] =
     bands = Bands(t)
     rows = staged(described(docs, words, bands), "described")
     full = rows.where("n > 0 and doc_id is not null")
-    classes = staged(full.groupBy("mark").agg(F.min(F.struct("doc_id", "n", "keys")).alias("x")).select("mark", F.col("x.doc_id").alias("rep"), "x.n", "x.keys"), "classes")
+    one_each = full.groupBy("mark").agg(F.min(F.struct("doc_id", "n", "keys", *COUNTS)).alias("x"))
+    classes = staged(one_each.select("mark", F.col("x.doc_id").alias("rep"), "x.n", "x.keys", *(f"x.{c}" for c in COUNTS)), "classes")
+    light = staged(rows.select("doc_id", "n", "mark"), "marks")
+    rows = discard(rows, light)
     leaders = classes.where(F.octet_length("keys") > 0)
     blocks = max(1, -(-leaders.count() // LEADERS))
-    found = staged(candidates(leaders.select("rep", "n", "keys"), blocks), "candidates")
+    found = staged(candidates(leaders.select("rep", "n", "keys", *COUNTS), blocks), "candidates")
+    classes = discard(classes, staged(classes.select("mark", "rep"), "leaders"))
 
     def tokens(batches):
         for batch in batches:
@@ -306,10 +327,10 @@ def ngram_jaccard_classes(docs: DataFrame, words: int = 5, t: tuple[int, int] =
 
     def ask(queries: DataFrame, parts: DataFrame | None) -> DataFrame:
         """Edges of queries (rep, home) against all shares of those groups, so many queries in turn as a task can hold."""
-        q = staged(queries.join(placed.select("rep", "n", "tokens").dropDuplicates(["rep"]), "rep"), "queries")
+        q = staged(queries.join(placed.select("rep", "n"), "rep"), "queries")
         turns = q.groupBy("home").agg(F.count("*").alias("asks"), F.sum("n").alias("weigh")).withColumn("turns", parts_of("asks", "weigh"))
         q = q.join(turns, "home").withColumn("turn", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("turns")).cast("int"))
-        q = q.join(homes.select("home", "shares"), "home").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+        q = q.drop("n").join(placed.select("rep", "n", "tokens"), "rep").join(homes.select("home", "shares"), "home").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
         held = alike.drop("turn").join(turns.select("home", "turns"), "home").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
         if parts is not None:
             held = held.drop("part").join(parts, "rep")

@@ -208,6 +208,10 @@ def test_any_linked_pair_shares_a_key():
                 continue
             keys = [set(bands.keys(np.unique(x), np.array([0, len(np.unique(x))]))[0].tolist()) for x in (a, b)]
             assert keys[0] & keys[1]
+            made = [bands.keys(np.unique(x), np.array([0, len(np.unique(x))])) for x in (a, b)]
+            for (k, _, c), other in zip(made, keys[::-1], strict=True):
+                own, below = set(k[: c[0, 0]].tolist()) & other, set(k[c[0, 0] :].tolist()) & other
+                assert len(own) >= c[1, 0] or len(k) > c[0, 0] and len(below) >= c[2, 0]
 
 
 def test_components_of_a_path_and_a_star(spark):
