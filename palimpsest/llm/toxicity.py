@@ -183,36 +183,48 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: in
     words = counted["token"].to_pylist()
     scores = own_stems({w: float(x) for w, x in zip(words, s, strict=True) if x}, dict(zip(words, toxic.tolist(), strict=True)))
 
-    def tokens(batches):
+    def values(batches):
+        memory, counts, total = {}, {}, 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                n, _, found = hits(text, scores, memory)
+                total += n
+                for x in found:
+                    counts[x] = counts.get(x, 0) + 1
+        counts[0.0] = total - sum(counts.values())
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.float64()), pa.array(list(counts.values()), pa.int64())], names=["score", "n"])
+
+    # how often clean texts' tokens have which score: a few for each token of the vocabulary
+    clean_scores = known.where("toxic <= 0").select("text").mapInArrow(values, "score double, n long").groupBy("score").agg(F.sum("n").alias("n")).toArrow()
+    value, times = clean_scores["score"].to_numpy(), clean_scores["n"].to_numpy()
+    # drift: a clean text's expected score a token is negative, by as much as makes passages of some tens of tokens stand apart
+    drift = max(0.05, 2 * float((value * times).sum()) / max(1, times.sum()))
+    rate = _rate(value, times, drift)
+
+    def found_in(batches):
         memory: dict = {}
         for batch in batches:
             rows = [hits(text, scores, memory) for text in batch.column(0).to_pylist()]
-            lists = [pa.array([[float(x) for x in r[k]] for r in rows], pa.list_(pa.float64())) for k in (1, 2)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([int(t > 0) for t in batch.column(1).to_pylist()]), *lists], names=["n", "toxic", "at", "s"])
-
-    seen = known.mapInArrow(tokens, "n long, toxic long, at array<double>, s array<double>").toArrow().to_pylist()  # sample rows at most, of the scored tokens alone
-    # drift: a clean text's expected score a token is negative, by as much as makes passages of some tens of tokens stand apart
-    clean_n = sum(r["n"] for r in seen if not r["toxic"])
-    clean_scores = np.array([x for r in seen if not r["toxic"] for x in r["s"]] or [0.0])
-    drift = max(0.05, 2 * float(clean_scores.sum()) / max(1, clean_n))
-    rate = _rate(clean_scores, clean_n, drift)
-    best = [(max((x for _, _, x in segments([int(i) for i in r["at"]], r["s"], drift)), default=0.0), r) for r in seen if not r["toxic"] and r["n"]]
+            best = [[x for _, _, x in segments(at, found, drift)] for _, at, found in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([int(t > 0) for t in batch.column(1).to_pylist()]), pa.array(best, pa.list_(pa.float64()))], names=["n", "toxic", "s"])
+
+    # the sample's rows at most, of the segments' scores alone
+    seen = known.mapInArrow(found_in, "n long, toxic long, s array<double>").toArrow()
+    n, y = seen["n"].to_numpy(), seen["toxic"].to_numpy()
+    own = seen["s"].to_pylist()
+    clean = [rate * max(s, default=0.0) - np.log(m) for s, m, t in zip(own, n, y, strict=True) if not t and m]
     # the mean of a Gumbel law: rate * E[S] = ln(k n) + Euler's constant
-    k = float(np.exp(np.mean([rate * s - np.log(r["n"]) for s, r in best]) - EULER)) if best else 1.0
-    model = Model(scores, drift, rate, max(k, 1e-12), (0.0, 0.0, 0.0))
-    x = [_features(*_excess(segments([int(i) for i in r["at"]], r["s"], drift), r["n"], rate, model.k)) for r in seen]
-    y = [r["toxic"] for r in seen]
-    w = _logistic(np.array(x), np.array(y, float))
-    return Model(scores, drift, rate, model.k, tuple(float(v) for v in w))
+    k = max(float(np.exp(np.mean(clean) - EULER)), 1e-12) if clean else 1.0
+    x = [_features(*_excess([(0, 0, v) for v in s], int(m), rate, k)) for s, m in zip(own, n, strict=True)]
+    w = _logistic(np.array(x), y.astype(float))
+    return Model(scores, drift, rate, k, tuple(float(v) for v in w))
 
 
-def _rate(scores: np.ndarray, n: int, drift: float) -> float:
+def _rate(value: np.ndarray, times: np.ndarray, drift: float) -> float:
     """The positive root of E[exp(rate * s)] = 1 over a clean text's tokens (Karlin and Altschul)."""
-    scores = scores[scores != 0]
-    rest = max(0, n - len(scores))
 
     def over(r: float) -> float:
-        return float(np.exp(r * (scores - drift)).sum() + rest * np.exp(-r * drift)) / max(1, n) - 1
+        return float((times * np.exp(r * (value - drift))).sum()) / max(1, times.sum()) - 1
 
     low, high = 1e-6, 1.0
     while over(high) < 0 and high < 64:
