@@ -21,7 +21,7 @@ EULER = 0.5772156649015329
 #: Lengths of the beginnings of words that count besides the words: what inflected and compound words share.
 STEMS = (4, 5, 6, 7)
 #: Words whose scores a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -166,14 +166,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: in
         share = n1 / max(1, n1 + n0)
         return Model({}, 1.0, 1.0, 1.0, (float(np.log((share + 1e-6) / (1 - share + 1e-6))), 0.0, 0.0))
 
+    def table_of(counts):
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c[1] for c in counts.values()], pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64())], names=["token", "toxic", "clean"])
+
     def count(batches):
         counts: dict = {}
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for f in {f for w in set(TOKEN.findall(text.lower())) for f in features(w)}:
-                    c = counts.setdefault(f, [0, 0])
-                    c[toxic > 0] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c[1] for c in counts.values()], pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64())], names=["token", "toxic", "clean"])
+            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                for f in {f for w in set(TOKEN.findall(text.as_py().lower())) for f in features(w)}:
+                    counts.setdefault(f, [0, 0])[toxic > 0] += 1
+                if len(counts) > REMEMBERED:
+                    yield table_of(counts)
+                    counts = {}
+        yield table_of(counts)
 
     counted = known.mapInArrow(count, "token string, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     # a token in fewer than three texts can't be sure of its sign
