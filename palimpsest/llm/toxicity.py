@@ -63,18 +63,17 @@ def score_of(word: str, scores: dict, known: dict) -> float:
 
 
 def hits(text: str, scores: dict, known: dict) -> tuple[int, list[int], list[float]]:
-    """Tokens of a text, and positions and scores of those that score. A token's n-th occurrence counts for a part in
-    n * n of the first: repeats are no new evidence."""
-    words, times = TOKEN.findall(text.lower()), {}
+    """Tokens of a text, and positions and scores of those that score. Every occurrence has its token's full score, so
+    that a passage's score doesn't depend on what stands before it."""
+    words = TOKEN.findall(text.lower())
     get, at, out = known.get, [], []
     for i, w in enumerate(words):
         s = get(w)
         if s is None:
             s = score_of(w, scores, known)
         if s:
-            n = times[w] = times.get(w, 0) + 1
             at.append(i)
-            out.append(s / (n * n))
+            out.append(s)
     return len(words), at, out
 
 

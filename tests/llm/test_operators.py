@@ -242,6 +242,15 @@ def test_segments_by_definition():
         assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want])
 
 
+def test_a_repeated_passage_is_found_each_time(spark):
+    passage, filler = "you vile rotten scum", "plain words of no weight " * 200
+    model = toxicity.Model({"vile": 1.2, "rotten": 0.9, "scum": 1.5}, 0.05, 5.0, 0.003, (-5.0, 0.2, 2.0))
+    text = filler + "scum " + filler + (passage + " " + filler) * 4
+    found = toxicity.score_texts(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first().passages
+    whole = [p for p in found if text[p.start : p.end] == "vile rotten scum"]
+    assert len(whole) == 4 and np.allclose([p.score for p in whole], whole[0].score) and len(found) == 5
+
+
 def test_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     out = queries.QUERIES["op9_toxicity"](spark, sf).where("held_out").join(queries.table(spark, sf, "labels").where("toxic is not null"), "doc_id")
