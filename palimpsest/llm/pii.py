@@ -121,10 +121,15 @@ def _phone_surrogate(key: bytes, canon: str) -> str:
     return country + str(permuted(key, f"phone|{country}|{len(rest)}", int(rest), 10 ** len(rest), good)).zfill(len(rest))
 
 
+#: Country codes: of one digit, of two, and all others of three (fixed).
+COUNTRY = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{1,3}")
+
+
 def _phone(text: str) -> str | None:
-    m = re.match(r"\+(\d{1,3})(?=[ .(-])", text)
+    if re.fullmatch(r"\+\d+\.\d+", text):  # a number with decimals
+        return None
     d = _digits(text)
-    country = m[1] if m else ""
+    country = COUNTRY.match(d)[0] if text.startswith("+") else ""
     return f"{country} {d[len(country) :]}" if 7 <= len(d) <= 15 and len(d) > len(country) + 3 else None
 
 
@@ -167,22 +172,114 @@ def script(text: str) -> str:
 
 
 def _name(text: str) -> str | None:
-    title, *parts = text.split()
-    title = title.rstrip(".")
-    gender = next((g for g, titles in TITLES.items() if title in titles), "")
-    return f"{gender}|{' '.join(parts).lower()}" if parts else None
+    """gender|parts in lower case, initials with a dot; the gender is the first that a title tells."""
+    head = _TITLES.match(text)
+    gender = next((g for t in re.findall(_TITLE, head[0]) for g, titles in TITLES.items() if g and t in titles), "")
+    parts = _parts(text, head.end())
+    return f"{gender}|{' '.join(p for _, _, p in parts)}" if parts else None
+
+
+def _parts(text: str, start: int = 0, end: int | None = None) -> list[tuple[int, int, str]]:
+    """(start, end, part) of the words of a name; parts are in lower case, initials have a dot."""
+    found = _PART.finditer(text, start, len(text) if end is None else end)
+    return [(m.start(), m.end(), m[0].lower() if len(m[0].rstrip(".")) > 1 else m[0].rstrip(".").lower() + ".") for m in found]
+
+
+def _initial(part: str) -> bool:
+    return len(part) == 2 and part.endswith(".")
+
+
+def _aligned(parts: list[str], whole: list[str], family: bool) -> list[int] | None:
+    """Which parts of a whole name the parts are, in order, initials standing for words; None if they aren't. With family
+    the last one has to be the family name."""
+    if family and parts[-1] != whole[-1]:
+        return None
+    at, out = 0, []
+    for p in parts[:-1] if family else parts:
+        while at < len(whole) - family and whole[at] != p and not (_initial(p) and whole[at] not in PARTICLES and whole[at].startswith(p[0])):
+            at += 1
+        if at == len(whole) - family:
+            return None
+        out.append(at)
+        at += 1
+    return [*out, len(whole) - 1] if family else out
+
+
+def _persons(forms: list[str]) -> dict[str, list[str]]:
+    """The whole names that each form of a text's titled names may stand for, itself if none. Forms go from the fullest."""
+    split = lambda f: (f.partition("|")[0], f.partition("|")[2].split())
+    order = sorted(set(forms), key=lambda f: (-sum(not _initial(p) for p in split(f)[1]), -len(split(f)[1]), not split(f)[0], f))
+    whole: list[str] = []
+    stands: dict[str, list[str]] = {}
+    for f in order:
+        gender, parts = split(f)
+        stands[f] = [w for w in whole if (not gender or not split(w)[0] or gender == split(w)[0]) and _aligned(parts, split(w)[1], True) is not None]
+        if not stands[f]:
+            whole.append(f)
+            stands[f] = [f]
+    for w in [w for w in whole if w.startswith("|")]:  # a gender that all other forms agree in is the person's
+        told = {f[0] for f in order if f != w and not f.startswith("|") and w in stands[f]}
+        if len(told) == 1:
+            new = told.pop() + w
+            stands = {f: list(dict.fromkeys(new if x == w else x for x in own)) for f, own in stands.items()}
+        elif told:
+            stands = {f: [x for x in own if x != w] or [f] if not f.startswith("|") else own for f, own in stands.items()}
+    return stands
+
+
+def _coreferent(text: str, named: list) -> list:
+    """Titled names (start, end, kind, form) of a text with the person each stands for as the canonical form, and the
+    bare mentions of these persons. Of several that fit, the last one named before counts, or else the first after."""
+    stands = _persons([c for _, _, _, c in named])
+    out, seen = [], []
+    for a, b, kind, form in named:
+        fit = stands[form]
+        out.append((a, b, kind, next((p for p in reversed(seen) if p in fit), fit[0])))
+        seen.append(out[-1][3])
+    whole = {p: p.partition("|")[2].split() for p in seen}
+    words: set = set()
+    for a, b, _, _ in named:
+        own = [text[x:y] for x, y, p in _parts(text, _TITLES.match(text, a).end(), b) if not _initial(p) and p not in PARTICLES]
+        words.update(own, (w.upper() for w in own if len(w) > 2))
+    longest = max(map(len, whole.values()))
+    free, at = [], 0
+    for a, b, _, _ in named:
+        free += [text[at:a], "\0" * (b - a)]
+        at = b
+    rest = "".join([*free, text[at:]])
+    titled = list(out)
+    for m in _RUN.finditer(rest):
+        found, i = _parts(rest, *m.span()), 0
+        if not any(rest[a:b] in words for a, b, _ in found):
+            continue
+        near = list(dict.fromkeys([*(p for a, _, _, p in reversed(titled) if a < m.start()), *seen]))
+        while i < len(found):
+            j = i
+            while j < min(len(found), i + longest) and (rest[slice(*found[j][:2])] in words or _initial(found[j][2]) or found[j][2] in PARTICLES):
+                j += 1
+            while j > i:
+                parts = [p for _, _, p in found[i:j]]
+                if parts[0] not in PARTICLES and any(rest[a:b] in words for a, b, _ in found[i:j]):
+                    who = next((p for family in (True, False) for p in near if _aligned(parts, whole[p], family) is not None), None)
+                    if who:
+                        out.append((found[i][0], found[j - 1][1], "name", who))
+                        break
+                j -= 1
+            i = max(j, i + 1)
+    return out
 
 
 def _name_surrogate(key: bytes, canon: str) -> str:
-    """Of another name of the gender, script and number of parts; the last part is one of 16 ** 16 made-up ones."""
+    """Of another name of the gender, script and number of parts; the last part is one of 16 ** 16 made-up ones. Initials
+    become initials, particles stay."""
     gender, _, name = canon.partition("|")
     parts, kind = name.split(), script(name)
     h = int.from_bytes(hashlib.blake2b(canon.encode(), key=key, digest_size=32).digest(), "big")
     first = GIVEN[kind, gender]
     out = []
-    for _ in parts[:-1]:
+    for p in parts[:-1]:
         h, i = divmod(h, len(first))
-        out.append(first[i])
+        out.append(p if p in PARTICLES else first[i][0] + "." if _initial(p) else first[i])
     family = ""
     for _ in range(16 if len(parts) == 1 else 8):  # a lone name carries all the distinctness
         h, i = divmod(h, 16)
@@ -190,22 +287,48 @@ def _name_surrogate(key: bytes, canon: str) -> str:
     return " ".join([*out, family[:1].upper() + family[1:]])
 
 
+def _name_place(form: str, canon: str, new: str) -> str:
+    """A mention of a person, with the surrogate's parts in place of those it has; titles and white space stay."""
+    head = _TITLES.match(form)
+    own, whole, made = _parts(form, head.end() if head else 0), canon.partition("|")[2].split(), new.split(" ")
+    parts = [p for _, _, p in own]
+    at = _aligned(parts, whole, True) or _aligned(parts, whole, False)
+    out, last = [], 0
+    for (a, b, p), i in zip(own, at, strict=True):
+        word = made[i][0] + ("." if form[b - 1] == "." else "") if _initial(p) else made[i]
+        out += [form[last:a], word.upper() if b - a > 2 and form[a:b].isupper() else word]
+        last = b
+    return "".join([*out, form[last:]])
+
+
 def _same_case(form: str, new: str) -> str:
     return "".join(n.upper() if f.isupper() else n for f, n in zip(form, new, strict=True)) if len(form) == len(new) else new
 
 
-_TITLE = "|".join(t for group in TITLES.values() for t in group)
-_CAP = r"[^\W\d_a-zà-öø-ÿа-яα-ω][^\W\d_]+(?:-[^\W\d_]+)?"
+#: Words within names that are not names themselves; they stay (fixed).
+PARTICLES = ("van", "von", "vom", "der", "den", "de", "del", "della", "di", "da", "dos", "das", "do", "du", "la", "le", "el", "al", "bin", "bint", "ibn", "ben", "af", "av", "zu", "zur", "zum", "ter", "ten", "фон", "де")
+_TITLE = "|".join(sorted((t for group in TITLES.values() for t in group), key=len, reverse=True))
+_PARTICLE = "|".join(sorted(PARTICLES, key=len, reverse=True))
+#: White space within a name: a line may end in it, a paragraph not.
+_WS = r"(?:[^\S\r\n]+(?:\r?\n[^\S\r\n]*)?|\r?\n[^\S\r\n]*)"
+_UP = f"(?![{re.escape(''.join(c for c in map(chr, range(0x10000)) if c.islower()))}])[^\\W\\d_]"
+_LETTER = r"(?:[^\W\d_]|[̀-ͯ])"
+_INITIALS = rf"(?:{_UP}\.{_WS}?|{_UP}{_WS})"
+_CAP = rf"(?!(?:{_TITLE})(?!\w)){_UP}(?:{_LETTER}+|(?=['’]))(?:['’]{_UP}{_LETTER}*|-{_LETTER}+)*"
+_TITLES = re.compile(rf"(?:(?:{_TITLE})(?!\w)\.?{_WS})+")
+_PART = re.compile(rf"{_UP}\.|{_LETTER}+(?:['’]{_UP}{_LETTER}*|-{_LETTER}+)*")
+_NAME = rf"(?:{_INITIALS}|(?:{_PARTICLE}){_WS})*{_CAP}(?!\w)"
+_RUN = re.compile(rf"(?<!\w){_NAME}(?:{_WS}{_NAME})*")
 #: Kinds in the order in which they claim text: pattern (group 1 is the entity), canonical form, surrogate, place.
 KINDS: dict[str, tuple] = {
     "email": (re.compile(r"(?<![\w.%+-])([\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,})(?![\w@])"), str.lower, _email_surrogate, _same_case),
     "secret": (re.compile(r"(?<![A-Za-z0-9])(AKIA[0-9A-Z]{16})(?![A-Za-z0-9])|(?i:\b(?:token|password|passwd|secret|api[_-]?key)\b[\"']?\s*[=:]\s*[\"']?)([A-Za-z0-9+/_-]{8,})(?![A-Za-z0-9+/_-])"), str, _secret_surrogate, lambda form, new: new),
     "iban": (re.compile(r"(?<![A-Za-z0-9])([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"), _iban, _iban_surrogate, lambda form, new: "".join(next(it) if c != " " else c for it in [iter(new)] for c in form)),
     "ip": (re.compile(r"(?<![\d.])(\d{1,3}(?:\.\d{1,3}){3})(?!\.?\d)"), _ip, _ip_surrogate, lambda form, new: new),
-    "phone": (re.compile(r"(?<![\w+])(\+\d{1,3}[ .-]?\(\d{2,4}\)(?:[ .-]?\d{2,4}){2,3}|\+\d{1,3}(?:[ .-]\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])"), _phone, _phone_surrogate, lambda form, new: poured(new, form)),
+    "phone": (re.compile(r"(?<![\w+])(\+1(?:[ \xa0./-]?\(?\d\)?){10}(?![\w-])|\+\d(?:[ \xa0./-]?\(?\d\)?){6,14}|\(\d{3}\) ?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])"), _phone, _phone_surrogate, lambda form, new: poured(new, form)),
     "ssn": (re.compile(r"(?<![\w-])(\d{3}-\d{2}-\d{4})(?![\w-])"), _digits, lambda key, d: permuted_string(key, "ssn", d), lambda form, new: poured(new, form)),
     "card": (re.compile(r"(?<![\w.-])(\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])"), _card, _card_surrogate, lambda form, new: poured(new, form)),
-    "name": (re.compile(rf"(?<!\w)((?:{_TITLE})\.? {_CAP}(?: {_CAP})?)(?!\w)"), _name, _name_surrogate, lambda form, new: f"{form.split()[0]} {new}"),
+    "name": (re.compile(rf"(?<!\w)((?:(?:{_TITLE})\.?{_WS})+{_NAME}(?:{_WS}{_NAME})*)"), _name, _name_surrogate, _name_place),
 }
 _TRIGGER = re.compile(rf"[0-9@]|(?<!\w)(?:{_TITLE})(?!\w)")
 
@@ -216,7 +339,7 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
         return []
     found: list = []
     for kind, (pattern, canon, _, _) in KINDS.items():
-        parts, at = [], 0
+        parts, at, hidden = [], 0, text
         for m in pattern.finditer(text):
             a, b = m.span(m.lastindex)
             if (c := canon(text[a:b])) is not None:
@@ -225,7 +348,8 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
                 at = b
         if parts:  # what is claimed is hidden from the kinds that follow
             text = "".join([*parts, text[at:]])
-    return sorted(found)
+    named = [x for x in found if x[2] == "name"]
+    return sorted([x for x in found if x[2] != "name"] + _coreferent(hidden, named) if named else found)
 
 
 def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
@@ -235,7 +359,8 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
 def replaced(text: str, found: list, key: bytes, exceptions: dict) -> str:
     out, at = [], 0
     for a, b, kind, canon in found:
-        out += [text[at:a], KINDS[kind][3](text[a:b], surrogate(key, kind, canon, exceptions.get((kind, canon), 0)))]
+        new = surrogate(key, kind, canon, exceptions.get((kind, canon), 0))
+        out += [text[at:a], _name_place(text[a:b], canon, new) if kind == "name" else KINDS[kind][3](text[a:b], new)]
         at = b
     return "".join([*out, text[at:]])
 
@@ -281,7 +406,7 @@ def _collisions(docs: DataFrame, key: bytes, make: Callable[..., str] = surrogat
 def surrogates(docs: DataFrame, key: bytes, prefix: str = "") -> DataFrame:
     """docs with the text's entities replaced, and (prefix)n_entities and (prefix)kinds (of the entities, in order).
 
-    Kinds: KINDS. One canonical form (an address in lower case, the digits of a number, a name without its title) has
+    Kinds: KINDS. One canonical form (an address in lower case, the digits of a number, a person's fullest titled name in the text) has
     one surrogate in all documents, and two of a kind have different ones: most are images under a keyed permutation of
     all values of the same format, and hashed ones (names) are checked against all others first. Texts without entities
     stay as they are, null ones too. Other columns stay.
