@@ -27,16 +27,38 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score_texts(docs, model, prefix="_toxic_").where(F.col("_toxic_score") < TOXIC).select(*docs.columns)
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows that gone names by doc_id and _key: a row goes by the verdict on its own text."""
+    return docs.join(staged(gone.select("doc_id", "_key").distinct(), "gone"), ["doc_id", "_key"], "left_anti")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with _key, a digest of the text: with doc_id it tells rows apart that repeat a doc_id."""
+    return docs.withColumn("_key", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts equal but for white space one stays. Rows without doc_id can't be named by a verdict, and stay."""
-    gone = exact_dedup(docs).where("not kept and doc_id is not null").select("doc_id")
-    return docs.join(staged(gone.distinct(), "gone"), "doc_id", "left_anti").select(*docs.columns)
+    """Of texts equal but for white space one stays, and rows that repeat its doc_id and length. Rows without doc_id can't
+    be named by a verdict, and stay."""
+    rows = keyed(docs)
+    gone = exact_dedup(rows, carry=("_key",)).where("not kept and doc_id is not null")
+    return without(rows, gone).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by a similarity of 0.8 or more in five-word shingles, the one with the smallest id stays."""
-    gone = ngram_jaccard_classes(docs, words=5, t=(80, 100)).where("doc_id <> component_id").select("doc_id")
-    return docs.join(staged(gone.distinct(), "gone"), "doc_id", "left_anti").select(*docs.columns)
+    """Of documents connected by a similarity of 0.8 or more in five-word shingles, the one with the smallest id stays.
+
+    Rows that repeat a doc_id are judged each by its own text, under numbers in the order of doc_id and digest.
+    """
+    judge = lambda df: ngram_jaccard_classes(df, words=5, t=(80, 100)).where("doc_id <> component_id")
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        gone = judge(docs).select("doc_id")
+        return docs.join(staged(gone.distinct(), "gone"), "doc_id", "left_anti").select(*docs.columns)
+    rows = keyed(docs)
+    each = rows.where("doc_id is not null").select("doc_id", "_key").distinct().orderBy("doc_id", "_key")
+    each = staged(each.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    gone = judge(rows.join(each, ["doc_id", "_key"]).select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"))
+    return without(rows, each.join(staged(gone.distinct(), "judged"), "_row")).select(*docs.columns)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,21 +59,21 @@ def heavy_digests(digests: DataFrame, column: str, k: int = COUNTERS) -> DataFra
             return found.select(column)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (SHA-256 of the text without white space) and n_points (code points of the text) of every row."""
+def signatures(docs: DataFrame, carry: tuple = ()) -> DataFrame:
+    """doc_id, the columns to carry, digest (SHA-256 of the text without white space) and n_points (code points of the text) of every row."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.unhex(F.sha2(F.translate(text, BLANKS, "").cast("binary"), 256)).alias("digest"), F.char_length(text).cast("long").alias("n_points"))
+    return docs.select("doc_id", *carry, F.unhex(F.sha2(F.translate(text, BLANKS, "").cast("binary"), 256)).alias("digest"), F.char_length(text).cast("long").alias("n_points"))
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
+def exact_dedup(docs: DataFrame, carry: tuple = ()) -> DataFrame:
     """Per row of docs: doc_id, keep_id, group_size, kept, digest (binary SHA-256 of the text without white space).
 
     Texts are equal when identical without the characters [\\x20\\x09-\\x0D]; null counts as empty. Of equal texts the row
     with the most code points stays, then the one with the smallest doc_id; a null doc_id comes after all others. Of rows
     that repeat the winner's doc_id and length too, each counts as kept: they can't be told apart. Other columns are not
-    looked at.
+    looked at; those to carry follow.
     """
-    rows = staged(signatures(docs), "signatures")
+    rows = staged(signatures(docs, carry), "signatures")
     # order: most code points, then smallest doc_id; nulls last
     better = F.struct("n_points", F.col("doc_id").isNotNull().alias("known"), F.bitwise_not("doc_id").alias("turned"))
     settle = lambda df: df.groupBy("digest").agg(F.count("*").alias("group_size"), F.max(better).alias("best"))
@@ -86,4 +86,4 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     both = heavy.select(*light.columns).union(light)
     keep = F.bitwise_not("best.turned")
     kept = F.col("doc_id").eqNullSafe(keep) & (F.col("n_points") == F.col("best.n_points"))
-    return both.select("doc_id", keep.alias("keep_id"), F.col("group_size").cast("long").alias("group_size"), kept.alias("kept"), "digest")
+    return both.select("doc_id", keep.alias("keep_id"), F.col("group_size").cast("long").alias("group_size"), kept.alias("kept"), "digest", *carry)

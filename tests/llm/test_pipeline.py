@@ -32,5 +32,17 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in packed} == set(private)
 
 
+def test_rows_that_repeat_an_id(spark):
+    ddl = "doc_id long, text string, lang string, source string, n_chars long"
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = lambda *own: spark.createDataFrame([(i, t, "en", "x", len(t or "")) for i, t in own], ddl)
+    left = lambda stage, *own: sorted((r.doc_id or -1, r.text) for r in stage(spark, rows(*own), SF).collect())
+    assert left(P.exact, (5, "a  b"), (5, "a b")) == [(5, "a  b")]
+    assert left(P.exact, (5, "own"), (5, "a b"), (3, "a b"), (None, "a b")) == [(-1, "a b"), (3, "a b"), (5, "own")]
+    for copy in (words, words + " end"):  # equal and similar to the text of 3
+        assert left(P.near, (3, words), (5, "quite another text of its own"), (5, copy), (None, words)) == [(-1, words), (3, words), (5, "quite another text of its own")]
+    assert len(left(P.near, (5, words), (5, words + " end"))) == 1
+
+
 def test_run(spark):
     assert P.run(spark, SF).count() > 0
