@@ -118,7 +118,8 @@ class Bands:
             owner = np.repeat(np.arange(len(sets)), parts)
             empties = np.bincount(owner, weights=empty, minlength=len(sets)).astype(np.int64)
             over = empties > self.spare[b]
-            counts[i + 1, sets] = self.spare[b] + 1 - np.where(over, 0, empties)
+            # parts empty in both are no keys in common if either leaves them out, and as many as are to spare at most then
+            counts[i + 1, sets] = self.spare[b] + 1 - np.minimum(empties, self.spare[b])
             place = (np.arange(total) - base[owner] + (b[owner] << 40)).astype(np.uint64)
             keep = ~empty | over[owner]
             if i == 0:

@@ -240,6 +240,20 @@ def test_any_linked_pair_shares_a_key():
                 assert len(own) >= c[1, 0] or len(k) > c[0, 0] and len(below) >= c[2, 0]
 
 
+def test_small_linked_pairs_have_the_keys_that_both_need():
+    rnd, bands, sets = np.random.default_rng(5), near_dup.Bands((80, 100)), []
+    while len(sets) < 120_000:
+        n, more, less = (int(rnd.integers(a, b)) for a, b in ((12, 27), (0, 4), (0, 4)))
+        if more + less and near_dup.linked(n - less, n, n - less + more, (80, 100)) and not near_dup.linked(n - less - 1, n, n - less + more, (80, 100)):
+            x = rnd.integers(0, 2**63, n + more).astype(np.uint64)
+            sets += [np.sort(x[:n]), np.sort(x[less:])]
+    k, at, c = bands.keys(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+    keys = [k[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+    for i, own in enumerate(keys):
+        other, m = set(keys[i ^ 1]), c[0, i]
+        assert len(other & set(own[:m])) >= c[1, i] or len(own) > m and len(other & set(own[m:])) >= c[2, i]
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7)]
     got = {r.id: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
