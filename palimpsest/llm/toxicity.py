@@ -14,8 +14,6 @@ from .common import staged
 
 #: Labelled rows that the model is fitted on at most: those with the smallest hashes of their ids.
 SAMPLE = 30_000
-#: Tokens that a model holds at most: those in most of the sample's texts.
-VOCABULARY = 100_000
 TOKEN = re.compile(r"[^\W\d_]+")
 EULER = 0.5772156649015329
 #: Lengths of the beginnings of words that count besides the words: what inflected and compound words share.
@@ -149,7 +147,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of labels.toxic, from at most sample labelled rows that are not held out; each text counts once.
 
     Of labels that repeat a doc_id the largest counts; null labels don't. Without both classes a text's score is the
@@ -180,12 +178,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: in
         yield table_of(counts)
 
     counted = known.mapInArrow(count, "token string, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    # a token in fewer than three texts can't be sure of its sign
-    counted = counted.where("toxic + clean >= 3").orderBy(F.desc(F.col("toxic") + F.col("clean")), "token").limit(vocabulary).toArrow()
-    toxic, clean = (counted[c].to_numpy().astype(float) for c in ("toxic", "clean"))
-    s = log_odds(toxic, clean, n1, n0)
-    words = counted["token"].to_pylist()
-    scores = own_stems({w: float(x) for w, x in zip(words, s, strict=True) if x}, dict(zip(words, toxic.tolist(), strict=True)))
+
+    def scored(batches):
+        for batch in batches:
+            s = log_odds(*(batch.column(c).to_numpy().astype(float) for c in ("toxic", "clean")), n1, n0)
+            told = pa.RecordBatch.from_arrays([batch.column("token"), batch.column("toxic"), pa.array(s)], names=["token", "toxic", "score"])
+            yield told.filter(pa.array(s != 0))
+
+    # a token in fewer than three texts can't be sure of its sign; of the others all that tell the classes apart
+    told = counted.where("toxic + clean >= 3").mapInArrow(scored, "token string, toxic long, score double").toArrow()
+    words = told["token"].to_pylist()
+    scores = own_stems(dict(zip(words, told["score"].to_pylist(), strict=True)), dict(zip(words, told["toxic"].to_pylist(), strict=True)))
 
     def values(batches):
         memory, counts, total = {}, {}, 0

@@ -282,6 +282,15 @@ def test_segments_by_definition():
         assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want])
 
 
+def test_rare_words_are_scored_beside_many_frequent_ones(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    common = " ".join(a + b + c + d for a in letters for b in letters for c in letters for d in letters[:6])  # 105,456 words
+    rows = [(i, f"{common} {i}" + " zqvile" * (i < 12)) for i in range(48)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    labels = df.select("doc_id", (F.col("doc_id") < 12).cast("int").alias("toxic"))
+    assert "zqvile" in toxicity.fit(df, labels).scores
+
+
 def test_a_repeated_passage_is_found_each_time(spark):
     passage, filler = "you vile rotten scum", "plain words of no weight " * 200
     model = toxicity.Model({"vile": 1.2, "rotten": 0.9, "scum": 1.5}, 0.05, 5.0, 0.003, (-5.0, 0.2, 2.0))
