@@ -530,6 +530,12 @@ def autodetect(spark, sf_dir):
     return tokens.repeated_children(table(spark, sf_dir, "pages")).where("container = 'ul' and child = 'li'")
 
 
+@query("loop_autodetect_all")
+def autodetect_all(spark, sf_dir):
+    """Repeats in all containers; SQL can't follow the nesting of tags."""
+    return tokens.repeated_children(table(spark, sf_dir, "pages"))
+
+
 @query("review_append", "SELECT * FROM " + values([("a", "old"), ("b", "old"), ("c", "new")], "leaf, final"))
 def review_append(spark, sf_dir):
     ddl = "leaf string, final string"
