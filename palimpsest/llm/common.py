@@ -84,8 +84,8 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
 
 # --- words and their hashes, for a whole batch of texts at once ------------------------------------------------------
 
-_BLANK = np.zeros(256, bool)
-_BLANK[list(BLANKS.encode())] = True
+BLANK = np.zeros(256, bool)
+BLANK[list(BLANKS.encode())] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 5
@@ -136,7 +136,7 @@ def words_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """Starts and ends of the words [^\\x20\\x09-\\x0D]+, and each text's first word's number (one more at the end)."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
-    ink = ~_BLANK[data]
+    ink = ~BLANK[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[at] = True
     first = ink.copy()
@@ -162,6 +162,20 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     return h
 
 
+def coded(data: np.ndarray, sizes: np.ndarray) -> tuple[list[bytes], pa.Array]:
+    """The distinct ones of byte strings that lie one after another, and the number among them of each."""
+    at = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=at[1:])
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+    return found.dictionary.to_pylist(), found.indices
+
+
+def laid_out(parts: list[bytes], which: pa.Array) -> tuple[bytes, np.ndarray]:
+    """parts[i] for each i of which one after another, and where each begins; one more at the end."""
+    out = pa.array(parts, pa.large_binary()).take(which)
+    return out.buffers()[2].to_pybytes() if out.buffers()[2] is not None else b"", np.frombuffer(out.buffers()[1], np.int64)[: len(out) + 1]
+
+
 def sequences(h: np.ndarray, n: int, base: int) -> np.ndarray:
     """A 64-bit Rabin-Karp hash of every n consecutive words."""
     if len(h) < n:

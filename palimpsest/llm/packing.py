@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import gc
+import hashlib
+import json
 import os
 import re
 import zlib
@@ -13,94 +15,153 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, staged
+from .common import BLANK, chunks, coded, laid_out, staged, words_of
 
 #: Words whose ids a worker remembers; beyond it the memory starts anew, which costs time alone.
-REMEMBERED = 400_000
-#: Pieces ranked by one task within a length.
-RANKED = 200_000
-#: The same for runs of letters, figures and signs, of which words are made.
-RUNS = 800_000
-_loaded: dict = {}
-#: What the tokenizer's pattern makes of a word in lower case with characters below 256 alone.
-_RUN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾]+").findall
-#: Words that are left to the tokenizer as a whole: special tokens, and what may count as white space within.
-_ODD = re.compile(rb"<\||[\x00-\x1f]|\xc2[\x80-\xa0]").search
-
-
-def _byte_letters() -> dict[int, str]:
-    """Characters below 256 as the letters that stand for their UTF-8 bytes: a byte that prints stands for itself, the
-    others are counted on from 256."""
-    letters, n = {}, 256
+REMEMBERED = 600_000
+#: Pieces of a length ranked by one task, about, and how many parts a length has besides.
+RANKED, PARTS = 200_000, 64
+#: Ends of runs and words in the text that the encoder of runs gets; no word that it gets has them.
+_END, _NEXT = "\0", "\n"
+#: What a tokenizer's file must say for words to be encoded one by one, and by runs (fixed values of the format).
+_NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+#: The same pattern for lower-case characters below 256 alone.
+_RUN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\na-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+#: Words that are left to the tokenizer as a whole: special tokens, what may count as white space, characters from 256 on.
+_ODD = re.compile("<\\||[\x00-\x09\x0b-\x1f\x7f-\xa0\u0100-\U0010ffff]").search
+
+
+def byte_letters() -> list[str]:
+    """The letters that stand for bytes in a byte-level vocabulary: a byte that prints stands for itself, the others are
+    counted on from 256."""
+    letters, n = [], 256
     for b in range(256):
         shown = 33 <= b <= 126 or 161 <= b <= 172 or b >= 174
-        letters[b] = chr(b if shown else n)
+        letters.append(chr(b if shown else n))
         n += not shown
-    return {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
+    return letters
 
 
-def _tokenizer(path: str):
-    """The tokenizer in a file, its bare model, and this worker's words and runs with their ids as bytes."""
-    if path not in _loaded:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        whole = Tokenizer.from_file(path)
-        _loaded[path] = whole, Tokenizer(whole.model), {}, {}
-    return _loaded[path]
+def run_ranks(file: bytes) -> dict[bytes, int] | None:
+    """Ids of the byte strings of a tokenizer's vocabulary, a word's end being a zero byte; None if the file isn't of the
+    kind whose words may be encoded by runs, in order of rank.
 
+    Merging the pair whose union has the least id gives what the file's list of merges gives if ids follow the list, and
+    if each token, merged by those before it alone, comes out as the two parts that the list names for it. Both is seen to.
+    """
+    said = json.loads(file)
+    model, pre = said["model"], said.get("pre_tokenizer") or {}
+    kind = {k: model.get(k) for k in _MODEL}
+    if kind != _MODEL or said.get("normalizer") != _NORMAL or pre.get("type") != "Sequence" or pre.get("pretokenizers") != [_SPLIT, _LEVEL]:
+        return None
+    if said.get("post_processor") or not all(t["content"].startswith("<|") and not t["normalized"] for t in said["added_tokens"]):
+        return None
+    byte_of = {c: b for b, c in enumerate(byte_letters())}
+
+    def raw(token: str) -> bytes:
+        return bytes(map(byte_of.__getitem__, token.removesuffix("</w>"))) + b"\0" * token.endswith("</w>")
 
-_LETTERS = _byte_letters()
-
+    try:
+        ids = {raw(t): i for t, i in model["vocab"].items()}
+        pairs = [tuple(map(raw, m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    except KeyError:
+        return None
+    single = {bytes([b]) for b in range(256)}
+    ends = {b + b"\0" for b in single}
+    if len(ids) != len(model["vocab"]) or any(ids.get(a + b) != 512 + i for i, (a, b) in enumerate(pairs)) or len(ids) != 512 + len(pairs):
+        return None
+    if {b for b, i in ids.items() if i < 256} != single or {b for b, i in ids.items() if 256 <= i < 512} != ends:
+        return None
+    return ids if all(_parts(a + b, ids) == [a, b] for a, b in pairs) else None
+
+
+def _parts(token: bytes, ids: dict[bytes, int]) -> list[bytes]:
+    """A token as the merges before it leave it."""
+    parts, own = [token[i : i + 1] for i in range(len(token))], ids[token]
+    while len(parts) > 1:
+        best, at = min((ids.get(parts[i] + parts[i + 1], own), i) for i in range(len(parts) - 1))
+        if best >= own:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return parts
+
+
+class Encoder:
+    """Ids of whole texts by a tokenizer's file. ranks: what run_ranks says of it."""
+
+    def __init__(self, file: bytes, ranks: dict[bytes, int] | None):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-def _encode_runs(bare, runs: list[str]) -> list[bytes]:
-    got = bare.encode([r.translate(_LETTERS) for r in runs], is_pretokenized=True, add_special_tokens=False)
-    ids, which = np.array(got.ids, "<u4"), np.array(got.word_ids, np.int64)
-    at = np.searchsorted(which, np.arange(len(runs) + 1)) * 4
-    raw = ids.tobytes()
-    return [raw[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        self.whole, self.known = Tokenizer.from_str(file.decode()), {}
+        self.runs = None
+        if ranks:
+            import tiktoken
 
+            self.runs = tiktoken.Encoding("runs", pat_str=f"[^{_END}{_NEXT}]+{_END}|{_NEXT}", mergeable_ranks=ranks, special_tokens={})
+            self.next = ranks[_NEXT.encode()]
 
-def encode_words(path: str, texts: list[bytes]) -> list[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit numbers.
+    def encode(self, data: np.ndarray, at: np.ndarray) -> list[bytes]:
+        """Ids of each text (its bytes begin at its place in at) as little-endian unsigned 32-bit numbers.
 
-    No token of this tokenizer reaches over ASCII white space and none stands for it, so words are encoded one by one,
-    and each only once while it is remembered. A word of characters below 256, which normal form C leaves as they are,
-    is cut into the runs that the tokenizer's pattern makes of it, and the bare model encodes the new ones; any other
-    word goes through the whole tokenizer.
-    """
-    gc.disable()  # many small lists, and no cycles
-    try:
-        return _encode_words(*_tokenizer(path), texts)
-    finally:
-        gc.enable()
-
-
-def _encode_words(whole, bare, known: dict, runs: dict, texts: list[bytes]) -> list[bytes]:
-    words = [x.split() for x in texts]
-    new = set().union(*words) - known.keys()
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        new = set().union(*words)
-    cut, odd = {}, []
-    for w in new:
-        text = w.decode()
-        if not _ODD(w) and (w.isascii() or max(text) < "\u0100"):
-            cut[w] = _RUN(text.lower())
-        else:
-            odd.append(w)
-    fresh = list(set().union(*cut.values()) - runs.keys())
-    if len(runs) + len(fresh) > RUNS:
-        runs.clear()
-        fresh = list(set().union(*cut.values()))
-    for i in range(0, len(fresh), 20_000):
-        runs.update(zip(part := fresh[i : i + 20_000], _encode_runs(bare, part), strict=True))
-    known.update((w, b"".join([runs[r] for r in rs])) for w, rs in cut.items())
-    for i in range(0, len(odd), 20_000):
-        part = odd[i : i + 20_000]
-        for w, e in zip(part, whole.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join(map(known.__getitem__, w)) for w in words]
+        Where the file allows it (see run_ranks), no token reaches over ASCII white space and none stands for it, so words
+        are encoded one by one, and each only once while it is remembered. With any other file texts are encoded as a whole.
+        """
+        gc.disable()  # many small lists, and no cycles
+        try:
+            if self.runs is None:
+                raw = data.tobytes()
+                return self._whole([raw[a:b].decode() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
+            starts, ends, first = words_of(data, at)
+            words, which = coded(data[~BLANK[data]], ends - starts)
+            new = [w for w in words if w not in self.known]
+            if len(self.known) + len(new) > REMEMBERED:
+                self.known.clear()
+                new = words
+            self._learn(new)
+            raw, place = laid_out(list(map(self.known.__getitem__, words)), which)
+            cuts = place[first].tolist()
+            return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        finally:
+            gc.enable()
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for i in range(0, len(texts), 20_000):
+            out += [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch(texts[i : i + 20_000], add_special_tokens=False)]
+        return out
+
+    def _learn(self, new: list[bytes]) -> None:
+        """A word of characters below 256, which normal form C leaves as they are, is cut into the runs that the pattern
+        makes of it, and these are merged; any other goes through the tokenizer."""
+        if not new:
+            return
+        text = b"\n".join(new).decode()
+        if _ODD(text):
+            odd = [w for w in new if _ODD(w.decode())]
+            self.known.update(zip(odd, self._whole([w.decode() for w in odd]), strict=True))
+            if not (new := list(set(new).difference(odd))):
+                return
+            text = b"\n".join(new).decode()
+        ids = self.runs.encode_to_numpy(_RUN.sub(rf"\g<0>{_END}", text.lower()), disallowed_special=()).astype("<u4")
+        at = np.flatnonzero(ids == self.next)
+        raw = ids.tobytes()
+        starts, ends = [0, *(4 * at + 4).tolist()], [*(4 * at).tolist(), len(raw)]
+        self.known.update(zip(new, map(raw.__getitem__, map(slice, starts, ends)), strict=True))
+
+
+_encoders: dict = {}
+
+
+def encoder(key: str, sent) -> Encoder:
+    """This worker's encoder; sent: a broadcast file and its ranks."""
+    if key not in _encoders:
+        _encoders.clear()  # one tokenizer at a time
+        _encoders[key] = Encoder(*sent.value)
+    return _encoders[key]
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, limit: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
@@ -110,14 +171,17 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, limit: int = 4096, end_id
     """
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     end = np.array([end_id], "<u4").tobytes()
+    with open(tokenizer_path, "rb") as f:  # on the driver; the executors get the content
+        file = f.read()
+    key, sent = hashlib.sha256(file).hexdigest(), docs.sparkSession.sparkContext.broadcast((file, run_ranks(file)))
 
     def cut(batches):
+        make = encoder(key, sent)
         for batch in batches:
             doc_ids = batch.column(0)
-            for i, j, data, at in chunks(batch.column(1), 2 << 20):
-                raw = data.tobytes()
+            for i, j, data, at in chunks(batch.column(1), 8 << 20):
                 which, piece, sums, lengths, blobs = [], [], [], [], []
-                for k, ids in enumerate(encode_words(tokenizer_path, [raw[at[n] : at[n + 1]] for n in range(j - i)])):
+                for k, ids in enumerate(make.encode(data, at)):
                     ids += end
                     for p in range(0, len(ids), 4 * limit):
                         part = ids[p : p + 4 * limit]
@@ -198,7 +262,7 @@ def pack(pieces: DataFrame, cap: Capacity = Capacity(), order: tuple[str, ...] =
     """pieces with sequence_id and offset (its place in the sequence, gapless from 0). Their length column counts.
 
     Only the histogram of lengths (cap.tokens rows at most) goes to the driver, and the plan made of it back. Ranks
-    within a length are counted in salted parts, so a very frequent length is ranked by many tasks. Rows alike in
+    within a length are counted in salted parts, more the more frequent it is, so that it is ranked by many tasks. Rows alike in
     every column of order may change places, which no result shows.
     """
     histogram = pieces.groupBy("length").count().collect()
@@ -206,7 +270,9 @@ def pack(pieces: DataFrame, cap: Capacity = Capacity(), order: tuple[str, ...] =
     steps = plan(np.array([r["length"] for r in histogram], np.int64), np.array([r["count"] for r in histogram], np.int64), cap)
     steps["key"] = steps["length"] * (total + 1) + steps["rank"]
     sent = pieces.sparkSession.sparkContext.broadcast(steps)
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(max(1, -(-total // RANKED)))))
+    parts = [(r["length"], -(-r["count"] // RANKED) + min(PARTS, r["count"] // 256)) for r in histogram]
+    parts = pieces.sparkSession.createDataFrame(parts, "length long, _parts long")  # cap.tokens rows at most
+    salted = pieces.join(F.broadcast(parts), "length").withColumn("_salt", F.pmod(F.xxhash64(*order), "_parts"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = salted.groupBy("length", "_salt").count().select("length", "_salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
     ranked = salted.join(bases, ["length", "_salt"]).withColumn("_rank", F.col("_base") + F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order)) - 1)
