@@ -46,7 +46,7 @@ def test_bpe_equals_the_library(spark):
     import sentencepiece
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    library, own = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Model(path)
+    library, own = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Model(open(path, "rb").read())
     some = texts(spark) + strings(1, list(" ab\n\t09é漢字ñ\x00🙂xqzAB.,!-_") + ["the", "ing", "  "]) + ["  " * k + "a" * k + "the" * k for k in range(40)]
     got = own.encode(some)
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == library.encode(some)
@@ -67,7 +67,7 @@ def test_viterbi_is_as_good_as_the_library(spark, tmp_path):
         if p.type == pieces.NORMAL:
             p.score = -math.log(2 + max(1, min(-p.score, 40_000)))
     (tmp_path / "u.model").write_bytes(proto.SerializeToString())
-    library, own = sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "u.model")), pieces.Model(str(tmp_path / "u.model"))
+    library, own = sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "u.model")), pieces.Model((tmp_path / "u.model").read_bytes())
     some = texts(spark)[:60] + strings(2, " abtheing09é漢.,")
     worth = lambda ids: sum(library.get_score(int(i)) for i in ids)
     other = 0
