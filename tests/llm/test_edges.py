@@ -56,6 +56,14 @@ def test_line_dedup(spark):
     assert out[4, "short"].n_dropped == 1 and out[6, "SHORT"].n_dropped == 1 and out[10, SAME + " end"].n_dropped == 0 and out[None, SAME].n_dropped == 0
 
 
+def test_line_dedup_of_rows_that_repeat_an_id(spark):
+    """Each row loses its own lines, whatever other rows have its doc_id."""
+    often = "a line that many of the documents have"
+    rows = [(1, f"{often}\nkeepA0"), (1, "only in B\nsecond B"), (1, f"x\n{often}"), (2, often), (3, often)]
+    out = sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept) for r in line_dedup.line_dedup(documents(spark, rows)).collect())
+    assert out == [(1, 2, 0, "only in B\nsecond B"), (1, 2, 1, "keepA0"), (1, 2, 1, "x"), (2, 1, 1, ""), (3, 1, 0, often)]
+
+
 def test_exact_dedup(spark):
     out = exact_dedup.exact_dedup(documents(spark)).collect()
     same = [r for r in out if r.doc_id in (4, 5, None)]
