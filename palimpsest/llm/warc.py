@@ -154,7 +154,7 @@ def write_arc(pages: DataFrame, path: str, date: str = "20240101000000") -> None
 
 # --- WARC --------------------------------------------------------------------------------------------------------------
 
-CONVERTED = "target string, ip string, date string, record_id string, type string, mime string, page_id long, digest string, n_payload long, block_digest string, head binary, payload binary"
+CONVERTED = "target string, ip string, date string, arc_date string, filename string, record_id string, type string, mime string, page_id long, digest string, n_payload long, block_digest string, head binary, payload binary"
 
 
 def _names(ddl: str) -> list[str]:
@@ -162,32 +162,52 @@ def _names(ddl: str) -> list[str]:
 
 
 def split_http(block: bytes) -> tuple[bytes, bytes] | None:
-    """Header (with the empty line) and body of an HTTP response; None if it isn't one."""
-    if not block.startswith(b"HTTP/"):
-        return None
-    i = block.find(b"\r\n\r\n")
-    return (block[: i + 4], block[i + 4 :]) if i >= 0 else None
+    """Header (with the empty line) and body of an HTTP response; None if it isn't one. Old servers end lines in \\n alone."""
+    m = re.search(rb"\r?\n\r?\n", block) if block.startswith(b"HTTP/") else None
+    return (block[: m.end()], block[m.end() :]) if m else None
 
 
 def _page_id(head: bytes) -> int | None:
-    m = re.search(rb"(?i)\r\nX-Page-Id: *(-?\d+)", head)
+    m = re.search(rb"(?i)\nX-Page-Id: *(-?\d+)", head)
     return int(m[1]) if m else None
 
 
+#: The date of records whose ARC date can't be read.
+NO_DATE = "1970-01-01T00:00:00Z"
+
+
+def warc_date(date: str) -> str | None:
+    """An ARC date (14 digits, the last of which may be missing) as a WARC date; None if it isn't one."""
+    digits = re.fullmatch(r"(\d{4,14})\d*", date)
+    try:
+        return dt.datetime.strptime(digits[1] + "00000101000000"[len(digits[1]) :], "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ") if digits else None
+    except ValueError:
+        return None
+
+
+def _information(block: bytes) -> bytes:
+    """The fields of a warcinfo record in place of an ARC version block, which they quote line by line."""
+    said = [x.strip() for x in block.decode("utf-8", "replace").splitlines() if x.strip()]
+    lines = ["software: palimpsest", "format: WARC File Format 1.1", "conformsTo: http://iipc.github.io/warc-specifications/specifications/warc-format/warc-1.1/"]
+    return "".join(f"{x}\r\n" for x in lines + [f"arc-version-block: {x}" for x in said]).encode()
+
+
 def _synthesised(record: dict, name: str, at: int) -> tuple:
-    """What a WARC record needs and an ARC header line doesn't have."""
-    block, date = record["block"], record["date"][:14].ljust(14, "0")
-    when = dt.datetime.strptime(date, "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ")
+    """What a WARC record needs and an ARC header line doesn't have. A date that can't be read is NO_DATE, and kept as it is besides."""
+    block, date = record["block"], record["date"]
+    when = warc_date(date)
     record_id = f"urn:uuid:{uuid.uuid5(_NAMES, f'{name}#{at}#{record["url"]}')}"
     http = split_http(block)
+    mime = record["type"]
     if record["url"].startswith("filedesc:"):
-        kind, head, payload = "warcinfo", b"", block
+        kind, head, payload, mime = "warcinfo", b"", _information(block), "application/warc-fields"
+        block = payload
     elif http:
-        kind, (head, payload) = "response", http
+        kind, (head, payload), mime = "response", http, "application/http; msgtype=response"
     else:
         kind, head, payload = "resource", b"", block
-    mime = {"response": "application/http; msgtype=response"}.get(kind, record["type"])
-    return record["url"], record["ip"], when, record_id, kind, mime, _page_id(head), sha1_base32(payload), len(payload), sha1_base32(block), head, payload
+    named = record["url"].partition("://")[2] if kind == "warcinfo" else None
+    return quoted(record["url"]), record["ip"], when or NO_DATE, None if when else quoted(date), named and quoted(named), record_id, kind, mime, _page_id(head), sha1_base32(payload), len(payload), sha1_base32(block), head, payload
 
 
 def archives(spark: SparkSession, path: str) -> DataFrame:
@@ -227,19 +247,21 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 
 def with_revisits(records: DataFrame, small: DataFrame, min_bytes: int) -> DataFrame:
-    """records with refers_id and refers_page: the response that a record with the same payload points to, or null.
+    """records with refers_id, refers_page, refers_target and refers_date: the response that a record with the same payload
+    points to, or null.
 
     Only payloads on two records or more are kept as winners. These are written first, so their size is known: Spark
     broadcasts them if they are under its limit, and else joins by digest with skewed digests split.
     """
     seen = small.where(F.col("type").isin("response", "resource") & (F.col("n_payload") >= min_bytes))
-    order = F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "record_id")
+    order = F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "record_id", "target", "date")
     winners = seen.groupBy("digest", "n_payload").agg(F.count("*").alias("n"), F.max(order).alias("best")).where("n > 1")
-    winners = staged(winners.select("digest", "n_payload", F.col("best.page_id").alias("refers_page"), F.col("best.record_id").alias("refers_id")), "winners")
+    named = {"refers_page": "page_id", "refers_id": "record_id", "refers_target": "target", "refers_date": "date"}
+    winners = staged(winners.select("digest", "n_payload", *(F.col(f"best.{c}").alias(n) for n, c in named.items())), "winners")
     own = F.col("type").isin("response", "resource")
     joined = records.withColumn("_key", F.when(own, F.col("digest"))).join(winners.withColumnRenamed("digest", "_key").withColumnRenamed("n_payload", "_n"), ["_key"], "left")
     again = F.col("refers_id").isNotNull() & (F.col("refers_id") != F.col("record_id")) & (F.col("n_payload") == F.col("_n"))
-    return joined.withColumn("refers_id", F.when(again, F.col("refers_id"))).withColumn("refers_page", F.when(again, F.col("refers_page"))).drop("_key", "_n")
+    return joined.withColumns({n: F.when(again, F.col(n)) for n in named}).drop("_key", "_n")
 
 
 def warc_record() -> Column:
@@ -259,7 +281,12 @@ def warc_record() -> Column:
         field("WARC-Block-Digest", F.when(~revisit, F.concat(F.lit("sha1:"), "block_digest"))),
         field("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
         field("WARC-Refers-To", F.concat(F.lit("<"), "refers_id", F.lit(">"))),
+        field("WARC-Refers-To-Target-URI", F.col("refers_target")),
+        field("WARC-Refers-To-Date", F.col("refers_date")),
+        field("WARC-Filename", F.col("filename")),
         field("X-Refers-To-Page", F.when(revisit, F.col("refers_page").cast("string"))),
+        field("X-Payload-Length", F.when(revisit, F.col("n_payload").cast("string"))),
+        field("X-ARC-Date", F.col("arc_date")),
         field("Content-Type", F.col("mime")),
         field("Content-Length", F.octet_length(block).cast("string")),
         F.lit("\r\n"),
@@ -294,11 +321,18 @@ def warc_records(stored: bytes) -> Iterator[tuple[dict, bytes]]:
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target string, record_id string, date string"
 
 
+def _left_out(fields: dict, head: bytes) -> int | None:
+    """The length of a revisit's payload."""
+    n = re.search(rb"(?i)\nContent-Length:[ \t]*(\d+)", head)
+    return int(fields["x-payload-length"]) if fields.get("x-payload-length", "").isdigit() else int(n[1]) if n else None
+
+
 def read_warc(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
     """A row per response, resource and revisit record of the WARC files in a folder (READ).
 
-    payload_bytes and payload_digest are those of the full payload, which a revisit leaves out: its length is in the
-    HTTP header it keeps. With check, the digests of payloads that are there are computed anew and must agree.
+    payload_bytes and payload_digest are those of the full payload, which a revisit leaves out: its length is in a field
+    that this writer adds. In revisits of others it is that of the HTTP header they keep, or null if that has none. With
+    check, the digests of payloads that are there are computed anew and must agree.
     """
     names = _names(READ)
 
@@ -311,8 +345,8 @@ def read_warc(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
                     if kind not in ("response", "resource", "revisit"):
                         continue
                     head, payload = split_http(block) or (b"", block)
-                    digest = fields["warc-payload-digest"].rpartition(":")[2]
-                    n = int(re.search(rb"(?i)\r\nContent-Length: *(\d+)", head)[1]) if kind == "revisit" else len(payload)
+                    digest = fields.get("warc-payload-digest", "").rpartition(":")[2] or (None if kind == "revisit" else sha1_base32(payload))
+                    n = _left_out(fields, head or payload) if kind == "revisit" else len(payload)
                     if check and kind != "revisit" and sha1_base32(payload) != digest:
                         raise ValueError(f"payload and digest of {fields['warc-record-id']} differ")
                     page = fields.get("x-refers-to-page")

@@ -89,12 +89,43 @@ def test_arc_by_version(version):
         got = list(warc.arc_records(stored))
         assert [r["block"] for r in got[1:]] == blocks and got[1]["url"] == "http://a/0%20b" and got[0]["url"].startswith("filedesc:")
     row = warc._synthesised(got[1], "f.arc", 1)
-    assert row[2] == "2024-01-31T01:02:03Z" and row[4] == "response" and row[11] == b"x\n" * 5 and row[3] == warc._synthesised(got[1], "f.arc", 1)[3]
-    assert warc._synthesised(got[3], "f.arc", 3)[4] == "resource" and warc._synthesised(got[0], "f.arc", 0)[4] == "warcinfo"
+    field = warc._names(warc.CONVERTED).index
+    assert row[2] == "2024-01-31T01:02:03Z" and row[field("type")] == "response" and row[-1] == b"x\n" * 5 and row[5] == warc._synthesised(got[1], "f.arc", 1)[5]
+    assert warc._synthesised(got[3], "f.arc", 3)[field("type")] == "resource" and warc._synthesised(got[0], "f.arc", 0)[field("type")] == "warcinfo"
     with pytest.raises(ValueError):
         list(warc.arc_records(data[:-4]))
 
 
+def test_archives_of_others(spark, tmp_path):
+    """Chunked and unfinished responses, ftp, bad dates, binary: a record for each, equal ones as revisits with their length."""
+    body = bytes(range(256)) * 3
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + body
+    blocks = [
+        ("http://a/1", "20010230000000", "text/html", chunked),  # no such day
+        ("http://a/2", "not-a-date", "text/html", chunked),
+        ("ftp://b/x y", "2001", "application/octet-stream", body[:-1]),
+        ("ftp://b/z", "20010101", "application/octet-stream", body[:-1]),
+        ("http://c/", "19990101120000", "text/html", b"HTTP/1.0 200 OK\nServer: old\n\nplain"),
+        ("dns:c", "19990101120000", "text/dns", b""),
+    ]
+    data = warc.arc_opening(1, "o.arc", "2001") + b"".join(f"{u} 1.2.3.4 {d} {k} {len(b)}\n".encode() + b + b"\n" for u, d, k, b in blocks)
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "o.arc").write_bytes(data)
+    warc.arc_to_warc(spark, f"file://{tmp_path}/arc", f"file://{tmp_path}/warc")
+    rows = {r.target: r for r in warc.read_warc(spark, f"file://{tmp_path}/warc").collect()}
+    assert len(rows) == 6 and {rows[f"http://a/{i}"].record_type for i in (1, 2)} == {"response", "revisit"}
+    assert {rows[f"http://a/{i}"].payload_bytes for i in (1, 2)} == {768} and {rows[u].payload_bytes for u in ("ftp://b/x%20y", "ftp://b/z")} == {767}
+    assert {rows[u].record_type for u in ("ftp://b/x%20y", "ftp://b/z")} == {"resource", "revisit"}
+    assert rows["http://a/1"].date == rows["http://a/2"].date == warc.NO_DATE and rows["ftp://b/x%20y"].date == "2001-01-01T00:00:00Z"
+    assert rows["http://c/"].payload_bytes == 5 and rows["dns:c"].payload_bytes == 0
+    stored = b"".join(__import__("gzip").decompress(f.read_bytes()) for f in (tmp_path / "warc").glob("*.gz"))
+    found = list(warc.warc_records(stored))
+    info = next(b for f, b in found if f["warc-type"] == "warcinfo")
+    assert b"format: WARC" in info and b"arc-version-block: 1 0 own" in info
+    again = [f for f, _ in found if f["warc-type"] == "revisit"]
+    assert all(f["warc-refers-to-target-uri"] and f["warc-refers-to-date"] for f in again) and {f.get("x-arc-date") for f, _ in found} >= {"20010230000000", "not-a-date"}
+
+
 # --- 5 ---------------------------------------------------------------------------------------------------------------
 
 KEY = b"a key"
