@@ -92,8 +92,8 @@ _BASE = 0x9E3779B97F4A7C15 | 5
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LONG = 256
 _powers: dict[int, np.ndarray] = {}
-#: Texts of about this many bytes are hashed at a time.
-CHUNK = 4 << 20
+#: Texts of about this many bytes are hashed at a time: what a worker holds besides is some tens of times as much.
+CHUNK = 1 << 20
 
 
 def _power(base: int, n: int) -> np.ndarray:
