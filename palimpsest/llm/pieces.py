@@ -82,7 +82,8 @@ class Model:
         line = list(self.go[0].values())
         trie = [dict(x) for x in self.go]
         for at in line:  # grows as it is gone through: by depth
-            for c, to in trie[at].items():
+            own, trie[at] = trie[at], None
+            for c, to in own.items():
                 self.fail[to] = self._step(self.fail[at], c)
                 line.append(to)
             self.out[at] += self.out[self.fail[at]]
@@ -273,28 +274,33 @@ def model(key: str, sent) -> Model:
     return _loaded[key]
 
 
-def encode(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit numbers) of every whole text.
+def encode(docs: DataFrame, model_path: str, back: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit numbers) of every whole text; with back, also text, decoded from
+    the ids.
 
-    Null and empty texts have no ids. Rows that repeat are encoded one by one; other columns are not looked at.
-    The model's file is read on the driver.
+    Null and empty texts have no ids. Rows that repeat are encoded one by one; other columns are not looked at. The
+    model's file is read on the driver.
     """
-
     key, sent = sent_model(docs, model_path)
 
     def run(batches):
         m = model(key, sent)
         for batch in batches:
-            for i, j, data, at in chunks(batch.column(1), 8 << 20):
+            for i, j, data, at in chunks(batch.column(1), 4 << 20):
                 ids = m.encode_chunk(data, at)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+                columns = [batch.column(0).slice(i, j - i), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+                columns += [pa.array(_decoded(m, ids), pa.string())] * back
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "text"][: len(columns)])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary" + ", text string" * back)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+
+def _decoded(m: Model, ids: list[bytes]) -> list[str]:
+    return m.decode_all(np.frombuffer(b"".join(ids), "<u4"), np.cumsum([0, *(len(x) // 4 for x in ids)]))
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """encoded (doc_id, n_tokens, ids) with text, the text that the ids stand for."""
-
     key, sent = sent_model(encoded, model_path)
 
     def run(batches):
@@ -302,15 +308,12 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                blobs = [x or b"" for x in part.column(2).to_pylist()]
-                at = np.cumsum([0, *(len(x) // 4 for x in blobs)])
-                texts = m.decode_all(np.frombuffer(b"".join(blobs), "<u4"), at)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids", "text"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_decoded(m, [x or b"" for x in part.column(2).to_pylist()]), pa.string())], names=["doc_id", "n_tokens", "ids", "text"])
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, text string")
 
 
 def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_crc32, decoded_sha256 of every document, encoded and decoded again."""
-    out = decode(encode(docs, model_path), model_path)
+    out = encode(docs, model_path, back=True)
     return out.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
