@@ -11,7 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Canonical forms whose first surrogates collide, at most, with a key; beyond it another key is derived. They are broadcast.
+from .common import staged
+
+#: Canonical forms whose first surrogates collide are broadcast if they are so many at most, and joined to the texts else.
 EXCEPTIONS = 100_000
 
 TITLES = {"m": ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Signor", "г-н", "Κύριος"), "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Signora", "г-жа", "Κυρία"), "": ("Dr", "Prof")}
@@ -26,11 +28,14 @@ GIVEN = {
     ("greek", "f"): ("Άννα", "Ελένη", "Μαρία", "Σοφία"),
     ("greek", ""): ("Χάρη", "Φώτη"),
 }
-SYLLABLES = {
-    "latin": ("ba", "den", "fo", "gar", "hil", "ka", "lem", "mo", "nar", "pel", "ri", "san", "tor", "ul", "ven", "wi"),
-    "cyrillic": ("ба", "вен", "го", "дар", "зил", "ка", "лем", "мо", "нар", "пел", "ри", "сан", "тор", "ул", "фен", "хи"),
-    "greek": ("βα", "γεν", "δο", "ζαρ", "θιλ", "κα", "λεμ", "μο", "ναρ", "πελ", "ρι", "σαν", "τορ", "ουλ", "φεν", "χι"),
+#: Consonants, vowels and endings of the syllables that family names are made of.
+SOUNDS = {
+    "latin": ("b d f g h k l m n p r s t v w z".split(), "aeiou", ("", "l", "m", "n", "r", "s")),
+    "cyrillic": ("б в г д з к л м н п р с т ф х ш".split(), "аеиоу", ("", "л", "м", "н", "р", "с")),
+    "greek": ("β γ δ ζ θ κ λ μ ν ξ π ρ σ τ φ χ".split(), "αεηιου"[:5], ("", "λ", "μ", "ν", "ρ", "σ")),
 }
+#: First and last letters of scripts without tables of names: a name's letters become others of these (fixed).
+LETTERS = {"han": "一龥", "hangul": "가힣", "hiragana": "あん", "katakana": "アン", "arabic": "اي", "hebrew": "את", "devanagari": "अह", "thai": "กฮ", "armenian": "աֆ", "georgian": "აჰ"}
 ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "àáâãäåæçèéêëìíîïñòóôõöøùúûüý", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ"]
 HEX = "0123456789abcdef"
 _CLASS = {c: a for a in ALPHABETS for c in a}
@@ -39,8 +44,12 @@ _CLASS = {c: a for a in ALPHABETS for c in a}
 # --- keyed permutations ----------------------------------------------------------------------------------------------
 
 
-def _round(key: bytes, tweak: str, i: int, x: int) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{tweak}|{i}|{x}".encode(), key=key, digest_size=32).digest(), "big")
+def _round(key: bytes, tweak: str, i: int, x: int, size: int) -> int:
+    """A keyed number, of so many bits that it is even modulo size."""
+    said = f"{tweak}|{i}|{x:x}".encode()
+    if size < 1 << 128:
+        return int.from_bytes(hashlib.blake2b(said, key=key, digest_size=32).digest(), "big")
+    return int.from_bytes(hashlib.shake_256(key.ljust(64, b"\0") + said).digest(size.bit_length() // 8 + 17), "big")
 
 
 def permuted(key: bytes, tweak: str, value: int, size: int, inside: Callable[[int], bool] = lambda x: True) -> int:
@@ -56,8 +65,8 @@ def permuted(key: bytes, tweak: str, value: int, size: int, inside: Callable[[in
     while True:
         b, a = divmod(value, low)
         for i in range(0, 8, 2):
-            a = (a + _round(key, tweak, i, b)) % low
-            b = (b + _round(key, tweak, i + 1, a)) % high
+            a = (a + _round(key, tweak, i, b, low)) % low
+            b = (b + _round(key, tweak, i + 1, a, high)) % high
         value = b * low + a
         if value < size and inside(value):
             return value
@@ -145,6 +154,19 @@ def _ip_surrogate(key: bytes, canon: str) -> str:
     return str(ipaddress.IPv4Address(permuted(key, "ip", int(own), 2**32, lambda v: ipaddress.IPv4Address(v).is_global == own.is_global)))
 
 
+def _ip6(text: str) -> str | None:
+    try:
+        return str(ipaddress.IPv6Address(text)) if re.search("[0-9]", text) else None  # without figures it may be code
+    except ValueError:
+        return None
+
+
+def _ip6_surrogate(key: bytes, canon: str) -> str:
+    """Of the same kind: the first 16 bits stay, which tell global, local and reserved ones apart."""
+    own = int(ipaddress.IPv6Address(canon))
+    return str(ipaddress.IPv6Address((own >> 112 << 112) + permuted(key, f"ip6|{own >> 112}", own & ((1 << 112) - 1), 1 << 112)))
+
+
 def _iban(text: str) -> str | None:
     t = re.sub(r"\s", "", text)
     return t if len(t) >= 15 and int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1 else None
@@ -162,13 +184,17 @@ def _email_surrogate(key: bytes, canon: str) -> str:
 
 
 def _secret_surrogate(key: bytes, canon: str) -> str:
-    if canon.startswith("AKIA"):
-        return "AKIA" + permuted_string(key, "aws", canon[4:])
+    if head := _PREFIX.match(canon):
+        return head[0] + permuted_string(key, head[0], canon[head.end() :])
     return permuted_string(key, "secret", canon, [HEX] * len(canon) if set(canon) <= set(HEX) else None)
 
 
 def script(text: str) -> str:
-    return "cyrillic" if re.search("[А-я]", text) else "greek" if re.search("[Α-ω]", text) else "latin"
+    if re.search("[А-я]", text):
+        return "cyrillic"
+    if re.search("[Α-ω]", text):
+        return "greek"
+    return next((k for k, (a, b) in LETTERS.items() if any(a <= c <= b for c in text)), "latin")
 
 
 def _name(text: str) -> str | None:
@@ -269,21 +295,31 @@ def _coreferent(text: str, named: list) -> list:
     return out
 
 
-def _name_surrogate(key: bytes, canon: str) -> str:
-    """Of another name of the gender, script and number of parts; the last part is one of 16 ** 16 made-up ones. Initials
-    become initials, particles stay."""
+def _name_surrogate(key: bytes, canon: str, attempt: int = 0) -> str:
+    """Of another name of the gender, script and number of parts, the last part made up; the more attempts before, the
+    longer, so that there is always one that no other name has. Initials become initials, particles stay."""
     gender, _, name = canon.partition("|")
     parts, kind = name.split(), script(name)
-    h = int.from_bytes(hashlib.blake2b(canon.encode(), key=key, digest_size=32).digest(), "big")
-    first = GIVEN[kind, gender]
+    h = int.from_bytes(hashlib.blake2b(canon.encode(), key=key, digest_size=64).digest(), "big")
     out = []
+    if kind in LETTERS:
+        first, last = map(ord, LETTERS[kind])
+        for p in parts:
+            word = ""
+            for c in [*p, *("" if p is not parts[-1] else p[-1] * (attempt // 2))]:
+                h, i = divmod(h, last - first + 1)
+                word += chr(first + i) if first <= ord(c) <= last else c
+            out.append(p if p in PARTICLES else word)
+        return " ".join(out)
+    given = GIVEN[kind, gender]
     for p in parts[:-1]:
-        h, i = divmod(h, len(first))
-        out.append(p if p in PARTICLES else first[i][0] + "." if _initial(p) else first[i])
+        h, i = divmod(h, len(given))
+        out.append(p if p in PARTICLES else given[i][0] + "." if _initial(p) else given[i])
     family = ""
-    for _ in range(16 if len(parts) == 1 else 8):  # a lone name carries all the distinctness
-        h, i = divmod(h, 16)
-        family += SYLLABLES[kind][i]
+    for _ in range((6 if len(parts) == 1 else 5) + attempt // 2):  # a lone name carries all the distinctness
+        for sounds in SOUNDS[kind]:
+            h, i = divmod(h, len(sounds))
+            family += sounds[i]
     return " ".join([*out, family[:1].upper() + family[1:]])
 
 
@@ -319,18 +355,35 @@ _TITLES = re.compile(rf"(?:(?:{_TITLE})(?!\w)\.?{_WS})+")
 _PART = re.compile(rf"{_UP}\.|{_LETTER}+(?:['’]{_UP}{_LETTER}*|-{_LETTER}+)*")
 _NAME = rf"(?:{_INITIALS}|(?:{_PARTICLE}){_WS})*{_CAP}(?!\w)"
 _RUN = re.compile(rf"(?<!\w){_NAME}(?:{_WS}{_NAME})*")
+_CALLED = r"(?i:\b(?:token|password|passwd|secret|api[_-]?key))"
+#: Tokens that their beginnings tell, which stay (fixed).
+_PREFIXES = r"AKIA|ASIA|gh[pousr]_|github_pat_|sk-(?:[a-z]+-)?|xox[abprs]-|glpat-|AIza"
+_PREFIX = re.compile(_PREFIXES)
+_TOKEN = r"(?:AKIA|ASIA)[0-9A-Z]{16}|(?:gh[pousr]_|github_pat_|sk-(?:[a-z]+-)?|xox[abprs]-|glpat-|AIza)[A-Za-z0-9_-]{20,}"
 #: Kinds in the order in which they claim text: pattern (group 1 is the entity), canonical form, surrogate, place.
 KINDS: dict[str, tuple] = {
     "email": (re.compile(r"(?<![\w.%+-])([\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,})(?![\w@])"), str.lower, _email_surrogate, _same_case),
-    "secret": (re.compile(r"(?<![A-Za-z0-9])(AKIA[0-9A-Z]{16})(?![A-Za-z0-9])|(?i:\b(?:token|password|passwd|secret|api[_-]?key)\b[\"']?\s*[=:]\s*[\"']?)([A-Za-z0-9+/_-]{8,})(?![A-Za-z0-9+/_-])"), str, _secret_surrogate, lambda form, new: new),
+    "secret": (
+        re.compile(
+            r"-----BEGIN [A-Z ]*PRIVATE KEY-----\s*([A-Za-z0-9+/=\s]+?)\s*-----END [A-Z ]*PRIVATE KEY-----"
+            rf"|(?<![A-Za-z0-9])({_TOKEN})(?![A-Za-z0-9])"
+            rf"|{_CALLED}\b[\"']?\s*(?:=\s*[\"']?|:\s*[\"'])([A-Za-z0-9+/_-]{{8,}})(?![A-Za-z0-9+/_-])"
+            rf"|{_CALLED}\b[\"']?\s*:\s*(?=[A-Za-z+/_-]*[0-9])([A-Za-z0-9+/_-]{{8,}})(?![A-Za-z0-9+/_-])"
+        ),
+        str,
+        _secret_surrogate,
+        lambda form, new: new,
+    ),
     "iban": (re.compile(r"(?<![A-Za-z0-9])([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"), _iban, _iban_surrogate, lambda form, new: "".join(next(it) if c != " " else c for it in [iter(new)] for c in form)),
     "ip": (re.compile(r"(?<![\d.])(\d{1,3}(?:\.\d{1,3}){3})(?!\.?\d)"), _ip, _ip_surrogate, lambda form, new: new),
-    "phone": (re.compile(r"(?<![\w+])(\+1(?:[ \xa0./-]?\(?\d\)?){10}(?![\w-])|\+\d(?:[ \xa0./-]?\(?\d\)?){6,14}|\(\d{3}\) ?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])"), _phone, _phone_surrogate, lambda form, new: poured(new, form)),
+    "ip6": (re.compile(r"(?<![\w:.])((?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4})(?![\w:.]\w|:)"), _ip6, _ip6_surrogate, lambda form, new: new.upper() if form.isupper() else new),
+    "phone": (re.compile(r"(?<![\w+])(\+1(?:[ \xa0./-]?\(?\d\)?){10}(?![\w-])|\+\d(?:[ \xa0./-]?\(?\d\)?){6,14}|\(\d{3}\) ?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|\(?0\d{2,4}\)?[ /-]\d{3,4}[ -]\d{3,4})(?![\w-])"), _phone, _phone_surrogate, lambda form, new: poured(new, form)),
     "ssn": (re.compile(r"(?<![\w-])(\d{3}-\d{2}-\d{4})(?![\w-])"), _digits, lambda key, d: permuted_string(key, "ssn", d), lambda form, new: poured(new, form)),
     "card": (re.compile(r"(?<![\w.-])(\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])"), _card, _card_surrogate, lambda form, new: poured(new, form)),
     "name": (re.compile(rf"(?<!\w)((?:(?:{_TITLE})\.?{_WS})+{_NAME}(?:{_WS}{_NAME})*)"), _name, _name_surrogate, _name_place),
 }
-_TRIGGER = re.compile(rf"[0-9@]|(?<!\w)(?:{_TITLE})(?!\w)")
+#: What every entity of any kind has in it or just before it.
+_TRIGGER = re.compile(rf"[0-9@]|PRIVATE KEY|{_PREFIXES}|{_CALLED}|(?<!\w)(?:{_TITLE})(?!\w)")
 
 
 def entities(text: str | None) -> list[tuple[int, int, str, str]]:
@@ -353,7 +406,8 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
 
 
 def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
-    return KINDS[kind][2](hashlib.blake2b(f"{kind}|{attempt}".encode(), key=key, digest_size=32).digest(), canon)
+    own = hashlib.blake2b(f"{kind}|{attempt}".encode(), key=key, digest_size=32).digest()
+    return _name_surrogate(own, canon, attempt) if kind == "name" else KINDS[kind][2](own, canon)
 
 
 def replaced(text: str, found: list, key: bytes, exceptions: dict) -> str:
@@ -365,76 +419,94 @@ def replaced(text: str, found: list, key: bytes, exceptions: dict) -> str:
     return "".join([*out, text[at:]])
 
 
-def _collisions(docs: DataFrame, key: bytes, make: Callable[..., str] = surrogate) -> dict | None:
-    """Attempts of canonical forms whose surrogate another form of the kind has too, until all are distinct.
+def settled(known: DataFrame, key: bytes, make: Callable[..., str] = surrogate) -> DataFrame:
+    """kind, canon, attempt of those canonical forms whose first surrogate another form of the kind has too.
 
-    Only names are hashed and can collide; the other kinds are permuted, and are checked all the same. None if there
-    are more than EXCEPTIONS.
+    known: distinct (kind, canon) of all texts. In each round the forms that share a surrogate with one of fewer attempts,
+    or with a smaller one, get their next; all forms are held against one another by a group, so nothing is left alike
+    however many collide. Only names are hashed and can collide; the other kinds are permuted, and are checked all the
+    same. Later surrogates are longer, so the rounds end.
     """
 
-    def detect(batches):
-        for batch in batches:
-            seen = {(kind, canon) for text in batch.column(0) for _, _, kind, canon in entities(text.as_py())}
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.string()), pa.array([c for _, c in seen], pa.string())], names=["kind", "canon"])
-
     def give(batches):
         for batch in batches:
             kinds, canons, attempts = (c.to_pylist() for c in batch.columns)
-            # names are told apart whatever their titles; a lone name and a full one differ in form
             out = [make(key, k, c, n) for k, c, n in zip(kinds, canons, attempts, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=["kind", "canon", "attempt", "made"])
 
-    known = docs.select("text").mapInArrow(detect, "kind string, canon string").distinct()
-    made = known.withColumn("attempt", F.lit(0)).mapInArrow(give, "kind string, canon string, attempt int, made string")
-    from .common import staged
+    given = lambda df: df.mapInArrow(give, "kind string, canon string, attempt int, made string")
+    made = staged(given(known.select("kind", "canon", F.lit(0).alias("attempt"))), "surrogates")
+    while True:
+        shared = made.groupBy("kind", "made").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "canon")).alias("first")).where("n > 1")
+        shared = staged(shared.select("kind", "made", F.col("first.canon").alias("owner")), "shared")
+        if shared.isEmpty():
+            return made.where("attempt > 0").select("kind", "canon", "attempt")
+        judged = made.join(shared, ["kind", "made"], "left").withColumn("loses", F.coalesce(F.col("canon") != F.col("owner"), F.lit(False)))
+        again = judged.where("loses").select("kind", "canon", (F.col("attempt") + 1).cast("int").alias("attempt"))
+        made = staged(judged.where("not loses").select(*made.columns).union(given(again)), "surrogates")
+
 
-    made = staged(made, "surrogates")
-    shared = made.groupBy("kind", "made").agg(F.count("*").alias("n"), F.min("canon").alias("first")).where("n > 1")
-    losers = made.join(shared, ["kind", "made"]).where("canon <> first").select("kind", "canon").limit(EXCEPTIONS + 1).collect()
-    if len(losers) > EXCEPTIONS:
-        return None
-    out: dict = {}
-    for r in sorted(losers):  # so few that each is tried against all by a look-up in Spark
-        for attempt in range(1, 64):
-            new = make(key, r["kind"], r["canon"], attempt)
-            if new not in {make(key, k, c, a) for (k, c), a in out.items() if k == r["kind"]} and made.where((F.col("kind") == r["kind"]) & (F.col("made") == new)).isEmpty():
-                out[r["kind"], r["canon"]] = attempt
-                break
-    return out
+def _detected(docs: DataFrame) -> DataFrame:
+    def detect(batches):
+        for batch in batches:
+            seen = {(kind, canon) for text in batch.column(0) for _, _, kind, canon in entities(text.as_py())}
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.string()), pa.array([c for _, c in seen], pa.string())], names=["kind", "canon"])
+
+    return docs.select("text").mapInArrow(detect, "kind string, canon string").distinct()
+
+
+def _joined(docs: DataFrame, exceptions: DataFrame, column: str) -> DataFrame:
+    """docs with a column of the exceptions (kind, canon, attempt) that occur in the text: the way for any number of them."""
+
+    def detect(batches):
+        for batch in batches:
+            found = [(sha, *x) for sha, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for x in {(k, c) for _, _, k, c in entities(text.as_py())}]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.string()) for i in range(3)], names=["sha", "kind", "canon"])
+
+    sha = F.sha2(F.col("text").cast("binary"), 256)
+    has = docs.select(sha.alias("sha"), "text").mapInArrow(detect, "sha string, kind string, canon string").join(exceptions, ["kind", "canon"])
+    has = staged(has.groupBy("sha").agg(F.collect_set(F.struct("kind", "canon", "attempt")).alias(column)), "excepted")
+    return docs.withColumn(f"{column}_sha", sha).join(has.withColumnRenamed("sha", f"{column}_sha"), f"{column}_sha", "left").select(*docs.columns, column)
 
 
 def surrogates(docs: DataFrame, key: bytes, prefix: str = "") -> DataFrame:
     """docs with the text's entities replaced, and (prefix)n_entities and (prefix)kinds (of the entities, in order).
 
-    Kinds: KINDS. One canonical form (an address in lower case, the digits of a number, a person's fullest titled name in the text) has
-    one surrogate in all documents, and two of a kind have different ones: most are images under a keyed permutation of
-    all values of the same format, and hashed ones (names) are checked against all others first. Texts without entities
+    Kinds: KINDS. One canonical form (an address in lower case, the digits of a number, a person's fullest titled name in
+    the text) has one surrogate in all documents, and two of a kind have different ones: most are images under a keyed
+    permutation of all values of the same format, and hashed ones (names) are checked against all others first, in
+    Spark. Who has the key can undo the permutations, so it is the caller's to choose and keep. Texts without entities
     stay as they are, null ones too. Other columns stay.
     """
-    spark, columns = docs.sparkSession, docs.columns
-    tries = 0
-    while (exceptions := _collisions(docs, key)) is None:
-        tries += 1
-        key = hashlib.blake2b(f"again {tries}".encode(), key=key[:64], digest_size=32).digest()
-    sent = spark.sparkContext.broadcast((key, exceptions))
+    if not key:
+        raise ValueError("surrogates need a key")
+    key = key if len(key) <= 64 else hashlib.blake2b(key).digest()
+    columns, own = docs.columns, f"{prefix}_exceptions"
+    exceptions = staged(settled(_detected(docs), key), "exceptions")
+    few = exceptions.limit(EXCEPTIONS + 1).toArrow().to_pylist()
+    joined = len(few) > EXCEPTIONS
+    sent = docs.sparkSession.sparkContext.broadcast((key, {} if joined else {(r["kind"], r["canon"]): r["attempt"] for r in few}))
+    docs = _joined(docs, exceptions, own) if joined else docs
     at = columns.index("text")
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", {prefix}n_entities int, {prefix}kinds array<string>"
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns) + f", {prefix}n_entities int, {prefix}kinds array<string>"
 
     def run(batches):
         key, exceptions = sent.value
         for batch in batches:
             texts, kinds, changed = batch.column(at), [], False
+            several = batch.column(len(columns)).to_pylist() if joined else None
             new = []
-            for x in texts:
+            for i, x in enumerate(texts):
                 text = x.as_py()
                 found = entities(text)
                 kinds.append([k for _, _, k, _ in found])
                 if found:
-                    changed, text = True, replaced(text, found, key, exceptions)
+                    changed = True
+                    text = replaced(text, found, key, {(r["kind"], r["canon"]): r["attempt"] for r in several[i] or ()} if joined else exceptions)
                 new.append(text)
-            arrays = list(batch.columns)
+            arrays = list(batch.columns)[: len(columns)]
             if changed:
                 arrays[at] = pa.array(new, texts.type)
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array([len(k) for k in kinds], pa.int32()), pa.array(kinds, pa.list_(pa.string()))], names=[*batch.schema.names, f"{prefix}n_entities", f"{prefix}kinds"])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([len(k) for k in kinds], pa.int32()), pa.array(kinds, pa.list_(pa.string()))], names=[*columns, f"{prefix}n_entities", f"{prefix}kinds"])
 
     return docs.mapInArrow(run, ddl)

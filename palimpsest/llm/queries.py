@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import functions as F
 
 from .common import table
@@ -14,8 +16,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-#: Keys the surrogates; a user gives their own.
-SURROGATE_KEY = b"surrogates of the corpus"
+def surrogate_key(spark) -> bytes:
+    """The key of the surrogates: that in spark.palimpsest.surrogate.key, or a random one that this session keeps."""
+    sc = spark.sparkContext
+    if not (own := spark.conf.get("spark.palimpsest.surrogate.key", "")):
+        own = sc._surrogate_key = getattr(sc, "_surrogate_key", None) or secrets.token_hex(32)
+    return own.encode()
 
 
 def op1_sentencepiece(spark, sf_dir, model_path=None):
@@ -93,11 +99,11 @@ def op2_arc_to_warc(spark, sf_dir):
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-def op5_pii_surrogates(spark, sf_dir, key=SURROGATE_KEY):
+def op5_pii_surrogates(spark, sf_dir, key=None):
     """doc_id, text (with surrogates), n_entities and kinds per row of documents; texts without entities are as they were."""
     from .pii import surrogates
 
-    return surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
+    return surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), key or surrogate_key(spark))
 
 
 def op6_substring_dedup(spark, sf_dir):

@@ -64,6 +64,20 @@ def test_line_dedup_of_rows_that_repeat_an_id(spark):
     assert out == [(1, 2, 0, "only in B\nsecond B"), (1, 2, 1, "keepA0"), (1, 2, 1, "x"), (2, 1, 1, ""), (3, 1, 0, often)]
 
 
+def test_pii(spark):
+    out = {(r.doc_id, r.text): r for r in pii.surrogates(documents(spark).select("doc_id", "text", "kinds", "score"), b"k", "made_").collect()}
+    assert out[1, None].made_n_entities == 0 and out[2, ""].made_n_entities == 0 and out[4, SAME].made_kinds == [] and out[4, SAME].kinds == "own kinds"
+    long = next(r for r in out.values() if r.doc_id == 7)
+    assert long.made_n_entities == 20_000 and len(long.text) == len(LONG) and not set(long.text.split()[1::2]) & set(LONG.split()[1::2]) and long.text.split()[::2] == LONG.split()[::2]
+    with pytest.raises(ValueError):
+        pii.surrogates(documents(spark), b"")
+
+
+def test_pieces(spark):
+    out = {r.doc_id: r for r in OPERATORS["pieces"](documents(spark)).collect()}
+    assert (out[1].n_tokens, out[1].text, out[2].text, out[3].text, out[7].text) == (0, "", "", " \t\n", LONG) and out[7].n_tokens > 40_000
+
+
 def test_exact_dedup(spark):
     out = exact_dedup.exact_dedup(documents(spark)).collect()
     same = [r for r in out if r.doc_id in (4, 5, None)]
