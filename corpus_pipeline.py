@@ -14,7 +14,7 @@ from palimpsest.llm.exact_dedup import exact_dedup
 from palimpsest.llm.near_dup import ngram_jaccard_classes
 from palimpsest.llm.packing import best_fit_packing
 from palimpsest.llm.pii import surrogates
-from palimpsest.llm.queries import SURROGATE_KEY, vocabulary
+from palimpsest.llm.queries import surrogate_key, vocabulary
 from palimpsest.llm.toxicity import fit, score_texts
 
 #: A document with a toxicity score of this or more goes.
@@ -63,7 +63,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Entities get surrogates; n_chars follows the text where it changed."""
-    made = surrogates(docs, SURROGATE_KEY, prefix="_pii_")
+    made = surrogates(docs, surrogate_key(spark), prefix="_pii_")
     n = F.when(F.col("_pii_n_entities") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return made.withColumn("n_chars", n).select(*docs.columns)
 
