@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLANKS, staged
@@ -81,7 +81,7 @@ def exact_dedup(docs: DataFrame, carry: tuple = ()) -> DataFrame:
     winners = settle(rows.join(F.broadcast(suspects), "digest", "left_semi"))  # COUNTERS rows at most
     winners = staged(winners, "winners")
     light = rows.join(F.broadcast(winners), "digest", "left_anti")
-    light = light.withColumn("group_size", F.count("*").over(w := Window.partitionBy("digest"))).withColumn("best", F.max(better).over(w))
+    light = light.join(settle(light), "digest")  # summed before the shuffle; the join splits a digest that is still long
     heavy = rows.join(F.broadcast(winners), "digest")
     both = heavy.select(*light.columns).union(light)
     keep = F.bitwise_not("best.turned")
