@@ -98,9 +98,9 @@ def singular(name: Column) -> Column:
 def plural(word: Column) -> Column:
     low = F.lower(word)
     return (
-        F.when(low.endswith("s") & ~low.endswith("ss"), word)
+        F.when(low.endswith("s"), word)  # taken for a plural
         .when(low.rlike("[^aeiou]y$"), F.concat(F.left(word, F.length(word) - 1), F.lit("ies")))
-        .when(low.rlike("(ss|x|z|ch|sh)$"), F.concat(word, F.lit("es")))
+        .when(low.rlike("(x|z|ch|sh)$"), F.concat(word, F.lit("es")))
         .otherwise(F.concat(word, F.lit("s")))
     )
 

@@ -176,6 +176,11 @@ def wired(tokens: DataFrame, paths: DataFrame) -> DataFrame:
     return tokens.join(paths.select("path", "category").distinct(), "path", "left").select("doc_id", "path", "category", entity.alias("entity"))
 
 
+def flattened(by_root: Column, order: list[str]) -> Column:
+    """One data source of a map from roots to data sources: that of the first root in order which has one, else empty."""
+    return F.coalesce(*(F.nullif(F.try_element_at(by_root, F.lit(r)), F.lit("")) for r in order), F.lit(""))
+
+
 def kept_or(resolved: Column, given: Column) -> Column:
     """A data source set by hand stays; an empty or UNRESOLVED: one is replaced."""
     return F.when(F.coalesce(given, F.lit("")).rlike(r"^(|UNRESOLVED:.*)$"), resolved).otherwise(given)

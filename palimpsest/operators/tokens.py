@@ -18,6 +18,16 @@ def plain_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", " "), r"<[^>]+>", " "))
 
 
+def headings(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key, heading: the text of every heading (h1 to h6, with attributes or not) that holds text alone, in order."""
+    return pages.select(key, F.explode(F.regexp_extract_all(html, F.lit(r"(?i)<h[1-6](?:\s[^>]*)?>([^<]*)</h[1-6]>"), 1)).alias("heading"))
+
+
+def tag_count(html: Column, tag: str) -> Column:
+    """How many elements of a tag HTML opens."""
+    return F.regexp_count(html, F.lit(rf"<{tag}[ >]"))
+
+
 def all_of(text: Column, pattern: str, groups: list[int]) -> Column:
     """Matches in order, as structs of their groups g1, g2, ..."""
     found = [F.regexp_extract_all(text, F.lit(pattern), g) for g in groups]
@@ -39,38 +49,47 @@ def fields(docs: DataFrame) -> DataFrame:
 
 
 def conditional_tokens(docs: DataFrame) -> DataFrame:
-    """[[...]] blocks: doc_id, id (counting all occurrences from 1), name (null if it isn't one bare $name), text, n.
+    """Outermost [[...]] blocks: doc_id, id (counting all blocks from 1), name (null if it isn't one bare $name), text, n.
 
-    Repeats are one block, with the id of the first.
+    Repeats are one block, with the id of the first, so ids may skip. A block without a name is one to be rejected.
     """
-    inner = F.regexp_extract_all("text", F.lit(r"\[\[([^\[\]]*)\]\]"), 1)
-    found = docs.select("doc_id", F.posexplode(inner).alias("pos", "inner"))
-    name = F.nullif(F.regexp_extract(F.trim("inner"), r"^\$([A-Za-z_]\w*)$", 1), F.lit(""))
-    found = found.select("doc_id", (F.col("pos") + 1).alias("id"), name.alias("name"), F.trim("inner").alias("text"))
+    found = bracket_blocks(docs)
+    name = F.nullif(F.regexp_extract(F.trim("text"), r"^\$([A-Za-z_]\w*)$", 1), F.lit(""))
+    found = found.select("doc_id", (F.col("ord") + 1).alias("id"), name.alias("name"), F.trim("text").alias("text"))
     return found.groupBy("doc_id", "name", F.when(F.col("name").isNull(), F.col("text")).alias("text")).agg(F.min("id").alias("id"), F.count("*").alias("n")).select("doc_id", "id", "name", "text", "n")
 
 
-def bracket_blocks(docs: DataFrame) -> DataFrame:
-    """Outermost [[...]] blocks, which may hold others: doc_id, ord, text. An opener that is not closed is skipped.
+def block_spans(text: Column) -> Column:
+    """Where the outermost [[...]] blocks of a text begin and end, without their brackets: an array of (start, end), from 0.
 
-    A running depth over the markers of a text tells where it returns to nothing, so nesting needs no recursion.
+    An opener that is not closed is skipped, and what follows it counts; so does a closer without an opener. Open ones wait
+    on a stack while the marks are gone through, and a block that closes takes the place of those within it.
     """
-    marks = F.regexp_extract_all("text", F.lit(r"(?s)(.*?)(\[\[|\]\]|$)"), 2)
-    before = F.regexp_extract_all("text", F.lit(r"(?s)(.*?)(\[\[|\]\]|$)"), 1)
-    parts = docs.select("doc_id", F.arrays_zip(before.alias("text"), marks.alias("mark")).alias("parts"))
-    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("open"), F.array().cast("array<string>").alias("done"))
+    pattern = F.lit(r"(?s)(.*?)(\[\[|\]\]|$)")
+    parts = F.transform(
+        F.arrays_zip(F.regexp_extract_all(text, pattern, 1).alias("text"), F.regexp_extract_all(text, pattern, 2).alias("mark")), lambda p: F.struct(F.length(p["text"]).alias("n"), p["mark"].alias("mark"))
+    )
+    span = "array<struct<start:int,end:int>>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("open"), F.array().cast(span).alias("done"))
 
     def step(s: Column, p: Column) -> Column:
-        opens, closes = p["mark"] == "[[", p["mark"] == "]]"
-        inside = F.when(s["depth"] > 0, F.concat(s["open"], p["text"])).otherwise(F.lit(""))
-        ends = closes & (s["depth"] == 1)
-        depth = F.when(opens, s["depth"] + 1).when(closes & (s["depth"] > 0), s["depth"] - 1).otherwise(s["depth"])
-        open_ = F.when(ends, F.lit("")).when(opens & (s["depth"] > 0), F.concat(inside, F.lit("[["))).when(closes & (s["depth"] > 1), F.concat(inside, F.lit("]]"))).otherwise(inside)
-        done = F.when(ends, F.concat(s["done"], F.array(inside))).otherwise(s["done"])
-        return F.struct(depth.alias("depth"), open_.alias("open"), done.alias("done"))
+        begins = s["at"] + p["n"]
+        after = (begins + F.length(p["mark"])).alias("at")
+        last = F.element_at(s["open"], -1)
+        closed = F.concat(F.filter(s["done"], lambda d: d["start"] < last), F.array(F.struct(last.alias("start"), begins.alias("end"))))
+        return (
+            F.when(p["mark"] == "[[", F.struct(after, F.concat(s["open"], F.array(begins + 2)).alias("open"), s["done"].alias("done")))
+            .when((p["mark"] == "]]") & (F.size(s["open"]) > 0), F.struct(after, F.slice(s["open"], F.lit(1), F.size(s["open"]) - 1).alias("open"), closed.alias("done")))
+            .otherwise(F.struct(after, s["open"].alias("open"), s["done"].alias("done")))
+        )
 
-    out = parts.select("doc_id", F.aggregate("parts", start, step)["done"].alias("done"))
-    return out.select("doc_id", F.posexplode("done").alias("ord", "text"))
+    return F.aggregate(parts, start, step)["done"]
+
+
+def bracket_blocks(docs: DataFrame) -> DataFrame:
+    """Outermost [[...]] blocks, which may hold others: doc_id, ord, text, start and end (see block_spans)."""
+    out = docs.select("doc_id", "text", F.posexplode(block_spans(F.col("text"))).alias("ord", "s"))
+    return out.select("doc_id", "ord", F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("text"), "s.start", "s.end")
 
 
 def marked_parts(docs: DataFrame, pattern: str) -> DataFrame:
@@ -85,57 +104,88 @@ def marked_parts(docs: DataFrame, pattern: str) -> DataFrame:
     return both.select("doc_id", "pos", at.alias("at"), "token")
 
 
+_ANY_MARKER = MARKER.replace("(/?)([A-Za-z_]\\w*)([/?]?)", "/?[A-Za-z_]\\w*[/?]?")
+
+
+def loop_marks(docs: DataFrame) -> DataFrame:
+    """Markers in order: doc_id, pos, at, after, name, kind (loop, region, close, plain or malformed)."""
+    mark = F.regexp_extract("token", r"([/?]?)\]$", 1)
+    closes = F.col("token").startswith("[/")
+    kind = F.when(closes & (mark != ""), "malformed").when(closes, "close").when(mark == "/", "loop").when(mark == "?", "region").otherwise("plain")
+    return marked_parts(docs, _ANY_MARKER).select("doc_id", "pos", "at", (F.col("at") + F.length("token")).alias("after"), F.regexp_extract("token", r"([A-Za-z_]\w*)", 1).alias("name"), kind.alias("kind"))
+
+
 def loop_spans(docs: DataFrame) -> DataFrame:
-    """Loops and regions: doc_id, name, kind (loop or region), start, end (null if not closed).
+    """Loops and regions: doc_id, name, kind (loop or region), start, end (null if not closed, or opened anew before).
 
     [Name/] or [Name?] is closed by the next [/Name].
     """
-    marks = marked_parts(docs, MARKER.replace("(/?)([A-Za-z_]\\w*)([/?]?)", "/?[A-Za-z_]\\w*[/?]?"))
-    closes = F.col("token").startswith("[/")
-    end = F.regexp_extract("token", r"([/?])\]$", 1)
-    marks = marks.select("doc_id", "pos", "at", F.regexp_extract("token", r"([A-Za-z_]\w*)", 1).alias("name"), closes.alias("closes"), F.when(end == "/", "loop").when(end == "?", "region").alias("kind"), (F.col("at") + F.length("token")).alias("after"))
-    marks = marks.where("closes or kind is not null")
+    marks = loop_marks(docs).where("kind in ('loop', 'region', 'close')")
     w = Window.partitionBy("doc_id", "name").orderBy("pos")
-    nexts = marks.withColumn("next_closes", F.lead("closes").over(w)).withColumn("next_at", F.lead("at").over(w)).withColumn("before_closes", F.lag("closes").over(w))
-    opened = nexts.where(~F.col("closes"))
-    return opened.select("doc_id", "name", "kind", F.col("after").alias("start"), F.when(F.col("next_closes"), F.col("next_at")).alias("end"))
+    nexts = marks.withColumn("next_kind", F.lead("kind").over(w)).withColumn("next_at", F.lead("at").over(w))
+    return nexts.where("kind <> 'close'").select("doc_id", "name", "kind", F.col("after").alias("start"), F.when(F.col("next_kind") == "close", F.col("next_at")).alias("end"))
 
 
 def marker_warnings(docs: DataFrame) -> DataFrame:
-    """doc_id, name, warning: openers without a closer, closers without an opener, and old-style [Name] with one."""
-    simple = MARKER.replace("(/?)([A-Za-z_]\\w*)([/?]?)", "/?[A-Za-z_]\\w*[/?]?")
-    marks = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(f"({simple})"), 1)).alias("token"))
-    kind = F.when(F.col("token").startswith("[/"), "close").when(F.col("token").rlike(r"[/?]\]$"), "open").otherwise("old")
-    counts = marks.groupBy("doc_id", F.regexp_extract("token", r"([A-Za-z_]\w*)", 1).alias("name")).agg(*(F.count_if(kind == k).alias(k) for k in ("open", "close", "old")))
-    warning = F.when(F.col("open") > F.col("close"), "not closed").when((F.col("old") > 0) & (F.col("close") > 0), "old style").when(F.col("close") > F.col("open"), "closes nothing")
-    return counts.select("doc_id", "name", warning.alias("warning")).where("warning is not null")
+    """doc_id, name, warning, at: what is wrong with markers, by their place.
+
+    not closed, reopened (the earlier opener is ignored), closes nothing, old style (a closer whose opener is a plain
+    [Name]), malformed ([/Name?] and [/Name/]), and block in a loop ([[...]] within [Name/], which is alike for all
+    elements). Markers of a name tell each other apart by windows: an opener waits if the last opener or closer before a
+    mark is one; a plain [Name] waits from the last closer that closed nothing on.
+    """
+    marks = loop_marks(docs)
+    w = Window.partitionBy("doc_id", "name").orderBy("pos")
+    strict = F.when(F.col("kind").isin("loop", "region"), "open").when(F.col("kind") == "close", "close")
+    m = marks.withColumn("strict", strict)
+    m = m.withColumn("before", F.last("strict", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("next", F.first("strict", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    m = m.withColumn("alone", (F.col("strict") == "close") & ~F.col("before").eqNullSafe(F.lit("open")))
+    m = m.withColumn("turn", F.sum(F.coalesce(F.col("alone"), F.lit(False)).cast("int")).over(w) - F.coalesce(F.col("alone"), F.lit(False)).cast("int"))
+    v = Window.partitionBy("doc_id", "name", "turn").orderBy("pos")
+    m = m.withColumn("old", F.coalesce(F.bool_or(F.col("kind") == "plain").over(v), F.lit(False)))
+    opens = F.col("strict") == "open"
+    warning = (
+        F.when(F.col("kind") == "malformed", "malformed").when(opens & (F.col("next") == "open"), "reopened").when(opens & F.col("next").isNull(), "not closed")
+        .when(F.col("alone") & F.col("old"), "old style").when(F.col("alone"), "closes nothing")
+    )
+    own = m.select("doc_id", "name", warning.alias("warning"), "at").where("warning is not null")
+    held = _span_lists(docs, "loop").join(bracket_blocks(docs).select("doc_id", "start"), "doc_id")
+    inside = held.select("doc_id", F.explode(F.filter("spans", lambda s: (s["start"] <= F.col("start")) & (F.col("start") < s["end"]))).alias("s"))
+    return own.union(inside.select("doc_id", "s.name", F.lit("block in a loop"), F.col("s.start")).distinct())
+
+
+def _span_lists(docs: DataFrame, kind: str) -> DataFrame:
+    """doc_id, spans: a document's closed loops or regions as one array of (end, start, name), by end."""
+    spans = loop_spans(docs).where((F.col("kind") == kind) & F.col("end").isNotNull())
+    return spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("end", "start", "name"))).alias("spans"))
 
 
 def loop_membership(docs: DataFrame) -> DataFrame:
-    """doc_id, name, loop: the innermost loop that all of a field's occurrences are in, null if there is none such."""
-    tokens = marked_parts(docs, r"\{[$+*]?[a-zA-Z_][a-zA-Z0-9_.]*\}").select("doc_id", "pos", "at", F.regexp_extract("token", FIELD, 2).alias("name"))
-    spans = loop_spans(docs).where("kind = 'loop' and end is not null").select("doc_id", F.col("name").alias("loop"), "start", "end")
-    inside = tokens.join(spans, "doc_id").where("at >= start and at < end").groupBy("doc_id", "pos").agg(F.max_by("loop", "start").alias("loop"))
-    placed = tokens.join(inside, ["doc_id", "pos"], "left").select("doc_id", "name", F.coalesce("loop", F.lit("")).alias("loop"))
-    out = placed.groupBy("doc_id", "name").agg(F.collect_set("loop").alias("loops"))
-    return out.select("doc_id", "name", F.nullif(F.when(F.size("loops") == 1, F.get("loops", F.lit(0))), F.lit("")).alias("loop"))
+    """doc_id, name, loop: the loop that has all of a field's occurrences, the first that closes of several; else null.
+
+    First and last occurrence tell, so a document's loops meet a row for each field, not one for each occurrence.
+    """
+    tokens = marked_parts(docs, r"\{[$+*]?[a-zA-Z_][a-zA-Z0-9_.]*\}").select("doc_id", "at", F.regexp_extract("token", FIELD, 2).alias("name"))
+    ends = tokens.groupBy("doc_id", "name").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    around = F.filter("spans", lambda s: (s["start"] <= F.col("first")) & (F.col("last") < s["end"]))
+    return ends.join(_span_lists(docs, "loop"), "doc_id", "left").select("doc_id", "name", F.get(around, F.lit(0))["name"].alias("loop"))
 
 
 def regions(docs: DataFrame, coverages: DataFrame) -> DataFrame:
-    """Regions with their class: doc_id, name, class. coverages: name, exposure.
+    """Regions with their class: doc_id, name, class, loop. coverages: name, exposure.
 
-    In a loop of the coverage's own exposure it is the element's; elsewhere a coverage's presence in the document; a
-    name that is no coverage is a value, of the element within a loop, else of the document.
+    In a loop of the coverage's own exposure it is the element's; elsewhere in a loop a value of the element; outside of
+    loops a coverage's presence in the document, or else a value of the document. A coverage of several exposures is that
+    of the least.
     """
-    spans = loop_spans(docs).where("end is not null")
-    own = spans.where("kind = 'region'").select("doc_id", "name", "start")
-    loops = spans.where("kind = 'loop'").select("doc_id", F.col("name").alias("loop"), F.col("start").alias("s"), F.col("end").alias("e"))
-    around = own.join(loops, (own.doc_id == loops.doc_id) & (F.col("start") >= F.col("s")) & (F.col("start") < F.col("e")), "left")
-    inner = around.groupBy(own.doc_id, "name", "start").agg(F.max_by("loop", "s").alias("loop"))
-    known = coverages.groupBy(F.lower("name").alias("low")).agg(F.min("exposure").alias("exposure"))
-    out = inner.join(known, F.lower("name") == F.col("low"), "left")
+    own = loop_spans(docs).where("kind = 'region' and end is not null").select("doc_id", "name", "start", F.col("end").alias("stop"))
+    # of the loops around a region the innermost: the one that begins last
+    around = F.filter("spans", lambda s: (s["start"] <= F.col("start")) & (F.col("stop") <= s["end"]))
+    inner = F.array_max(F.transform(around, lambda s: F.struct(s["start"].alias("start"), s["name"].alias("name"))))["name"]
+    placed = own.join(_span_lists(docs, "loop"), "doc_id", "left").select("doc_id", "name", inner.alias("loop"))
+    out = placed.join(coverages.groupBy("name").agg(F.min("exposure").alias("exposure")), "name", "left")
     kind = (
-        F.when(F.col("loop").isNotNull() & F.col("exposure").isNotNull(), "element_coverage")
+        F.when(F.col("loop").isNotNull() & F.col("exposure").eqNullSafe(F.col("loop")), "element_coverage")
         .when(F.col("loop").isNotNull(), "element_value")
         .when(F.col("exposure").isNotNull(), "presence")
         .otherwise("document_value")
@@ -149,10 +199,9 @@ def open_references(docs: DataFrame) -> DataFrame:
 
 
 def delegated(docs: DataFrame) -> DataFrame:
-    """doc_id, token, delegated: whether all occurrences of an open reference are within [[...]] blocks."""
+    """doc_id, token, delegated: whether all occurrences of an open reference are within [[...]] blocks, however deep."""
     whole = open_references(docs).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
-    inner = F.flatten(F.transform(F.regexp_extract_all("text", F.lit(r"\[\[([^\[\]]*)\]\]"), 1), lambda b: F.regexp_extract_all(b, F.lit(f"({OPEN_TOKEN})"), 1)))
-    within = docs.select("doc_id", F.explode(inner).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("m"))
+    within = open_references(bracket_blocks(docs)).groupBy("doc_id", "token").agg(F.count("*").alias("m"))
     return whole.join(within, ["doc_id", "token"], "left").select("doc_id", "token", (F.col("n") == F.coalesce("m", F.lit(0))).alias("delegated"))
 
 

@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import conditions as C
 from ..operators import graph, nested, reports, resolve, templates, tokens, variants
 from ..sources import config_tree, documents, sinks
+from . import derived
 from .records import charges, items, policies, records, table
 
 QUERIES: dict = {}
@@ -121,14 +122,16 @@ query("variant_nested_label", f"SELECT o_orderkey AS locator, CASE WHEN priority
 )
 query("variant_interpolated_null", f"SELECT o_orderkey AS locator, 'p=' || coalesce(priority, '') AS value FROM {_ORDERS}")(_variants([("v", "", "p={policy.priority}")], "v"))
 
-_SHEET = [("a", 1, "x == 1", "one"), ("a", 2, "", "other"), ("b", 3, "x == 1", ""), ("c", 4, "x == 1", "t"), ("c", 5, "x == 2", "u"), ("d", 6, "", "p"), ("d", 7, "*", "q"), ("e", 8, "else", "only")]
+_SHEET = """SELECT 'k' || CAST(o_custkey AS STRING) AS key, CAST(o_orderkey AS INT) AS ord, CASE o_orderkey % 6 WHEN 0 THEN '' WHEN 1 THEN ' Else ' ELSE 'policy.amount > ' || CAST(o_orderkey % 50 AS STRING) END AS "when", CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE o_orderpriority END AS "text" FROM orders"""
 
 
-@query("rule_checks", """SELECT key, count(*) AS n_rows, count(*) FILTER (WHERE NOT d) AS n_conditions, count(*) FILTER (WHERE d) AS n_defaults, arg_max("text", ord) FILTER (WHERE d) AS default_text,
+@query("rule_checks", f"""SELECT key, count(*) AS n_rows, count(*) FILTER (WHERE NOT d) AS n_conditions, count(*) FILTER (WHERE d) AS n_defaults, arg_max("text", ord) FILTER (WHERE d) AS default_text,
  CASE WHEN count(*) FILTER (WHERE d) > 1 THEN 'several defaults' WHEN count(*) FILTER (WHERE NOT d) > 1 AND count(*) FILTER (WHERE d) = 0 THEN 'no default' ELSE '' END AS error
- FROM (SELECT *, lower(trim("when")) IN ('', '*', 'else', 'default') AS d FROM """ + values(_SHEET, 'key, ord, "when", "text"') + ") GROUP BY key")
+ FROM (SELECT *, lower(trim("when")) IN ('', '*', 'else', 'default') AS d FROM ({_SHEET})) GROUP BY key""")
 def rule_checks(spark, sf_dir):
-    return variants.checks(spark.createDataFrame(_SHEET, "key string, ord int, when string, text string")).withColumn("error", F.array_join("errors", "; ")).drop("errors")
+    table(spark, sf_dir, "orders").createOrReplaceTempView("_sheet_orders")
+    sheet = spark.sql(_SHEET.replace('"', "`").replace("FROM orders", "FROM _sheet_orders"))
+    return variants.checks(sheet).withColumn("error", F.array_join("errors", "; ")).drop("errors")
 
 
 _GRAPHS = [("a,b", ["a>b", "b>"], ""), ("loop", ["a>b", "b>c", "c>a"], "a b c a"), ("self", ["a>a"], "a a"), ("missing", ["a>z"], "")]
@@ -266,211 +269,225 @@ def constants(spark, sf_dir):
     return policies(spark, sf_dir).select("locator", F.date_format(F.lit("2024-01-31").cast("date"), "MM/dd/yyyy").alias("today"), F.lit("Orders").alias("product"))
 
 
-@query("root_flattening", "SELECT name, coalesce(segment, quote) AS data_source FROM " + values([("a", "$q.a", None), ("b", "$q.b", "$s.b")], "name, quote, segment"))
+@query("root_flattening", "SELECT o_orderkey AS locator, CASE WHEN o_orderkey % 3 <> 0 THEN '$s.' || o_custkey WHEN o_orderkey % 2 = 0 THEN '$q.' || o_custkey ELSE '' END AS data_source, CASE WHEN o_orderkey % 2 = 0 THEN '$q.' || o_custkey ELSE '' END AS in_primary FROM orders")
 def flattened(spark, sf_dir):
-    df = spark.createDataFrame([("a", {"quote": "$q.a"}), ("b", {"quote": "$q.b", "segment": "$s.b"})], "name string, by_root map<string,string>")
-    return df.select("name", F.coalesce(F.try_element_at("by_root", F.lit("segment")), F.try_element_at("by_root", F.lit("quote"))).alias("data_source"))
+    o = table(spark, sf_dir, "orders")
+    by_root = F.map_concat(
+        F.when(F.col("o_orderkey") % 2 == 0, F.create_map(F.lit("quote"), F.concat(F.lit("$q."), "o_custkey"))).otherwise(F.create_map().cast("map<string,string>")),
+        F.when(F.col("o_orderkey") % 3 != 0, F.create_map(F.lit("segment"), F.concat(F.lit("$s."), "o_custkey"))).otherwise(F.create_map().cast("map<string,string>")),
+    )
+    return o.select(F.col("o_orderkey").alias("locator"), resolve.flattened(by_root, ["segment", "quote"]).alias("data_source"), resolve.flattened(by_root, ["quote"]).alias("in_primary"))
 
 
 # --- catalogue -----------------------------------------------------------------------------------------------------
 
-CONFIG = [
-    ("products/Multi/config.json", '{"displayName":"Multi","contents":["Vehicle+","Driver*","Home"],"charges":["Levy"],"data":{"term":{"type":"int","displayName":"Term"},"state":{"type":"string","options":["CA","NY"]}}}'),
-    ("exposures/Vehicle/config.json", '{"displayName":"Vehicle","contents":["Collision!","MedPay?"],"data":{"make":{"type":"string"},"drivers":{"type":"Driver+"}}}'),
-    ("exposures/Driver/config.json", '{"displayName":"Driver","data":{"license":{"type":"string?"}}}'),
-    ("exposures/Home/config.json", '{"data":{"address":{"type":"Address"}}}'),
-    ("coverages/Collision/config.json", '{"displayName":"Collision","charges":["Premium"],"data":{"deductible":{"type":"decimal"}},"coverageTerms":["LimitTerm",{"name":"Inline","options":["*a","b"]}],"qualification":"x"}'),
-    ("coverages/MedPay/config.json", '{"displayName":"Medical","data":{"limit":{"type":"decimal"},"limitExtra":{"type":"decimal"}}}'),
-    ("charges/Premium/config.json", '{"category":"premium"}'),
-    ("coverageTerms/LimitTerm/config.json", '{"displayName":"Limit","value":{"type":"decimal"},"options":{"low":"1","high":"2"}}'),
-    ("customDataTypes/Address/config.json", '{"data":{"street":{"type":"string"},"next":{"type":"Address?"}}}'),
-    ("exposures/Broken/config.json", "{not json"),
-]
+_WITH = "WITH " + derived.CATALOGUE
 
 
-def _configs(spark):
-    return config_tree.configs(spark.createDataFrame(CONFIG, "rel string, text string"))
+def _configs(spark, sf_dir):
+    return config_tree.configs(derived.config_files(spark, sf_dir))
 
 
-_CFG = "(SELECT split_part(rel, '/', 1) AS section, split_part(rel, '/', 2) AS name, \"text\"::JSON AS j FROM " + values([c for c in CONFIG if c[1] != "{not json"], 'rel, "text"') + ")"
-_BASE = "regexp_replace(kind, '[!?+*]$', '')"
-_LOW = "lower(left(x.name, 1)) || substr(x.name, 2)"
+def _catalogue(spark, sf_dir):
+    return config_tree.paths(_configs(spark, sf_dir))
 
 
-@query("catalog_paths", f"""WITH cfg AS {_CFG}, d AS (SELECT x.section, x.name, e.key, coalesce(e.value->>'$.type', 'string') AS kind, x.name AS owner FROM cfg x, json_each(x.j, '$.data') e),
- held AS (SELECT x.name AS exposure, regexp_replace(t.value->>'$', '[!?+*]$', '') AS coverage FROM cfg x, json_each(x.j, '$.contents') t WHERE x.section = 'exposures')
- SELECT 'policy_data' AS category, key AS field, '$data.data.' || key AS path, regexp_extract(kind, '[!?+*]$') AS quantifier FROM d WHERE section = 'products'
- UNION ALL SELECT 'exposure_data', key, '$' || {_LOW.replace("x.name", "name")} || '.data.' || key, regexp_extract(kind, '[!?+*]$') FROM d WHERE section = 'exposures'
- UNION ALL SELECT 'coverage_data', key, '$' || {_LOW.replace("x.name", "exposure")} || '.' || coverage || '.data.' || key, regexp_extract(kind, '[!?+*]$') FROM d JOIN held ON held.coverage = d.name WHERE section = 'coverages'""")
+@query("catalog_paths", _WITH + " SELECT *, CASE WHEN category LIKE '%_data' AND regexp_replace(type, '[!?+*]$', '') = 'Address' THEN 'Address' END AS custom_type_ref, regexp_extract(type, '[!?+*]$') AS quantifier FROM paths")
 def catalog_paths(spark, sf_dir):
-    return config_tree.paths(_configs(spark)).where("category in ('policy_data', 'exposure_data', 'coverage_data')").select("category", "field", "path", "quantifier")
+    return _catalogue(spark, sf_dir).select("section", "field", "display_name", "type", "category", "path", "iterator", "list_path", "exposure", "coverage", "custom_type_ref", "quantifier")
 
 
-@query("catalog_sections", "SELECT * FROM " + values([("system_paths", 8), ("account_paths", 9), ("policy_data", 2), ("policy_charges", 1), ("exposures", 10), ("coverages", 3), ("coverage_terms", 2)], "section, n"))
+@query("catalog_sections", _WITH + " SELECT section, count(*) AS n FROM paths GROUP BY 1")
 def catalog_sections(spark, sf_dir):
-    return config_tree.paths(_configs(spark)).groupBy("section").agg(F.count("*").cast("int").alias("n"))
-
+    return _catalogue(spark, sf_dir).groupBy("section").agg(F.count("*").alias("n"))
 
-_TOKENS = [("Vehicle+",), ("MedPay?",), ("Coll",), ("collision!",), ("Any*",), ("",)]
 
-
-@query("catalog_quantifiers", "SELECT token, regexp_replace(token, '[!?+*]$', '') AS name, regexp_extract(token, '[!?+*]$') AS quantifier, CASE regexp_extract(token, '[!?+*]$') WHEN '' THEN 'exactly_one' WHEN '!' THEN 'exactly_one_auto' WHEN '?' THEN 'zero_or_one' WHEN '+' THEN 'one_or_more' ELSE 'any' END AS cardinality, regexp_extract(token, '[!?+*]$') IN ('+', '*') AS iterable FROM " + values(_TOKENS, "token"))
+@query("catalog_quantifiers", _WITH + ", t AS (SELECT DISTINCT held AS token FROM p UNION SELECT DISTINCT contained FROM p UNION SELECT DISTINCT kind FROM p) SELECT token, regexp_replace(token, '[!?+*]$', '') AS name, regexp_extract(token, '[!?+*]$') AS quantifier, CASE regexp_extract(token, '[!?+*]$') WHEN '' THEN 'exactly_one' WHEN '!' THEN 'exactly_one_auto' WHEN '?' THEN 'zero_or_one' WHEN '+' THEN 'one_or_more' ELSE 'any' END AS cardinality, regexp_extract(token, '[!?+*]$') IN ('+', '*') AS iterable FROM t")
 def quantifiers(spark, sf_dir):
-    return spark.createDataFrame(_TOKENS, "token string").select("token", X.quantified(F.col("token")).alias("q")).select("token", "q.*")
+    part = table(spark, sf_dir, "part")
+    found = part.select(F.explode(F.array(F.expr(derived.HELD), F.expr(derived.CONTAINED), F.expr(derived.FIELD_TYPE))).alias("token")).distinct()
+    return found.select("token", X.quantified(F.col("token")).alias("q")).select("token", "q.*")
 
 
-_FLAGS = [("nested_iterables", True), ("custom_data_types", True), ("recursive_cdts", True), ("jurisdictional_scopes", True), ("peril_based", False), ("multi_product", False), ("coverage_terms", True), ("default_option_prefix", True), ("auto_elements", True), ("array_data_extensions", True)]
+_FLAGS = {"nested_iterables": "bool_or(kind = 'Address+')", "custom_data_types": "count(*) > 0", "recursive_cdts": "count(*) < 0", "jurisdictional_scopes": "count(*) < 0", "peril_based": "count(*) < 0", "multi_product": "count(*) < 0", "coverage_terms": "count(*) > 0", "default_option_prefix": "bool_or(size % 10 = 0)", "auto_elements": "bool_or(held LIKE '%!')", "array_data_extensions": "bool_or(kind LIKE '%+')"}
 
 
-@query("catalog_feature_flags", "SELECT * FROM " + values(_FLAGS, "flag, enabled"))
+@query("catalog_feature_flags", _WITH + " " + " UNION ALL ".join(f"SELECT '{k}' AS flag, {v} AS enabled FROM p" for k, v in _FLAGS.items()))
 def feature_flags(spark, sf_dir):
-    return config_tree.features(_configs(spark))
+    return config_tree.features(_configs(spark, sf_dir))
 
 
-@query("catalog_iterables", f"WITH cfg AS {_CFG}, c AS (SELECT t.value->>'$' AS token FROM cfg x, json_each(x.j, '$.contents') t WHERE section = 'products') SELECT x.name, x.j->>'$.displayName' AS display_name, '$data.' || {_LOW} || 's' AS list_path, {_LOW} AS iterator, regexp_extract(token, '[+*]$') AS quantifier FROM c JOIN cfg x ON x.section = 'exposures' AND x.name = regexp_replace(token, '[!?+*]$', '') WHERE regexp_matches(token, '[+*]$')")
+@query("catalog_iterables", _WITH + " SELECT brand AS name, 'Brand ' || substr(brand, 6) AS display_name, list_path, iterator, quantifier FROM own WHERE quantifier IN ('+', '*')")
 def iterables(spark, sf_dir):
-    return config_tree.iterables(_configs(spark)).select("name", "display_name", "list_path", "iterator", "quantifier")
+    return config_tree.iterables(_configs(spark, sf_dir)).select("name", "display_name", "list_path", "iterator", "quantifier")
 
 
-@query("catalog_charges", "SELECT * FROM " + values([(None, "Levy", "unknown", "$data.charges.Levy.amount", "$data.charges.Levy"), ("Collision", "Premium", "premium", "$vehicle.Collision.charges.Premium.amount", "$vehicle.Collision.charges.Premium")], "owner, name, category, amount_path, object_path"))
+@query("catalog_charges", _WITH + ", c AS (SELECT DISTINCT ptype, 'Charge' || size % 4 AS name FROM p) SELECT NULL AS owner, 'Levy' AS name, 'unknown' AS category, '$data.charges.Levy.amount' AS amount_path, '$data.charges.Levy' AS object_path UNION ALL SELECT ptype, name, CASE name WHEN 'Charge0' THEN 'premium' WHEN 'Charge1' THEN 'tax' WHEN 'Charge2' THEN 'fee' ELSE 'unknown' END, '$' || iterator || '.' || ptype || '.charges.' || name || '.amount', '$' || iterator || '.' || ptype || '.charges.' || name FROM held JOIN c USING (ptype)")
 def catalog_charges(spark, sf_dir):
-    return config_tree.charges(_configs(spark))
+    return config_tree.charges(_configs(spark, sf_dir))
 
 
-@query("catalog_terms", "SELECT * FROM " + values([("limitTerm", "Limit", "decimal", "$vehicle.Collision.limitTerm.value", "low,high"), ("inline", "Inline", "", "$vehicle.Collision.inline.value", "*a,b")], "field, display_name, type, path, options"))
+@query("catalog_terms", _WITH + " SELECT lower(left(name, 1)) || substr(name, 2) AS field, shown AS display_name, type, '$' || iterator || '.' || ptype || '.' || lower(left(name, 1)) || substr(name, 2) || '.value' AS path, list_aggregate(options, 'string_agg', ',') AS options FROM held JOIN term USING (ptype)")
 def catalog_terms(spark, sf_dir):
-    return config_tree.terms(_configs(spark)).select("field", "display_name", "type", "path", F.array_join("options", ",").alias("options"))
+    return config_tree.terms(_configs(spark, sf_dir)).select("field", "display_name", "type", "path", F.array_join("options", ",").alias("options"))
 
 
-@query("catalog_fingerprint", "SELECT sha256(string_agg(rel || chr(10) || \"text\" || chr(10), '' ORDER BY rel)) AS fingerprint FROM " + values(CONFIG, 'rel, "text"'))
+@query("catalog_fingerprint", "SELECT sha256(string_agg(url || chr(10) || coalesce(html, '') || chr(10), '' ORDER BY url, coalesce(html, ''))) AS fingerprint FROM pages WHERE url IS NOT NULL")
 def catalog_fingerprint(spark, sf_dir):
-    return X.fingerprint(spark.createDataFrame(CONFIG, "rel string, text string"), "rel", "text")
+    return X.fingerprint(table(spark, sf_dir, "pages").where("url is not null").select("url", F.coalesce("html", F.lit("")).alias("html")), "url", "html")
 
 
-@query("catalog_markdown", "SELECT * FROM " + values([("policy_charges", 1), ("policy_data", 2)], "section, n_lines"))
+@query("catalog_markdown", _WITH + """, o AS (SELECT paths.*, CASE WHEN category = 'coverage_term' THEN t.options END AS options FROM paths LEFT JOIN term t ON category = 'coverage_term' AND t.ptype = paths.coverage AND lower(left(t.name, 1)) || substr(t.name, 2) = paths.field),
+ r AS (SELECT section, path, '| ' || display_name || ' | ' || path || ' | ' || type || ' | ' || CASE WHEN type LIKE '%?' AND category <> 'coverage_term' THEN '' ELSE 'yes' END || ' | ' || coalesce(list_aggregate(options[1:5], 'string_agg', ', ') || CASE WHEN len(options) > 5 THEN ', …' ELSE '' END, '') || ' |' AS line FROM o)
+ SELECT section, '| Name | Path | Type | Required | Options |' || chr(10) || '|---|---|---|---|---|' || chr(10) || string_agg(line, chr(10) ORDER BY path, line) AS "text" FROM r GROUP BY section""")
 def markdown(spark, sf_dir):
-    out = sinks.catalog_markdown(config_tree.paths(_configs(spark)).where("section like 'policy%'"))
-    return out.select("section", (F.size(F.split("text", "\n")) - 2).alias("n_lines"))
-
+    return sinks.catalog_markdown(_catalogue(spark, sf_dir))
 
-_PATHS = [("$data.policyNumber", "system"), ("$data.data.state", "policy_data"), ("$data.quoteNumber", "quote_system"), ("$data.account.data.name", "account"), ("$vehicle.data.make", "exposure_data"), ("plain", "x")]
 
-
-@query("path_to_accessor", "SELECT path, CASE WHEN category IN ('system', 'policy_data') THEN 'policy.' || substr(path, 7) WHEN category = 'quote_system' THEN 'quote.' || substr(path, 7) WHEN path LIKE '$data.%' THEN substr(path, 7) ELSE ltrim(path, '$') END AS accessor, CASE WHEN category IN ('system', 'policy_data') THEN 'policy.' || substr(path, 7) WHEN category = 'quote_system' THEN 'quote.' || substr(path, 7) ELSE '' END AS in_condition FROM " + values(_PATHS, "path, category"))
+@query("path_to_accessor", _WITH + ", c AS (SELECT DISTINCT path, category FROM paths) SELECT path, category, CASE WHEN category IN ('system', 'policy_data') THEN 'policy.' || substr(path, 7) WHEN path LIKE '$data.%' THEN substr(path, 7) ELSE ltrim(path, '$') END AS accessor, CASE WHEN category IN ('system', 'policy_data') THEN 'policy.' || substr(path, 7) ELSE '' END AS in_condition, path AS in_catalog FROM c UNION ALL SELECT path, 'quote_system', 'quote.' || substr(path, 7), 'quote.' || substr(path, 7), '$data.quote.' || substr(path, 7) FROM c WHERE category = 'system'")
 def accessors(spark, sf_dir):
-    return spark.createDataFrame(_PATHS, "path string, category string").select("path", X.accessor(F.col("path"), F.col("category")).alias("accessor"), X.condition_accessor(F.col("path"), F.col("category")).alias("in_condition"))
-
+    found = _catalogue(spark, sf_dir).select("path", "category").distinct()
+    found = found.union(found.where("category = 'system'").select("path", F.lit("quote_system")))
+    return found.select("path", "category", X.accessor(F.col("path"), F.col("category")).alias("accessor"), X.condition_accessor(F.col("path"), F.col("category")).alias("in_condition"), X.catalog_path(F.col("path"), F.col("category")).alias("in_catalog"))
 
-_SPLICE = [("$data.locator", "quote", "$data.quote.locator"), ("$data.data.x", "segment", "$data.segment.data.x"), ("$data.locator", "segment", "$data.policy.locator"), ("$data.quote.a", "quote", "$data.quote.a"), ("$item.a", "quote", "$item.a"), ("$data.a", "invoice", "$data.a")]
 
-
-@query("root_splice", "SELECT path, root, spliced FROM " + values(_SPLICE, "path, root, spliced"))
+@query("root_splice", _WITH + """ SELECT DISTINCT path, root, CASE WHEN path NOT LIKE '$data.%' OR path LIKE '$data.account.%' OR path LIKE '$data.charges.%' OR root = 'invoice' THEN path WHEN root = 'quote' THEN '$data.quote.' || substr(path, 7) WHEN path LIKE '$data.data.%' THEN '$data.segment.' || substr(path, 7) ELSE '$data.policy.' || substr(path, 7) END AS spliced
+ FROM (SELECT DISTINCT path FROM paths), (VALUES ('quote'), ('segment'), ('invoice')) r(root)""")
 def splice(spark, sf_dir):
-    return spark.createDataFrame(_SPLICE, "path string, root string, expected string").select("path", "root", X.root_splice(F.col("path"), F.col("root")).alias("spliced"))
+    found = _catalogue(spark, sf_dir).select("path").distinct().select("path", F.explode(F.array(*map(F.lit, ("quote", "segment", "invoice")))).alias("root"))
+    return found.select("path", "root", X.root_splice(F.col("path"), F.col("root")).alias("spliced"))
 
 
-_NAMES = [("Policies", "Policy", "policies"), ("boxes", "box", "boxes"), ("drivers", "driver", "drivers"), ("glass", "glass_item", "glass_item")]
+_NAMED = "SELECT DISTINCT name FROM (SELECT c_mktsegment AS name FROM customer UNION ALL SELECT p_name FROM part UNION ALL SELECT p_type || CASE p_size % 9 WHEN 0 THEN 'es' WHEN 1 THEN 's' WHEN 2 THEN 'ies' WHEN 3 THEN 'ss' WHEN 4 THEN 'y' WHEN 5 THEN 'ch' WHEN 6 THEN 'x' WHEN 7 THEN 'ey' ELSE 'Boxes' END FROM part UNION ALL SELECT lower(p_type) || '_' || p_size || '_' || replace(p_name, ' ', '_') FROM part)"
 
 
-@query("naming_helpers", "SELECT name, CASE WHEN lower(name) LIKE '%ies' AND length(name) > 3 THEN left(name, length(name) - 3) || 'y' WHEN regexp_matches(lower(name), '(ses|xes|zes|ches|shes)$') THEN left(name, length(name) - 2) WHEN lower(name) LIKE '%s' AND lower(name) NOT LIKE '%ss' THEN left(name, length(name) - 1) ELSE name || '_item' END AS single, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS loose FROM (SELECT c_mktsegment AS name FROM customer UNION SELECT name FROM " + values([(n,) for n, _, _ in _NAMES], "name") + ")")
+@query("naming_helpers", f"""SELECT name, CASE WHEN lower(name) LIKE '%ies' AND length(name) > 3 THEN left(name, length(name) - 3) || 'y' WHEN regexp_matches(lower(name), '(ses|xes|zes|ches|shes)$') THEN left(name, length(name) - 2) WHEN lower(name) LIKE '%s' AND lower(name) NOT LIKE '%ss' THEN left(name, length(name) - 1) ELSE name || '_item' END AS single,
+ CASE WHEN lower(name) LIKE '%s' THEN name WHEN regexp_matches(lower(name), '[^aeiou]y$') THEN left(name, length(name) - 1) || 'ies' WHEN regexp_matches(lower(name), '(x|z|ch|sh)$') THEN name || 'es' ELSE name || 's' END AS many,
+ regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS loose, trim(regexp_replace(lower(trim(name)), '[^a-z0-9]+', '_', 'g'), '_') AS slug,
+ list_aggregate(list_transform(string_split(name, '_'), lambda x, i: CASE WHEN i = 1 THEN x ELSE upper(left(x, 1)) || substr(x, 2) END), 'string_agg', '') AS camel, CASE WHEN regexp_matches(name, '^[A-Z][A-Z0-9_]*$') THEN lower(name) ELSE name END AS field FROM ({_NAMED})""")
 def naming(spark, sf_dir):
-    names = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("name")).union(spark.createDataFrame([(n,) for n, _, _ in _NAMES], "name string")).distinct()
-    return names.select("name", X.singular(F.col("name")).alias("single"), X.loose(F.col("name")).alias("loose"))
+    for t in ("customer", "part"):
+        table(spark, sf_dir, t).createOrReplaceTempView(f"_named_{t}")
+    names = spark.sql(_NAMED.replace("FROM customer", "FROM _named_customer").replace("FROM part", "FROM _named_part"))
+    name = F.col("name")
+    return names.select("name", X.singular(name).alias("single"), X.plural(name).alias("many"), X.loose(name).alias("loose"), X.slug(name).alias("slug"), X.camel(name).alias("camel"), X.field_name(name).alias("field"))
 
 
-_LABELS = [("Total premium", "a", "o"), ("Deductible", "a", "o"), (None, "a", "o"), ("Tax", "", "o")]
+_LABEL = "CASE p_partkey % 5 WHEN 0 THEN 'Total ' || p_name WHEN 1 THEN p_name WHEN 2 THEN p_type || ' FEE' WHEN 3 THEN NULL ELSE 'Pricey ' || p_type END"
+_AMOUNT, _WHOLE = "CASE WHEN p_size % 3 = 0 THEN '' ELSE 'a' || p_size END", "CASE WHEN p_size % 7 = 0 THEN '' ELSE 'o' || p_size END"
 
 
-@query("charge_path_choice", "SELECT label, CASE WHEN regexp_matches(lower(coalesce(label, '')), 'amount|premium|fee|tax|price|cost|total') THEN coalesce(nullif(a, ''), o) ELSE coalesce(nullif(o, ''), a) END AS path FROM " + values(_LABELS, "label, a, o"))
+@query("charge_path_choice", f"SELECT p_partkey, CASE WHEN regexp_matches(lower(coalesce({_LABEL}, '')), 'amount|premium|fee|tax|price|cost|total') THEN coalesce(nullif({_AMOUNT}, ''), nullif({_WHOLE}, ''), '') ELSE coalesce(nullif({_WHOLE}, ''), nullif({_AMOUNT}, ''), '') END AS path FROM part")
 def charge_choice(spark, sf_dir):
-    return spark.createDataFrame(_LABELS, "label string, a string, o string").select("label", X.charge_path(F.col("label"), F.col("a"), F.col("o")).alias("path"))
+    return table(spark, sf_dir, "part").select("p_partkey", X.charge_path(F.expr(_LABEL), F.expr(_AMOUNT), F.expr(_WHOLE)).alias("path"))
 
 
 # --- tokens --------------------------------------------------------------------------------------------------------
 
-DOCS = [
-    (1, "Hello {name}, your {$nick} has {+items} and {name}. [[$clause]] [[ $clause ]] [[bare text]]"),
-    (2, "{x} {$x} {a.b.c} [Item/]{line} {total}[/Item] {total} [Theft?]yes {line}[/Theft] [Open/] [/Stray]"),
-    (3, "no markers, $TBD_policy.number. and [[has $TBD_a.b here]] $TBD_a.b $5,000.00 XXXX TODO"),
-    (4, "[[outer [[inner]] tail]] rest [[open"),
-]
-_DOCS = values(DOCS, 'doc_id, "text"')
+_DOCS = derived.DOCS
 _FIELD = r"\{([$+*]?)([a-zA-Z_][a-zA-Z0-9_.]*)\}"
+_docs = derived.docs
 
 
-def _docs(spark):
-    return spark.createDataFrame(DOCS, "doc_id long, text string")
+def _marks(pattern: str, text: str = '"text"', docs: str = _DOCS) -> str:
+    """Matches of a pattern in SQL: doc_id, i, tok, at (from 0)."""
+    return f"""(SELECT doc_id, i, tok, (sum(length(part) + length(tok)) OVER (PARTITION BY doc_id ORDER BY i) - length(tok))::BIGINT AS ch FROM (
+ SELECT doc_id, unnest(range(1, len(toks) + 1)) AS i, unnest(toks) AS tok, unnest(parts[1:len(toks)]) AS part FROM (
+ SELECT doc_id, regexp_extract_all({text}, '{pattern}') AS toks, string_split_regex({text}, '{pattern}') AS parts FROM {docs})))"""
 
 
+#: Outermost blocks in SQL: an opener meets the first later closer that returns to the depth before it.
+_BLOCKS = r"""b AS (SELECT *, sum(CASE WHEN tok = '[[' THEN 1 ELSE -1 END) OVER (PARTITION BY doc_id ORDER BY i) AS depth FROM """ + _marks(r"\[\[|\]\]") + r"""),
+ pairs AS (SELECT o.doc_id, o.ch + 2 AS s, min(c.ch) AS e FROM b o JOIN b c ON c.doc_id = o.doc_id AND c.i > o.i AND c.tok = ']]' AND c.depth = o.depth - 1 WHERE o.tok = '[[' GROUP BY ALL),
+ blocks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS ord, s, e, substr("text", s + 1, e - s) AS inner_text FROM pairs p JOIN """ + _DOCS + r""" d USING (doc_id) WHERE NOT EXISTS (SELECT 1 FROM pairs q WHERE q.doc_id = p.doc_id AND q.s < p.s AND q.e > p.e))"""
+#: Markers in SQL; [[ and ]] are put out of the way, as SQL's patterns can't look behind.
+_LOOPS = r"""m AS (SELECT doc_id, i, ch, ch + length(tok) AS after, regexp_extract(tok, '[A-Za-z_]\w*') AS name, CASE WHEN regexp_matches(tok, '^\[/.*[/?]\]$') THEN 'malformed' WHEN tok LIKE '[/%' THEN 'close' WHEN tok LIKE '%/]' THEN 'loop' WHEN tok LIKE '%?]' THEN 'region' ELSE 'plain' END AS kind FROM """ + _marks(r"\[/?[A-Za-z_]\w*[/?]?\]", """replace(replace("text", '[[', '(('), ']]', '))')""") + r"""),
+ oc AS (SELECT *, lead(kind) OVER w AS nk, lead(ch) OVER w AS na, lag(kind) OVER w AS pk FROM m WHERE kind IN ('loop', 'region', 'close') WINDOW w AS (PARTITION BY doc_id, name ORDER BY i)),
+ spans AS (SELECT doc_id, name, kind, after AS s, CASE WHEN nk = 'close' THEN na END AS e FROM oc WHERE kind <> 'close')"""
 _FIELDS_SQL = f"""WITH z AS (SELECT doc_id, unnest(range(1, len(s) + 1)) - 1 AS pos, unnest(s) AS symbol, unnest(n) AS name FROM (SELECT doc_id, regexp_extract_all("text", '{_FIELD}', 1) AS s, regexp_extract_all("text", '{_FIELD}', 2) AS n FROM {_DOCS}))"""
 
 
 @query("field_tokens", _FIELDS_SQL + " SELECT doc_id, pos::INTEGER AS pos, symbol, name FROM z")
 def field_tokens(spark, sf_dir):
-    return tokens.field_occurrences(_docs(spark))
+    return tokens.field_occurrences(_docs(spark, sf_dir))
 
 
 @query("token_occurrence", _FIELDS_SQL + " SELECT doc_id, name, CASE arg_min(symbol, pos) WHEN '' THEN 'required' WHEN '$' THEN 'optional' WHEN '+' THEN 'one_or_more' ELSE 'zero_or_more' END AS occurrence, count(*) AS n, count(DISTINCT symbol) > 1 AS conflict FROM z GROUP BY 1, 2")
 def occurrence(spark, sf_dir):
-    return tokens.fields(_docs(spark)).drop("pos")
+    return tokens.fields(_docs(spark, sf_dir)).drop("pos")
 
 
 @query("token_conflicts", _FIELDS_SQL + " SELECT doc_id, name FROM z GROUP BY 1, 2 HAVING count(DISTINCT symbol) > 1")
 def conflicts(spark, sf_dir):
-    return tokens.fields(_docs(spark)).where("conflict").select("doc_id", "name")
+    return tokens.fields(_docs(spark, sf_dir)).where("conflict").select("doc_id", "name")
 
 
-@query("cond_tokens", r"""WITH z AS (SELECT doc_id, unnest(range(1, len(s) + 1)) AS id, trim(unnest(s)) AS inside FROM (SELECT doc_id, regexp_extract_all("text", '\[\[([^\[\]]*)\]\]', 1) AS s FROM """ + _DOCS + r""")), y AS (SELECT *, nullif(regexp_extract(inside, '^\$([A-Za-z_]\w*)$', 1), '') AS name FROM z) SELECT doc_id, min(id)::INTEGER AS id, name, CASE WHEN name IS NULL THEN inside END AS "text", count(*) AS n FROM y GROUP BY doc_id, name, CASE WHEN name IS NULL THEN inside END""")
+@query("cond_tokens", "WITH " + _BLOCKS + r""", y AS (SELECT *, trim(inner_text) AS inside, nullif(regexp_extract(trim(inner_text), '^\$([A-Za-z_]\w*)$', 1), '') AS name FROM blocks) SELECT doc_id, (min(ord) + 1)::INTEGER AS id, name, CASE WHEN name IS NULL THEN inside END AS "text", count(*) AS n FROM y GROUP BY doc_id, name, CASE WHEN name IS NULL THEN inside END""")
 def cond_tokens(spark, sf_dir):
-    return tokens.conditional_tokens(_docs(spark))
+    return tokens.conditional_tokens(_docs(spark, sf_dir))
 
 
-@query("bracket_blocks", "SELECT * FROM " + values([(1, 0, "$clause"), (1, 1, " $clause "), (1, 2, "bare text"), (3, 0, "has $TBD_a.b here"), (4, 0, "outer [[inner]] tail")], 'doc_id, ord, "text"'))
+@query("bracket_blocks", "WITH " + _BLOCKS + ' SELECT doc_id, ord::INTEGER AS ord, inner_text AS "text" FROM blocks')
 def bracket_blocks(spark, sf_dir):
-    return tokens.bracket_blocks(_docs(spark))
-
+    return tokens.bracket_blocks(_docs(spark, sf_dir)).select("doc_id", "ord", "text")
 
-_FILES = [("X(quote,segment).html",), ("dir/Letter(segment).docx",), ("none.html",), ("bad(foo).html",), ("twice(quote, quote).html",)]
 
-
-@query("root_from_name", "SELECT * FROM " + values([("X(quote,segment).html", "quote,segment", False), ("dir/Letter(segment).docx", "segment", False), ("none.html", "", True), ("bad(foo).html", "", True), ("twice(quote, quote).html", "quote", False)], "file, roots, wrong"))
+@query("root_from_name", f"""SELECT doc_id, file, CASE WHEN wrong THEN '' ELSE list_aggregate(list_filter(l, lambda x, i: NOT list_contains(l[1:i - 1], x)), 'string_agg', ',') END AS roots, wrong FROM (
+ SELECT *, g IS NULL OR len(l) = 0 OR len(list_filter(l, lambda x: x NOT IN ('quote', 'segment', 'invoice'))) > 0 AS wrong FROM (SELECT *, list_filter(list_transform(string_split(coalesce(g, ''), ','), lambda x: lower(trim(x))), lambda x: x <> '') AS l FROM (
+ SELECT o_orderkey AS doc_id, {derived.FILE} AS file, regexp_extract_all({derived.FILE}, '\\(([^()]*)\\)', 1)[-1] AS g FROM orders)))""")
 def roots(spark, sf_dir):
-    return spark.createDataFrame(_FILES, "file string").select("file", X.declared_roots(F.col("file")).alias("r")).select("file", F.array_join("r.roots", ",").alias("roots"), F.col("r.error").isNotNull().alias("wrong"))
+    named = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(derived.FILE).alias("file"))
+    return named.select("doc_id", "file", X.declared_roots(F.col("file")).alias("r")).select("doc_id", "file", F.array_join("r.roots", ",").alias("roots"), F.col("r.error").isNotNull().alias("wrong"))
 
 
-@query("loop_markers", "SELECT * FROM " + values([(2, "Item", "loop", True), (2, "Theft", "region", True), (2, "Open", "loop", False)], "doc_id, name, kind, closed"))
+@query("loop_markers", "WITH " + _LOOPS + " SELECT doc_id, name, kind, s::INTEGER AS \"start\", e::INTEGER AS \"end\" FROM spans")
 def loop_markers(spark, sf_dir):
-    return tokens.loop_spans(_docs(spark)).select("doc_id", "name", "kind", F.col("end").isNotNull().alias("closed"))
+    out = tokens.loop_spans(_docs(spark, sf_dir))
+    return out.select("doc_id", "name", "kind", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
 
 
-@query("marker_warnings", "SELECT * FROM " + values([(2, "Open", "not closed"), (2, "Stray", "closes nothing")], "doc_id, name, warning"))
+@query("marker_warnings", "WITH " + _BLOCKS + ", " + _LOOPS + r""",
+ alone AS (SELECT *, row_number() OVER (PARTITION BY doc_id, name ORDER BY i) AS turn FROM oc WHERE kind = 'close' AND coalesce(pk, 'close') = 'close')
+ SELECT doc_id, name, 'malformed' AS warning, ch::INTEGER AS "at" FROM m WHERE kind = 'malformed'
+ UNION ALL SELECT doc_id, name, CASE WHEN nk IS NULL THEN 'not closed' ELSE 'reopened' END, ch::INTEGER FROM oc WHERE kind <> 'close' AND coalesce(nk, 'loop') <> 'close'
+ UNION ALL SELECT a.doc_id, a.name, CASE WHEN EXISTS (SELECT 1 FROM m WHERE m.doc_id = a.doc_id AND m.name = a.name AND m.kind = 'plain' AND m.i < a.i AND m.i > coalesce((SELECT max(b.i) FROM alone b WHERE b.doc_id = a.doc_id AND b.name = a.name AND b.turn = a.turn - 1), 0)) THEN 'old style' ELSE 'closes nothing' END, a.ch::INTEGER FROM alone a
+ UNION ALL SELECT DISTINCT spans.doc_id, spans.name, 'block in a loop', spans.s::INTEGER FROM spans JOIN blocks k ON k.doc_id = spans.doc_id AND spans.kind = 'loop' AND spans.s <= k.s AND k.s < spans.e""")
 def marker_warnings(spark, sf_dir):
-    return tokens.marker_warnings(_docs(spark))
+    return tokens.marker_warnings(_docs(spark, sf_dir)).withColumn("at", F.col("at").cast("int"))
 
 
-@query("loop_membership", "SELECT * FROM " + values([(1, "name", None), (1, "nick", None), (1, "items", None), (2, "x", None), (2, "a.b.c", None), (2, "line", None), (2, "total", None)], "doc_id, name, loop") + " UNION ALL SELECT 5, 'q', 'Item'")
+@query("loop_membership", "WITH " + _LOOPS + r""", f AS (SELECT doc_id, ch, regexp_extract(tok, '[a-zA-Z_][a-zA-Z0-9_.]*') AS name FROM """ + _marks(r"\{[$+*]?[a-zA-Z_][a-zA-Z0-9_.]*\}") + r"""),
+ n AS (SELECT doc_id, name, count(*) AS n FROM f GROUP BY ALL),
+ held AS (SELECT f.doc_id, f.name, spans.name AS loop, spans.e, count(*) AS k FROM f JOIN spans ON spans.doc_id = f.doc_id AND spans.kind = 'loop' AND f.ch >= spans.s AND f.ch < spans.e GROUP BY ALL)
+ SELECT n.doc_id, n.name, arg_min(held.loop, held.e) AS loop FROM n LEFT JOIN held ON held.doc_id = n.doc_id AND held.name = n.name AND held.k = n.n GROUP BY n.doc_id, n.name""")
 def membership(spark, sf_dir):
-    return tokens.loop_membership(_docs(spark).union(spark.createDataFrame([(5, "a [Item/]{q} b {q}[/Item]")], "doc_id long, text string")))
+    return tokens.loop_membership(_docs(spark, sf_dir))
+
 
+_COVERAGES = [("Theft", "Item"), ("Fire", "Home"), ("Fire", "Zoo")]
 
-@query("region_classes", "SELECT * FROM " + values([(2, "Theft", "presence", None)], "doc_id, name, class, loop"))
+
+@query("region_classes", "WITH " + _LOOPS + ", c AS (SELECT name, min(exposure) AS exposure FROM " + values(_COVERAGES, "name, exposure") + """ GROUP BY 1),
+ r AS (SELECT a.doc_id, a.name, a.s, arg_max(l.name, l.s) AS loop FROM spans a LEFT JOIN spans l ON l.doc_id = a.doc_id AND l.kind = 'loop' AND l.s <= a.s AND a.e <= l.e WHERE a.kind = 'region' AND a.e IS NOT NULL GROUP BY ALL)
+ SELECT doc_id, r.name, CASE WHEN loop = exposure THEN 'element_coverage' WHEN loop IS NOT NULL THEN 'element_value' WHEN exposure IS NOT NULL THEN 'presence' ELSE 'document_value' END AS class, loop FROM r LEFT JOIN c ON c.name = r.name""")
 def region_classes(spark, sf_dir):
-    return tokens.regions(_docs(spark), spark.createDataFrame([("Theft", "Item")], "name string, exposure string"))
+    return tokens.regions(_docs(spark, sf_dir), spark.createDataFrame(_COVERAGES, "name string, exposure string"))
 
 
-@query("open_references", "SELECT * FROM " + values([(3, "$TBD_policy.number", False), (3, "$TBD_a.b", False)], "doc_id, token, delegated"))
+@query("open_references", "WITH " + _BLOCKS + r""", r AS (SELECT doc_id, tok, ch FROM """ + _marks(r"\$(?:\w+\.)?TBD_\w+(?:\.\w+)*") + """)
+ SELECT r.doc_id, tok AS token, bool_and(EXISTS (SELECT 1 FROM blocks k WHERE k.doc_id = r.doc_id AND k.s <= r.ch AND r.ch < k.e)) AS delegated FROM r GROUP BY 1, 2""")
 def open_references(spark, sf_dir):
-    return tokens.delegated(_docs(spark))
+    return tokens.delegated(_docs(spark, sf_dir))
 
 
-@query("html_headings", r"""SELECT page_id, unnest(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1)) AS heading FROM pages""")
+@query("html_headings", r"""SELECT page_id, unnest(regexp_extract_all(html, '(?i)<h[1-6](?:\s[^>]*)?>([^<]*)</h[1-6]>', 1)) AS heading FROM pages""")
 def headings(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<h1>([^<]*)</h1>"), 1)).alias("heading"))
+    return tokens.headings(table(spark, sf_dir, "pages"))
 
 
 @query("html_list_items", "SELECT page_id, len(regexp_extract_all(html, '<li[ >]'))::INTEGER AS n FROM pages")
 def list_items(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_count("html", F.lit("<li[ >]")).alias("n"))
+    return table(spark, sf_dir, "pages").select("page_id", tokens.tag_count(F.col("html"), "li").alias("n"))
 
 
 @query("html_to_text", r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g'))) AS digest FROM pages""")
@@ -483,46 +500,53 @@ def html_context(spark, sf_dir):
     return tokens.html_nodes(table(spark, sf_dir, "pages"))
 
 
-_CSS = [(1, "p{font-family: 'Open Sans', Arial} h1{FONT-FAMILY:arial} b{font-family:\"open sans\"; } i{font-family: Lato}"), (2, "no fonts")]
+_CSS = "'p{font-family: ' || chr(39) || 'Open Sans' || chr(39) || ', Arial} h1{FONT-FAMILY:' || p_name || ' ,x} b{font-family:' || chr(34) || 'open sans' || chr(34) || '; } i{font-family: ' || p_type || '} u{font-family: ' || CASE p_size % 3 WHEN 0 THEN 'Lato' WHEN 1 THEN 'lato, serif' ELSE 'Times' END || '}'"
 
 
-@query("font_families", "SELECT * FROM " + values([(1, "Open Sans"), (1, "Lato")], "doc_id, font"))
+@query("font_families", f"""WITH f AS (SELECT p_partkey AS doc_id, unnest(l) AS stack, unnest(range(1, len(l) + 1)) AS pos FROM (SELECT p_partkey, regexp_extract_all({_CSS}, '(?i)font-family\\s*:\\s*([^;{{}}<>]+)', 1) AS l FROM part)),
+ g AS (SELECT doc_id, pos, trim(trim(trim(split_part(stack, ',', 1)), chr(39) || chr(34))) AS font FROM f) SELECT doc_id, arg_min(font, pos) AS font FROM g WHERE font <> '' AND lower(font) NOT IN ({", ".join(f"'{x}'" for x in X.STANDARD_FONTS)}) GROUP BY doc_id, lower(font)""")
 def font_families(spark, sf_dir):
-    return X.fonts(spark.createDataFrame(_CSS, "doc_id int, css string"), "doc_id", "css")
+    return X.fonts(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.expr(_CSS).alias("css")), "doc_id", "css")
 
 
 @query("sanity_findings", r"""WITH l AS (SELECT doc_id, unnest(string_split("text", chr(10))) AS line FROM """ + _DOCS + r""") SELECT doc_id, 'suspicious token' AS category, unnest(regexp_extract_all(line, '\b(XXXX+|X{3,}|TBD|TODO|FIXME)\b')) AS found FROM l UNION ALL SELECT doc_id, 'dollar amount', unnest(regexp_extract_all(line, '\$\s?\d[\d,]*(?:\.\d+)?')) FROM l""")
 def sanity(spark, sf_dir):
-    return reports.findings(_docs(spark)).drop("line")
+    return reports.findings(_docs(spark, sf_dir)).drop("line")
+
 
+_BOTH = f"(SELECT doc_id, \"text\" FROM documents UNION ALL SELECT 1000000000 + doc_id, \"text\" FROM {_DOCS})"
 
-@query("sanity_documents", r"""SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all("text", '\b(XXXX+|X{3,}|TBD|TODO|FIXME)\b')) AS found FROM documents UNION ALL SELECT doc_id, unnest(regexp_extract_all("text", '\$\s?\d[\d,]*(?:\.\d+)?')) FROM documents) GROUP BY 1""")
+
+@query("sanity_documents", rf"""SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all("text", '\b(XXXX+|X{{3,}}|TBD|TODO|FIXME)\b')) AS found FROM {_BOTH} UNION ALL SELECT doc_id, unnest(regexp_extract_all("text", '\$\s?\d[\d,]*(?:\.\d+)?')) FROM {_BOTH}) GROUP BY 1""")
 def sanity_documents(spark, sf_dir):
-    return reports.findings(table(spark, sf_dir, "documents").select("doc_id", "text")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    both = table(spark, sf_dir, "documents").select("doc_id", "text").union(_docs(spark, sf_dir).select(F.col("doc_id") + 1_000_000_000, "text"))
+    return reports.findings(both).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query("token_rewrite", "SELECT doc_id, replace(\"text\", '{name}', '{account.name}') AS \"text\" FROM " + _DOCS)
+@query("token_rewrite", "SELECT doc_id, replace(replace(\"text\", '{name1}', '{account.name}'), '{$name1}', '{$account.name}') AS \"text\", CASE WHEN contains(\"text\", '{name1}') OR contains(\"text\", '{$name1}') THEN 0 ELSE 1 END AS n_missed FROM " + _DOCS)
 def rewrite(spark, sf_dir):
-    return tokens.rewritten(_docs(spark), {"name": "account.name"}).select("doc_id", "text")
+    return tokens.rewritten(_docs(spark, sf_dir), {"name1": "account.name"}).select("doc_id", "text", F.size("missed").alias("n_missed"))
 
 
-@query("loop_hint", "SELECT * FROM " + values([("vehicle_make", "Vehicle"), ("vehicle_driver_age", "VehicleDriver"), ("premium", None)], "name, hint"))
-def hints(spark, sf_dir):
-    names = spark.createDataFrame([("vehicle_make",), ("vehicle_driver_age",), ("premium",)], "name string")
-    return tokens.best_prefix(names, spark.createDataFrame([("vehicle", "Vehicle"), ("vehicle_driver", "VehicleDriver")], "prefix string, hint string"))
+_PREFIXES = "SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS prefix, upper(split_part(p_name, ' ', 1)) AS hint FROM part WHERE p_size % 2 = 0 UNION SELECT DISTINCT replace(p_name, ' ', '_'), replace(p_name, ' ', '') FROM part WHERE p_size % 3 = 0"
+_SNAKE = "SELECT DISTINCT replace(p_name, ' ', '_') || '_' || lower(p_type) AS name FROM part UNION SELECT DISTINCT replace(p_name, ' ', '_') FROM part"
 
 
-_MUSTACHE = [(1, "a {{ name }} b {{x.y}} {{bad-name}} [shown if due] [Item] [/Item] [ok]")]
+@query("loop_hint", f"SELECT n.name, arg_max(x.hint, length(x.prefix)) AS hint FROM ({_SNAKE}) n LEFT JOIN ({_PREFIXES}) x ON starts_with(n.name, x.prefix || '_') GROUP BY 1")
+def hints(spark, sf_dir):
+    table(spark, sf_dir, "part").createOrReplaceTempView("_hint_part")
+    named = lambda sql: spark.sql(sql.replace("FROM part", "FROM _hint_part"))
+    return tokens.best_prefix(named(_SNAKE), named(_PREFIXES))
 
 
-@query("mustache_variables", r"""SELECT doc_id, unnest(regexp_extract_all("text", '\{\{\s*([a-zA-Z_][a-zA-Z0-9_]*(?:\.[a-zA-Z_][a-zA-Z0-9_]*)*)\s*\}\}', 1)) AS name FROM """ + values(_MUSTACHE, 'doc_id, "text"'))
+@query("mustache_variables", r"""SELECT doc_id, unnest(regexp_extract_all("text", '\{\{\s*([a-zA-Z_][a-zA-Z0-9_]*(?:\.[a-zA-Z_][a-zA-Z0-9_]*)*)\s*\}\}', 1)) AS name FROM """ + _DOCS)
 def mustache(spark, sf_dir):
-    return tokens.mustache(spark.createDataFrame(_MUSTACHE, "doc_id int, text string")).drop("pos")
+    return tokens.mustache(_docs(spark, sf_dir)).drop("pos")
 
 
-@query("prose_conditionals", "SELECT 1 AS doc_id, 'shown if due' AS \"text\"")
+@query("prose_conditionals", r"""SELECT doc_id, x AS "text" FROM (SELECT doc_id, unnest(regexp_extract_all("text", '\[([^\[\]\n]{4,})\]', 1)) AS x FROM """ + _DOCS + r""") WHERE NOT regexp_matches(trim(x), '^/?[a-zA-Z_][a-zA-Z0-9_]*$')""")
 def prose(spark, sf_dir):
-    return tokens.prose_conditionals(spark.createDataFrame(_MUSTACHE, "doc_id int, text string")).drop("pos")
+    return tokens.prose_conditionals(_docs(spark, sf_dir)).drop("pos")
 
 
 @query("loop_autodetect", "SELECT page_id, 'ul' AS container, 'li' AS child, len(regexp_extract_all(html, '<li[ >]'))::INTEGER AS n FROM pages WHERE len(regexp_extract_all(html, '<li[ >]')) >= 2")

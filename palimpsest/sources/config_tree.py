@@ -17,7 +17,7 @@ PRIMITIVES = ("string", "text", "int", "number", "decimal", "boolean", "date", "
 PATHS = "section string, field string, display_name string, type string, base_type string, quantifier string, cardinality string, iterable boolean, category string, path string, iterator string, list_path string, exposure string, coverage string, options array<string>, custom_type_ref string, requires_feature string"
 CONFIG = "struct<displayName:string,contents:array<string>,charges:array<string>,category:string,data:map<string,struct<displayName:string,type:string,options:array<string>>>,coverageTerms:array<string>,qualification:string,appliesTo:string,exclusive:string,options:string,value:struct<type:string>>"
 #: Paths of every record, whatever the config (fixed).
-SYSTEM = [("locator", "Record locator", "string"), ("productName", "Product name", "string"), ("policyNumber", "Policy number", "string"), ("currency", "Currency", "string"), ("policyStartTime", "Policy start (epoch ms)", "datetime"), ("policyEndTime", "Policy end (epoch ms)", "datetime"), ("created", "Created timestamp", "datetime"), ("updated", "Last updated timestamp", "datetime")]
+SYSTEM = [("locator", "Policy/quote locator", "string"), ("productName", "Product name", "string"), ("policyNumber", "Policy number", "string"), ("currency", "Currency", "string"), ("policyStartTime", "Policy start (epoch ms)", "datetime"), ("policyEndTime", "Policy end (epoch ms)", "datetime"), ("created", "Created timestamp", "datetime"), ("updated", "Last updated timestamp", "datetime")]
 ACCOUNT = [("name", "Account name"), ("addressLine1", "Address line 1"), ("addressLine2", "Address line 2"), ("city", "City"), ("state", "State"), ("postalCode", "Postal code"), ("country", "Country"), ("email", "Email"), ("phone", "Phone")]
 
 
