@@ -560,83 +560,133 @@ def autodetect_all(spark, sf_dir):
     return tokens.repeated_children(table(spark, sf_dir, "pages"))
 
 
-@query("review_append", "SELECT * FROM " + values([("a", "old"), ("b", "old"), ("c", "new")], "leaf, final"))
+@query("review_append", "SELECT c_custkey AS leaf, 'old' AS final FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT DISTINCT o_custkey, 'new' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)")
 def review_append(spark, sf_dir):
-    ddl = "leaf string, final string"
-    return reports.appended(spark.createDataFrame([("a", "old"), ("b", "old")], ddl), spark.createDataFrame([("b", "new"), ("c", "new")], ddl))
+    old = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("leaf"), F.lit("old").alias("final"))
+    return reports.appended(old, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("leaf"), F.lit("new").alias("final")))
 
 
 # --- resolution ----------------------------------------------------------------------------------------------------
 
-LEAVES = [(1, "state", None), (1, "STATE", None), (1, "Term", None), (1, "make", "Vehicle"), (1, "limit", "Vehicle"), (1, "nothing", None), (1, "policy.data.state", None), (1, "term", "Boat")]
+#: Tokens that orders ask for: names in several spellings, within loops of brands or not.
+_LOOP = "CASE o_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'Brand' || CAST(o_custkey % 5 + 1 AS STRING) || CAST(o_orderkey % 5 + 1 AS STRING) ELSE 'Boat' END"
+_NAME = "CASE o_orderkey % 11 WHEN 0 THEN 'size' || CAST(o_custkey % 50 + 1 AS STRING) WHEN 1 THEN 'SIZE' || CAST(o_custkey % 50 + 1 AS STRING) WHEN 2 THEN 'limit_' || CAST(o_custkey % 10 * 5 AS STRING) WHEN 3 THEN 'Term ' || CAST(o_custkey % 7 AS STRING) WHEN 4 THEN 'policy.data.term' || CAST(o_custkey % 9 AS STRING) WHEN 5 THEN 'nothing' || CAST(o_custkey % 4 AS STRING) WHEN 6 THEN 'term no ' || CAST(o_custkey % 3 AS STRING) WHEN 7 THEN 'Levy' WHEN 8 THEN 'Locator' WHEN 9 THEN 'address line ' || CAST(o_custkey % 3 AS STRING) ELSE 'ze ' || CAST(o_custkey % 5 AS STRING) END"
+_ASKED = f"SELECT o_orderkey AS doc_id, {_NAME} AS name, {_LOOP} AS loop FROM orders"
 
 
-@query("leaf_match_status", "SELECT * FROM " + values([
-    (1, "state", None, "ambiguous", "exact", ""), (1, "STATE", None, "ambiguous", "exact", ""), (1, "Term", None, "resolved", "exact", "policy.data.term"), (1, "make", "Vehicle", "resolved", "exact", "vehicle.data.make"),
-    (1, "limit", "Vehicle", "resolved", "exact", "vehicle.MedPay.data.limit"), (1, "nothing", None, "unmatched", "", ""), (1, "policy.data.state", None, "resolved", "full accessor", "policy.data.state"), (1, "term", "Boat", "resolved", "exact", "policy.data.term"),
-], "doc_id, name, loop, status, match, chosen"))
+def _asked(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(_NAME).alias("name"), F.expr(_LOOP).alias("loop"))
+
+
+_BARE = lambda c: f"regexp_replace(lower(coalesce({c}, '')), '[^a-z0-9]', '', 'g')"
+#: Candidates in SQL, where segments are rendered.
+_CANDIDATES = f"""cand AS (SELECT DISTINCT CASE WHEN category IN ('system', 'policy_data') THEN 'policy.' || substr(path, 7) WHEN path LIKE '$data.%' THEN substr(path, 7) ELSE ltrim(path, '$') END AS accessor, path, field, {_BARE('field')} AS f, {_BARE('display_name')} AS d, exposure, category, NOT (category = 'exposure_system' AND field = 'name') AS offered FROM paths)"""
+_LEAF = f""", t AS (SELECT DISTINCT doc_id, name, loop, {_BARE('name')} AS n, CASE WHEN loop IN (SELECT exposure FROM cand) THEN loop END AS scope FROM ({_ASKED})),
+ k AS (SELECT DISTINCT name, n, scope FROM t),
+ h AS (SELECT k.name, k.scope, accessor, CASE WHEN lower(field) = lower(name) THEN 0 WHEN f = n THEN 1 ELSE 2 END AS tier FROM k JOIN cand ON offered AND exposure IS NOT DISTINCT FROM scope AND n <> '' AND (lower(field) = lower(name) OR f = n OR contains(d, n))),
+ best AS (SELECT name, scope, min(tier) AS tier FROM h GROUP BY ALL),
+ e AS (SELECT h.name, h.scope, best.tier AS best, list_sort(list_distinct(list(accessor) FILTER (WHERE h.tier = best.tier AND h.tier < 2))) AS exact, list_sort(list_distinct(list(accessor) FILTER (WHERE h.tier <> best.tier OR h.tier = 2))) AS rest FROM h JOIN best ON best.name = h.name AND best.scope IS NOT DISTINCT FROM h.scope GROUP BY ALL)"""
+
+
+@query("leaf_match_status", _WITH + ", " + _CANDIDATES + _LEAF + """,
+ sim AS (SELECT k.name, k.scope, list_distinct(list(accessor)) AS l FROM k JOIN cand ON offered AND exposure IS NOT DISTINCT FROM scope AND n <> '' AND contains(d, n) GROUP BY ALL),
+ j AS (SELECT t.*, coalesce(e.exact, []) AS x, list_filter(coalesce(sim.l, []), lambda a: NOT list_contains(coalesce(e.exact, []), a)) AS s, EXISTS (SELECT 1 FROM cand WHERE accessor = t.name) AS own FROM t LEFT JOIN e ON e.name = t.name AND e.scope IS NOT DISTINCT FROM t.scope LEFT JOIN sim ON sim.name = t.name AND sim.scope IS NOT DISTINCT FROM t.scope)
+ SELECT doc_id, name, loop, CASE WHEN len(x) = 1 OR len(x) = 0 AND len(s) = 1 THEN 'resolved' WHEN len(x) + len(s) > 0 THEN 'ambiguous' WHEN own THEN 'resolved' ELSE 'unmatched' END AS status,
+ CASE WHEN len(x) > 0 THEN 'exact' WHEN len(s) > 0 THEN 'name-similar' WHEN own THEN 'full accessor' ELSE '' END AS match,
+ CASE WHEN len(x) = 1 THEN x[1] WHEN len(x) = 0 AND len(s) = 1 THEN s[1] WHEN len(x) + len(s) = 0 AND own THEN name ELSE '' END AS chosen, (len(x) + len(s))::INTEGER AS n_choices FROM j""")
 def leaf_match(spark, sf_dir):
-    found = resolve.candidates(config_tree.paths(_configs(spark)), ["segment"])
-    return resolve.match_leaves(spark.createDataFrame(LEAVES, "doc_id int, name string, loop string"), found).drop("n_choices", "note")
+    found = resolve.candidates(_catalogue(spark, sf_dir), ["segment"])
+    return resolve.match_leaves(_asked(spark, sf_dir), found).drop("note")
 
 
-@query("leaf_match_quote_alias", "SELECT * FROM " + values([(1, "term", None, "resolved", "quote.data.term")], "doc_id, name, loop, status, chosen"))
+@query("leaf_match_quote_alias", _WITH + f" SELECT doc_id, name, 'resolved' AS status, 'quote.data.' || substr(name, 13) AS chosen FROM ({_ASKED}) JOIN (SELECT DISTINCT field FROM paths WHERE category = 'policy_data') ON 'policy.data.' || field = name WHERE loop IS NULL OR loop = 'Boat'")
 def leaf_match_quote(spark, sf_dir):
-    found = resolve.candidates(config_tree.paths(_configs(spark)), ["quote"])
-    return resolve.match_leaves(spark.createDataFrame([(1, "term", None)], "doc_id int, name string, loop string"), found).select("doc_id", "name", "loop", "status", "chosen")
+    """Policy data by its bare field, where quotes alone are rendered."""
+    found = resolve.candidates(_catalogue(spark, sf_dir), ["quote"])
+    t = _asked(spark, sf_dir).where("name like 'policy.data.%' and (loop is null or loop = 'Boat')")
+    out = resolve.match_leaves(t.select("doc_id", F.expr("substr(name, 13)").alias("name"), "loop"), found)
+    return out.where("status = 'resolved'").select("doc_id", F.concat(F.lit("policy.data."), "name").alias("name"), "status", "chosen")
 
 
-@query("strict_match", "SELECT * FROM " + values([(1, "Vehicle.make", "$vehicle.data.make"), (1, "vehicle.MAKE", "$vehicle.data.make"), (1, "make", None)], "doc_id, name, path"))
+_ENTITY = "CASE o_orderkey % 4 WHEN 0 THEN lower(l) || '.size' || n WHEN 1 THEN l || '.SIZE' || n WHEN 2 THEN 'policy.Term' || n ELSE 'size' || n END"
+_ENTITIES = f"SELECT o_orderkey AS doc_id, {_ENTITY} AS name FROM (SELECT o_orderkey, 'Brand' || CAST(o_custkey % 5 + 1 AS STRING) || CAST(o_orderkey % 5 + 1 AS STRING) AS l, CAST(o_custkey % 50 + 1 AS STRING) AS n FROM orders)"
+
+
+@query("strict_match", _WITH + f""" SELECT t.doc_id, t.name, min(path) AS path FROM ({_ENTITIES}) t LEFT JOIN paths ON contains(t.name, '.') AND lower(coalesce(exposure, 'policy')) = lower(split_part(t.name, '.', 1)) AND lower(field) = lower(split_part(t.name, '.', 2)) GROUP BY t.doc_id, t.name""")
 def strict_match(spark, sf_dir):
-    t = spark.createDataFrame([(1, "Vehicle.make"), (1, "vehicle.MAKE"), (1, "make")], "doc_id int, name string")
-    return resolve.strict_match(t, config_tree.paths(_configs(spark)))
+    table(spark, sf_dir, "orders").createOrReplaceTempView("_strict_orders")
+    return resolve.strict_match(spark.sql(_ENTITIES.replace("FROM orders", "FROM _strict_orders")), _catalogue(spark, sf_dir))
 
 
-_SCOPES = [(1, "a", "$vehicle", "Vehicle", None), (1, "b", "$vehicle", None, "vehicles"), (1, "c", "$vehicle", "Driver", None), (1, "d", None, None, None)]
+_SCOPED = "SELECT o_orderkey AS doc_id, CASE o_orderkey % 4 WHEN 0 THEN NULL ELSE '$brand' || CAST(o_custkey % 5 + 1 AS STRING) || CAST(o_orderkey % 5 + 1 AS STRING) END AS iterator, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'Brand' || CAST(o_custkey % 5 + 1 AS STRING) || CAST(o_orderkey % 5 + 1 AS STRING) WHEN 2 THEN 'brand' || CAST(o_custkey % 3 + 1 AS STRING) || CAST(o_orderkey % 5 + 1 AS STRING) || 's' ELSE 'Boat' END AS loop, CASE o_orderkey % 7 WHEN 0 THEN 'BRAND' || CAST(o_custkey % 5 + 1 AS STRING) || CAST(o_orderkey % 5 + 1 AS STRING) ELSE NULL END AS loop_hint FROM orders"
 
 
-@query("scope_check", "SELECT * FROM " + values([(1, "a", "satisfied"), (1, "b", "violated_with_hint"), (1, "c", "violated_no_hint"), (1, "d", "not_required")], "doc_id, name, scope"))
+@query("scope_check", _WITH + f""", n AS (SELECT lower(iterator) AS is_, unnest([lower(brand), lower(iterator), lower(substr(list_path, 7))]) AS key FROM own WHERE quantifier IN ('+', '*')), t AS (SELECT *, lower(ltrim(iterator, '$')) AS it FROM ({_SCOPED}))
+ SELECT doc_id, CASE WHEN it IS NULL THEN 'not_required' WHEN lower(loop) = it OR EXISTS (SELECT 1 FROM n WHERE key = lower(t.loop) AND is_ = t.it) THEN 'satisfied' WHEN lower(loop_hint) = it OR EXISTS (SELECT 1 FROM n WHERE key = lower(t.loop_hint) AND is_ = t.it) THEN 'violated_with_hint' ELSE 'violated_no_hint' END AS scope FROM t""")
 def scope_check(spark, sf_dir):
-    return resolve.scope_check(spark.createDataFrame(_SCOPES, "doc_id int, name string, iterator string, loop string, loop_hint string"), config_tree.iterables(_configs(spark))).select("doc_id", "name", "scope")
+    table(spark, sf_dir, "orders").createOrReplaceTempView("_scoped_orders")
+    return resolve.scope_check(spark.sql(_SCOPED.replace("FROM orders", "FROM _scoped_orders")), config_tree.iterables(_configs(spark, sf_dir))).select("doc_id", "scope")
 
 
-_LOOPED = [(1, "Vehicle", "make"), (1, "Vehicle", "the_make"), (1, "Vehicle", "medpay_limit"), (1, "Vehicle", "medpay_limit_extra"), (1, "Vehicle", "MAKE"), (1, "Vehicle", "zzz")]
+_FIELD_OF = "CASE o_orderkey % 6 WHEN 0 THEN 'size' || n WHEN 1 THEN 'the_size' || n WHEN 2 THEN lower(t) || '_limit' || m WHEN 3 THEN 'SIZE' || n WHEN 4 THEN lower(t) || '_of_limit' || m ELSE 'zzz' || n END"
+_LOOPED = f"SELECT o_orderkey AS doc_id, e AS exposure, {_FIELD_OF} AS name FROM (SELECT o_orderkey, 'Brand' || CAST(o_custkey % 5 + 1 AS STRING) || CAST(o_orderkey % 5 + 1 AS STRING) AS e, CAST(o_custkey % 50 + 1 AS STRING) AS n, CAST(o_custkey % 10 * 5 + 5 AS STRING) AS m, (SELECT max(p_type) FROM part) AS t FROM orders)"
 
 
-@query("loop_field_fuzzy", "SELECT * FROM " + values([(1, "Vehicle", "make", "$vehicle.data.make", "exact"), (1, "Vehicle", "the_make", "$vehicle.data.make", "fuzzy"), (1, "Vehicle", "medpay_limit", "$vehicle.MedPay.data.limit", "exact"), (1, "Vehicle", "medpay_limit_extra", "$vehicle.MedPay.data.limitExtra", "exact"), (1, "Vehicle", "MAKE", "$vehicle.data.make", "exact"), (1, "Vehicle", "zzz", "", "none")], "doc_id, exposure, name, path, match"))
+@query("loop_field_fuzzy", _WITH + f""", t AS (SELECT * FROM ({_LOOPED})), x AS (
+ SELECT t.doc_id, 0 AS ord, path, 'exact' AS kind FROM t JOIN paths p ON p.exposure = t.exposure AND p.coverage IS NULL AND lower(p.field) = lower(replace(t.name, '_', ''))
+ UNION ALL SELECT t.doc_id, 1, path, 'fuzzy' FROM t JOIN paths p ON p.exposure = t.exposure AND p.coverage IS NULL AND lower(p.field) = lower(string_split(t.name, '_')[-1])
+ UNION ALL SELECT t.doc_id, 2, path, 'exact' FROM t JOIN paths p ON p.exposure = t.exposure AND lower(p.coverage) = lower(split_part(t.name, '_', 1)) AND contains(t.name, '_') AND lower(p.field) = lower(replace(substr(t.name, length(split_part(t.name, '_', 1)) + 2), '_', ''))
+ UNION ALL SELECT t.doc_id, 3, path, 'exact' FROM t JOIN paths p ON p.exposure = t.exposure AND lower(p.coverage) = lower(split_part(t.name, '_', 1)) AND contains(t.name, '_') AND lower(p.field) = lower(string_split(t.name, '_')[-1]))
+ SELECT t.doc_id, t.exposure, t.name, coalesce(arg_min(x.path, (x.ord, x.path)), '') AS path, coalesce(arg_min(x.kind, (x.ord, x.path)), 'none') AS match FROM t LEFT JOIN x USING (doc_id) GROUP BY ALL""")
 def loop_fields(spark, sf_dir):
-    return resolve.loop_fields(spark.createDataFrame(_LOOPED, "doc_id int, exposure string, name string"), config_tree.paths(_configs(spark)))
+    table(spark, sf_dir, "orders").createOrReplaceTempView("_looped_orders")
+    table(spark, sf_dir, "part").createOrReplaceTempView("_looped_part")
+    t = spark.sql(_LOOPED.replace("FROM orders", "FROM _looped_orders").replace("FROM part", "FROM _looped_part"))
+    return resolve.loop_fields(t, _catalogue(spark, sf_dir))
 
 
-@query("loop_roots", "SELECT * FROM " + values([(1, "Vehicle", "$data.vehicles", "exact", False), (1, "Policy", "$data.policies", "none", True)], "doc_id, loop, list_path, match, synthesised"))
+@query("loop_roots", _WITH + f""" SELECT t.doc_id, t.loop, coalesce(own.list_path, '$data.' || CASE WHEN t.loop = 'Boat' THEN 'boats' ELSE lower(left(t.loop, 1)) || substr(t.loop, 2) || 's' END) AS list_path, CASE WHEN own.list_path IS NULL THEN 'none' ELSE 'exact' END AS match, own.list_path IS NULL AS synthesised FROM ({_ASKED}) t LEFT JOIN own ON own.brand = t.loop AND own.quantifier IN ('+', '*') WHERE t.loop IS NOT NULL""")
 def loop_roots(spark, sf_dir):
-    return resolve.loop_roots(spark.createDataFrame([(1, "Vehicle"), (1, "Policy")], "doc_id int, loop string"), config_tree.iterables(_configs(spark)), True)
+    return resolve.loop_roots(_asked(spark, sf_dir).where("loop is not null").select("doc_id", "loop"), config_tree.iterables(_configs(spark, sf_dir)), True)
 
 
-_VERDICTS = [(1, "a", "$data.data.x", "exact"), (1, "b", "$data.locator", "exact"), (1, "c", "$data.zz", "fuzzy"), (1, "d", None, "none")]
+_JUDGED = "SELECT o_orderkey AS doc_id, CASE o_orderkey % 5 WHEN 0 THEN '$data.data.term' || CAST(o_custkey % 12 AS STRING) WHEN 1 THEN '$data.locator' WHEN 2 THEN '$data.no' || CAST(o_custkey % 3 AS STRING) WHEN 3 THEN NULL ELSE '$data.currency' END AS path, CASE o_custkey % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'fuzzy' ELSE 'none' END AS match FROM orders"
 
 
-@query("verdict_grid", "SELECT * FROM " + values([(1, "a", "quote", "$data.quote.data.x", "verified", "high"), (1, "a", "segment", "", "sibling_only", "low"), (1, "b", "quote", "", "sibling_only", "low"), (1, "b", "segment", "$data.policy.locator", "verified", "high"), (1, "c", "quote", "", "not_found", "none"), (1, "c", "segment", "", "not_found", "none"), (1, "d", "quote", "", "skipped", "none"), (1, "d", "segment", "", "skipped", "none")], "doc_id, name, root, data_source, status, confidence"))
+@query("verdict_grid", _WITH + f""", own_paths AS (SELECT 'quote' AS root, '$data.quote.' || substr(path, 7) AS at_path FROM paths WHERE category = 'policy_data' OR path = '$data.currency' UNION SELECT 'segment', '$data.policy.' || substr(path, 7) FROM paths WHERE category = 'system'),
+ g AS (SELECT t.*, r.root, CASE WHEN path IS NULL THEN NULL WHEN r.root = 'quote' THEN '$data.quote.' || substr(path, 7) WHEN path LIKE '$data.data.%' THEN '$data.segment.' || substr(path, 7) ELSE '$data.policy.' || substr(path, 7) END AS at_path FROM ({_JUDGED}) t, (VALUES ('quote'), ('segment')) r(root)),
+ j AS (SELECT g.*, CASE WHEN path IS NULL THEN 'skipped' WHEN EXISTS (SELECT 1 FROM own_paths o WHERE o.root = g.root AND o.at_path = g.at_path) THEN 'verified' WHEN EXISTS (SELECT 1 FROM own_paths o WHERE o.root <> g.root AND regexp_replace(o.at_path, '^\\$data\\.(quote|segment|policy)\\.', '') = regexp_replace(g.at_path, '^\\$data\\.(quote|segment|policy)\\.', '')) THEN 'sibling_only' ELSE 'not_found' END AS status FROM g)
+ SELECT doc_id, root, CASE WHEN status = 'verified' THEN at_path ELSE '' END AS data_source, status, CASE WHEN match <> 'exact' THEN 'none' WHEN status = 'verified' THEN 'high' ELSE 'low' END AS confidence FROM j""")
 def verdict_grid(spark, sf_dir):
-    own = spark.createDataFrame([("quote", "$data.quote.data.x"), ("segment", "$data.policy.locator")], "root string, path string")
-    return resolve.verdicts(spark.createDataFrame(_VERDICTS, "doc_id int, name string, path string, match string"), spark.createDataFrame([("quote",), ("segment",)], "root string"), own)
+    found = _catalogue(spark, sf_dir)
+    under = lambda key: F.concat(F.lit(f"$data.{key}."), F.expr("substr(path, 7)"))
+    own = found.where("category = 'policy_data' or path = '$data.currency'").select(F.lit("quote").alias("root"), under("quote").alias("path"))
+    own = own.union(found.where("category = 'system'").select(F.lit("segment"), under("policy")))
+    table(spark, sf_dir, "orders").createOrReplaceTempView("_judged_orders")
+    t = spark.sql(_JUDGED.replace("FROM orders", "FROM _judged_orders")).withColumn("name", F.lit("x"))
+    return resolve.verdicts(t, spark.createDataFrame([("quote",), ("segment",)], "root string"), own).drop("name")
+
+
+_GATED = "SELECT o_orderkey AS doc_id, CASE o_orderkey % 3 WHEN 0 THEN 'jurisdiction' ELSE 'f' || CAST(o_custkey AS STRING) END AS field, CASE o_custkey % 5 WHEN 0 THEN 'peril_based' WHEN 1 THEN 'coverage_terms' WHEN 2 THEN 'unknown_flag' WHEN 3 THEN '' ELSE NULL END AS requires_feature FROM orders"
 
 
-@query("feature_gate", "SELECT * FROM " + values([("jurisdiction", None, "jurisdictional_scopes"), ("x", "peril_based", None), ("y", "unknown_flag", None), ("z", None, None)], "field, requires_feature, gate"))
+@query("feature_gate", f"SELECT doc_id, field, requires_feature, CASE coalesce(nullif(requires_feature, ''), CASE WHEN field = 'jurisdiction' THEN 'jurisdictional_scopes' END) WHEN 'peril_based' THEN 'peril_based' WHEN 'jurisdictional_scopes' THEN 'jurisdictional_scopes' END AS gate FROM ({_GATED})")
 def feature_gate(spark, sf_dir):
-    flags = spark.createDataFrame([("jurisdictional_scopes", False), ("peril_based", True)], "flag string, enabled boolean")
-    return resolve.feature_gates(spark.createDataFrame([("jurisdiction", None), ("x", "peril_based"), ("y", "unknown_flag"), ("z", None)], "field string, requires_feature string"), flags)
+    table(spark, sf_dir, "orders").createOrReplaceTempView("_gated_orders")
+    return resolve.feature_gates(spark.sql(_GATED.replace("FROM orders", "FROM _gated_orders")), config_tree.features(_configs(spark, sf_dir)))
 
 
-@query("lookup_precedence", "SELECT * FROM " + values([("policy.data.term", "$data.data.term"), ("term", "$data.data.term"), ("license", "$driver.data.license")], "key, path"))
+@query("lookup_precedence", _WITH + ", " + _CANDIDATES + ", k AS (SELECT accessor AS key, path, 0 AS rank FROM cand UNION ALL SELECT field, path, 1 FROM cand) SELECT key, arg_min(path, (rank, path)) AS path FROM k GROUP BY key")
 def lookup_precedence(spark, sf_dir):
-    return resolve.path_lookup(config_tree.paths(_configs(spark))).where("key in ('policy.data.term', 'term', 'license')")
+    return resolve.path_lookup(_catalogue(spark, sf_dir))
 
 
-@query("condition_paths", "SELECT * FROM " + values([("term", "policy.data.term", None), ("policy.currency", "policy.currency", None), ("make", None, "unknown")], "name, accessor, problem"))
+@query("condition_paths", _WITH + ", " + _CANDIDATES + f""", own_c AS (SELECT * FROM cand WHERE split_part(accessor, '.', 1) = 'policy'), t AS (SELECT DISTINCT name FROM ({_ASKED}) UNION SELECT field FROM cand)
+ SELECT name, CASE WHEN name IN (SELECT accessor FROM own_c) THEN name WHEN n = 1 THEN one END AS accessor, CASE WHEN name IN (SELECT accessor FROM own_c) OR n = 1 THEN NULL WHEN n > 1 THEN 'ambiguous' ELSE 'unknown' END AS problem
+ FROM (SELECT t.name, count(DISTINCT accessor) AS n, min(accessor) AS one FROM t LEFT JOIN own_c ON own_c.field = t.name GROUP BY 1)""")
 def condition_paths(spark, sf_dir):
-    found = resolve.candidates(config_tree.paths(_configs(spark)), ["segment"])
-    return resolve.condition_paths(spark.createDataFrame([("term",), ("policy.currency",), ("make",)], "name string"), found, "policy")
+    found = resolve.candidates(_catalogue(spark, sf_dir), ["segment"])
+    return resolve.condition_paths(_asked(spark, sf_dir).select("name").union(found.select("field")).distinct(), found, "policy")
 
 
 # --- reports and merges --------------------------------------------------------------------------------------------
