@@ -1,9 +1,12 @@
-"""Reference graphs among text blocks: cycles, order, depth. They are as small as the rules; rows never enter them."""
+"""Reference graphs among text blocks: cycles, order, depth. A graph is as small as a set of rules, but there may be many."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
+from pyspark.sql import DataFrame
+
 
 def find_cycle(refs: Mapping[str, Sequence[str]]) -> list[str] | None:
     """One cycle as a path whose last is its first, or None. References to what isn't there count for nothing."""
@@ -60,3 +63,69 @@ def parents(refs: Mapping[str, Sequence[str]]) -> dict[str, tuple[str | None, in
             depth += 1
         out[key] = (parent[key], depth)
     return out
+
+
+def _by_key(pdf: pd.DataFrame) -> dict[str, list[str]]:
+    refs: dict[str, list[str]] = {k: [] for k in sorted({*pdf.a})}
+    for a, b in sorted(zip(pdf.a, pdf.b, strict=True)):
+        refs[a].append(b)
+    return refs
+
+
+def on_cycles(refs: Mapping[str, Sequence[str]]) -> set[str]:
+    """The keys that lead back to themselves (Tarjan's components, without recursion)."""
+    index: dict[str, int] = {}
+    low: dict[str, int] = {}
+    stack: list[str] = []
+    out: set[str] = set()
+    for root in refs:
+        if root in index:
+            continue
+        work = [(root, iter([r for r in refs[root] if r in refs]))]
+        index[root] = low[root] = len(index)
+        stack.append(root)
+        while work:
+            key, left = work[-1]
+            for r in left:
+                if r not in index:
+                    index[r] = low[r] = len(index)
+                    stack.append(r)
+                    work.append((r, iter([x for x in refs[r] if x in refs])))
+                    break
+                if r in stack:
+                    low[key] = min(low[key], index[r])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[key])
+                if low[key] == index[key]:
+                    part = stack[stack.index(key) :]
+                    del stack[-len(part) :]
+                    if len(part) > 1 or key in refs[key]:
+                        out.update(part)
+    return out
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """g, cyclic, n_in_cycles of every graph of edges (g, a, b): a refers to b. References to what isn't there count for nothing."""
+
+    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = on_cycles(_by_key(pdf))
+        return pd.DataFrame({"g": [pdf.g.iloc[0]], "cyclic": [bool(found)], "n_in_cycles": [len(found)]})
+
+    return edges.groupBy("g").applyInPandas(judge, "g long, cyclic boolean, n_in_cycles long")
+
+
+def levels(edges: DataFrame) -> DataFrame:
+    """g, key, depth of every node of graphs without cycles: the longest way from a key that none refers to."""
+
+    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
+        refs = _by_key(pdf)
+        refs |= {b: [] for b in sorted({*pdf.b}) if b not in refs}
+        depth = dict.fromkeys(refs, 0)
+        for key in reversed(ordered(refs)):  # what refers to a key comes before it
+            for r in refs[key]:
+                depth[r] = max(depth[r], depth[key] + 1)
+        return pd.DataFrame({"g": pdf.g.iloc[0], "key": list(depth), "depth": list(depth.values())})
+
+    return edges.groupBy("g").applyInPandas(judge, "g long, key string, depth int")

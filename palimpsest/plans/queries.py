@@ -134,19 +134,26 @@ def rule_checks(spark, sf_dir):
     return variants.checks(sheet).withColumn("error", F.array_join("errors", "; ")).drop("errors")
 
 
-_GRAPHS = [("a,b", ["a>b", "b>"], ""), ("loop", ["a>b", "b>c", "c>a"], "a b c a"), ("self", ["a>a"], "a a"), ("missing", ["a>z"], "")]
+#: Graphs of rules out of the tables: of an order, part refers to supplier, and supplier to the next line's part.
+_EDGES = "SELECT DISTINCT o_custkey % 40 AS g, 'n' || CAST(o_orderkey % 13 AS STRING) AS a, 'n' || CAST((o_orderkey % 13 * 3 + o_custkey) % 17 AS STRING) AS b FROM orders WHERE o_orderkey % (5 + o_custkey % 40) = 0"
 
 
-@query("cycle_detect", "SELECT name, cycle FROM " + values([(n, c) for n, _, c in _GRAPHS], "name, cycle"))
+def _edges(spark, sf_dir):
+    table(spark, sf_dir, "orders").createOrReplaceTempView("_edge_orders")
+    return spark.sql(_EDGES.replace("FROM orders", "FROM _edge_orders"))
+
+
+@query("cycle_detect", f"""WITH RECURSIVE e AS (SELECT * FROM ({_EDGES}) WHERE b IN ('n0', 'n1', 'n2', 'n3', 'n4', 'n5', 'n6', 'n7', 'n8', 'n9', 'n10', 'n11', 'n12')), r(g, a, b) AS (SELECT g, a, b FROM e UNION SELECT r.g, r.a, e.b FROM r JOIN e ON e.g = r.g AND e.a = r.b)
+ SELECT g, bool_or(coalesce(r.a = r.b, false)) AS cyclic, count(DISTINCT CASE WHEN r.a = r.b THEN r.a END) AS n_in_cycles FROM (SELECT DISTINCT g FROM ({_EDGES})) LEFT JOIN r USING (g) GROUP BY g""")
 def cycles(spark, sf_dir):
-    rows = [(n, " ".join(graph.find_cycle({e.split(">")[0]: [t for t in [e.split(">")[1]] if t] for e in es}) or [])) for n, es, _ in _GRAPHS]
-    return spark.createDataFrame(rows, "name string, cycle string")
+    """Whether each graph has a cycle, and how many of its nodes lie on one. A graph is as small as a set of rules; graphs are many."""
+    return graph.cycles(_edges(spark, sf_dir))
 
 
-@query("topo_levels", "WITH RECURSIVE refs(a, b) AS (SELECT * FROM " + values([("outer", "mid"), ("mid", "leaf"), ("other", "leaf")], "a, b") + "), steps(key, depth) AS (SELECT 'outer', 0 UNION ALL SELECT refs.b, steps.depth + 1 FROM steps JOIN refs ON refs.a = steps.key) SELECT key, max(depth)::INTEGER AS depth FROM steps GROUP BY key UNION ALL SELECT 'other', 0")
+@query("topo_levels", f"""WITH RECURSIVE e AS (SELECT g, a, b FROM ({_EDGES}) WHERE CAST(substr(a, 2) AS INT) < CAST(substr(b, 2) AS INT)), d(g, key, depth) AS (SELECT DISTINCT g, a, 0 FROM e WHERE (g, a) NOT IN (SELECT (g, b) FROM e) UNION SELECT e.g, e.b, d.depth + 1 FROM d JOIN e ON e.g = d.g AND e.a = d.key) SELECT g, key, max(depth)::INTEGER AS depth FROM d GROUP BY ALL""")
 def levels(spark, sf_dir):
-    found = graph.parents({"outer": ["mid"], "mid": ["leaf"], "other": ["leaf"], "leaf": []})
-    return spark.createDataFrame([(k, d) for k, (_, d) in found.items()], "key string, depth int")
+    """The longest way to each node from one that nothing refers to, in graphs without cycles."""
+    return graph.levels(_edges(spark, sf_dir).where("cast(substr(a, 2) as int) < cast(substr(b, 2) as int)"))
 
 
 # --- nested records ------------------------------------------------------------------------------------------------
@@ -698,10 +705,20 @@ def confidence(spark, sf_dir):
     return reports.confidence_counts(table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("root"), named.alias("confidence")))
 
 
-@query("next_action_counts", "SELECT * FROM " + values([("supply-from-plugin", 1), ("restructure-template", 0), ("pick-one", 2), ("confirm-assumption", 0), ("delete-from-template", 0)], "action, n"))
+_ACTIONS = "'pick-one', 'supply-from-plugin', 'confirm-assumption', 'delete-from-template'"
+_REASON = f"'why ' || CAST(o_orderkey AS STRING) || CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN ' — next-action: pick-one' WHEN 2 THEN ' — next-action: supply-from-plugin' WHEN 3 THEN ' —  next-action:  confirm-assumption' ELSE ' next-action: delete-from-template' END"
+
+
+@query("next_action_counts", f"WITH r AS (SELECT {_REASON} AS reason FROM orders WHERE o_orderstatus = 'F') SELECT a AS action, (SELECT count(*) FROM r WHERE regexp_matches(reason, 'next-action:\\s*' || a)) AS n FROM (VALUES ('supply-from-plugin'), ('restructure-template'), ('pick-one'), ('confirm-assumption'), ('delete-from-template')) t(a)")
 def next_actions(spark, sf_dir):
-    rows = [("q", "x — next-action: pick-one"), ("q", "y — next-action: pick-one"), ("q", "next-action: supply-from-plugin"), ("s", "next-action: pick-one"), ("q", "none")]
-    return reports.next_action_counts(spark.createDataFrame(rows, "root string, reason string"), "q").withColumn("n", F.col("n").cast("int"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("root"), F.expr(_REASON).alias("reason"))
+    return reports.next_action_counts(o, "F")
+
+
+@query("reason_texts", f"SELECT o_orderkey, CASE o_orderkey % 5 WHEN 1 THEN 'pick-one' WHEN 2 THEN 'supply-from-plugin' WHEN 3 THEN 'confirm-assumption' WHEN 4 THEN 'delete-from-template' ELSE '' END AS action, 'why ' || o_orderkey || CASE WHEN o_orderkey % 5 = 4 THEN ' next-action: delete-from-template' ELSE '' END AS plain FROM orders")
+def reasons(spark, sf_dir):
+    reason = F.expr(_REASON)
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.next_action(reason).alias("action"), X.without_next_action(reason).alias("plain"))
 
 
 @query("leg_status", """SELECT o_custkey AS doc_id, CASE WHEN r + u + d = 0 AND b = 0 THEN 'EMPTY' WHEN r + u + d = 0 THEN 'CONDITIONAL-ONLY' WHEN u = 0 THEN 'COMPLETE' WHEN r = 0 AND d = 0 THEN 'BLOCKED' ELSE 'PARTIAL' END AS state FROM (
@@ -711,57 +728,82 @@ def states(spark, sf_dir):
     return reports.substitution_state(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), kind.alias("kind"))).select("doc_id", "state")
 
 
-_OLD, _NEW = [("a", "x", "old a"), ("b", "", "old b"), ("gone", "", "old")], [("a", "", ""), ("b", "", ""), ("new", "", "")]
+#: A sheet that people filled in, and the one that a changed template asks for.
+_OLD = "SELECT 'k' || CAST(o_custkey AS STRING) AS key, o_orderpriority AS cond, 'old ' || CAST(o_orderkey AS STRING) AS body FROM orders WHERE o_custkey % 4 <> 0"
+_NEW = "SELECT 'k' || CAST(c_custkey AS STRING) AS key, '' AS cond, '' AS body FROM customer WHERE c_custkey % 3 <> 0"
+
+
+def _sheets(spark, sf_dir):
+    table(spark, sf_dir, "orders").createOrReplaceTempView("_old_orders")
+    table(spark, sf_dir, "customer").createOrReplaceTempView("_new_customer")
+    return spark.sql(_OLD.replace("FROM orders", "FROM _old_orders")), spark.sql(_NEW.replace("FROM customer", "FROM _new_customer"))
 
 
-@query("merge_keep_drop_append", "SELECT * FROM " + values([("a", "x", "old a"), ("b", "", "old b"), ("new", "", "")], 'key, "when", "text"'))
+@query("merge_keep_drop_append", f"SELECT * FROM ({_OLD}) WHERE key IN (SELECT key FROM ({_NEW})) UNION ALL SELECT * FROM ({_NEW}) WHERE key NOT IN (SELECT key FROM ({_OLD}))")
 def merge(spark, sf_dir):
-    ddl = "key string, when string, text string"
-    return reports.reconciled(spark.createDataFrame(_OLD, ddl), spark.createDataFrame(_NEW, ddl))
+    return reports.reconciled(*_sheets(spark, sf_dir))
 
 
-@query("orphan_keys", "SELECT 'gone' AS key")
+@query("orphan_keys", f"SELECT DISTINCT key FROM ({_OLD}) EXCEPT SELECT key FROM ({_NEW})")
 def orphan_keys(spark, sf_dir):
-    ddl = "key string, when string, text string"
-    return reports.orphans(spark.createDataFrame(_OLD, ddl), spark.createDataFrame(_NEW, ddl))
+    return reports.orphans(*_sheets(spark, sf_dir))
 
 
-@query("missing_keys_highwater", "SELECT * FROM " + values([("clause", "clause"), ("cond1", "cond8")], "key, name"))
+_REQUIRED = "SELECT DISTINCT CASE o_orderkey % 2 WHEN 0 THEN 'cond' || CAST(o_custkey AS STRING) ELSE 'clause' || CAST(o_custkey AS STRING) END AS key FROM orders"
+_EXISTING = "SELECT CASE c_custkey % 2 WHEN 0 THEN 'cond' || CAST(c_custkey AS STRING) ELSE 'clause' || CAST(c_custkey AS STRING) END AS key FROM customer WHERE c_custkey % 3 = 0"
+
+
+@query("missing_keys_highwater", f"WITH h AS (SELECT coalesce(max(CAST(substr(key, 5) AS INT)), 0) AS high FROM ({_EXISTING}) WHERE key LIKE 'cond%') SELECT key, CASE WHEN key LIKE 'cond%' THEN 'cond' || (high + CAST(substr(key, 5) AS INT)) ELSE key END AS name FROM ({_REQUIRED}), h WHERE key NOT IN (SELECT key FROM ({_EXISTING}))")
 def missing_keys(spark, sf_dir):
-    return reports.missing_keys(spark.createDataFrame([("clause",), ("cond1",), ("cond7",)], "key string"), spark.createDataFrame([("cond7",), ("cond2",)], "key string"))
+    table(spark, sf_dir, "orders").createOrReplaceTempView("_required_orders")
+    table(spark, sf_dir, "customer").createOrReplaceTempView("_existing_customer")
+    return reports.missing_keys(spark.sql(_REQUIRED.replace("FROM orders", "FROM _required_orders")), spark.sql(_EXISTING.replace("FROM customer", "FROM _existing_customer")))
 
 
-@query("provenance", "SELECT * FROM " + values([("a", "A", "suggested"), ("b", "B2", "override"), ("c", "C", "selection"), ("d", None, "needs human")], "leaf, final, provenance"))
+@query("provenance", """SELECT coalesce(c_custkey, o_custkey) AS leaf, coalesce(final, suggested) AS final, CASE WHEN final IS NULL AND suggested IS NULL THEN 'needs human' WHEN final IS NULL OR final = suggested THEN 'suggested' WHEN suggested IS NULL THEN 'selection' ELSE 'override' END AS provenance FROM
+ (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_mktsegment END AS suggested FROM customer) FULL OUTER JOIN (SELECT o_custkey, CASE min(o_custkey % 4) WHEN 0 THEN NULL WHEN 1 THEN 'BUILDING' ELSE max(o_orderpriority) END AS final FROM orders GROUP BY 1) ON c_custkey = o_custkey""")
 def provenance(spark, sf_dir):
-    prior = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", None), ("d", None)], "leaf string, suggested string")
-    return resolve.applied(prior, spark.createDataFrame([("a", "A"), ("b", "B2"), ("c", "C"), ("d", " ")], "leaf string, final string"))
+    prior = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("leaf"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment")).alias("suggested"))
+    given = F.when(F.col("o_custkey") % 4 == 0, F.lit("  ")).when(F.col("o_custkey") % 4 == 1, F.lit(" BUILDING")).otherwise(F.col("p"))
+    review = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_orderpriority").alias("p")).select(F.col("o_custkey").alias("leaf"), given.alias("final"))
+    return resolve.applied(prior, review)
+
+
+_KINDS = "SELECT 'k' || CAST(c_custkey AS STRING) AS key, CASE c_custkey % 4 WHEN 0 THEN 'presence' WHEN 1 THEN 'loop' ELSE 'text' END AS kind FROM customer WHERE c_custkey % 5 <> 0"
 
 
-@query("rules_meet_blocks", "SELECT * FROM " + values([("a", "text", None), ("b", "text", "missing rows"), ("p", "presence", None), ("z", None, "orphan")], "key, kind, problem"))
+@query("rules_meet_blocks", f"SELECT coalesce(r.key, b.key) AS key, kind, CASE WHEN r.key IS NULL AND kind <> 'presence' THEN 'missing rows' WHEN kind IS NULL THEN 'orphan' END AS problem FROM (SELECT DISTINCT key FROM ({_OLD})) r FULL OUTER JOIN ({_KINDS}) b ON r.key = b.key")
 def rules_meet_blocks(spark, sf_dir):
-    return resolve.merged_rules(spark.createDataFrame([("a",), ("z",)], "key string"), spark.createDataFrame([("a", "text"), ("b", "text"), ("p", "presence")], "key string, kind string"))
+    old, _ = _sheets(spark, sf_dir)
+    return resolve.merged_rules(old, spark.sql(_KINDS.replace("FROM customer", "FROM _new_customer")))
 
 
-@query("existing_keys", "SELECT * FROM " + values([("cond1", 2), ("name", 1)], "key, n"))
+_CODE = "'Map render(Record r) { m.put(' || chr(34) || 'cond' || CAST(o_orderkey % 90 AS STRING) || chr(34) || ', x); m.put( ' || chr(34) || 'name' || CAST(o_custkey % 7 AS STRING) || chr(34) || ', y); }' || CASE WHEN o_orderkey % 3 = 0 THEN ' void other() { put(' || chr(34) || 'cond' || CAST(o_orderkey % 90 AS STRING) || chr(34) || ', z); }' ELSE '' END"
+
+
+@query("existing_keys", f"SELECT key, count(*) AS n FROM (SELECT unnest(regexp_extract_all({_CODE}, 'put\\(\\s*\"([^\"]+)\"', 1)) AS key FROM orders) GROUP BY 1")
 def existing_keys(spark, sf_dir):
-    source = spark.createDataFrame([('m.put("cond1", x); m.put( "name", y);',), ('m.put("cond1", z);',)], "text string")
-    return documents.existing_keys(source).withColumn("n", F.col("n").cast("int"))
+    return documents.existing_keys(table(spark, sf_dir, "orders").select(F.expr(_CODE).alias("text")))
 
 
-@query("output_audit", "SELECT * FROM " + values([(2, 2, "$TBD_x|{name}")], "doc_id, n_left, found"))
+@query("output_audit", f"""SELECT doc_id, len(l)::INTEGER AS n_left, list_aggregate(list_sort(list_distinct(l)), 'string_agg', '|') AS found FROM (SELECT doc_id, regexp_extract_all("text", '\\$(?:\\w+\\.)?TBD_\\w+(?:\\.\\w+)*|\\{{[$+*]?[a-zA-Z_][a-zA-Z0-9_.]*\\}}|\\[\\[[^\\[\\]]*\\]\\]') AS l FROM {_DOCS}) WHERE len(l) > 0""")
 def audit(spark, sf_dir):
-    rendered = spark.createDataFrame([(1, "all done"), (2, "Dear {name}, $TBD_x.")], "doc_id int, text string")
-    return reports.audit(rendered).select("doc_id", "n_left", F.array_join("left", "|").alias("found"))
+    return reports.audit(_docs(spark, sf_dir)).select("doc_id", "n_left", F.array_join("left", "|").alias("found"))
+
+
+_IN_LOOPS = "SELECT l_orderkey AS doc_id, 'f' || CAST(l_partkey % 5 AS STRING) AS name, CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE 'L' || CAST(l_suppkey % 3 AS STRING) END AS loop FROM lineitem"
 
 
-@query("reused_names", "SELECT * FROM " + values([(1, "total", 2)], "doc_id, name, n_loops"))
+@query("reused_names", f"SELECT doc_id, name, count(DISTINCT loop) AS n_loops FROM ({_IN_LOOPS}) GROUP BY 1, 2 HAVING count(DISTINCT loop) >= 2")
 def reused(spark, sf_dir):
-    return reports.reused_names(spark.createDataFrame([(1, "total", "A"), (1, "total", "B"), (1, "x", "A"), (1, "y", None)], "doc_id int, name string, loop string")).withColumn("n_loops", F.col("n_loops").cast("int"))
+    table(spark, sf_dir, "lineitem").createOrReplaceTempView("_loop_lines")
+    return reports.reused_names(spark.sql(_IN_LOOPS.replace("FROM lineitem", "FROM _loop_lines")))
 
 
-@query("mixed_scopes", "SELECT * FROM " + values([("a", 2, True), ("b", 1, False)], "block, n_fields, mixed"))
+@query("mixed_scopes", "SELECT l_orderkey AS block, count(*) AS n_fields, count(DISTINCT CASE l_returnflag WHEN 'N' THEN 'quote' WHEN 'R' THEN 'policy' END) = 2 AS mixed FROM lineitem GROUP BY 1")
 def mixed(spark, sf_dir):
-    return reports.mixed_scopes(spark.createDataFrame([("a", "quote"), ("a", "policy"), ("b", "policy")], "block string, scope string")).withColumn("n_fields", F.col("n_fields").cast("int"))
+    scope = X.lookup({"N": "quote", "R": "policy", "A": "account"}, F.col("l_returnflag"))
+    return reports.mixed_scopes(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("block"), scope.alias("scope")))
 
 
 @query("review_order", "SELECT o_custkey AS doc_id, o_orderkey AS pos, row_number() OVER (PARTITION BY o_custkey ORDER BY coalesce(line, 999), o_orderkey)::INTEGER AS place FROM (SELECT *, CASE WHEN o_orderstatus = 'F' THEN (o_orderkey % 50)::INTEGER END AS line FROM orders)")
