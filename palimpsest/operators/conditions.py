@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,7 @@ ORDER = (">", ">=", "<", "<=")
 JOINS = ("and", "or")
 #: Roots that a condition of a scope may name.
 SCOPE_ROOTS = {"quote": {"quote"}, "policy": {"policy"}}
+#: Literals, operators and words of the language (fixed by its grammar, SURVEY 8.5).
 _LEX = re.compile(r"""\s*(?:(?P<string>"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*')|(?P<op>[=!<>]=|[<>])|(?P<mark>[\[\],])|(?P<number>-?\d+(?:\.\d+)?)|(?P<word>[A-Za-z_][\w.]*))""")
 
 
@@ -262,3 +263,20 @@ def compile_element(c: Condition, element: T.StructType, variable: str) -> Calla
 def legacy(expression: str, scope: str) -> Condition:
     """An old-style expression: policy.data. stands for the segment's custom fields; otherwise the same language."""
     return parse(expression if scope == "quote" else re.sub(r"\bsegment\.data\.", "policy.data.", expression))
+
+
+def checked(written: DataFrame, schema: T.StructType, scope: str | None = None, column: str = "condition") -> DataFrame:
+    """written with readable, and problems (what is wrong, empty if nothing) of each condition text over records of a schema."""
+    ddl = T.StructType([*written.schema.fields, T.StructField("readable", T.BooleanType()), T.StructField("problems", T.ArrayType(T.StringType()))])
+
+    def run(batches):
+        for batch in batches:
+            told = []
+            for text in batch[column]:
+                try:
+                    told.append((True, check(parse(text), schema, scope)))
+                except ConditionError as e:
+                    told.append((False, [str(e)]))
+            yield batch.assign(readable=[r for r, _ in told], problems=[p for _, p in told])
+
+    return written.mapInPandas(run, ddl)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.nested import listed
@@ -27,8 +27,9 @@ def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("locator"), "o_custkey", policy.alias("policy"))
 
 
-def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """l_orderkey and items in a total order. theft is there for returned lines alone, breakdown always."""
+def items(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """l_orderkey and items in a total order, and more aggregates of the same lines. theft is there for returned lines
+    alone, breakdown always."""
     li = table(spark, sf_dir, "lineitem")
     price = F.col("l_extendedprice").cast(MONEY)
     item = [
@@ -36,17 +37,27 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_returnflag") == "R", F.struct(F.col("l_linestatus").alias("cover"), price.alias("limit"))).alias("theft"),
         F.struct(F.col("l_returnflag").alias("cover"), F.col("l_quantity").cast(MONEY).alias("limit")).alias("breakdown"),
     ]
-    return listed(li, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"], item)
+    return listed(li, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"], item, more=more)
+
+
+def category() -> Column:
+    """The category of a line's charge, by its flag: premium, tax or nonFinancial."""
+    return F.when(F.col("l_returnflag") == "N", "Premium").when(F.col("l_returnflag") == "A", "tax").otherwise("nonFinancial")
 
 
 def charges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """locator, category and amount per line: premium, tax or nonFinancial by its flag."""
-    category = F.when(F.col("l_returnflag") == "N", "Premium").when(F.col("l_returnflag") == "A", "tax").otherwise("nonFinancial")
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("locator"), category.alias("category"), F.col("l_extendedprice").cast(MONEY).alias("amount"))
+    """locator, category and amount per line."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("locator"), category().alias("category"), F.col("l_extendedprice").cast(MONEY).alias("amount"))
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """locator, policy, account (null without a customer), items (null without lines)."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.struct(F.col("c_name").alias("name"), F.col("c_acctbal").cast(MONEY).alias("balance"), F.col("c_mktsegment").alias("segment")).alias("account"))
+def records(spark: SparkSession, sf_dir: str, *more: Column, account: bool = True) -> DataFrame:
+    """locator, policy, account (null without a customer; left out unless asked for), items (null without lines), and more
+    aggregates of the lines, all in one pass over them."""
     p = policies(spark, sf_dir)
-    return p.join(c, p.o_custkey == c.c_custkey, "left").join(items(spark, sf_dir), p.locator == F.col("l_orderkey"), "left").select("locator", "policy", "account", "items")
+    if account:
+        c = table(spark, sf_dir, "customer").select("c_custkey", F.struct(F.col("c_name").alias("name"), F.col("c_acctbal").cast(MONEY).alias("balance"), F.col("c_mktsegment").alias("segment")).alias("account"))
+        p = p.join(c, p.o_custkey == c.c_custkey, "left").drop("c_custkey")
+    own = items(spark, sf_dir, *more)
+    return p.join(own, p.locator == F.col("l_orderkey"), "left").drop("o_custkey", "l_orderkey")
+
+

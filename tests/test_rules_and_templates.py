@@ -65,3 +65,15 @@ def test_rounding_is_half_to_even(spark):
     df = spark.createDataFrame([(1, "premium", 1234.125), (1, "Premium", 0.0), (1, "nonFinancial", 5.0), (2, None, 1.0)], "k int, category string, amount double")
     rows = {r.k: tuple(r)[1:] for r in nested.charge_totals(df, ["k"]).collect()}
     assert rows == {1: ("1234.12", "0.00", "1234.12"), 2: ("0.00", "1.00", "1.00")}
+
+
+def test_plans_read_each_table_once(spark):
+    """What asks whether, how many or how much gathers no lists, reads no customers, and the letter reads the lines once."""
+    from palimpsest.plans import queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    plan = lambda name: Q.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    for name in ("presence_any", "item_filter_region", "guard_missing_required", "guard_rejects", "item_x_coverage_unpivot"):
+        assert "collect_list" not in plan(name) and "c_custkey" not in plan(name), name
+    assert plan("letter_flagship").count("l_orderkey") and plan("letter_flagship").count("Relation [l_orderkey") == 1
+    assert "c_custkey" not in plan("loop_rows")
