@@ -113,3 +113,23 @@ def appended(existing: DataFrame, new: DataFrame, key: str = "leaf") -> DataFram
     """existing as it is, and rows of new whose keys it lacks."""
     fresh = new.dropDuplicates([key]).join(existing.select(key).distinct(), key, "left_anti")
     return existing.unionByName(fresh.select(*existing.columns))
+
+
+def review_sheet(matches: DataFrame) -> DataFrame:
+    """A sheet for people to decide in, of resolve.match_leaves: leaf, suggested (the choices, the best first, a line each,
+    over all documents and loops that ask for the leaf), final (empty)."""
+    each = matches.select("name", F.posexplode_outer("choices").alias("pos", "choice"))
+    best = each.groupBy("name", "choice").agg(F.min("pos").alias("pos")).groupBy("name").agg(F.array_sort(F.collect_list(F.when(F.col("choice").isNotNull(), F.struct("pos", "choice")))).alias("c"))
+    return best.select(F.col("name").alias("leaf"), F.array_join(F.transform("c", lambda x: x["choice"]), "\n").alias("suggested"), F.lit("").alias("final"))
+
+
+def path_map(applied: DataFrame) -> DataFrame:
+    """One row, json: leaf to accessor, of a reviewed mapping (resolve.applied), by leaf; leaves without one are left out."""
+    pairs = F.array_sort(F.collect_list(F.when(F.col("final").isNotNull(), F.struct("leaf", "final"))))
+    return applied.agg(F.to_json(F.map_from_entries(pairs)).alias("json"))
+
+
+def path_audit(applied: DataFrame, prior: DataFrame) -> DataFrame:
+    """leaf, before, after, provenance, changed: what a review made of each leaf."""
+    out = applied.join(prior.select("leaf", F.col("suggested").alias("before")), "leaf", "left")
+    return out.select("leaf", "before", F.col("final").alias("after"), "provenance", (~F.col("before").eqNullSafe(F.col("final"))).alias("changed"))

@@ -36,7 +36,7 @@ def candidates(paths: DataFrame, roots: list[str]) -> DataFrame:
 
 
 def match_leaves(tokens: DataFrame, found: DataFrame) -> DataFrame:
-    """tokens (doc_id, name, loop) with status, match, chosen, n_choices and note.
+    """tokens (doc_id, name, loop) with status, match, chosen, choices (the best first), n_choices and note.
 
     Candidates of the token's loop, or, if the loop has none at all, of the document (with a note). Tiers: the field in
     any case; the field but for signs; a display name that equals or holds it but for signs. All candidates of the best
@@ -69,7 +69,8 @@ def match_leaves(tokens: DataFrame, found: DataFrame) -> DataFrame:
     status = F.when(some & ((n_exact == 1) | ((n_exact <= 0) & (n_similar == 1))), "resolved").when(some, "ambiguous").when(F.col("full").isNotNull(), "resolved").otherwise("unmatched")
     match = F.when(some & (n_exact > 0), "exact").when(some, "name-similar").when(F.col("full").isNotNull(), "full accessor").otherwise("")
     chosen = F.when(some & (n_exact == 1), F.get("exact", F.lit(0))).when(some & (n_exact <= 0) & (n_similar == 1), F.get("similar", F.lit(0))).when(~some, F.col("full"))
-    return out.select("t.doc_id", "t.name", "t.loop", status.alias("status"), match.alias("match"), F.coalesce(chosen, F.lit("")).alias("chosen"), (F.greatest(n_exact, F.lit(0)) + F.greatest(n_similar, F.lit(0))).alias("n_choices"), F.coalesce("note", F.lit("")).alias("note"))
+    none = F.array().cast("array<string>")
+    return out.select("t.doc_id", "t.name", "t.loop", status.alias("status"), match.alias("match"), F.coalesce(chosen, F.lit("")).alias("chosen"), F.concat(F.coalesce("exact", none), F.coalesce("similar", none)).alias("choices"), (F.greatest(n_exact, F.lit(0)) + F.greatest(n_similar, F.lit(0))).alias("n_choices"), F.coalesce("note", F.lit("")).alias("note"))
 
 
 def strict_match(tokens: DataFrame, paths: DataFrame) -> DataFrame:

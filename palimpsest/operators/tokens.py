@@ -267,6 +267,45 @@ def prose_conditionals(docs: DataFrame) -> DataFrame:
     return found.where(~F.trim("text").rlike(r"^/?[a-zA-Z_][a-zA-Z0-9_]*$"))
 
 
+def prose_blocks(docs: DataFrame, passes: int = 10) -> DataFrame:
+    """docs (doc_id, text) with template, in which [text] of four characters or more that is no name is $doc.condN, and
+    blocks: an array of (id, text, parent, depth). The innermost go first, pass by pass, and are numbered on; a block
+    whose text refers to another one is its parent."""
+    pattern = r"\[(?!/?[a-zA-Z_][a-zA-Z0-9_]*\])[^\[\]\n]{4,}\]"
+    start = F.struct(F.coalesce("text", F.lit("")).alias("template"), F.array().cast("array<struct<id:int,text:string>>").alias("blocks"))
+
+    def step(s: Column, _: Column) -> Column:
+        found = F.regexp_extract_all(s["template"], F.lit(f"({pattern})"), 1)
+        new = F.transform(found, lambda t, i: F.struct((F.size(s["blocks"]) + i + 1).alias("id"), F.trim(F.substring(t, F.lit(2), F.length(t) - 2)).alias("text")))
+        marks = F.concat(F.transform(found, lambda t, i: F.concat(F.lit("$doc.cond"), (F.size(s["blocks"]) + i + 1).cast("string"))), F.array(F.lit("")))
+        text = F.array_join(F.flatten(F.zip_with(F.split(s["template"], pattern, -1), marks, lambda p, m: F.array(p, m))), "")
+        return F.struct(text.alias("template"), F.concat(s["blocks"], new).alias("blocks"))
+
+    # one expression over a row: no shuffle
+    out = docs.withColumn("_p", F.aggregate(F.sequence(F.lit(1), F.lit(passes)), start, step)).select(*docs.columns, "_p.template", "_p.blocks")
+    refers = lambda b, i: F.rlike(b["text"], F.concat(F.lit(r"\$doc\.cond"), i.cast("string"), F.lit(r"(?!\d)")))
+    parent = lambda i: F.get(F.filter("blocks", lambda b: refers(b, i)), F.lit(0))["id"]
+    linked = out.withColumn("blocks", F.transform("blocks", lambda b: F.struct(b["id"].alias("id"), b["text"].alias("text"), parent(b["id"]).alias("parent"))))
+    up = lambda i: F.get(F.filter("blocks", lambda b: b["id"] == i), F.lit(0))["parent"]
+    climb = lambda b: F.aggregate(F.sequence(F.lit(1), F.lit(passes)), F.struct(b["parent"].alias("at"), F.lit(0).alias("n")), lambda s, _: F.struct(up(s["at"]).alias("at"), (s["n"] + s["at"].isNotNull().cast("int")).alias("n")))["n"]
+    return linked.withColumn("blocks", F.transform("blocks", lambda b: b.withField("depth", climb(b))))
+
+
+def mustache_loops(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key, html, loops (name, iterator, fields) and warnings of pages with [name] ... [/name] around a loop's body: its
+    {{field}} becomes $iterator.TBD_field, others $TBD_name. A loop whose ends lie in different elements is left."""
+    ddl = f"{key} long, html string, loops array<struct<name:string,iterator:string,fields:array<string>>>, warnings array<string>"
+
+    def read(batches):
+        from .dom import loops
+
+        for batch in batches:
+            rows = [(k, *loops(h or "")) for k, h in zip(batch[key], batch[html], strict=True)]
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in (key, "html", "loops", "warnings")])
+
+    return pages.select(key, html).mapInPandas(read, ddl)
+
+
 def repeated_children(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """Containers whose children of one tag repeat, which a loop may stand for: key, container, child, n."""
     ddl = f"{key} long, container string, child string, n int"

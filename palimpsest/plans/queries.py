@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import conditions as C
-from ..operators import graph, nested, reports, resolve, templates, tokens, variants
-from ..sources import config_tree, documents, sinks
+from ..operators import assembly, graph, nested, reports, resolve, templates, tokens, types, variants
+from ..sources import config_tree, contracts, documents, sinks
 from . import derived
 from .records import MONEY, category, charges, items, policies, records, table
 
@@ -624,22 +624,32 @@ def _asked(spark, sf_dir):
 _BARE = lambda c: f"regexp_replace(lower(coalesce({c}, '')), '[^a-z0-9]', '', 'g')"
 #: Candidates in SQL, where segments are rendered.
 _CANDIDATES = f"""cand AS (SELECT DISTINCT CASE WHEN category IN ('system', 'policy_data') THEN 'policy.' || substr(path, 7) WHEN path LIKE '$data.%' THEN substr(path, 7) ELSE ltrim(path, '$') END AS accessor, path, field, {_BARE('field')} AS f, {_BARE('display_name')} AS d, exposure, category, NOT (category = 'exposure_system' AND field = 'name') AS offered FROM paths)"""
-_LEAF = f""", t AS (SELECT DISTINCT doc_id, name, loop, {_BARE('name')} AS n, CASE WHEN loop IN (SELECT exposure FROM cand) THEN loop END AS scope FROM ({_ASKED})),
+_LEAF = f""", t AS (SELECT DISTINCT doc_id, name, loop, {_BARE('name')} AS n, CASE WHEN loop IN (SELECT exposure FROM cand) THEN loop END AS scope FROM (@asked)),
  k AS (SELECT DISTINCT name, n, scope FROM t),
  h AS (SELECT k.name, k.scope, accessor, CASE WHEN lower(field) = lower(name) THEN 0 WHEN f = n THEN 1 ELSE 2 END AS tier FROM k JOIN cand ON offered AND exposure IS NOT DISTINCT FROM scope AND n <> '' AND (lower(field) = lower(name) OR f = n OR contains(d, n))),
  best AS (SELECT name, scope, min(tier) AS tier FROM h GROUP BY ALL),
  e AS (SELECT h.name, h.scope, best.tier AS best, list_sort(list_distinct(list(accessor) FILTER (WHERE h.tier = best.tier AND h.tier < 2))) AS exact, list_sort(list_distinct(list(accessor) FILTER (WHERE h.tier <> best.tier OR h.tier = 2))) AS rest FROM h JOIN best ON best.name = h.name AND best.scope IS NOT DISTINCT FROM h.scope GROUP BY ALL)"""
 
 
-@query("leaf_match_status", _WITH + ", " + _CANDIDATES + _LEAF + """,
+_MATCHED = _CANDIDATES + _LEAF + """,
  sim AS (SELECT k.name, k.scope, list_distinct(list(accessor)) AS l FROM k JOIN cand ON offered AND exposure IS NOT DISTINCT FROM scope AND n <> '' AND contains(d, n) GROUP BY ALL),
- j AS (SELECT t.*, coalesce(e.exact, []) AS x, list_filter(coalesce(sim.l, []), lambda a: NOT list_contains(coalesce(e.exact, []), a)) AS s, EXISTS (SELECT 1 FROM cand WHERE accessor = t.name) AS own FROM t LEFT JOIN e ON e.name = t.name AND e.scope IS NOT DISTINCT FROM t.scope LEFT JOIN sim ON sim.name = t.name AND sim.scope IS NOT DISTINCT FROM t.scope)
- SELECT doc_id, name, loop, CASE WHEN len(x) = 1 OR len(x) = 0 AND len(s) = 1 THEN 'resolved' WHEN len(x) + len(s) > 0 THEN 'ambiguous' WHEN own THEN 'resolved' ELSE 'unmatched' END AS status,
+ j AS (SELECT t.*, coalesce(e.exact, []) AS x, list_filter(coalesce(sim.l, []), lambda a: NOT list_contains(coalesce(e.exact, []), a)) AS s, EXISTS (SELECT 1 FROM cand WHERE accessor = t.name) AS own FROM t LEFT JOIN e ON e.name = t.name AND e.scope IS NOT DISTINCT FROM t.scope LEFT JOIN sim ON sim.name = t.name AND sim.scope IS NOT DISTINCT FROM t.scope)"""
+_CHOSEN = """CASE WHEN len(x) = 1 OR len(x) = 0 AND len(s) = 1 THEN 'resolved' WHEN len(x) + len(s) > 0 THEN 'ambiguous' WHEN own THEN 'resolved' ELSE 'unmatched' END AS status,
  CASE WHEN len(x) > 0 THEN 'exact' WHEN len(s) > 0 THEN 'name-similar' WHEN own THEN 'full accessor' ELSE '' END AS match,
- CASE WHEN len(x) = 1 THEN x[1] WHEN len(x) = 0 AND len(s) = 1 THEN s[1] WHEN len(x) + len(s) = 0 AND own THEN name ELSE '' END AS chosen, (len(x) + len(s))::INTEGER AS n_choices FROM j""")
+ CASE WHEN len(x) = 1 THEN x[1] WHEN len(x) = 0 AND len(s) = 1 THEN s[1] WHEN len(x) + len(s) = 0 AND own THEN name ELSE '' END AS chosen"""
+
+
+@query("leaf_match_status", _WITH + ", " + _MATCHED.replace("@asked", _ASKED) + " SELECT doc_id, name, loop, " + _CHOSEN + ", (len(x) + len(s))::INTEGER AS n_choices, coalesce(list_aggregate(list_concat(list_sort(x), list_sort(s)), 'string_agg', '|'), '') AS choices FROM j")
 def leaf_match(spark, sf_dir):
     found = resolve.candidates(_catalogue(spark, sf_dir), ["segment"])
-    return resolve.match_leaves(_asked(spark, sf_dir), found).drop("note")
+    return resolve.match_leaves(_asked(spark, sf_dir), found).drop("note").withColumn("choices", F.array_join("choices", "|"))
+
+
+@query("review_sheet", _WITH + ", " + _MATCHED.replace("@asked", _ASKED) + """, l AS (SELECT name, unnest(list_concat(list_sort(x), list_sort(s))) AS c, unnest(range(0, len(x) + len(s))) AS pos FROM j), m AS (SELECT name, c, min(pos) AS pos FROM l GROUP BY ALL)
+ SELECT t.name AS leaf, coalesce((SELECT string_agg(c, chr(10) ORDER BY pos, c) FROM m WHERE m.name = t.name), '') AS suggested, '' AS final FROM (SELECT DISTINCT name FROM j) t""")
+def review_sheet(spark, sf_dir):
+    found = resolve.candidates(_catalogue(spark, sf_dir), ["segment"])
+    return reports.review_sheet(resolve.match_leaves(_asked(spark, sf_dir), found))
 
 
 @query("leaf_match_quote_alias", _WITH + f" SELECT doc_id, name, 'resolved' AS status, 'quote.data.' || substr(name, 13) AS chosen FROM ({_ASKED}) JOIN (SELECT DISTINCT field FROM paths WHERE category = 'policy_data') ON 'policy.data.' || field = name WHERE loop IS NULL OR loop = 'Boat'")
@@ -805,6 +815,13 @@ def provenance(spark, sf_dir):
     return resolve.applied(prior, review)
 
 
+@query("path_audit", """SELECT leaf, suggested AS before, coalesce(final, suggested) AS after, coalesce(final, suggested) IS DISTINCT FROM suggested AS changed FROM (SELECT coalesce(c_custkey, o_custkey) AS leaf, suggested, final FROM
+ (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_mktsegment END AS suggested FROM customer) FULL OUTER JOIN (SELECT o_custkey, CASE min(o_custkey % 4) WHEN 0 THEN NULL WHEN 1 THEN 'BUILDING' ELSE max(o_orderpriority) END AS final FROM orders GROUP BY 1) ON c_custkey = o_custkey)""")
+def path_audit(spark, sf_dir):
+    prior = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("leaf"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment")).alias("suggested"))
+    return reports.path_audit(provenance(spark, sf_dir), prior).drop("provenance")
+
+
 _KINDS = "SELECT 'k' || CAST(c_custkey AS STRING) AS key, CASE c_custkey % 4 WHEN 0 THEN 'presence' WHEN 1 THEN 'loop' ELSE 'text' END AS kind FROM customer WHERE c_custkey % 5 <> 0"
 
 
@@ -848,3 +865,199 @@ def review_order(spark, sf_dir):
     return reports.review_order(o).select("doc_id", "pos", "place")
 
 
+
+
+# --- from documents to final texts -----------------------------------------------------------------------------------
+
+_PARTS_SQL = "WITH " + _BLOCKS + ", " + _LOOPS + ", c AS (SELECT name, min(exposure) AS exposure FROM " + values(_COVERAGES, "name, exposure") + r""" GROUP BY 1),
+ f AS (SELECT doc_id, i, ch, regexp_extract(tok, '[a-zA-Z_][a-zA-Z0-9_.]*') AS name, regexp_extract(tok, '[$+*]') AS symbol FROM """ + _marks(r"\{[$+*]?[a-zA-Z_][a-zA-Z0-9_.]*\}") + r"""),
+ n AS (SELECT doc_id, name, count(*) AS n, min(i) - 1 AS pos, arg_min(symbol, i) AS symbol FROM f GROUP BY ALL),
+ held AS (SELECT f.doc_id, f.name, spans.name AS loop, spans.e, count(*) AS k FROM f JOIN spans ON spans.doc_id = f.doc_id AND spans.kind = 'loop' AND f.ch >= spans.s AND f.ch < spans.e GROUP BY ALL),
+ r AS (SELECT a.doc_id, a.name, a.s, arg_max(l.name, l.s) AS loop FROM spans a LEFT JOIN spans l ON l.doc_id = a.doc_id AND l.kind = 'loop' AND l.s <= a.s AND a.e <= l.e WHERE a.kind = 'region' AND a.e IS NOT NULL GROUP BY ALL)
+ SELECT n.doc_id, 'field' AS kind, n.name, CASE n.symbol WHEN '' THEN 'required' WHEN '$' THEN 'optional' WHEN '+' THEN 'one_or_more' ELSE 'zero_or_more' END AS detail, arg_min(held.loop, held.e) AS loop, n.pos::INTEGER AS place FROM n LEFT JOIN held ON held.doc_id = n.doc_id AND held.name = n.name AND held.k = n.n GROUP BY n.doc_id, n.name, n.symbol, n.pos
+ UNION ALL SELECT doc_id, 'block', regexp_extract(trim(inner_text), '^\$([A-Za-z_]\w*)$', 1), NULL, NULL, min(ord)::INTEGER FROM blocks WHERE regexp_matches(trim(inner_text), '^\$([A-Za-z_]\w*)$') GROUP BY 1, 3
+ UNION ALL SELECT doc_id, 'loop', name, NULL, NULL, min(s)::INTEGER FROM spans WHERE kind = 'loop' AND e IS NOT NULL GROUP BY 1, 3
+ UNION ALL SELECT DISTINCT doc_id, CASE WHEN loop = exposure THEN 'element_coverage' WHEN loop IS NOT NULL THEN 'element_value' WHEN exposure IS NOT NULL THEN 'presence' ELSE 'document_value' END, r.name, NULL, loop, 0 FROM r LEFT JOIN c ON c.name = r.name"""
+
+
+@query("document_parts", _PARTS_SQL)
+def document_parts(spark, sf_dir):
+    return assembly.parsed(_docs(spark, sf_dir), spark.createDataFrame(_COVERAGES, "name string, exposure string")).withColumnRenamed("at", "place")
+
+
+_TAILS = "'see $TBD_a.b' || CAST(o_custkey % 4 AS STRING) || '. Or $TBD_a.' || CASE o_orderkey % 3 WHEN 0 THEN 'b1.c' WHEN 1 THEN 'b1c.d' ELSE 'zz..' END || ' and $TBD_policy.number, $TBD_new' || CAST(o_custkey % 3 AS STRING) || '..'"
+_KNOWN = [("a",), ("a.b1",), ("a.b1.c",), ("a.b2",), ("policy.number",), ("policy",)]
+
+
+@query("known_tokens", f"""WITH t AS (SELECT doc_id, unnest(l) AS tail, unnest(range(0, len(l))) AS pos FROM (SELECT o_orderkey AS doc_id, regexp_extract_all({_TAILS}, '\\$TBD_([A-Za-z_][\\w.]*)', 1) AS l FROM orders)), k AS (SELECT * FROM {values(_KNOWN, 'name')})
+ SELECT doc_id, pos::INTEGER AS pos, coalesce(arg_max(k.name, length(k.name)), rtrim(tail, '.')) AS name, count(k.name) > 0 AS known FROM t LEFT JOIN k ON starts_with(tail, k.name) AND NOT regexp_matches(substr(tail, length(k.name) + 1, 1), '\\w') GROUP BY doc_id, pos, tail""")
+def known_tokens(spark, sf_dir):
+    texts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(_TAILS).alias("text"))
+    return assembly.known_tokens(texts, spark.createDataFrame(_KNOWN, "name string"))
+
+
+_WANTED = "SELECT o_orderkey AS doc_id, CASE o_orderkey % 5 WHEN 0 THEN b || '.size' || n WHEN 1 THEN b || '.dim' || n WHEN 2 THEN 'size' || n WHEN 3 THEN 'Multi.term' || CAST(o_custkey % 9 AS STRING) ELSE b || '.none' END AS name, CASE o_orderkey % 4 WHEN 0 THEN b WHEN 1 THEN lower(left(b, 1)) || substr(b, 2) || 's' WHEN 2 THEN NULL ELSE 'Boat' END AS loop, CASE o_orderkey % 6 WHEN 0 THEN b ELSE NULL END AS loop_hint FROM (SELECT o_orderkey, o_custkey, 'Brand' || CAST(o_custkey % 5 + 1 AS STRING) || CAST(o_orderkey % 5 + 1 AS STRING) AS b, CAST(o_custkey % 50 + 1 AS STRING) AS n FROM orders)"
+
+
+@query("candidate_derivation", _WITH + f""", t AS (SELECT DISTINCT * FROM ({_WANTED})), sch AS (SELECT DISTINCT brand AS entity, 'size' || size AS field FROM p UNION SELECT DISTINCT 'Multi', 'term' || size % 7 FROM p),
+ u AS (SELECT t.*, split_part(name, '.', 1) AS ent, CASE WHEN contains(name, '.') THEN split_part(name, '.', 2) END AS fld FROM t),
+ w AS (SELECT u.*, CASE WHEN fld IS NULL THEN 'old-format' WHEN EXISTS (SELECT 1 FROM sch WHERE entity = ent AND field = fld) THEN 'exact' WHEN fld LIKE 'dim%' AND CAST(substr(fld, 4) AS INT) % 2 = 0 THEN 'terminology' ELSE 'none' END AS step FROM u),
+ x AS (SELECT w.*, CASE step WHEN 'exact' THEN fld WHEN 'terminology' THEN 'size' || substr(fld, 4) END AS wanted FROM w),
+ it AS (SELECT lower(iterator) AS is_, unnest([lower(iterator), lower(brand), lower(substr(list_path, 7))]) AS key FROM own WHERE quantifier IN ('+', '*')),
+ h AS (SELECT x.*, q.path AS qpath, q.iterator IS NULL OR lower(loop) = lower(q.iterator) OR EXISTS (SELECT 1 FROM it WHERE key = lower(x.loop) AND is_ = lower(q.iterator)) AS inside, coalesce(lower(loop_hint) = lower(q.iterator) OR EXISTS (SELECT 1 FROM it WHERE key = lower(x.loop_hint) AND is_ = lower(q.iterator)), false) AS hinted FROM x LEFT JOIN (SELECT DISTINCT field, path, iterator FROM paths) q ON q.field = x.wanted),
+ g AS (SELECT doc_id, name, loop, loop_hint, step, list_sort(list_distinct(list(qpath) FILTER (WHERE inside AND qpath IS NOT NULL))) AS ok, count(qpath) AS n_all, coalesce(bool_or(hinted AND NOT coalesce(inside, false)) FILTER (WHERE qpath IS NOT NULL), false) AS hinted FROM h GROUP BY ALL)
+ SELECT doc_id, name, loop, loop_hint, step, CASE WHEN len(ok) = 1 THEN ok[1] ELSE '' END AS path, CASE WHEN n_all = 0 THEN 0 ELSE coalesce(len(ok), 0) END::INTEGER AS n,
+ CASE WHEN step IN ('none', 'old-format') THEN 'fix-token' WHEN n_all = 0 THEN 'supply-from-plugin' WHEN coalesce(len(ok), 0) = 0 AND hinted THEN 'restructure-template: hinted' WHEN coalesce(len(ok), 0) = 0 THEN 'restructure-template' WHEN len(ok) > 1 THEN 'pick-one: ' || list_aggregate(ok, 'string_agg', ' | ') WHEN step = 'terminology' THEN 'confirm-assumption' ELSE '' END AS action, coalesce(len(ok), 0) <> 1 AS terminal FROM g""")
+def candidate_derivation(spark, sf_dir):
+    table(spark, sf_dir, "orders").createOrReplaceTempView("_wanted_orders")
+    asked = spark.sql(_WANTED.replace("FROM orders", "FROM _wanted_orders")).distinct()
+    found = _catalogue(spark, sf_dir)
+    schema = found.where("category = 'exposure_data'").select(F.col("exposure").alias("entity"), "field").union(found.where("category = 'policy_data'").select(F.lit("Multi"), "field"))
+    words = spark.range(1, 26).select(F.concat(F.lit("size"), F.col("id") * 2).alias("field"), F.concat(F.lit("DIM"), F.col("id") * 2).alias("alias"))
+    return assembly.derived(asked, schema, found, config_tree.iterables(_configs(spark, sf_dir)), words)
+
+
+@query("list_spec", _WITH + """, k AS (SELECT brand, ptype, list_sort(list('limit' || size)) AS fields FROM held JOIN limits USING (ptype) GROUP BY ALL), c AS (SELECT brand, count(*) AS n, string_agg(ptype || '=' || list_aggregate(fields, 'string_agg', '+'), ',' ORDER BY ptype) AS coverages FROM k GROUP BY 1)
+ SELECT 'all of ' || own.brand AS name, 'list' || own.brand AS key, own.brand AS exposure, CASE WHEN quantifier IN ('+', '*') THEN substr(list_path, 7) ELSE '' END AS list_method, coalesce(coverages, '') AS coverages FROM own LEFT JOIN c USING (brand)""")
+def list_spec(spark, sf_dir):
+    cfgs = _configs(spark, sf_dir)
+    lists = config_tree.exposures(cfgs).select(F.concat(F.lit("all of "), "name").alias("name"), F.concat(F.lit("$data.list"), "name").alias("list_path"), F.col("name").alias("exposure"), F.array(F.lit("limit")).alias("entry_fields"))
+    out = assembly.list_spec(lists, config_tree.iterables(cfgs), config_tree.paths(cfgs))
+    return out.select("name", "key", "exposure", "list_method", F.array_join(F.transform("coverages", lambda c: F.concat(c["name"], F.lit("="), F.array_join(c["fields"], "+"))), ",").alias("coverages"))
+
+
+_GIVEN = "CASE o_orderkey % 8 WHEN 0 THEN '$by.hand' || CAST(o_custkey AS STRING) WHEN 1 THEN 'UNRESOLVED: x' WHEN 2 THEN '' ELSE NULL END"
+
+
+@query("resolution_driver", _WITH + ", " + _MATCHED.replace("@asked", _ASKED) + ", kk AS (SELECT doc_id, name, loop, " + _CHOSEN + f""" FROM j), pth AS (SELECT accessor, min(path) AS path FROM cand GROUP BY 1), o AS (SELECT o_orderkey AS doc_id, {_GIVEN} AS given FROM orders)
+ SELECT kk.doc_id, kk.name, kk.loop, CASE WHEN coalesce(given, '') = '' OR given LIKE 'UNRESOLVED:%' THEN CASE WHEN status = 'resolved' THEN path END ELSE given END AS data_source, CASE WHEN status <> 'resolved' THEN 'none' WHEN match = 'exact' THEN 'high' ELSE 'low' END AS confidence, status FROM kk LEFT JOIN pth ON accessor = chosen LEFT JOIN o ON o.doc_id = kk.doc_id""")
+def resolution_driver(spark, sf_dir):
+    found = resolve.candidates(_catalogue(spark, sf_dir), ["segment"])
+    given = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(_NAME).alias("name"), F.expr(_GIVEN).alias("data_source"))
+    return assembly.annotated(_asked(spark, sf_dir), found, given)
+
+
+#: Documents whose fields are those of the catalogue, with guards in lines of their own.
+_LETTER = "'Dear {term' || CAST(o_custkey % 9 AS STRING) || '} of {$currency}, {nothing' || CAST(o_orderkey % 3 AS STRING) || '}.' || chr(10) || '#if($TBD_guarded)' || chr(10) || '<b>{currency}</b>' || chr(10) || '#end' || chr(10) || '<i>#if($doc.' || CASE o_orderkey % 2 WHEN 0 THEN 'clause' ELSE 'other' END || ')</i>' || chr(10) || 'in' || chr(10) || '<i>#end</i>' || chr(10) || '[[$clause]] [[free [[ $label ]] text]] [' || b || '/]{size' || n || '}[/' || b || '] end.'"
+_LETTERS = f"SELECT o_orderkey AS doc_id, {_LETTER} AS letter FROM (SELECT o_orderkey, o_custkey, 'Brand' || CAST(o_custkey % 5 + 1 AS STRING) || CAST(o_orderkey % 5 + 1 AS STRING) AS b, CAST(o_custkey % 50 + 1 AS STRING) AS n FROM orders)"
+_LETTER_ASKED = "SELECT o_orderkey AS doc_id, unnest(['term' || (o_custkey % 9), 'currency', 'nothing' || (o_orderkey % 3), 'size' || (o_custkey % 50 + 1)]) AS name, unnest([NULL, NULL, NULL, 'Brand' || (o_custkey % 5 + 1) || (o_orderkey % 5 + 1)]) AS loop FROM orders"
+
+
+@query("final_texts", _WITH + ", " + _MATCHED.replace("@asked", _LETTER_ASKED) + ", kk AS (SELECT doc_id, name, " + _CHOSEN + r""" FROM j), pth AS (SELECT accessor, min(path) AS path FROM cand GROUP BY 1), v AS (SELECT kk.doc_id, '$TBD_' || name AS token, path FROM kk JOIN pth ON accessor = chosen WHERE status = 'resolved'),
+ m1 AS (SELECT doc_id, regexp_replace(regexp_replace(letter, '\{[$+*]?([a-zA-Z_][a-zA-Z0-9_.]*)\}', '$TBD_\1', 'g'), '\[\[\s*\$([A-Za-z_]\w*)\s*\]\]', '[[$\1]]$doc.\1', 'g') AS x FROM (""" + _LETTERS + r""")),
+ m2 AS (SELECT doc_id, replace(x, '#if($TBD_guarded)' || chr(10) || '<b>$TBD_currency</b>' || chr(10) || '#end' || chr(10), '<b>$TBD_currency</b>' || chr(10)) AS x FROM m1),
+ m3 AS (SELECT doc_id, replace(CASE WHEN contains(x, '#if($doc.other)') THEN replace(replace(x, '#if($doc.other)', ''), '<i>#end</i>', '<i></i>') ELSE x END, '#if($doc.clause)', '#if($data.clause)') AS x FROM m2),
+ m4 AS (SELECT doc_id, replace(replace(x, '[[$clause]]$doc.clause', '${data.clause}'), '[[$label]]$doc.label', '${data.label}') AS "text" FROM m3),
+ q AS (SELECT doc_id, regexp_extract_all("text", '\$(?:\w+\.)?TBD_\w+(?:\.\w+)*') AS toks, string_split_regex("text", '\$(?:\w+\.)?TBD_\w+(?:\.\w+)*') AS parts FROM m4),
+ z AS (SELECT doc_id, unnest(parts) AS part, unnest(list_concat(toks, [''])) AS tok, unnest(range(0, len(parts))) AS i FROM q),
+ o AS (SELECT z.doc_id, string_agg(part || coalesce(path, tok), '' ORDER BY i) AS "text" FROM z LEFT JOIN v ON v.doc_id = z.doc_id AND v.token = tok GROUP BY 1)
+ SELECT doc_id, "text", len(regexp_extract_all("text", '\$TBD_\w+'))::INTEGER AS n_open, CASE WHEN contains("text", '$TBD_') THEN 'PARTIAL' ELSE 'COMPLETE' END AS state FROM o""")
+def final_texts(spark, sf_dir):
+    """From documents to final texts in one job: parsed, resolved against the catalogue, and put in."""
+    table(spark, sf_dir, "orders").createOrReplaceTempView("_letter_orders")
+    docs = spark.sql(_LETTERS.replace("FROM orders", "FROM _letter_orders")).withColumnRenamed("letter", "text")
+    fields = assembly.parsed(docs, spark.createDataFrame(_COVERAGES, "name string, exposure string")).where("kind = 'field'").select("doc_id", "name", "loop")
+    found = resolve.candidates(_catalogue(spark, sf_dir), ["segment"])
+    return assembly.final_texts(docs, assembly.annotated(fields, found), ["clause", "label"])
+
+
+_STATUS = "SELECT l_orderkey AS doc_id, l_linenumber AS pos, CASE l_linenumber % 5 WHEN 0 THEN 'optional' WHEN 1 THEN '' WHEN 2 THEN NULL WHEN 3 THEN 'one_or_more' ELSE 'zero_or_more' END AS occurrence, CASE l_returnflag WHEN 'R' THEN NULL WHEN 'A' THEN 'UNRESOLVED: no' ELSE '$data.x' END AS data_source, CASE l_linestatus WHEN 'O' THEN 'quote' ELSE NULL END AS scope, CASE WHEN l_partkey % 4 = 0 THEN 'a list' ELSE NULL END AS unsupported FROM lineitem"
+
+
+@query("occurrence_report", f"""SELECT doc_id, pos, CASE WHEN occurrence IN ('optional', 'zero_or_more') THEN 'no guard needed (' || occurrence || ')' WHEN coalesce(data_source, '') = '' OR data_source LIKE 'UNRESOLVED:%' THEN 'no guard: unresolved' WHEN unsupported IS NOT NULL THEN 'no guard: ' || unsupported WHEN scope IS NOT NULL THEN 'guarded (' || scope || ')' ELSE 'no guard: not wired' END AS status FROM ({_STATUS})""")
+def occurrence_report(spark, sf_dir):
+    table(spark, sf_dir, "lineitem").createOrReplaceTempView("_status_lines")
+    return assembly.occurrence_report(spark.sql(_STATUS.replace("FROM lineitem", "FROM _status_lines")).withColumnRenamed("pos", "name")).select("doc_id", F.col("name").alias("pos"), "status")
+
+
+_FIELDS_KNOWN = [("a", "$d.a", "quote", None), ("a.b1", "$d.b1", "policy", None), ("a.b2", "", "quote", None), ("policy.number", "$p.n", "policy", None), ("a.b3", "$d.b3", "quote", "a list")]
+
+
+@query("field_report", f"""WITH t AS (SELECT o_orderkey AS doc_id, unnest(regexp_extract_all({_TAILS}, '\\$TBD_([A-Za-z_][\\w.]*)', 1)) AS tail, unnest(range(0, len(regexp_extract_all({_TAILS}, '\\$TBD_([A-Za-z_][\\w.]*)', 1)))) AS pos FROM orders), k AS (SELECT * FROM {values(_FIELDS_KNOWN, 'name, source, scope, unsupported')}),
+ f AS (SELECT doc_id, pos, arg_max(k.name, length(k.name)) AS name FROM t LEFT JOIN k ON starts_with(tail, k.name) AND NOT regexp_matches(substr(tail, length(k.name) + 1, 1), '\\w') GROUP BY doc_id, pos, tail)
+ SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE coalesce(source, '') = '' AND unsupported IS NULL) AS unresolved, count(unsupported) AS unsupported, count(DISTINCT scope) FILTER (WHERE source <> '' AND unsupported IS NULL AND scope IN ('quote', 'policy')) > 1 AS mixed FROM f LEFT JOIN k USING (name) GROUP BY 1""")
+def field_report(spark, sf_dir):
+    texts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(_TAILS).alias("text"))
+    return assembly.field_report(texts, spark.createDataFrame(_FIELDS_KNOWN, "name string, data_source string, scope string, unsupported string"))
+
+
+@query("list_report", _WITH + """, f AS (SELECT brand, ['limit5', 'limit10'] AS declared FROM own), c AS (SELECT brand, count(DISTINCT ptype)::INTEGER AS n FROM held JOIN limits USING (ptype) GROUP BY 1), r AS (SELECT DISTINCT brand, 'limit' || size AS leaf FROM p WHERE size % 5 = 0)
+ SELECT 'list' || own.brand AS key, coalesce(n, 0)::INTEGER AS n_coverages, coalesce((SELECT string_agg(leaf, ',' ORDER BY leaf) FROM r WHERE r.brand = own.brand), '') AS referenced, coalesce((SELECT string_agg(leaf, ',' ORDER BY leaf) FROM r WHERE r.brand = own.brand AND leaf NOT IN ('limit5', 'limit10')), '') AS undeclared, quantifier = '' OR coalesce(n, 0) = 0 AS incomplete FROM own LEFT JOIN c USING (brand)""")
+def list_report(spark, sf_dir):
+    cfgs = _configs(spark, sf_dir)
+    lists = config_tree.exposures(cfgs).select("name", F.concat(F.lit("$data.list"), "name").alias("list_path"), F.col("name").alias("exposure"), F.array(F.lit("limit5"), F.lit("limit10")).alias("entry_fields"))
+    asked = table(spark, sf_dir, "part").where("p_size % 5 = 0").select(F.concat(F.lit("list"), F.expr(derived.BRAND)).alias("key"), F.concat(F.lit("limit"), "p_size").alias("leaf"))
+    out = assembly.list_report(assembly.list_spec(lists, config_tree.iterables(cfgs), config_tree.paths(cfgs)), asked)
+    return out.select("key", "n_coverages", F.array_join("referenced", ",").alias("referenced"), F.array_join("undeclared", ",").alias("undeclared"), "incomplete")
+
+
+# --- declared types ----------------------------------------------------------------------------------------------------
+
+_TYPES = "SELECT DISTINCT 'own.' || replace(p_brand, '#', '') AS type, 'f' || CAST(p_size AS STRING) AS field, CASE p_size % 5 WHEN 0 THEN 'java.lang.String' WHEN 1 THEN 'java.util.Optional<own.T$' || p_type || '>' WHEN 2 THEN 'java.util.List<own.Brand' || CAST(p_size % 4 + 1 AS STRING) || CAST(length(p_type) % 5 + 1 AS STRING) || '>' WHEN 3 THEN 'int' ELSE 'own.Gone' || CAST(p_size % 3 AS STRING) || '<java.lang.String>' END AS declared FROM part UNION SELECT DISTINCT 'own.T$' || p_type, 'to' || CAST(p_size % 6 AS STRING), 'java.util.Set<own.Brand' || CAST(p_size % 5 + 1 AS STRING) || '1>' FROM part"
+
+
+def _types(spark, sf_dir):
+    table(spark, sf_dir, "part").createOrReplaceTempView("_typed_part")
+    return spark.sql(_TYPES.replace("FROM part", "FROM _typed_part"))
+
+
+_INNER = "CASE WHEN contains(i, '.') AND NOT starts_with(i, 'java.') THEN i END"
+_UNWRAP = "trim(regexp_replace(trim(regexp_replace(trim(declared), '^[\\w.]*(?:Optional|Collection|List|Set|Iterable)<(.+)>$', '\\1')), '<.*>$', ''))"
+
+
+@query("type_index", f"""WITH RECURSIVE ty AS ({_TYPES}), e AS (SELECT DISTINCT type AS a, {_INNER} AS b FROM (SELECT *, {_UNWRAP} AS i FROM ty) WHERE contains(i, '.') AND NOT starts_with(i, 'java.')), w(type, depth) AS (SELECT DISTINCT type, 0 FROM ty WHERE type = 'own.Brand11' UNION SELECT e.b, w.depth + 1 FROM w JOIN e ON e.a = w.type WHERE w.depth < 3),
+ x AS (SELECT type, min(depth) AS depth FROM w GROUP BY 1 HAVING type IN (SELECT type FROM ty))
+ SELECT x.type, x.depth::INTEGER AS depth, regexp_extract(x.type, '([^.$]*)$', 1) AS entity, count(DISTINCT field) AS n_fields FROM x JOIN ty USING (type) GROUP BY ALL""")
+def type_index(spark, sf_dir):
+    known = _types(spark, sf_dir)
+    found = types.index(known, spark.createDataFrame([("own.Brand11",)], "type string"))
+    n = types.schema_entries(known, found).groupBy("entity").agg(F.count_distinct("field").alias("n_fields"))
+    return found.withColumn("entity", types.short_name(F.col("type"))).join(n, "entity").select("type", "depth", "entity", "n_fields")
+
+
+_WALKS = "SELECT o_orderkey AS id, 'own.Brand' || CAST(o_custkey % 5 + 1 AS STRING) || '1' AS type, 'F' || CAST(o_orderkey % 50 + 1 AS STRING) || CASE o_custkey % 3 WHEN 0 THEN '' ELSE '.to' || CAST(o_custkey % 7 AS STRING) END AS path FROM orders"
+
+
+@query("type_walk", f"""WITH ty AS ({_TYPES}), d AS (SELECT type, lower(field) AS f, {_INNER} AS b FROM (SELECT *, {_UNWRAP} AS i FROM (SELECT type, field, min(declared) AS declared FROM ty GROUP BY ALL))), w AS (SELECT *, lower(split_part(path, '.', 1)) AS p1, nullif(lower(split_part(path, '.', 2)), '') AS p2 FROM ({_WALKS})),
+ h AS (SELECT w.*, d1.f AS f1, d1.b AS b1, d2.f AS f2 FROM w LEFT JOIN d d1 ON d1.type = w.type AND d1.f = p1 LEFT JOIN d d2 ON d2.type = d1.b AND d2.f = p2)
+ SELECT id, type, path, CASE WHEN f1 IS NULL THEN 'not_found' WHEN p2 IS NULL THEN 'verified' WHEN b1 IS NULL THEN 'not_navigable' WHEN f2 IS NULL THEN 'not_found' ELSE 'verified' END AS verdict FROM h""")
+def type_walk(spark, sf_dir):
+    table(spark, sf_dir, "orders").createOrReplaceTempView("_walk_orders")
+    known = _types(spark, sf_dir).groupBy("type", "field").agg(F.min("declared").alias("declared"))
+    return types.walked(spark.sql(_WALKS.replace("FROM orders", "FROM _walk_orders")), known).drop("hop")
+
+
+@query("return_types", f"""WITH ty AS ({_TYPES}), m AS (SELECT DISTINCT 'get' || CASE size % 3 WHEN 0 THEN 'Brand' || size % 9 ELSE left(ptype, 4) || size % 2 END || CASE size % 2 WHEN 0 THEN '1' ELSE '' END AS method, CASE size % 4 WHEN 0 THEN 'java.util.Optional<own.T$X>' ELSE 'java.lang.Object' END AS declared FROM (SELECT DISTINCT p_size AS size, p_type AS ptype FROM part)),
+ n AS (SELECT DISTINCT type, lower(regexp_extract(type, '([^.$]*)$', 1)) AS s FROM ty)
+ SELECT method, declared, CASE WHEN declared LIKE '%own.%' THEN 'own.T$X' ELSE (SELECT arg_min(type, (length(s), type)) FROM n WHERE s LIKE '%' || lower(substr(method, 4))) END AS returns FROM m""")
+def return_types(spark, sf_dir):
+    sizes = table(spark, sf_dir, "part").select(F.col("p_size").alias("size"), F.col("p_type").alias("ptype")).distinct()
+    method = "'get' || CASE size % 3 WHEN 0 THEN 'Brand' || CAST(size % 9 AS STRING) ELSE left(ptype, 4) || CAST(size % 2 AS STRING) END || CASE size % 2 WHEN 0 THEN '1' ELSE '' END"
+    asked = sizes.select(F.expr(method).alias("method"), F.expr("CASE size % 4 WHEN 0 THEN 'java.util.Optional<own.T$X>' ELSE 'java.lang.Object' END").alias("declared")).distinct()
+    return types.return_types(asked, _types(spark, sf_dir))
+
+
+_JARS = "SELECT p_type AS kind, 'own-' || CASE p_size % 9 WHEN 0 THEN 'x' ELSE 'v' || CAST(p_size % 3 AS STRING) || '.' || CAST(p_size AS STRING) || '.' || CAST(p_partkey % 12 AS STRING) END || CASE p_partkey % 4 WHEN 0 THEN '-sources' ELSE '' END || '.jar' AS name FROM part"
+
+
+@query("newest_version", f"""SELECT kind, arg_max(name, (coalesce(try_cast(regexp_extract(name, 'v(\\d+)\\.(\\d+)\\.(\\d+)', 1) AS INT), 0), coalesce(try_cast(regexp_extract(name, 'v(\\d+)\\.(\\d+)\\.(\\d+)', 2) AS INT), 0), coalesce(try_cast(regexp_extract(name, 'v(\\d+)\\.(\\d+)\\.(\\d+)', 3) AS INT), 0), name)) AS name FROM ({_JARS}) WHERE NOT contains(name, '-sources') GROUP BY 1""")
+def newest_version(spark, sf_dir):
+    table(spark, sf_dir, "part").createOrReplaceTempView("_jar_part")
+    return types.newest(spark.sql(_JARS.replace("FROM part", "FROM _jar_part")), "kind")
+
+
+_BLOCK_JSON = "'{' || CASE o_orderkey % 4 WHEN 0 THEN '' ELSE chr(34) || 'id' || chr(34) || ': ' || CAST(o_orderkey AS STRING) || ', ' END || CASE o_custkey % 3 WHEN 0 THEN chr(34) || 'key' || chr(34) || ': ' || chr(34) || 'k' || CAST(o_custkey AS STRING) || chr(34) || ', ' ELSE '' END || CASE o_orderkey % 5 WHEN 0 THEN '' ELSE chr(34) || 'source_text' || chr(34) || ': ' || chr(34) || 'text' || chr(34) || ', ' END || CASE o_orderkey % 3 WHEN 0 THEN chr(34) || 'operator' || chr(34) || ': ' || chr(34) || ' or ' || chr(34) || ', ' ELSE '' END || chr(34) || 'render' || chr(34) || ': ' || chr(34) || CASE o_custkey % 7 WHEN 0 THEN 'else' WHEN 1 THEN 'template' ELSE 'plugin' END || chr(34) || ', ' || chr(34) || 'conditions' || chr(34) || ': [' || chr(34) || ' a == 1 ' || chr(34) || ', ' || chr(34) || '  ' || chr(34) || ']}'"
+
+
+@query("block_contract", """SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN 'k' || o_custkey WHEN o_orderkey % 4 <> 0 THEN 'cond' || o_orderkey END AS key, CASE WHEN o_orderkey % 3 = 0 THEN 'OR' ELSE 'AND' END AS operator, 'a == 1' AS conditions, CASE WHEN o_custkey % 3 <> 0 AND o_orderkey % 4 = 0 THEN 'neither id nor key' WHEN o_orderkey % 5 = 0 THEN 'no source_text' WHEN o_custkey % 7 = 0 THEN 'unknown render' ELSE '' END AS error FROM orders""")
+def block_contract(spark, sf_dir):
+    out = contracts.block_rows(table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_BLOCK_JSON).alias("json")))
+    return out.select("o_orderkey", "key", "operator", F.array_join("conditions", "|").alias("conditions"), "error")
+
+
+@query("prose_blocks", r"""SELECT doc_id, replace("text", '[shown if {{paid}} twice] [it [is nested] here]', '$doc.cond1 $doc.cond3') AS template, CASE WHEN contains("text", 'shown if') THEN 3 ELSE 0 END AS n, CASE WHEN contains("text", 'shown if') THEN 'shown if {{paid}} twice:-:0|is nested:3:1|it $doc.cond2 here:-:0' ELSE '' END AS blocks FROM (SELECT doc_id, regexp_replace("text", '\[/?[A-Za-z_]\w*[/?]?\]|\[\[[^\[\]]*(\[\[[^\[\]]*\]\][^\[\]]*)?\]\]|\[\[open ', '', 'g') AS "text" FROM """ + _DOCS + ")")
+def prose_blocks(spark, sf_dir):
+    plain = _docs(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"\[/?[A-Za-z_]\w*[/?]?\]|\[\[[^\[\]]*(\[\[[^\[\]]*\]\][^\[\]]*)?\]\]|\[\[open ", ""))
+    out = tokens.prose_blocks(plain)
+    shown = F.transform("blocks", lambda b: F.concat_ws(":", b["text"], F.coalesce(b["parent"].cast("string"), F.lit("-")), b["depth"].cast("string")))
+    return out.select("doc_id", "template", F.size("blocks").alias("n"), F.array_join(shown, "|").alias("blocks"))

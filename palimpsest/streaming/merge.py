@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -14,12 +15,14 @@ def rendered(records: DataFrame, render: Callable[[DataFrame], DataFrame], path:
     return render(records).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def keep_new(rows: DataFrame, path: str, key: str, checkpoint: str) -> StreamingQuery:
-    """Appends to a table the first row of each key that it lacks. A batch that is run again finds its keys there."""
+def keep_new(rows: DataFrame, path: str, key: str, checkpoint: str, order: tuple[str, ...] = ()) -> StreamingQuery:
+    """Appends to a table the first row of each key that it lacks: of a batch's rows of a key the least in order, then in
+    all columns. A batch that is run again finds its keys there. Of the table only the keys are read."""
 
     def add(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
+        rest = [c for c in batch.columns if c not in order]
+        fresh = batch.groupBy(key).agg(F.min(F.struct(*order, *rest)).alias("_row")).select("_row.*").select(*batch.columns)
         have = spark.read.schema(batch.schema).parquet(path) if _exists(spark, path) else None
         if have is not None:
             fresh = fresh.join(have.select(key), key, "left_anti").select(*batch.columns)
