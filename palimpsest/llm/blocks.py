@@ -4,7 +4,7 @@ Documents are dealt into blocks by a hash of their id. A block sends, to each of
 range of values, the sorted distinct values it has there, in one row. A bucket compares what the blocks sent and answers
 each with an array aligned to what it sent. Within a block a value counts once, however many documents repeat it: a
 value that a third of all documents hold is still one entry a block. Blocks and buckets grow with the input in number,
-not in size.
+not in size; a block sends rows to the buckets that it has values for, so never more rows than values.
 """
 
 from __future__ import annotations
@@ -26,10 +26,14 @@ def block_of(doc_id: str, n: int) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(n)).cast("int")
 
 
-def bucket_bounds(values: np.ndarray, n: int) -> np.ndarray:
-    """Where each of n buckets begins in sorted 64-bit values; one more at the end."""
-    edges = np.array([(i << 64) // n for i in range(1, n)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(values, edges), [len(values)]])
+def buckets_of(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets, of n that split the range of 64-bit values, that sorted values fall into, and where each begins there;
+    one more at the end. The work grows with the values, not with n."""
+    if not len(values):
+        return np.zeros(0, np.int64), np.zeros(1, np.int64)
+    of = ((values >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    return of[starts], np.append(starts, len(values))
 
 
 def narrow(ids: np.ndarray) -> bytes:
@@ -44,10 +48,10 @@ def widened(data: bytes) -> np.ndarray:
 
 def entries(block: int, n: int, values: np.ndarray, more: np.ndarray, owners: np.ndarray | None) -> Iterator[tuple]:
     """A row for each bucket that has some of the sorted values. more: something of fixed width beside each value."""
-    bounds = bucket_bounds(values, n)
-    for b in np.flatnonzero(np.diff(bounds)):
-        part = slice(bounds[b], bounds[b + 1])
-        yield int(b), block, values[part].tobytes(), more[part].tobytes(), narrow(owners[part]) if owners is not None else b""
+    found, bounds = buckets_of(values, n)
+    for i, b in enumerate(found.tolist()):
+        part = slice(bounds[i], bounds[i + 1])
+        yield b, block, values[part].tobytes(), more[part].tobytes(), narrow(owners[part]) if owners is not None else b""
 
 
 def as_table(rows, ddl: str) -> pa.Table:
@@ -129,10 +133,11 @@ def least_owners(sent: DataFrame) -> DataFrame:
 
 def answered(t: pa.Table, n: int, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A block's answers for its sorted values: the mask, and the least owners of those that it marks."""
-    bounds, mask, least = bucket_bounds(values, n), np.zeros(len(values), bool), [np.zeros(0, np.int64)]
-    for b, m, x in sorted(zip(t["bucket"].to_pylist(), t["mask"].to_pylist(), t["least"].to_pylist(), strict=True)):
-        size = bounds[b + 1] - bounds[b]
-        mask[bounds[b] : bounds[b + 1]] = np.unpackbits(np.frombuffer(m, np.uint8), count=size).astype(bool)
+    found, bounds = buckets_of(values, n)
+    mask, least = np.zeros(len(values), bool), [np.zeros(0, np.int64)]
+    at = np.searchsorted(found, t["bucket"].to_numpy())
+    for i, m, x in sorted(zip(at.tolist(), t["mask"].to_pylist(), t["least"].to_pylist(), strict=True)):
+        mask[bounds[i] : bounds[i + 1]] = np.unpackbits(np.frombuffer(m, np.uint8), count=bounds[i + 1] - bounds[i]).astype(bool)
         if x:
             least.append(widened(x))
     return mask, np.concatenate(least)

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import components, near_dup, packing, pieces, pii, queries, toxicity, warc
+from palimpsest.llm import blocks, components, near_dup, packing, pieces, pii, queries, topk, toxicity, warc
 from tests.duck import connect, rows_by_sql, rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -96,6 +96,28 @@ def test_arc_by_version(version):
         list(warc.arc_records(data[:-4]))
 
 
+def test_rows_that_drop_out_could_not_score():
+    rnd = np.random.default_rng(1)
+    for _ in range(60):
+        d, m = int(rnd.integers(1, 9)), int(rnd.integers(1, 5))
+        scale = np.where(rnd.random(80) < 0.3, 60, 3)[:, None]
+        rows, queries = np.floor(rnd.normal(size=(80, d)) * scale), np.floor(rnd.normal(size=(7, d)) * 20)
+        score = queries @ rows.T
+        need = np.sort(score, axis=1)[:, -5][:, None]
+        left = topk._open(queries, rows, need, m)
+        assert set(np.flatnonzero((score >= need).any(axis=0))) <= set(left)
+    assert len(topk._open(np.array([[0.0, 1e200]]), np.array([[1e300, 1.0], [1.0, 1.0]]), np.array([[5.0]]), 2)) == 2
+
+
+def test_buckets_hold_all_values():
+    rnd = np.random.default_rng(2)
+    for n in (1, 2, 7, 1000, 2**31):
+        values = np.sort(rnd.integers(0, 2**64, 500, dtype=np.uint64))
+        found, at = blocks.buckets_of(values, n)
+        assert at[0] == 0 and at[-1] == 500 and (np.diff(found) > 0).all() and found.min() >= 0 and found.max() < n
+    assert blocks.buckets_of(np.zeros(0, np.uint64), 5)[0].size == 0
+
+
 def test_archives_of_others(spark, tmp_path):
     """Chunked and unfinished responses, ftp, bad dates, binary: a record for each, equal ones as revisits with their length."""
     body = bytes(range(256)) * 3
