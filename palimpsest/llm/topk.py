@@ -7,11 +7,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import staged
+
 #: Queries settled in one round: bounds what is sent to the driver and broadcast (with 64 components about 8 MB).
 ROUND = 16_384
+#: Of so many rows one takes part in finding the cutoff. All rows are held against it.
+GATHERED = 8
 #: Rows and queries multiplied at a time.
 TILE = 1024
 _EXACT = 2**53
+#: The cutoff of queries that have fewer than k entries.
+_NEVER = -(2.0**62)
 
 
 def usable(vector: str = "embedding") -> Column:
@@ -49,12 +55,41 @@ def _best(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np
     return q[keep], ids[keep], score[keep]
 
 
-def _tiles(batches, qv: np.ndarray, m: int):
+def _tiles(batches, qv: np.ndarray, m: int, t: np.ndarray | None = None):
+    """(first query, ids, partial scores) of tiles of rows and queries; with t, of the rows that may reach it alone."""
     for batch in batches:
         ids, rows = batch.column(0).to_numpy(zero_copy_only=False), _scaled(batch.column(1))
         for i in range(0, len(ids), TILE):
             for j in range(0, len(qv), TILE):
-                yield j, ids[i : i + TILE], _lists(qv[j : j + TILE], rows[i : i + TILE], m)
+                q, own, r = qv[j : j + TILE], ids[i : i + TILE], rows[i : i + TILE]
+                if t is not None and (t[j : j + TILE] > _NEVER).all():
+                    left = _open(q, r, t[j : j + TILE, None], m)
+                    own, r = own[left], r[left]
+                if len(own):
+                    yield j, own, _lists(q, r, m)
+
+
+@np.errstate(over="ignore", invalid="ignore")  # what overflows counts as open
+def _open(queries: np.ndarray, rows: np.ndarray, need: np.ndarray, m: int) -> np.ndarray:
+    """Which rows may score need with any of the queries: by Cauchy and Schwarz a list can't hold more than the product of
+    the lengths, so the lists done and those bounds together bound the score. Rows drop out list by list; the bounds are
+    widened by what floating point may err."""
+    d = max(queries.shape[1], rows.shape[1])
+    pad = lambda x: np.pad(x, ((0, 0), (0, d - x.shape[1])))
+    queries, rows = pad(queries), pad(rows)
+    edges = np.linspace(0, d, m + 1).astype(int)
+    length = lambda x: np.stack([np.sqrt((x[:, a:b] ** 2).sum(axis=1)) for a, b in zip(edges[:-1], edges[1:], strict=True)])
+    lq, lr = length(queries), length(rows)
+    left = np.arange(len(rows))
+    done = np.zeros((len(queries), len(rows)))
+    need = need - 1 - 1e-9 * np.abs(need)
+    for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        bound = done[:, left] + lq[i:].T @ lr[i:, left]
+        left = left[~(bound + 1e-9 * np.abs(bound) < need).all(axis=0)]  # what is no number counts as open
+        if i + 1 == m or not len(left):
+            break
+        done[:, left] += queries[:, a:b] @ rows[left, a:b].T
+    return left
 
 
 def _rows(q, ids, score) -> pa.RecordBatch:
@@ -71,16 +106,18 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, m: int = 4) ->
     components, or without vec_id, take no part. Shorter vectors count as padded with zeros. Rows that repeat a vec_id
     are candidates one by one; as a query only the least of their vectors counts. Scores beyond a long are clamped.
 
-    The components are cut into m lists of partial scores. In rounds of ROUND queries: (1) every partition gathers the
-    k entries with the highest partial score of each list; the k-th best of their totals is a sure lower bound t of
-    the k-th best score. (2) An entry that scores t in all must have t / m in some list, so with t broadcast each
-    partition collects just the entries that reach that cutoff in a list, and drops those whose upper bound (t / m for
+    The components are cut into m lists of partial scores. In rounds of ROUND queries: (1) every partition gathers, of one
+    row in GATHERED by a hash of its id, the k entries with the highest partial score of each list; the k-th best of their
+    totals is a sure lower bound t of the k-th best score, whichever rows it comes from. (2) An entry that scores t in all must have t / m in some list, so with t broadcast each
+    partition, looking at every row, leaves out those that can't score t with any query of a tile, list by list (_open),
+    and collects just the entries that reach that cutoff in a list, and drops those whose upper bound (t / m for
     lists they don't reach it in) is under t. (3) The others' missing lists are resolved to exact totals. A partition
     hands on its own k best of each query, so equal vectors, however many, cost no more rows.
     """
     spark = vectors.sparkSession
     rows = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & usable())
     asked = rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    asked = staged(asked, "queries")  # aggregated once, whatever the rounds
     rounds = max(1, -(-asked.count() // ROUND))
     out = None
     for r in range(rounds):
@@ -107,9 +144,10 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, m: int = 4) ->
                 have = list(_best(*have, k))
             yield _rows(*have)
 
-        found = rows.mapInArrow(gather, "q int, vec_id long, score long")
+        some = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(GATHERED)) == 0)
+        found = some.mapInArrow(gather, "q int, vec_id long, score long")
         bound = found.groupBy("q").agg(F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(k - 1)).alias("t")).where("t is not null").toArrow()
-        cut = np.full(len(qid), -(2.0**62))
+        cut = np.full(len(qid), _NEVER)
         cut[bound["q"].to_numpy()] = bound["t"].to_numpy()
         bounds = spark.sparkContext.broadcast(cut)
 
@@ -118,7 +156,7 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, m: int = 4) ->
             t = bounds.value
             have = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
             more: list = []
-            for j, ids, lists in _tiles(batches, qv, m):
+            for j, ids, lists in _tiles(batches, qv, m, t):
                 need = t[j : j + len(lists[0]), None]
                 share = np.ceil(need / m)
                 reach = [x >= share for x in lists]
@@ -135,5 +173,6 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, m: int = 4) ->
         best = best.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
         name = spark.createDataFrame(pa.table({"q": pa.array(np.arange(len(qid)), pa.int32()), "query_id": held["vec_id"]}))
         best = best.join(F.broadcast(name), "q").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        best = best if rounds == 1 else staged(best, "round")  # a round's plan ends here
         out = best if out is None else out.union(best)
     return out
