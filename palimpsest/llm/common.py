@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -26,19 +27,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, an own one of this machine,
+    if the session runs within it; a cluster has to name one."""
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_own_shared_folder", None)
+    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_own_shared_folder", None)
     if not found:
-        if sc.master.startswith("local"):
-            found = f"file://{tempfile.mkdtemp(prefix='shared-')}"
-        else:
-            found = f"{spark.conf.get('spark.sql.warehouse.dir')}/_staged"
-        sc._own_shared_folder = found
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        found = sc._own_shared_folder = f"file://{tempfile.mkdtemp(prefix='shared-')}"
         sc.setCheckpointDir(found)
     return found
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or a longer one if df has such a column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Deletes a folder by Hadoop's file system, whichever store it is in."""
     try:

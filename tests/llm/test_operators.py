@@ -7,9 +7,11 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import chunks
 from palimpsest.llm import blocks, components, near_dup, packing, pieces, pii, queries, topk, toxicity, warc
 from tests.duck import connect, rows_by_sql, rows_of
 
@@ -424,6 +426,56 @@ def test_a_repeated_passage_is_found_each_time(spark):
     assert len(whole) == 4 and np.allclose([p.score for p in whole], whole[0].score) and len(found) == 5
 
 
+def test_the_model_by_brute_force(spark):
+    """Counts, log-odds, the law of the best segment and the scores, one text after another in plain Python."""
+    import math
+
+    rnd = random.Random(11)
+    clean_words, bad = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(80)], ["scumbag", "filthy", "vermin"]
+    rows = []
+    for i in range(150):
+        own = [rnd.choice(clean_words) for _ in range(rnd.randint(5, 60))]
+        toxic = i % 3 == 0
+        own += [rnd.choice(bad) for _ in range(4)] if toxic else []
+        rows.append((i, " ".join(own), int(toxic)))
+    rows += [(200, "", 0), (201, rows[0][1], 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    learnt = {t: y for i, t, y in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    n1, n0 = sum(learnt.values()), len(learnt) - sum(learnt.values())
+    counts: dict = {}
+    for t, y in learnt.items():
+        for f in {f for w in set(t.split()) for f in toxicity.features(w)}:
+            counts.setdefault(f, [0, 0])[y] += 1
+
+    def odds(clean, toxic):
+        share = (toxic + clean) / (n1 + n0)
+        a, b = toxic + 20 * share, clean + 20 * share
+        delta = math.log(a / max(n1 + 20 - a, 0.5)) - math.log(b / max(n0 + 20 - b, 0.5))
+        part = lambda seen, e: seen * math.log(seen / e) if seen else 0.0
+        ratio = part(toxic, share * n1) + part(clean, share * n0) + part(n1 - toxic, (1 - share) * n1) + part(n0 - clean, (1 - share) * n0)
+        return delta * max(0.0, 1 - 4 / math.sqrt(max(2 * ratio, 1e-9)))
+
+    scores = {f: s for f, (c, t) in counts.items() if c + t >= 3 and (s := odds(c, t))}
+    scores = toxicity.own_stems(scores, {f: t for f, (_, t) in counts.items()})
+    assert set(model.scores) == set(scores) and all(math.isclose(model.scores[f], scores[f], rel_tol=1e-9) for f in scores) and set(bad) <= set(scores)
+    value = lambda w: next((scores[f] for f in toxicity.features(w) if f in scores), 0.0)
+    plain = [value(w) for t, y in learnt.items() if not y for w in t.split()]
+    drift = max(0.05, 2 * sum(plain) / len(plain))
+    assert math.isclose(model.drift, drift, rel_tol=1e-9)
+    assert abs(sum(math.exp(model.rate * (v - drift)) for v in plain) / len(plain) - 1) < 1e-6 or model.rate > 60
+    best = lambda t: max((s for _, _, s in all_segments([value(w) - drift for w in t.split()][:60])), default=0.0)
+    short = [t for t, y in learnt.items() if not y and t]
+    law = sum(model.rate * best(t) - math.log(len(t.split())) for t in short) / len(short)
+    assert math.isclose(model.k, max(math.exp(law - 0.5772156649015329), 1e-12), rel_tol=1e-6)
+    got = {r.doc_id: r.score for r in toxicity.score_texts(df.select("doc_id", "text"), model).collect()}
+    for i, t, _ in rows:
+        n = len(t.split())
+        over = [max(0.0, model.rate * s - math.log(max(model.k * max(n, 1), 1e-300))) for _, _, s in all_segments([value(w) - drift for w in t.split()])]
+        logit = model.weights[0] + model.weights[1] * math.log1p(max(over, default=0.0)) + model.weights[2] * math.log1p(sum(over))
+        assert math.isclose(got[i], 1 / (1 + math.exp(-max(-30.0, min(30.0, logit)))), rel_tol=1e-6), i
+
+
 def test_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     out = queries.QUERIES["op9_toxicity"](spark, sf).where("held_out").join(queries.table(spark, sf, "labels").where("toxic is not null"), "doc_id")
@@ -440,8 +492,61 @@ def test_words_equal_the_tokenizer(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
     some = texts(spark) + strings(5, list(" abcDEF'\n\t09²½ªµÿÀÉß×÷é́漢字🙂ΣςİI\x1c\x1f\x85\xa0 <|>.,!-_$ﬁ") + ["<|endoftext|>", "'re", "'LL", " the "])
-    got = packing.encode_words(path, [t.encode() for t in some])
-    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
+    file = open(path, "rb").read()
+    assert encoded(packing.Encoder(file, packing.run_ranks(file)), some) == [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
+
+
+def encoded(make, some):
+    chunked = [x for _, _, data, at in chunks(pa.array(some, pa.large_string()), 4000) for x in make.encode(data, at)]
+    return [np.frombuffer(x, "<u4").tolist() for x in chunked]
+
+
+def test_other_tokenizers_are_used_as_they_are(spark):
+    """Files whose words can't be encoded by runs: another kind of tokenizer, and one whose merges aren't in order."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    some = texts(spark)[:40] + strings(6, " ab\nCD'é漢.,")[:60]
+    file = open(public_tokenizers.path("byte_bpe_50k.json"), "rb").read()
+    said = json.loads(open(public_tokenizers.path("word_bpe_49k.json"), "rb").read())
+    m = said["model"]["merges"]
+    m[5], m[6] = m[6], m[5]
+    for f in (file, json.dumps(said).encode()):
+        assert packing.run_ranks(f) is None
+        assert encoded(packing.Encoder(f, None), some) == [e.ids for e in Tokenizer.from_str(f.decode()).encode_batch(some, add_special_tokens=False)]
+
+
+def test_packing_against_the_best(spark):
+    """Small cases against the fewest sequences there can be, found by trying all."""
+    def best(lengths, cap):
+        lengths, least = sorted(lengths, reverse=True), [len(lengths)]
+
+        def put(i, bins):
+            if len(bins) >= least[0]:
+                return
+            if i == len(lengths):
+                least[0] = len(bins)
+                return
+            for left in sorted(set(bins)):
+                if left >= lengths[i]:
+                    own = list(bins)
+                    own[own.index(left)] -= lengths[i]
+                    put(i + 1, own)
+            put(i + 1, [*bins, cap - lengths[i]])
+
+        put(0, [])
+        return least[0]
+
+    rnd, over = random.Random(9), 0
+    for _ in range(60):
+        lengths = [rnd.randint(1, 20) for _ in range(rnd.randint(1, 9))]
+        n, c = np.unique(lengths, return_counts=True)
+        steps = packing.plan(n, c, packing.Capacity(20, 20, 400))
+        got = int((steps["bin"] + -(-steps["n"] // steps["copies"])).max())
+        over += got - best(lengths, 20)
+        assert best(lengths, 20) <= got <= best(lengths, 20) + 1
+    assert over <= 3
 
 
 @pytest.mark.parametrize("cap", [packing.Capacity(), packing.Capacity(rule="dot"), packing.Capacity(64, 5, 1500, (1.0, 0.5, 0.5)), packing.Capacity(64, 7, 2200, (1.0, 0.2, 0.3), "dot")])

@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from palimpsest.llm.queries import table
 from tests.llm.test_operators import brute_classes
@@ -46,3 +48,34 @@ def test_rows_that_repeat_an_id(spark):
 
 def test_run(spark):
     assert P.run(spark, SF).count() > 0
+
+
+LONG = " ".join(f"word{i % 997} and{i}" for i in range(30_000))
+ROWS = [(1, None), (2, ""), (3, " \t"), (4, "a text of some words that stays as it is"), (4, "a text of some words that stays as it is"), (4, "another text of the same id, with mail a@b.org in it"), (5, LONG), (None, "a text without an id"), (None, None)]
+
+
+def edge_docs(spark, rows):
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    clash = ("_key", "_row", "_toxic_score", "_pii_kinds", "score", "digest", "kept", "_staged", "n")
+    return df.select("*", *(F.lit(f"own {c}").alias(c) for c in clash))
+
+
+def test_edges_of_every_stage(spark):
+    """Nulls, empty and very long texts, repeated rows, no rows, and columns with names that stages use within."""
+    docs = edge_docs(spark, ROWS)
+    shown = lambda df: sorted((str(r.doc_id), str(r.text)) for r in df.collect())
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert {tuple(r)[5:] for r in out.collect()} == {tuple(f"own {c}" for c in docs.columns[5:])}, name
+        assert stage(spark, docs.where("false"), SF).collect() == [], name
+    assert shown(P.toxicity(spark, docs, SF)) == shown(docs)
+    exact = shown(P.exact(spark, docs, SF))
+    assert len(exact) == 7 and ("3", " \t") in exact and ("1", "None") not in exact and ("None", "None") in exact
+    assert exact.count(("4", ROWS[3][1])) == 2
+    assert ("5", LONG) in shown(P.near(spark, docs, SF)) and len(shown(P.near(spark, docs, SF))) == 9
+    private = P.pii(spark, docs, SF).collect()
+    assert sorted(str(r.doc_id) for r in private) == sorted(str(i) for i, _ in ROWS) and sum(r.text != t for r, (_, t) in zip(sorted(private, key=lambda r: (str(r.doc_id), str(r.text))), sorted(ROWS, key=lambda x: (str(x[0]), str(x[1]))), strict=True)) == 1
+    assert all(r.n_chars == len(r.text or "") for r in private)
+    packed = P.packing(spark, docs, SF)
+    assert sum(r.piece == 0 for r in packed.collect()) == len(ROWS) and P.packing(spark, docs.where("false"), SF).collect() == []
