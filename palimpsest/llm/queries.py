@@ -141,6 +141,33 @@ def op8_ngram_jaccard(spark, sf_dir):
     return ngram_jaccard_classes(table(spark, sf_dir, "documents"), words=3, t=(90, 100))
 
 
+SQL_OP8 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [list_aggregate(ws, 'string_agg', ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS grams FROM w
+), g AS (
+  SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM s
+), c AS (
+  SELECT min(doc_id) AS rep, n, key FROM (SELECT doc_id, len(grams) AS n, md5(list_aggregate(list_sort(grams), 'string_agg', chr(10))) AS key FROM s WHERE len(grams) > 0) GROUP BY n, key
+), h AS (
+  SELECT g.doc_id, g.n, g.gram FROM g JOIN c ON c.rep = g.doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM h a JOIN h b ON a.gram = b.gram AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), e AS (
+  SELECT x, y FROM p UNION SELECT y, x FROM p UNION SELECT rep, rep FROM c
+), r(x, y) AS (
+  SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y
+), top AS (
+  SELECT x AS rep, min(y) AS least FROM r GROUP BY x
+), k AS (
+  SELECT doc_id, len(grams) AS n, md5(list_aggregate(list_sort(grams), 'string_agg', chr(10))) AS key FROM s
+)
+SELECT k.doc_id, k.n AS n_shingles, coalesce(top.least, k.doc_id) AS component_id FROM k LEFT JOIN c ON k.n > 0 AND c.n = k.n AND c.key = k.key LEFT JOIN top ON top.rep = c.rep
+"""
+
+
 def op9_toxicity(spark, sf_dir):
     from .toxicity import toxicity
 
@@ -176,4 +203,4 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-SQL = {"op2_arc_to_warc": SQL_OP2, "op3_exact_topk": SQL_OP3, "op4_line_dedup": SQL_OP4, "op6_substring_dedup": SQL_OP6, "op7_exact_dedup": SQL_OP7}
+SQL = {"op2_arc_to_warc": SQL_OP2, "op3_exact_topk": SQL_OP3, "op4_line_dedup": SQL_OP4, "op6_substring_dedup": SQL_OP6, "op7_exact_dedup": SQL_OP7, "op8_ngram_jaccard": SQL_OP8}
