@@ -22,8 +22,8 @@ ANSWERS = "blk int, bucket int, mask binary, least binary"
 NOBODY = np.int64(2**63 - 1)
 
 
-def block_of(doc_id: str, n: int) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(n)).cast("int")
+def block_of(n: int, *by: str) -> Column:
+    return F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
 
 
 def buckets_of(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

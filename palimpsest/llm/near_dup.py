@@ -192,7 +192,7 @@ def candidates(leaders: DataFrame, blocks: int) -> DataFrame:
         shared = pa.ListArray.from_arrays(pa.array(np.append(at[some], len(k)).astype(np.int32)), pa.array(k))
         return pa.table([left["rep"].take(pa.array(some)), left["n"].take(pa.array(some)), pa.array(k[at[some]]), pa.array(np.diff(at)[some].astype(np.int32)), shared], names=["rep", "n", "home", "n_shared", "shared"])
 
-    grouped = leaders.withColumn("blk", block_of("rep", blocks)).groupBy("blk")
+    grouped = leaders.withColumn("blk", block_of(blocks, "rep")).groupBy("blk")
     return grouped.cogroup(counted(grouped.applyInArrow(tell, ENTRIES)).groupBy("blk")).applyInArrow(pick, CANDIDATE)
 
 

@@ -102,7 +102,7 @@ def substring_dedup(docs: DataFrame, width: int = 13, gram: int = 5, block: int
     arrays (see blocks). Texts are shuffled once, into blocks; Spark reuses that exchange in all three steps.
     """
     n = max(1, -(-text_bytes(docs) // block))
-    texts = docs.select("doc_id", "text").withColumn("blk", block_of("doc_id", n))
+    texts = docs.select("doc_id", "text").withColumn("blk", block_of(n, "doc_id", "text"))  # rows of one id, or of none, are dealt too
     few = max(1, n // 4)
 
     def tell(t: pa.Table) -> pa.Table:

@@ -92,6 +92,15 @@ def test_substring_dedup(spark):
     assert out[None].n_removed == 18 and out[10].n_removed == 18 and out[10].kept == "end"
 
 
+def test_substring_dedup_of_one_id_in_many_blocks(spark):
+    """Rows of one id, or of none, lie in several blocks; equal ids are no smaller than one another."""
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(7, f"a{i} {passage} b{i}") for i in range(12)] + [(None, f"c{i} {passage}") for i in range(6)] + [(3, f"x {passage}")]
+    for own, others in ((rows, True), (rows[:12], False)):
+        out = substring_dedup.substring_dedup(documents(spark, own), block=100).collect()
+        assert all(r.n_removed == (20 if others and r.doc_id != 3 else 0) for r in out) and len(out) == len(own)
+
+
 def test_near_dup(spark):
     out = {r.doc_id: r for r in near_dup.ngram_jaccard_classes(documents(spark)).collect()}
     assert out[1].n_shingles == 0 and out[1].component_id == 1 and out[2].component_id == 2
