@@ -70,26 +70,20 @@ def _tiles(batches, qv: np.ndarray, m: int, t: np.ndarray | None = None):
 
 
 @np.errstate(over="ignore", invalid="ignore")  # what overflows counts as open
+def _lengths(vectors: np.ndarray, d: int, m: int) -> np.ndarray:
+    """The length of each vector in each list, m rows."""
+    edges = np.linspace(0, d, m + 1).astype(int)
+    return np.stack([np.sqrt((vectors[:, a:b] ** 2).sum(axis=1)) for a, b in zip(edges[:-1], edges[1:], strict=True)])
+
+
+@np.errstate(over="ignore", invalid="ignore")
 def _open(queries: np.ndarray, rows: np.ndarray, need: np.ndarray, m: int) -> np.ndarray:
-    """Which rows may score need with any of the queries: by Cauchy and Schwarz a list can't hold more than the product of
-    the lengths, so the lists done and those bounds together bound the score. Rows drop out list by list; the bounds are
-    widened by what floating point may err."""
+    """Which rows may score need with any of a tile's queries: by Cauchy and Schwarz a list holds no more than the product
+    of the lengths in it, so the tile's greatest lengths bound a row's score with all of them, at next to no cost. Queries
+    are in the order of their lengths, so a tile's are alike. The bound is widened by what floating point may err."""
     d = max(queries.shape[1], rows.shape[1])
-    pad = lambda x: np.pad(x, ((0, 0), (0, d - x.shape[1])))
-    queries, rows = pad(queries), pad(rows)
-    edges = np.linspace(0, d, m + 1).astype(int)
-    length = lambda x: np.stack([np.sqrt((x[:, a:b] ** 2).sum(axis=1)) for a, b in zip(edges[:-1], edges[1:], strict=True)])
-    lq, lr = length(queries), length(rows)
-    left = np.arange(len(rows))
-    done = np.zeros((len(queries), len(rows)))
-    need = need - 1 - 1e-9 * np.abs(need)
-    for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-        bound = done[:, left] + lq[i:].T @ lr[i:, left]
-        left = left[~(bound + 1e-9 * np.abs(bound) < need).all(axis=0)]  # what is no number counts as open
-        if i + 1 == m or not len(left):
-            break
-        done[:, left] += queries[:, a:b] @ rows[left, a:b].T
-    return left
+    bound = _lengths(queries, d, m).max(axis=1, initial=0) @ _lengths(rows, d, m)
+    return np.flatnonzero(~(bound + 1e-9 * np.abs(bound) + 1 < need.min()))  # what is no number counts as open
 
 
 def _rows(q, ids, score) -> pa.RecordBatch:
@@ -109,7 +103,7 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, m: int = 4) ->
     The components are cut into m lists of partial scores. In rounds of ROUND queries: (1) every partition gathers, of one
     row in GATHERED by a hash of its id, the k entries with the highest partial score of each list; the k-th best of their
     totals is a sure lower bound t of the k-th best score, whichever rows it comes from. (2) An entry that scores t in all must have t / m in some list, so with t broadcast each
-    partition, looking at every row, leaves out those that can't score t with any query of a tile, list by list (_open),
+    partition, looking at every row, leaves out those that can't score t with any query of a tile (_open),
     and collects just the entries that reach that cutoff in a list, and drops those whose upper bound (t / m for
     lists they don't reach it in) is under t. (3) The others' missing lists are resolved to exact totals. A partition
     hands on its own k best of each query, so equal vectors, however many, cost no more rows.
@@ -124,6 +118,9 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, m: int = 4) ->
         held = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(rounds)) == r).orderBy("vec_id").toArrow()
         qid = held["vec_id"].to_numpy()
         qv = _scaled(held["embedding"].combine_chunks()) if len(qid) else np.zeros((0, 0))
+        with np.errstate(over="ignore"):
+            by_length = np.argsort(np.sqrt((qv**2).sum(axis=1)), kind="stable")
+        qid, qv = qid[by_length], qv[by_length]
         sent = spark.sparkContext.broadcast((qid, qv))
 
         def gather(batches, sent=sent):
@@ -171,7 +168,7 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, m: int = 4) ->
 
         best = rows.mapInArrow(resolve, "q int, vec_id long, score long")
         best = best.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
-        name = spark.createDataFrame(pa.table({"q": pa.array(np.arange(len(qid)), pa.int32()), "query_id": held["vec_id"]}))
+        name = spark.createDataFrame(pa.table({"q": pa.array(np.arange(len(qid)), pa.int32()), "query_id": pa.array(qid)}))
         best = best.join(F.broadcast(name), "q").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
         best = best if rounds == 1 else staged(best, "round")  # a round's plan ends here
         out = best if out is None else out.union(best)
