@@ -103,10 +103,13 @@ def audit(rendered: DataFrame) -> DataFrame:
     return rendered.select("doc_id", F.size(marks).alias("n_left"), F.array_sort(F.array_distinct(marks)).alias("left")).where("n_left > 0")
 
 
-def fingerprint_gate(stored: DataFrame, actual: DataFrame) -> DataFrame:
-    """state of a catalogue against its config (each one row with fingerprint): match, skipped or fail."""
-    both = stored.select(F.col("fingerprint").alias("a")).join(F.broadcast(actual.select(F.col("fingerprint").alias("b"))))
-    return both.select(F.when(F.col("a").isNull() | F.col("b").isNull(), "skipped").when(F.col("a") == F.col("b"), "match").otherwise("fail").alias("state"))
+def fingerprint_gate(stored: DataFrame, actual: DataFrame, key: str, required: bool = False, stale: bool = False) -> DataFrame:
+    """key, state of catalogues (key, fingerprint) against their configs (the same): match; skipped where the catalogue
+    has none or there is no config, which fails if a check is required; fail where they differ, or stale if that is allowed."""
+    both = stored.select(key, F.col("fingerprint").alias("_a")).join(actual.select(key, F.col("fingerprint").alias("_b")), key, "left")
+    missing = F.lit("fail: required") if required else F.when(F.col("_a").isNull(), "skipped: no fingerprint").otherwise("skipped: no config")
+    state = F.when(F.col("_a").isNull() | F.col("_b").isNull(), missing).when(F.col("_a") == F.col("_b"), "match").otherwise("stale" if stale else "fail")
+    return both.select(key, state.alias("state"))
 
 
 def appended(existing: DataFrame, new: DataFrame, key: str = "leaf") -> DataFrame:

@@ -123,6 +123,21 @@ def feature_gates(tokens: DataFrame, features: DataFrame) -> DataFrame:
     return out.select(*tokens.columns, F.when(F.col("enabled").eqNullSafe(F.lit(False)), F.col("_flag")).alias("gate"))
 
 
+def refusals(features: DataFrame) -> DataFrame:
+    """flag, verdict of flags that are set: refused (a config that has it can't be worked with) or partial (what has it is
+    left out); other flags, and those that aren't set, bar nothing."""
+    verdict = F.when(F.col("flag").isin(*REFUSALS), "refused").when(F.col("flag").isin(*PARTIAL), "partial")
+    return features.where("enabled").select("flag", verdict.alias("verdict")).where("verdict is not null")
+
+
+def fetch_problems(rows: DataFrame) -> DataFrame:
+    """rows of entities to be fetched (key, method, arg, roots) with problem: what keeps a row from being used."""
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    strange = F.array_except(F.coalesce("roots", F.array().cast("array<string>")), F.array(*map(F.lit, X.ROOTS)))
+    problem = F.when(blank("key"), "no key").when(blank("method"), "no method").when(blank("arg"), "no argument").when(F.size(strange) > 0, F.concat(F.lit("unknown root: "), F.array_join(strange, ", "))).otherwise("")
+    return rows.select("*", problem.alias("problem"))
+
+
 def loop_roots(loops: DataFrame, iterables: DataFrame, synthesise: bool = False) -> DataFrame:
     """loops (doc_id, loop) with list_path, match and synthesised: by the iterable's exact name, or a made-up plural."""
     own = iterables.select(F.col("name").alias("loop"), F.col("list_path").alias("_path"))

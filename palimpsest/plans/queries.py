@@ -1061,3 +1061,77 @@ def prose_blocks(spark, sf_dir):
     out = tokens.prose_blocks(plain)
     shown = F.transform("blocks", lambda b: F.concat_ws(":", b["text"], F.coalesce(b["parent"].cast("string"), F.lit("-")), b["depth"].cast("string")))
     return out.select("doc_id", "template", F.size("blocks").alias("n"), F.array_join(shown, "|").alias("blocks"))
+
+
+# --- smaller parts -----------------------------------------------------------------------------------------------------
+
+
+@query("method_keys", f"""WITH m AS (SELECT o_orderkey AS file, unnest([1, 2]) AS part, unnest(list_concat(['render'], CASE WHEN o_orderkey % 3 = 0 THEN ['other'] ELSE [NULL] END)) AS method FROM orders),
+ b AS (SELECT file, method, unnest(CASE method WHEN 'render' THEN ['cond' || (o_orderkey % 90), 'name' || (o_custkey % 7)] ELSE ['cond' || (o_orderkey % 90)] END) AS key FROM m JOIN orders ON o_orderkey = file WHERE method IS NOT NULL)
+ SELECT file, method, key, count(*) AS n FROM b GROUP BY ALL""")
+def method_keys(spark, sf_dir):
+    return documents.method_keys(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file"), F.expr(_CODE).alias("text")))
+
+
+@query("repeated_keys", f"SELECT key, count(*) AS n FROM (SELECT unnest(regexp_extract_all({_CODE}, 'put\\(\\s*\"([^\"]+)\"', 1)) AS key FROM orders) GROUP BY 1 HAVING count(*) > 1")
+def repeated_keys(spark, sf_dir):
+    code = table(spark, sf_dir, "orders").select(F.expr(_CODE).alias("text"))
+    return reports.duplicates(code.select(F.explode(F.regexp_extract_all("text", F.lit('put\\(\\s*"([^"]+)"'), 1)).alias("key")))
+
+
+@query("feature_refusals", _WITH + " SELECT 'custom_data_types' AS flag, 'refused' AS verdict FROM p UNION SELECT 'default_option_prefix', 'refused' FROM p WHERE size % 10 = 0 UNION SELECT 'array_data_extensions', 'partial' FROM p WHERE kind LIKE '%+'")
+def feature_refusals(spark, sf_dir):
+    return resolve.refusals(config_tree.features(_configs(spark, sf_dir)))
+
+
+@query("fetch_problems", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'no key' WHEN o_orderkey % 5 = 0 THEN 'no method' WHEN o_custkey % 4 = 0 THEN 'no argument' WHEN o_orderstatus = 'P' THEN 'unknown root: bill' ELSE '' END AS problem FROM orders")
+def fetch_problems(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    rows = o.select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.lit("k")).alias("key"), F.when(F.col("o_orderkey") % 5 != 0, F.lit("getIt")).otherwise(" ").alias("method"), F.when(F.col("o_custkey") % 4 != 0, F.lit("a")).alias("arg"), F.when(F.col("o_orderstatus") == "P", F.array(F.lit("quote"), F.lit("bill"))).when(F.col("o_orderstatus") == "F", F.array(F.lit("policy"))).alias("roots"))
+    return resolve.fetch_problems(rows).select("o_orderkey", "problem")
+
+
+_STORED = "SELECT c_custkey AS product, CASE WHEN c_custkey % 6 <> 0 THEN md5(c_mktsegment) ELSE NULL END AS fingerprint FROM customer"
+_ACTUAL = "SELECT c_custkey AS product, md5(CASE WHEN c_custkey % 5 = 0 THEN c_name ELSE c_mktsegment END) AS fingerprint FROM customer WHERE c_custkey % 4 <> 0"
+
+
+@query("fingerprint_gate", f"SELECT s.product, CASE WHEN s.fingerprint IS NULL THEN 'skipped: no fingerprint' WHEN a.fingerprint IS NULL THEN 'skipped: no config' WHEN s.fingerprint = a.fingerprint THEN 'match' ELSE 'fail' END AS state FROM ({_STORED}) s LEFT JOIN ({_ACTUAL}) a ON s.product = a.product")
+def fingerprint_gate(spark, sf_dir):
+    table(spark, sf_dir, "customer").createOrReplaceTempView("_print_customer")
+    named = lambda sql: spark.sql(sql.replace("FROM customer", "FROM _print_customer"))
+    return reports.fingerprint_gate(named(_STORED), named(_ACTUAL), "product")
+
+
+@query("label_texts", f"""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_name ELSE p_type END AS label, CASE WHEN p_size % 5 = 0 THEN '' ELSE p_name || ' of ' || p_type END AS clean, CASE p_size % 4 WHEN 0 THEN 'may be absent: guard ' || p_name WHEN 1 THEN 'always present' ELSE '' END AS note,
+ CASE p_size % 3 WHEN 0 THEN 'quote' WHEN 1 THEN 'policy' END AS scope, replace(p_name || ' & <' || p_type || '>', '&', '&amp;') AS half, '{{' || lower(p_type) || '.x' || p_size || '}} {{a}}' AS shown FROM part""")
+def label_texts(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    size, name, kind = F.col("p_size"), F.col("p_name"), F.col("p_type")
+    told = F.when(size % 5 == 0, F.concat(F.lit("$TBD_"), name)).otherwise(F.concat(F.lit("  "), name, F.lit(" of "), kind, F.lit("::")))
+    escaped = X.html_escape(F.concat(name, F.lit(" & <"), kind, F.lit(">")))
+    marks = X.shown_markers(F.concat(F.lit("$TBD_"), F.lower(kind), F.lit(".x"), size.cast("string"), F.lit(" $it.TBD_a")))
+    return part.select(
+        "p_partkey", X.shown_label(F.when(size % 3 == 0, name).otherwise(F.lit("")), kind).alias("label"), X.clean_label(told).alias("clean"),
+        X.quantifier_note(F.when(size % 4 == 0, F.lit("?")).when(size % 4 == 1, F.lit("!")).otherwise(F.lit("+")), name).alias("note"),
+        X.document_scope(F.when(size % 3 == 0, F.lit("quote")).when(size % 3 == 1, F.lit("segment"))).alias("scope"),
+        F.replace(F.replace(escaped, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")).alias("half"), marks.alias("shown"),
+    )
+
+
+@query("format_integrity", f"""SELECT doc_id, len(list_distinct(regexp_extract_all("text", '\\{{[$+*]?name1\\}}')))::INTEGER AS n_lost FROM {_DOCS}""")
+def format_integrity(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return docs.select("doc_id", F.size(tokens.integrity(F.col("text"), F.regexp_replace("text", r"\{([$+*]?)name1\}", "gone"))).alias("n_lost"))
+
+
+@query("wiring", _WITH + """, o AS (SELECT o_orderkey AS doc_id, CASE o_orderkey % 4 WHEN 0 THEN '$data.data.term' || (o_custkey % 9) WHEN 1 THEN '$data.locator' WHEN 2 THEN '$data.account.data.city' ELSE '$data.none' END AS path FROM orders)
+ SELECT doc_id, o.path, category, CASE category WHEN 'policy_data' THEN 'segment' WHEN 'system' THEN 'policy' WHEN 'account' THEN 'account' END AS entity FROM o LEFT JOIN (SELECT DISTINCT path, category FROM paths) q ON q.path = o.path""")
+def wiring(spark, sf_dir):
+    path = F.expr("CASE o_orderkey % 4 WHEN 0 THEN '$data.data.term' || CAST(o_custkey % 9 AS STRING) WHEN 1 THEN '$data.locator' WHEN 2 THEN '$data.account.data.city' ELSE '$data.none' END")
+    return resolve.wired(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), path.alias("path")), _catalogue(spark, sf_dir))
+
+
+@query("sanity_texts", rf"""WITH f AS (SELECT doc_id, 'suspicious token' AS category, unnest(regexp_extract_all("text", '\b(XXXX+|X{{3,}}|TBD|TODO|FIXME)\b')) AS found FROM {_DOCS} UNION ALL SELECT doc_id, 'dollar amount', unnest(regexp_extract_all("text", '\$\s?\d[\d,]*(?:\.\d+)?')) FROM {_DOCS}),
+ c AS (SELECT doc_id, category, count(*) AS n FROM f GROUP BY 1, 2) SELECT doc_id, string_agg(category || ': ' || n, chr(10) ORDER BY category) AS "text" FROM c GROUP BY 1""")
+def sanity_texts(spark, sf_dir):
+    return reports.findings_text(reports.findings(_docs(spark, sf_dir)))

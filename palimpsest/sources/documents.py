@@ -110,12 +110,82 @@ def existing_keys(source: DataFrame) -> DataFrame:
     return found.groupBy("key").agg(F.count("*").alias("n"))
 
 
+def method_keys(source: DataFrame) -> DataFrame:
+    """file, method, key, n of the put("key", ..) of each method in (file, text) of generated sources: a key that one method
+    puts twice overwrites itself. A method begins where its name and an opening brace stand; what comes before is "".
+    """
+    begins = r"\b(\w+)\s*\([^()]*\)\s*\{"
+    parts = F.split("text", begins, -1)
+    names = F.concat(F.array(F.lit("")), F.regexp_extract_all("text", F.lit(begins), 1))
+    each = source.select("file", F.explode(F.arrays_zip(names.alias("method"), parts.alias("body"))).alias("m")).select("file", "m.method", F.explode(F.regexp_extract_all("m.body", F.lit(r'put\(\s*"([^"]+)"'), 1)).alias("key"))
+    return each.groupBy("file", "method", "key").agg(F.count("*").alias("n"))
+
+
 def variant_texts(rules: DataFrame) -> DataFrame:
     """Rule texts as documents, so that fields within them are resolved too: doc_id, text."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"])
     return rules.groupBy().agg(F.array_join(ordered, "\n").alias("text")).select(F.lit("rules").alias("doc_id"), "text")
 
 
+def with_sheet(form: DataFrame, sheet: DataFrame) -> DataFrame:
+    """The blocks of an older form (source, condition; see read_condition_form) with the rows of a sheet beside it (key,
+    when, text), by the name in a source such as $clause: source, key, n_rows, problem (no rows, no block)."""
+    named = form.withColumn("key", F.nullif(F.regexp_extract("source", r"^\s*\$([A-Za-z_]\w*)\s*$", 1), F.lit("")))
+    rows = sheet.groupBy("key").agg(F.count("*").alias("n_rows"))
+    both = named.where("key is not null").select("source", "key").join(rows, "key", "full_outer")
+    problem = F.when(F.col("n_rows").isNull(), "no rows").when(F.col("source").isNull(), "no block")
+    own = named.where("key is null").select("source", F.lit(None).cast("string").alias("key"), F.lit(0).cast("long").alias("n_rows"), F.lit(None).cast("string").alias("problem"))
+    return both.select("source", "key", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), problem.alias("problem")).union(own)
+
+
+_ZIP_TEXT = re.compile(rb"(<w:t(?: [^>]*)?>)([^<]*)(</w:t>)")
+_ZIP_PARAGRAPH = re.compile(rb"<w:p[ >].*?</w:p>", re.DOTALL)
+
+
+def docx_rewritten(content: bytes, mapping: dict[str, str]) -> tuple[bytes, list[str]]:
+    """A .docx with {leaf} changed to {path}, its symbol kept, and the leaves that were found. A marker that a change of
+    style cuts into several runs goes into the first of them; all else of the file stays as it is."""
+    from xml.sax.saxutils import escape, unescape
+
+    marker, found = re.compile(r"\{([$+*]?)(" + "|".join(map(re.escape, sorted(mapping, key=len, reverse=True))) + r")\}") if mapping else None, set()
+
+    def paragraph(m: re.Match) -> bytes:
+        texts = [unescape(t.group(2).decode()) for t in _ZIP_TEXT.finditer(m[0])]
+        whole, new = "".join(texts), list(texts)
+        starts = [sum(map(len, texts[:i])) for i in range(len(texts))]
+        for x in reversed(list(marker.finditer(whole))):
+            found.add(x[2])
+            made, a, b = "{" + x[1] + mapping[x[2]] + "}", x.start(), x.end()
+            for i in reversed(range(len(texts))):
+                lo, hi = max(a, starts[i]), min(b, starts[i] + len(texts[i]))
+                if lo < hi:
+                    put = made if lo == a else ""
+                    new[i] = new[i][: lo - starts[i]] + put + new[i][hi - starts[i] :]
+        it = iter(new)
+        return _ZIP_TEXT.sub(lambda t: t[1] + escape(next(it)).encode() + t[3], m[0])
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(content)) as old, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for item in old.infolist():
+            data = old.read(item)
+            if marker and re.fullmatch(r"word/(document|header\d*|footer\d*)\.xml", item.filename):
+                data = _ZIP_PARAGRAPH.sub(paragraph, data)
+            z.writestr(item, data)
+    return out.getvalue(), sorted(found)
+
+
+def rewritten_docx(spark: SparkSession, path: str, mapping: dict[str, str]) -> DataFrame:
+    """path, content, missed (leaves that it doesn't have) of all .docx files of a folder, rewritten."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [(p, *docx_rewritten(bytes(c), mapping)) for p, c in zip(batch["path"], batch["content"], strict=True)]
+            yield pd.DataFrame([(p, c, [x for x in mapping if x not in f]) for p, c, f in rows], columns=["path", "content", "missed"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path).select("path", "content")
+    return files.mapInPandas(run, "path string, content binary, missed array<string>")
+
+
 def is_schema_version(found: str, expected: str) -> bool:
     """Whether a file's version can be read: the same major number, and a minor one that is not newer."""
     number = lambda v: [int(x) for x in re.findall(r"\d+", v)[:2]] + [0, 0]

@@ -84,3 +84,19 @@ def test_rules_sink_keeps_what_people_wrote(spark, tmp_path):
     assert {(r.key, r.text) for r in got.collect()} == {("a", "mine"), ("l", None)}
     assert json.loads(sinks.mapping_json(spark.createDataFrame([(1, 1, "b"), (1, 0, "a")], "doc_id int, pos int, name string")).first().json)["tokens"] == [{"pos": 0, "name": "a"}, {"pos": 1, "name": "b"}]
     assert documents.variant_texts(old).first().text == "mine\nold" and F is not None
+
+
+def test_docx_rewriting(spark, tmp_path):
+    run = lambda t, more="": f"<w:r>{more}<w:t xml:space=\"preserve\">{t}</w:t></w:r>"
+    body = f"<w:p>{run('Dear {na')}{run('me', '<w:rPr><w:b/></w:rPr>')}{run('}, {$age} &amp; {other}')}</w:p><w:p >{run('{name}{name} {names}')}</w:p>"
+    (tmp_path / "a.docx").write_bytes(docx(body))
+    got = documents.rewritten_docx(spark, str(tmp_path), {"name": "account.name", "age": "a<b", "gone": "x"}).first()
+    assert got.missed == ["gone"]
+    assert [t for _, t in documents.docx_blocks(bytes(got.content))] == ["Dear {account.name}, {$a<b} & {other}", "{account.name}{account.name} {names}"]
+    assert b"<w:b/>" in zipfile.ZipFile(io.BytesIO(bytes(got.content))).read("word/document.xml")
+
+
+def test_older_forms_with_their_sheet(spark):
+    form = spark.createDataFrame([(1, " $a ", "x == 1"), (2, "plain text", None), (3, "$b", None)], "id int, source string, condition string")
+    sheet = spark.createDataFrame([("a", "x", "1"), ("a", "", "2"), ("c", "", "3")], "key string, when string, text string")
+    assert {(r.source, r.key, r.n_rows, r.problem) for r in documents.with_sheet(form, sheet).collect()} == {(" $a ", "a", 2, None), ("$b", "b", 0, "no rows"), (None, "c", 1, "no block"), ("plain text", None, 0, None)}
