@@ -28,12 +28,6 @@ def tag_count(html: Column, tag: str) -> Column:
     return F.regexp_count(html, F.lit(rf"<{tag}[ >]"))
 
 
-def all_of(text: Column, pattern: str, groups: list[int]) -> Column:
-    """Matches in order, as structs of their groups g1, g2, ..."""
-    found = [F.regexp_extract_all(text, F.lit(pattern), g) for g in groups]
-    return F.arrays_zip(*(x.alias(f"g{i + 1}") for i, x in enumerate(found))) if len(found) > 1 else F.transform(found[0], lambda x: F.struct(x.alias("g1")))
-
-
 def field_occurrences(docs: DataFrame) -> DataFrame:
     """doc_id, pos, symbol, name of every {field}, in order."""
     found = docs.select("doc_id", F.posexplode(F.arrays_zip(F.regexp_extract_all("text", F.lit(FIELD), 1).alias("symbol"), F.regexp_extract_all("text", F.lit(FIELD), 2).alias("name"))).alias("pos", "x"))

@@ -1135,3 +1135,32 @@ def wiring(spark, sf_dir):
  c AS (SELECT doc_id, category, count(*) AS n FROM f GROUP BY 1, 2) SELECT doc_id, string_agg(category || ': ' || n, chr(10) ORDER BY category) AS "text" FROM c GROUP BY 1""")
 def sanity_texts(spark, sf_dir):
     return reports.findings_text(reports.findings(_docs(spark, sf_dir)))
+
+
+@query("presence_in_list", f"SELECT o_orderkey AS locator, coalesce(bool_or(l_returnflag = 'R'), false) AS present FROM {_FULL} GROUP BY 1")
+def presence_in_list(spark, sf_dir):
+    """The same as presence_any of lists that a record already has."""
+    return records(spark, sf_dir, account=False).select("locator", nested.any_with(F.col("items"), "theft").alias("present"))
+
+
+@query("older_conditions", f"SELECT o_orderkey AS locator, coalesce(o_totalprice > 200000, false) AND priority IS NOT NULL AS hit FROM {_ORDERS}")
+def older_conditions(spark, sf_dir):
+    p = policies(spark, sf_dir)
+    return p.select("locator", C.compile_value(C.legacy("segment.data.large == true and policy.priority present", "policy"), p.schema).alias("hit"))
+
+
+@query("nested_references", f"""SELECT DISTINCT key, unnest(regexp_extract_all(body, '\\[\\[\\s*\\$([A-Za-z_]\\w*)\\s*\\]\\]', 1)) AS target FROM (SELECT 'k' || doc_id % 50 AS key, "text" AS body FROM {_DOCS})""")
+def nested_references(spark, sf_dir):
+    return tokens.nested_references(_docs(spark, sf_dir).select(F.concat(F.lit("k"), (F.col("doc_id") % 50).cast("string")).alias("key"), "text"))
+
+
+@query("path_map", """SELECT '{' || string_agg('"' || c_custkey || '":"' || c_mktsegment || '"', ',' ORDER BY c_custkey) || '}' AS json FROM customer WHERE c_custkey % 7 = 0 AND c_custkey % 5 <> 0""")
+def path_map(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").where("c_custkey % 7 = 0")
+    return reports.path_map(rows.select(F.col("c_custkey").alias("leaf"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment")).alias("final")))
+
+
+@query("required_texts", f"SELECT o_orderkey AS locator, coalesce(priority, '') || '/' || o_orderstatus AS text FROM {_ORDERS}")
+def required_texts(spark, sf_dir):
+    p = policies(spark, sf_dir)
+    return p.select("locator", F.concat(X.quiet(F.col("policy.priority"), True), F.lit("/"), X.quiet(F.col("policy.status"), False, "status")).alias("text"))

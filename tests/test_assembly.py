@@ -99,3 +99,33 @@ def test_collisions_and_order_of_columns(spark):
     assert assembly.reordered(spark.range(1).selectExpr("1 z", "2 name", "3 y", "4 doc_id")).columns == ["doc_id", "name", "z", "y"]
     counts = spark.createDataFrame([(1, "b", 2), (1, "a", 1)], "doc_id int, section string, n int")
     assert assembly.report_text(counts, "doc_id", "Form").first().text == "# Form 1\n- a: 1\n- b: 2\ntotal: 3"
+
+
+def test_items_outside_lists_and_roots(spark, tmp_path):
+    from palimpsest.operators import reports, types
+    from palimpsest.sources import documents
+
+    (tmp_path / "a.html").write_text("<ul><li>in</ul><div><li>out</div>")
+    pages = documents.read_html(spark, str(tmp_path)).select(F.lit(1).cast("long").alias("page_id"), "html")
+    assert [r.text for r in reports.list_items_outside(tokens.html_nodes(pages)).collect()] == ["out"]
+    assert {tuple(r) for r in types.root_descriptors(spark, "P", "own").collect()} == {("quote", "own.PQuote", "PQuoteRequest"), ("segment", "own.PSegment", "PRequest"), ("invoice", None, "InvoiceRequest")}
+
+
+def test_graphs_against_all_ways():
+    import itertools
+    import random
+
+    from palimpsest.operators import graph
+
+    rnd = random.Random(3)
+    for _ in range(200):
+        keys = "abcdef"[: rnd.randint(1, 6)]
+        refs = {k: sorted({rnd.choice("abcdefz") for _ in range(rnd.randint(0, 2))}) for k in keys}
+        closed = {(a, b) for a in keys for b in refs[a] if b in refs}
+        for _ in keys:
+            closed |= {(a, d) for (a, b), (c, d) in itertools.product(closed, closed) if b == c}
+        assert graph.on_cycles(refs) == {a for a in keys if (a, a) in closed}
+        assert (graph.find_cycle(refs) is not None) == bool(graph.on_cycles(refs))
+        if not graph.on_cycles(refs):
+            at = {k: i for i, k in enumerate(graph.ordered(refs))}
+            assert all(at[b] < at[a] for a, b in closed)
