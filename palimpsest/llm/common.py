@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import re
 import tempfile
 import uuid
@@ -21,8 +23,21 @@ BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+#: Rows that Spark hands to a Python worker at a time, unless the session says otherwise: texts are long, and both sides hold
+#: a batch and what is made of it.
+ROWS = 2000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Makes a session ready for the operators: the package on the executors, and batches of texts, not of numbers."""
     ship(spark)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(batch) == "10000" and not spark.sparkContext.getConf().contains(batch):  # as it is by default
+        spark.conf.set(batch, str(ROWS))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -57,7 +72,7 @@ def drop_folder(spark: SparkSession, path: str) -> None:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name in the shared folder; what is in it goes when the driver ends."""
-    ship(spark)
+    prepare(spark)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     atexit.register(drop_folder, spark, path)
     return path
@@ -195,5 +210,27 @@ def sequences(h: np.ndarray, n: int, base: int) -> np.ndarray:
         return mix(out)
 
 
+def lean(f):
+    """f, a function over batches, after which a worker gives back what it no longer needs: Spark keeps workers for later
+    stages, and these would hold the most that any stage took."""
+
+    @functools.wraps(f)
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return run
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def arrow_rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import ENTRIES, answered, as_table, block_of, counted, entries
-from .common import chunks, discard, mix, sequences, staged, word_hashes, words_of
+from .common import chunks, discard, lean, mix, release, sequences, staged, word_hashes, words_of
 from .components import components
 
 #: Members of a share of a group, and their tokens, about; also of the queries held against a share by one task.
@@ -141,6 +141,7 @@ COUNTS = ("own", "need", "need_below")
 def described(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
     """doc_id, n (tokens), mark (128 bits of a hash of the set; null if empty), keys and COUNTS (see Bands) of each row."""
 
+    @lean
     def run(batches):
         for batch in batches:
             for i, j, s, at in shingle_sets(batch.column(1), words):
@@ -278,6 +279,7 @@ def _compare(t: pa.Table, link: tuple[int, int]) -> pa.Table:
             keep = np.unique(np.stack([q, part[m]]), axis=1, return_index=True)[1]
             a.append(rep[open_[q[keep]]])
             b.append(rep[m[keep]])
+    release()
     return pa.table([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
 
@@ -302,6 +304,7 @@ def ngram_jaccard_classes(docs: DataFrame, words: int = 5, t: tuple[int, int] =
     found = staged(candidates(leaders.select("rep", "n", "keys", *COUNTS), blocks), "candidates")
     classes = discard(classes, staged(classes.select("mark", "rep"), "leaders"))
 
+    @lean
     def tokens(batches):
         for batch in batches:
             for i, j, s, at in shingle_sets(batch.column(1), words):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK, chunks, coded, laid_out, staged, words_of
+from .common import BLANK, chunks, coded, laid_out, lean, staged, words_of
 
 #: Words whose ids a worker remembers; beyond it the memory starts anew, which costs time alone.
 REMEMBERED = 600_000
@@ -175,6 +175,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, limit: int = 4096, end_id
         file = f.read()
     key, sent = hashlib.sha256(file).hexdigest(), docs.sparkSession.sparkContext.broadcast((file, run_ranks(file)))
 
+    @lean
     def cut(batches):
         make = encoder(key, sent)
         for batch in batches:
@@ -278,6 +279,7 @@ def pack(pieces: DataFrame, cap: Capacity = Capacity(), order: tuple[str, ...] =
     ranked = salted.join(bases, ["length", "_salt"]).withColumn("_rank", F.col("_base") + F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order)) - 1)
     ranked = ranked.select(*pieces.columns, "_rank")
 
+    @lean
     def place(batches):
         s = sent.value
         for batch in batches:

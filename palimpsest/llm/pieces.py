@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, coded, laid_out
+from .common import chunks, coded, laid_out, lean
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -283,6 +283,7 @@ def encode(docs: DataFrame, model_path: str, back: bool = False) -> DataFrame:
     """
     key, sent = sent_model(docs, model_path)
 
+    @lean
     def run(batches):
         m = model(key, sent)
         for batch in batches:
@@ -303,6 +304,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """encoded (doc_id, n_tokens, ids) with text, the text that the ids stand for."""
     key, sent = sent_model(encoded, model_path)
 
+    @lean
     def run(batches):
         m = model(key, sent)
         for batch in batches:

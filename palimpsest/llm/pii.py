@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import lean, staged
 
 #: Canonical forms whose first surrogates collide are broadcast if they are so many at most, and joined to the texts else.
 EXCEPTIONS = 100_000
@@ -428,6 +428,7 @@ def settled(known: DataFrame, key: bytes, make: Callable[..., str] = surrogate)
     same. Later surrogates are longer, so the rounds end.
     """
 
+    @lean
     def give(batches):
         for batch in batches:
             kinds, canons, attempts = (c.to_pylist() for c in batch.columns)
@@ -447,6 +448,7 @@ def settled(known: DataFrame, key: bytes, make: Callable[..., str] = surrogate)
 
 
 def _detected(docs: DataFrame) -> DataFrame:
+    @lean
     def detect(batches):
         for batch in batches:
             seen = {(kind, canon) for text in batch.column(0) for _, _, kind, canon in entities(text.as_py())}
@@ -458,6 +460,7 @@ def _detected(docs: DataFrame) -> DataFrame:
 def _joined(docs: DataFrame, exceptions: DataFrame, column: str) -> DataFrame:
     """docs with a column of the exceptions (kind, canon, attempt) that occur in the text: the way for any number of them."""
 
+    @lean
     def detect(batches):
         for batch in batches:
             found = [(sha, *x) for sha, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for x in {(k, c) for _, _, k, c in entities(text.as_py())}]
@@ -490,6 +493,7 @@ def surrogates(docs: DataFrame, key: bytes, prefix: str = "") -> DataFrame:
     at = columns.index("text")
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns) + f", {prefix}n_entities int, {prefix}kinds array<string>"
 
+    @lean
     def run(batches):
         key, exceptions = sent.value
         for batch in batches:

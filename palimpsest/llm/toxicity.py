@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import lean, staged
 
 #: Labelled rows that the model is fitted on at most: those with the smallest hashes of their ids.
 SAMPLE = 30_000
@@ -166,19 +166,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def table_of(counts):
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c[1] for c in counts.values()], pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64())], names=["token", "toxic", "clean"])
 
+    @lean
     def count(batches):
         counts: dict = {}
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 for f in {f for w in set(TOKEN.findall(text.as_py().lower())) for f in features(w)}:
                     counts.setdefault(f, [0, 0])[toxic > 0] += 1
-                if len(counts) > REMEMBERED:
+                if len(counts) > REMEMBERED:  # after each text, so that a batch of many holds no more
                     yield table_of(counts)
                     counts = {}
         yield table_of(counts)
 
     counted = known.mapInArrow(count, "token string, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
+    @lean
     def scored(batches):
         for batch in batches:
             s = log_odds(*(batch.column(c).to_numpy().astype(float) for c in ("toxic", "clean")), n1, n0)
@@ -190,6 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     words = told["token"].to_pylist()
     scores = own_stems(dict(zip(words, told["score"].to_pylist(), strict=True)), dict(zip(words, told["toxic"].to_pylist(), strict=True)))
 
+    @lean
     def values(batches):
         memory, counts, total = {}, {}, 0
         for batch in batches:
@@ -208,6 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     drift = max(0.05, 2 * float((value * times).sum()) / max(1, times.sum()))
     rate = _rate(value, times, drift)
 
+    @lean
     def found_in(batches):
         memory: dict = {}
         for batch in batches:
@@ -253,6 +257,7 @@ def score_texts(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", {prefix}score double, {prefix}n_passages int, {prefix}passages array<struct<start:int,end:int,score:double>>"
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
+    @lean
     def run(batches):
         model, known = sent.value, {}
         for batch in batches:
