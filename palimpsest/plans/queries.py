@@ -328,7 +328,9 @@ _WITH = "WITH " + derived.CATALOGUE
 
 
 def _configs(spark, sf_dir):
-    return config_tree.configs(derived.config_files(spark, sf_dir))
+    """The configuration as its few files' texts (one a brand, one a type, and some fixed ones): read once, not by every branch."""
+    files = [tuple(r) for r in derived.config_files(spark, sf_dir).collect()]
+    return config_tree.configs(spark.createDataFrame(files, "rel string, text string"))
 
 
 def _catalogue(spark, sf_dir):
