@@ -170,3 +170,70 @@ def loops(html: str) -> tuple[str, list[dict], list[str]]:
         text += [html[at:a], x]
         at = b
     return "".join([*text, html[at:]]), out, warnings
+
+
+def auto_loops(html: str) -> tuple[str, list[dict]]:
+    """A page in which every container of two elements or more, all of one tag, is a loop over the first of them, and the
+    others are left out; and the loops: name, iterator, fields. A loop is named by the heading before it, else by its
+    container's class, else items. What a table's own parts repeat is none."""
+    tree, roots, heading, at = [], [], ("", False), 0
+    for m in _SCAN.finditer(html):
+        closes, tag, alone, _, _, _ = m.groups()
+        if heading[1]:
+            heading = (heading[0] + html[at : m.start()], True)
+        at = m.end()
+        if not tag:
+            continue
+        tag = tag.lower()
+        if closes:
+            if tag in HEADINGS:
+                heading = (heading[0], False)
+            while any(e["tag"] == tag for e in tree):
+                e = tree.pop()
+                e["end"] = m.end() if e["tag"] == tag else m.start()
+                if e["tag"] == tag:
+                    break
+            continue
+        while tree and tag in CLOSED_BY.get(tree[-1]["tag"], ()):
+            tree.pop()["end"] = m.start()
+        if tag in HEADINGS:
+            heading = ("", True)
+        classes = re.search(r"""(?i)\bclass\s*=\s*["']?([^"'>]+)""", m[0])
+        e = {"tag": tag, "start": m.start(), "end": m.end(), "inside": [], "heading": heading[0], "class": classes[1] if classes else ""}
+        (tree[-1]["inside"] if tree else roots).append(e)
+        if not alone and tag not in EMPTY:
+            tree.append(e)
+    for e in tree:
+        e["end"] = len(html)
+    found: list[dict] = []
+
+    def slug(text: str) -> str:
+        return re.sub(r"[^a-z0-9]+", "_", text.lower()).strip("_")
+
+    def put(e: dict, a: int, b: int, iterator: str | None, fields: list[str]) -> str:
+        """The source from a to b within e, with loops put in and fields of the loop around it renamed."""
+        inside, out, at = [x for x in e["inside"] if a <= x["start"] and x["end"] <= b], [], a
+        loop = e["tag"] in CONTAINERS and len(inside) >= 2 and len({x["tag"] for x in inside}) == 1 and not (e["tag"] == "table" and inside[0]["tag"] in ("thead", "tbody", "tfoot"))
+        name = slug(e["heading"])
+        name = (name if name.endswith("s") else name + "s") if name else slug(e["class"]) or "items"
+        for x in inside[:1] if loop else inside:
+            out.append(named(html[at : x["start"]], iterator, fields))
+            if loop:
+                own: list[str] = []
+                found.append({"name": name, "iterator": singular(name), "fields": own})
+                out += [f"\n#foreach (${singular(name)} in $TBD_{name})\n", put(x, x["start"], x["end"], singular(name), own), "\n#end\n"]
+            else:
+                out.append(put(x, x["start"], x["end"], iterator, fields))
+            at = x["end"]
+        return "".join([*out, named(html[inside[-1]["end"] if loop else at : b], iterator, fields)])
+
+    def named(text: str, iterator: str | None, fields: list[str]) -> str:
+        def one(m: re.Match) -> str:
+            if iterator and m[1] not in fields:
+                fields.append(m[1])
+            return f"${iterator}.TBD_{m[1]}" if iterator else f"$TBD_{m[1]}"
+
+        return re.sub(r"\{\{\s*([a-zA-Z_][\w.]*)\s*\}\}", one, text)
+
+    whole = {"tag": "", "start": 0, "end": len(html), "inside": roots, "heading": "", "class": ""}
+    return put(whole, 0, len(html), None, []), found

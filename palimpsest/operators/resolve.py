@@ -138,12 +138,25 @@ def fetch_problems(rows: DataFrame) -> DataFrame:
     return rows.select("*", problem.alias("problem"))
 
 
+def coverage_map(paths: DataFrame, iterables: DataFrame) -> DataFrame:
+    """name (of a coverage), exposure (the least that has it), list_method and iterator (empty if that doesn't repeat)."""
+    first = paths.where("coverage is not null").groupBy(F.col("coverage").alias("name")).agg(F.min("exposure").alias("exposure"))
+    own = iterables.select(F.col("name").alias("exposure"), F.expr("substr(list_path, 7)").alias("_list"), F.col("iterator").alias("_iterator"))
+    out = first.join(own, "exposure", "left")
+    method = F.when(~F.col("_list").contains("."), F.col("_list"))
+    return out.select("name", "exposure", F.coalesce(method, F.lit("")).alias("list_method"), F.coalesce("_iterator", F.lit("")).alias("iterator"))
+
+
 def loop_roots(loops: DataFrame, iterables: DataFrame, synthesise: bool = False) -> DataFrame:
-    """loops (doc_id, loop) with list_path, match and synthesised: by the iterable's exact name, or a made-up plural."""
-    own = iterables.select(F.col("name").alias("loop"), F.col("list_path").alias("_path"))
-    made = F.concat(F.lit("$data."), X.plural(X.lower_first(F.col("loop"))))
+    """loops (doc_id, loop) with list_path, iterator, directive, match and synthesised: by the iterable's exact name, or made
+    up of the loop's word and its plural."""
+    own = iterables.select(F.col("name").alias("loop"), F.col("list_path").alias("_path"), F.col("iterator").alias("_iterator"))
+    made, word = F.concat(F.lit("$data."), X.plural(F.lower("loop"))), F.lower("loop")
     path = F.coalesce("_path", made) if synthesise else F.col("_path")
-    return loops.join(own, "loop", "left").select("doc_id", "loop", path.alias("list_path"), F.when(F.col("_path").isNotNull(), "exact").otherwise("none").alias("match"), (F.col("_path").isNull() & F.lit(synthesise)).alias("synthesised"))
+    iterator = F.concat(F.lit("$"), F.coalesce("_iterator", word) if synthesise else F.col("_iterator"))
+    directive = F.concat(F.lit("#foreach ("), iterator, F.lit(" in "), path, F.lit(")"))
+    match = F.when(F.col("_path").isNotNull(), "exact").otherwise("none")
+    return loops.join(own, "loop", "left").select("doc_id", "loop", path.alias("list_path"), iterator.alias("iterator"), directive.alias("directive"), match.alias("match"), (F.col("_path").isNull() & F.lit(synthesise)).alias("synthesised"))
 
 
 def loop_fields(tokens: DataFrame, paths: DataFrame) -> DataFrame:

@@ -300,6 +300,20 @@ def mustache_loops(pages: DataFrame, key: str = "page_id", html: str = "html") -
     return pages.select(key, html).mapInPandas(read, ddl)
 
 
+def auto_loops(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key, html, loops (name, iterator, fields) of pages whose repeated elements are made loops (see dom.auto_loops)."""
+    ddl = f"{key} long, html string, loops array<struct<name:string,iterator:string,fields:array<string>>>"
+
+    def read(batches):
+        from .dom import auto_loops
+
+        for batch in batches:
+            rows = [(k, *auto_loops(h or "")) for k, h in zip(batch[key], batch[html], strict=True)]
+            yield pd.DataFrame(rows, columns=[key, "html", "loops"])
+
+    return pages.select(key, html).mapInPandas(read, ddl)
+
+
 def repeated_children(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """Containers whose children of one tag repeat, which a loop may stand for: key, container, child, n."""
     ddl = f"{key} long, container string, child string, n int"

@@ -309,7 +309,7 @@ def guarded(spark, sf_dir):
 
 @query("snapshot_constants", "SELECT o_orderkey AS locator, '01/31/2024' AS today, 'Orders' AS product FROM orders")
 def constants(spark, sf_dir):
-    return policies(spark, sf_dir).select("locator", F.date_format(F.lit("2024-01-31").cast("date"), "MM/dd/yyyy").alias("today"), F.lit("Orders").alias("product"))
+    return assembly.constants(policies(spark, sf_dir).select("locator"), F.lit("2024-01-31").cast("date"), "Orders")
 
 
 @query("root_flattening", "SELECT o_orderkey AS locator, CASE WHEN o_orderkey % 3 <> 0 THEN '$s.' || o_custkey WHEN o_orderkey % 2 = 0 THEN '$q.' || o_custkey ELSE '' END AS data_source, CASE WHEN o_orderkey % 2 = 0 THEN '$q.' || o_custkey ELSE '' END AS in_primary FROM orders")
@@ -700,7 +700,8 @@ def loop_fields(spark, sf_dir):
     return resolve.loop_fields(t, _catalogue(spark, sf_dir))
 
 
-@query("loop_roots", _WITH + f""" SELECT t.doc_id, t.loop, coalesce(own.list_path, '$data.' || CASE WHEN t.loop = 'Boat' THEN 'boats' ELSE lower(left(t.loop, 1)) || substr(t.loop, 2) || 's' END) AS list_path, CASE WHEN own.list_path IS NULL THEN 'none' ELSE 'exact' END AS match, own.list_path IS NULL AS synthesised FROM ({_ASKED}) t LEFT JOIN own ON own.brand = t.loop AND own.quantifier IN ('+', '*') WHERE t.loop IS NOT NULL""")
+@query("loop_roots", _WITH + f""", r AS (SELECT t.doc_id, t.loop, coalesce(own.list_path, '$data.' || lower(t.loop) || 's') AS list_path, '$' || coalesce(own.iterator, lower(t.loop)) AS iterator, own.list_path IS NULL AS synthesised FROM ({_ASKED}) t LEFT JOIN own ON own.brand = t.loop AND own.quantifier IN ('+', '*') WHERE t.loop IS NOT NULL)
+ SELECT *, '#foreach (' || iterator || ' in ' || list_path || ')' AS directive, CASE WHEN synthesised THEN 'none' ELSE 'exact' END AS match FROM r""")
 def loop_roots(spark, sf_dir):
     return resolve.loop_roots(_asked(spark, sf_dir).where("loop is not null").select("doc_id", "loop"), config_tree.iterables(_configs(spark, sf_dir)), True)
 
@@ -1166,3 +1167,14 @@ def path_map(spark, sf_dir):
 def required_texts(spark, sf_dir):
     p = policies(spark, sf_dir)
     return p.select("locator", F.concat(X.quiet(F.col("policy.priority"), True), F.lit("/"), X.quiet(F.col("policy.status"), False, "status")).alias("text"))
+
+
+@query("coverage_map", _WITH + " SELECT ptype AS name, min(h.brand) AS exposure, arg_min(CASE WHEN own.quantifier IN ('+', '*') THEN substr(own.list_path, 7) ELSE '' END, h.brand) AS list_method, arg_min(CASE WHEN own.quantifier IN ('+', '*') THEN own.iterator ELSE '' END, h.brand) AS iterator FROM held h JOIN own USING (brand) GROUP BY 1")
+def coverage_map(spark, sf_dir):
+    cfgs = _configs(spark, sf_dir)
+    return resolve.coverage_map(config_tree.paths(cfgs), config_tree.iterables(cfgs))
+
+
+@query("bare_blocks", "WITH " + _BLOCKS + r""" SELECT doc_id, (min(ord) + 1)::INTEGER AS id, CASE WHEN length(trim(inner_text)) > 20 THEN left(trim(inner_text), 17) || '…' ELSE trim(inner_text) END AS preview FROM blocks WHERE NOT regexp_matches(trim(inner_text), '^\$([A-Za-z_]\w*)$') GROUP BY doc_id, trim(inner_text)""")
+def bare_blocks(spark, sf_dir):
+    return assembly.bare_blocks(_docs(spark, sf_dir), 20)

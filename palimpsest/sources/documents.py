@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import html_escape
+
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -58,6 +60,15 @@ def pdf_lines(chars: DataFrame) -> DataFrame:
     return out.select("doc_id", "page", "line", "text", F.when(F.col("height") > 1.2 * F.col("mean"), "h2").otherwise("p").alias("tag"))
 
 
+def pdf_html(lines: DataFrame) -> DataFrame:
+    """doc_id, html of the lines of pdf_lines: a paragraph or heading a line, pages in order with a break between them."""
+    text = F.concat(F.lit("<"), "tag", F.lit(">"), html_escape(F.trim("text")), F.lit("</"), "tag", F.lit(">"))
+    page = lines.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("line", text.alias("t")))).alias("ls"))
+    page = page.select("doc_id", "page", F.array_join(F.transform("ls", lambda x: x["t"]), "\n").alias("t"))
+    pages = F.array_sort(F.collect_list(F.struct("page", "t")))
+    return page.groupBy("doc_id").agg(F.array_join(F.transform(pages, lambda x: x["t"]), "\n<!-- page break -->\n").alias("html"))
+
+
 def read_pdf(spark: SparkSession, path: str) -> DataFrame:
     """As pdf_lines, of all .pdf files of a folder; needs a PDF reader (pdfplumber), which is imported on executors."""
 

@@ -129,3 +129,20 @@ def test_graphs_against_all_ways():
         if not graph.on_cycles(refs):
             at = {k: i for i, k in enumerate(graph.ordered(refs))}
             assert all(at[b] < at[a] for a, b in closed)
+
+
+def test_loops_of_repeated_elements(spark):
+    page = "<h2>My Pets</h2><ul><li>{{name}}</li><li>b</li><li>c</li></ul><p>{{x}}</p><table><tr><td>1</td></tr></table>"
+    html, found = dom.auto_loops(page)
+    assert html == "<h2>My Pets</h2><ul>\n#foreach ($my_pet in $TBD_my_pets)\n<li>$my_pet.TBD_name</li>\n#end\n</ul><p>$TBD_x</p><table><tr><td>1</td></tr></table>"
+    assert found == [{"name": "my_pets", "iterator": "my_pet", "fields": ["name"]}]
+    html, found = dom.auto_loops('<div class="card row"><p>a<p>b</div><ul><li>x</li></ul><table><thead></thead><tbody></tbody></table><table><tbody><tr><td>{{a}}</td></tr><tr><td>2</td></tr></tbody></table>')
+    assert [x["name"] for x in found] == ["card_row", "items"] and found[1]["fields"] == ["a"] and html.count("#foreach") == 2 and "<p>b" not in html and "<tr><td>2" not in html
+    assert tokens.auto_loops(spark.createDataFrame([(1, None), (2, "")], "page_id long, html string")).count() == 2 and dom.auto_loops("<div><b>open") == ("<div><b>open", [])
+
+
+def test_pages_of_pdf_lines(spark):
+    from palimpsest.sources import documents
+
+    lines = spark.createDataFrame([(1, 1, 5.0, "b & c", "p"), (1, 0, 9.0, "two", "p"), (1, 0, 2.0, " One ", "h2")], "doc_id int, page int, line double, text string, tag string")
+    assert documents.pdf_html(lines).first().html == "<h2>One</h2>\n<p>two</p>\n<!-- page break -->\n<p>b &amp; c</p>"
