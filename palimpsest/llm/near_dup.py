@@ -198,8 +198,9 @@ def candidates(leaders: DataFrame, blocks: int) -> DataFrame:
 
 
 def _overlaps(a: list[np.ndarray], b: list[np.ndarray], union: np.ndarray) -> np.ndarray:
-    """Tokens in common of each of a with each of b, counting those in union."""
-    out = np.zeros((len(a), len(b)), np.float32)
+    """Tokens in common of each of a with each of b, counting those in union: products of slices of 4096 tokens, which single
+    precision holds exactly, are summed as integers."""
+    out = np.zeros((len(a), len(b)), np.int64)
 
     def cells(sets):
         every = np.concatenate([np.zeros(0, np.uint64), *sets])
@@ -224,7 +225,7 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray], union: np.ndarray) -> np
     for c in range(0, len(union), 4096):
         width = min(4096, len(union) - c)
         x = matrix(len(a), *left, c, width)
-        out += x @ (x if b is a else matrix(len(b), *right, c, width)).T
+        out += (x @ (x if b is a else matrix(len(b), *right, c, width)).T).astype(np.int64)
     return out
 
 
