@@ -311,7 +311,7 @@ def _name_surrogate(key: bytes, canon: str, attempt: int = 0) -> str:
                 word += chr(first + i) if first <= ord(c) <= last else c
             out.append(p if p in PARTICLES else word)
         return " ".join(out)
-    given = GIVEN[kind, gender]
+    given = [x for x in GIVEN[kind, gender] if x.lower() not in parts] or GIVEN[kind, gender]  # none of the name's own
     for p in parts[:-1]:
         h, i = divmod(h, len(given))
         out.append(p if p in PARTICLES else given[i][0] + "." if _initial(p) else given[i])
