@@ -334,7 +334,7 @@ def _configs(spark, sf_dir):
 
 
 def _catalogue(spark, sf_dir):
-    return config_tree.paths(_configs(spark, sf_dir))
+    return config_tree.gathered(config_tree.paths(_configs(spark, sf_dir)))
 
 
 @query("catalog_paths", _WITH + " SELECT *, CASE WHEN category LIKE '%_data' AND regexp_replace(type, '[!?+*]$', '') = 'Address' THEN 'Address' END AS custom_type_ref, regexp_extract(type, '[!?+*]$') AS quantifier FROM paths")

@@ -130,6 +130,12 @@ def paths(cfgs: DataFrame) -> DataFrame:
     return out
 
 
+def gathered(found: DataFrame) -> DataFrame:
+    """A catalogue as a table of its own. It is as small as the configuration that people wrote, and what uses it several
+    times need not derive it each time."""
+    return found.sparkSession.createDataFrame(found.toArrow(), found.schema)
+
+
 def iterables(cfgs: DataFrame) -> DataFrame:
     """name, display_name, list_key, list_path, iterator, quantifier of exposures that repeat."""
     out = exposures(cfgs).where(F.col("quantifier").isin(*X.REPEATING))
