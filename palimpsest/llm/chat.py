@@ -51,36 +51,33 @@ def tree_paths(links: DataFrame, keep: int | None = None) -> DataFrame:
     nodes' scores; a tree's leaves are ranked by it, from 1, ties by their keys, and the first keep (all, if None) are
     chosen. Nodes on a cycle, or below one, have no root and lie on no path.
 
-    Joins with itself double the way: after join k every node knows its ancestor 2^k steps up, or its root if that is
-    nearer, and the sum of scores on the way; so a tree of depth D takes log2(D) joins, not D. A chosen path is then halved
+    Joins with itself double the way: after join k a node knows its ancestor 2^k steps up and the sum of scores on the way,
+    or else how far its root is, and takes no part in further joins; so a tree of depth D takes log2(D) joins, not D, and
+    only the deepest nodes are in the last ones. A chosen path is then halved
     down: of a stretch longer than 2^k nodes the upper part begins at that ancestor. Every join is by a unique key, so its
     rows are those of the paths, at most.
     """
     links = staged(links.select("tree_id", "node", "parent", "score", "copies"), "links")
     there = links.select(F.col("node").alias("parent"), F.lit(True).alias("_there"))
-    at = links.join(there, "parent", "left").select("node", F.when(F.col("_there"), F.col("parent")).otherwise(F.col("node")).alias("up"), F.col("_there").isNotNull().cast("long").alias("steps"), F.when(F.col("_there"), F.col("score")).otherwise(0.0).alias("sum"))
-    at = staged(at, "up0")
-    n, levels = links.count(), []
-    while True:
-        full = 1 << len(levels)
-        if at.where(F.col("steps") == full).isEmpty():  # all have their root
-            break
-        if full > n:  # what still goes up, goes round
-            at = at.where(F.col("steps") < full)
-            break
-        levels.append(at)
-        further = at.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("steps").alias("_steps"), F.col("sum").alias("_sum"))
-        at = staged(at.join(further, "up").select("node", F.col("_up").alias("up"), (F.col("steps") + F.col("_steps")).alias("steps"), (F.col("sum") + F.col("_sum")).alias("sum")), f"up{len(levels)}")
-    root_score = links.select(F.col("node").alias("up"), F.col("score").alias("_root"))
-    leaves = at.join(root_score, "up").join(links.select(F.col("parent").alias("node")).where("node is not null"), "node", "left_anti")
-    leaves = leaves.join(links.select("node", "tree_id"), "node").select("tree_id", F.col("node").alias("leaf"), F.col("steps"), (F.col("sum") + F.col("_root")).alias("score"))
+    at = staged(links.join(there, "parent", "left").select("node", F.when(F.col("_there"), F.col("parent")).alias("up"), "score"), "up0")
+    # what still goes up, 2^k steps so far, and what has found its root
+    goes, most, levels = at.where("up is not null").select("node", "up", F.col("score").alias("sum")), links.count(), []
+    rooted = at.where("up is null").select("node", F.lit(0).cast("long").alias("steps"), "score")
+    while not goes.isEmpty() and (full := 1 << len(levels)) <= most:  # what goes on for longer goes round
+        levels.append(goes)
+        both = staged(goes.join(goes.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("sum").alias("_sum")), "up", "left"), f"up{len(levels)}")
+        goes = both.where("_up is not null").select("node", F.col("_up").alias("up"), (F.col("sum") + F.col("_sum")).alias("sum"))
+        ends = both.where("_up is null").join(rooted.select(F.col("node").alias("up"), F.col("steps").alias("_steps"), F.col("score").alias("_score")), "up")
+        rooted = rooted.unionByName(staged(ends.select("node", (F.col("_steps") + full).alias("steps"), (F.col("sum") + F.col("_score")).alias("score")), "rooted"))
+    leaves = rooted.join(links.select(F.col("parent").alias("node")).where("node is not null"), "node", "left_anti")
+    leaves = leaves.join(links.select("node", "tree_id"), "node").select("tree_id", F.col("node").alias("leaf"), "steps", "score")
     ranked = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("score"), "leaf")))
     if keep is not None:
         ranked = ranked.where(F.col("rank") <= keep)
     part = ranked.select("tree_id", "leaf", "rank", "score", F.col("leaf").alias("node"), F.col("steps").alias("pos"), (F.col("steps") + 1).alias("n"))
     for k in reversed(range(len(levels))):
         full = 1 << k
-        up = levels[k].where(F.col("steps") == full).select("node", F.col("up").alias("_up"))
+        up = levels[k].select("node", F.col("up").alias("_up"))
         whole = F.struct("node", "pos", "n")
         lower = F.struct("node", "pos", F.lit(full).cast("long").alias("n"))
         upper = F.struct(F.col("_up").alias("node"), (F.col("pos") - full).alias("pos"), (F.col("n") - full).alias("n"))
