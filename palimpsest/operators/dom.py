@@ -2,101 +2,107 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from html.parser import HTMLParser
 
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
-LABELS = ("label", "th", "dt", "strong", "b")
 EMPTY = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 CLOSED_BY = {"p": ("p", "div", "ul", "ol", "table", "h1", "h2", "h3"), "li": ("li",), "td": ("td", "th", "tr"), "th": ("td", "th", "tr"), "tr": ("tr",), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
 
 
-class _Reader(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.open: list[str] = []
-        self.out: list[tuple] = []
-        self.heading = self.label = ""
-        self.headers: list[str] = []
-        self.column = -1
-
-    def handle_starttag(self, tag, attrs):
-        while self.open and tag in CLOSED_BY.get(self.open[-1], ()):
-            self.open.pop()
-        if tag == "table":
-            self.headers = []
-        elif tag == "tr":
-            self.column = -1
-        elif tag in ("td", "th"):
-            self.column += 1
-        if tag not in EMPTY:
-            self.open.append(tag)
-
-    def handle_endtag(self, tag):
-        if tag in self.open:
-            while self.open.pop() != tag:
-                pass
-
-    def handle_data(self, data):
-        text = " ".join(data.split())
-        if not text or any(t in ("script", "style") for t in self.open):
-            return
-        tag = self.open[-1] if self.open else ""
-        header = self.headers[self.column] if "td" in self.open and 0 <= self.column < len(self.headers) else ""
-        self.out.append((len(self.out), self.getpos()[0], tag, text, self.heading, self.label, header, self.open[-2] if len(self.open) > 1 else ""))
-        short = text.rstrip(":").strip()[:80]
-        if tag in HEADINGS:
-            self.heading = short
-        elif tag in LABELS or text.endswith(":"):
-            self.label = short
-        if tag == "th":
-            self.headers.append(short)
-
-
-def nodes(html: str) -> list[tuple]:
-    reader = _Reader()
-    reader.feed(html)
-    reader.close()
-    return reader.out
-
-
 #: Containers whose children may be a loop's rows (fixed).
 CONTAINERS = ("tbody", "ul", "ol", "table", "section", "div")
+#: Characters of a label at most.
+LABEL = 80
 
 
-class _Children(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, dict]] = []
-        self.out: list[tuple[str, str, int]] = []
+class _Tree(HTMLParser):
+    """A page's nodes in the order in which they begin, each with the number of the last node within it."""
 
-    def _close(self):
-        tag, children = self.open.pop()
-        if tag in CONTAINERS:
-            self.out += [(tag, child, n) for child, n in children.items() if n >= 2]
+    def __init__(self, html: str):
+        super().__init__(convert_charrefs=True)
+        self.html = html
+        self.starts = [0, *(m.end() for m in re.finditer("\n", html))]
+        self.nodes: list[dict] = []
+        self.open: list[int] = []
+        self.tags: dict[str, int] = {}
+        self.children: dict[int, int] = {-1: 0}
+        self.texts: list[str] = []
+        self.unfit = [0]  # how many of the texts before have what no label has
+
+    def _at(self) -> int:
+        line, column = self.getpos()
+        return self.starts[line - 1] + column
+
+    def _add(self, **own) -> dict:
+        parent = self.open[-1] if self.open else -1
+        above = self.nodes[parent]["tag"] if self.open else ""
+        row = {"node": len(self.nodes), "last": len(self.nodes), "parent": parent, "within": above, "depth": len(self.open), "line": self.getpos()[0], "begin": self._at(), "finish": None, "tag": None, "text": None, "child": None, "class": None, "words": None, "up": None, "first": len(self.texts)} | own
+        self.nodes.append(row)
+        return row
+
+    def _close(self, finish: int) -> None:
+        row = self.nodes[self.open.pop()]
+        self.tags[row["tag"]] -= 1
+        self._end(row, finish)
+
+    def _end(self, row: dict, finish: int) -> None:
+        row |= {"last": len(self.nodes) - 1, "finish": finish, "label": self._label(row["first"])}
+        if row["tag"] in HEADINGS + ("td", "th"):
+            row["words"] = " ".join(self.texts[row["first"] :])
+
+    def _label(self, first: int) -> str:
+        """The texts from the first one on as a label: without colons at the end, no longer than LABEL; empty if they have
+        a reference in them."""
+        if self.unfit[-1] > self.unfit[first]:
+            return ""
+        own = ""
+        for text in self.texts[first:]:
+            own += (" " if own else "") + text
+            if len(own.rstrip(": ")) > LABEL:
+                break
+        return own.rstrip(":").strip()[:LABEL]
 
     def handle_starttag(self, tag, attrs):
-        while self.open and tag in CLOSED_BY.get(self.open[-1][0], ()):
-            self._close()
-        if self.open:
-            self.open[-1][1][tag] = self.open[-1][1].get(tag, 0) + 1
-        if tag not in EMPTY:
-            self.open.append((tag, {}))
+        while self.open and tag in CLOSED_BY.get(self.nodes[self.open[-1]]["tag"], ()):
+            self._close(self._at())
+        parent = self.open[-1] if self.open else -1
+        kept = {"up": [{"node": n, "tag": self.nodes[n]["tag"]} for n in self.open]} if tag in ("tr", "td", "th", "li") else {}
+        row = self._add(tag=tag, child=self.children[parent], **kept)
+        row["class"] = next((v for k, v in attrs if k == "class"), None)
+        self.children[parent] += 1
+        self.children[row["node"]] = 0
+        if tag in EMPTY:
+            self._end(row, self._at() + len(self.get_starttag_text()))
+        else:
+            self.open.append(row["node"])
+            self.tags[tag] = self.tags.get(tag, 0) + 1
 
     def handle_endtag(self, tag):
-        if any(t == tag for t, _ in self.open):
-            while self.open[-1][0] != tag:
-                self._close()
-            self._close()
+        if not self.tags.get(tag):
+            return
+        while self.nodes[self.open[-1]]["tag"] != tag:
+            self._close(self._at())
+        self._close(self.html.find(">", self._at()) + 1 or len(self.html))
+
+    def handle_data(self, data):
+        text = " ".join(data.split())
+        if not text or self.tags.get("script") or self.tags.get("style"):
+            return
+        row = self._add(text=text, up=[{"node": n, "tag": self.nodes[n]["tag"]} for n in self.open])
+        self.texts.append(text)
+        self.unfit.append(self.unfit[-1] + any(x in text for x in ("TBD_", "$", "{{")))
+        row["label"] = self._label(row["first"])
 
 
-def repeats(html: str) -> list[tuple[str, str, int]]:
-    reader = _Children()
+def tree(html: str) -> list[dict]:
+    reader = _Tree(html)
     reader.feed(html)
     reader.close()
     while reader.open:
-        reader._close()
-    return reader.out
+        reader._close(len(html))
+    return reader.nodes
 
 
 # --- loops in a page's text -------------------------------------------------------------------------------------------
@@ -175,65 +181,57 @@ def loops(html: str) -> tuple[str, list[dict], list[str]]:
 def auto_loops(html: str) -> tuple[str, list[dict]]:
     """A page in which every container of two elements or more, all of one tag, is a loop over the first of them, and the
     others are left out; and the loops: name, iterator, fields. A loop is named by the heading before it, else by its
-    container's class, else items. What a table's own parts repeat is none."""
-    tree, roots, heading, at = [], [], ("", False), 0
-    for m in _SCAN.finditer(html):
-        closes, tag, alone, _, _, _ = m.groups()
-        if heading[1]:
-            heading = (heading[0] + html[at : m.start()], True)
-        at = m.end()
-        if not tag:
+    container's class, else items. What a table's own parts repeat is none.
+
+    Elements are gone through in the order in which they begin: what lies in one that was left out is left out too, and a
+    loop reaches to the end of its first element, so the loops around a place are a stack.
+    """
+    nodes = [n for n in tree(html) if n["tag"]]
+    inside: dict[int, list[dict]] = {}
+    for n in nodes:
+        inside.setdefault(n["parent"], []).append(n)
+    heading, gone, left_out, found, reach, edits = "", 0, set(), [], [], []
+    for e in nodes:
+        if e["node"] in left_out:
+            gone = max(gone, e["finish"])
+        if e["begin"] < gone:
+            continue
+        if e["tag"] in HEADINGS:
+            heading = e["words"]
+        own = inside.get(e["node"], [])
+        if e["tag"] not in CONTAINERS or len(own) < 2 or len({x["tag"] for x in own}) > 1 or (e["tag"] == "table" and own[0]["tag"] in ("thead", "tbody", "tfoot")):
             continue
-        tag = tag.lower()
-        if closes:
-            if tag in HEADINGS:
-                heading = (heading[0], False)
-            while any(e["tag"] == tag for e in tree):
-                e = tree.pop()
-                e["end"] = m.end() if e["tag"] == tag else m.start()
-                if e["tag"] == tag:
-                    break
+        name = _slug(heading)
+        name = (name if name.endswith("s") else name + "s") if name else _slug(e["class"] or "") or "items"
+        found.append({"name": name, "iterator": singular(name), "fields": []})
+        reach.append((own[0]["begin"], own[0]["finish"], found[-1]))
+        left_out.update(x["node"] for x in own[1:])
+        edits += [(own[0]["begin"], own[0]["begin"], f"\n#foreach (${singular(name)} in $TBD_{name})\n"), (own[0]["finish"], own[0]["finish"], "\n#end\n")]
+        edits += [(x["begin"], x["finish"], "") for x in own[1:]]
+    around: list[tuple] = []
+    waiting, cut = reach[::-1], sorted((a, b) for a, b, new in edits if not new)
+    out_of = lambda at: (i := bisect.bisect_right(cut, (at, len(html)))) > 0 and at < cut[i - 1][1]
+    for m in _VARIABLE.finditer(html):
+        while waiting and waiting[-1][0] <= m.start():
+            around.append(waiting.pop())
+        while around and around[-1][1] <= m.start():
+            around.pop()
+        if out_of(m.start()):
             continue
-        while tree and tag in CLOSED_BY.get(tree[-1]["tag"], ()):
-            tree.pop()["end"] = m.start()
-        if tag in HEADINGS:
-            heading = ("", True)
-        classes = re.search(r"""(?i)\bclass\s*=\s*["']?([^"'>]+)""", m[0])
-        e = {"tag": tag, "start": m.start(), "end": m.end(), "inside": [], "heading": heading[0], "class": classes[1] if classes else ""}
-        (tree[-1]["inside"] if tree else roots).append(e)
-        if not alone and tag not in EMPTY:
-            tree.append(e)
-    for e in tree:
-        e["end"] = len(html)
-    found: list[dict] = []
-
-    def slug(text: str) -> str:
-        return re.sub(r"[^a-z0-9]+", "_", text.lower()).strip("_")
-
-    def put(e: dict, a: int, b: int, iterator: str | None, fields: list[str]) -> str:
-        """The source from a to b within e, with loops put in and fields of the loop around it renamed."""
-        inside, out, at = [x for x in e["inside"] if a <= x["start"] and x["end"] <= b], [], a
-        loop = e["tag"] in CONTAINERS and len(inside) >= 2 and len({x["tag"] for x in inside}) == 1 and not (e["tag"] == "table" and inside[0]["tag"] in ("thead", "tbody", "tfoot"))
-        name = slug(e["heading"])
-        name = (name if name.endswith("s") else name + "s") if name else slug(e["class"]) or "items"
-        for x in inside[:1] if loop else inside:
-            out.append(named(html[at : x["start"]], iterator, fields))
-            if loop:
-                own: list[str] = []
-                found.append({"name": name, "iterator": singular(name), "fields": own})
-                out += [f"\n#foreach (${singular(name)} in $TBD_{name})\n", put(x, x["start"], x["end"], singular(name), own), "\n#end\n"]
-            else:
-                out.append(put(x, x["start"], x["end"], iterator, fields))
-            at = x["end"]
-        return "".join([*out, named(html[inside[-1]["end"] if loop else at : b], iterator, fields)])
-
-    def named(text: str, iterator: str | None, fields: list[str]) -> str:
-        def one(m: re.Match) -> str:
-            if iterator and m[1] not in fields:
-                fields.append(m[1])
-            return f"${iterator}.TBD_{m[1]}" if iterator else f"$TBD_{m[1]}"
-
-        return re.sub(r"\{\{\s*([a-zA-Z_][\w.]*)\s*\}\}", one, text)
-
-    whole = {"tag": "", "start": 0, "end": len(html), "inside": roots, "heading": "", "class": ""}
-    return put(whole, 0, len(html), None, []), found
+        if around and m[1] not in around[-1][2]["fields"]:
+            around[-1][2]["fields"].append(m[1])
+        edits.append((m.start(), m.end(), f"${around[-1][2]['iterator']}.TBD_{m[1]}" if around else f"$TBD_{m[1]}"))
+    text, at = [], 0
+    # at one place the loop that was found last ends first
+    for _, (a, b, new) in sorted(enumerate(edits), key=lambda x: (x[1][0], x[1][1], -x[0])):
+        if a >= at:  # else within what was left out
+            text += [html[at:a], new]
+            at = b
+    return "".join([*text, html[at:]]), found
+
+
+_VARIABLE = re.compile(r"\{\{\s*([a-zA-Z_][\w.]*)\s*\}\}")
+
+
+def _slug(text: str) -> str:
+    return re.sub(r"[^a-z0-9]+", "_", text.lower()).strip("_")

@@ -1,0 +1,152 @@
+"""One parse of a template text into marks by place, and what follows from it: the final text, and which block holds each
+open reference. A mark is a block's bracket, a guard, a loop, an end, a field or a reference."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator, Mapping, Set
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import OPEN_TOKEN
+
+MARKS = re.compile(
+    r"(?P<named>\[\[\s*\$(?P<own>[A-Za-z_]\w*)\s*\]\](?:\$doc\.(?P<said>[A-Za-z_]\w*))?)"
+    r"|(?P<open>\[\[)|(?P<close>\]\](?:\$doc\.(?P<key>[A-Za-z_]\w*))?)"
+    r"|(?P<guard>^[ \t]*#if\(\$TBD_[\w.]+\)[ \t]*(?:\n|\Z))|(?P<when>#if\(\$doc\.(?P<flag>[A-Za-z_]\w*)\))"
+    r"|(?P<loop>(?:^[ \t]*)?#foreach\s*\([^)\n]*\))|(?P<other>#(?:if|foreach)\b)|(?P<end>(?:^[ \t]*#end[ \t]*(?:\n|\Z))|#end\b)"
+    rf"|(?P<field>\{{[$+*]?(?P<name>[a-zA-Z_][a-zA-Z0-9_.]*)\}})|(?P<ref>{OPEN_TOKEN})|(?P<bare>\$doc\.(?P<to>[A-Za-z_]\w*))",
+    re.MULTILINE | re.ASCII,
+)
+_REF = re.compile(OPEN_TOKEN, re.ASCII)
+
+
+def assembled(text: str, values: Mapping[str, str], registered: Set[str], directives: Mapping[str, str]) -> str:
+    """A document's text as a final template.
+
+    {x} and $TBD_x become the value of $TBD_x, or stay open. A block with a key, [[ $k ]] or [[..]]$doc.k, becomes
+    ${data.k} with all it holds; other blocks stay. $doc.k becomes ${data.k} if k is registered. #if($doc.k) becomes
+    #if($data.k) if k is registered; else it goes, with its #end, and what it guards stays. A line that only guards an open
+    reference goes with its #end too, but not one within another such guard. A loop over a reference that directives know
+    is written as these say. An #end belongs to the last #if or #foreach before it that has none, wherever either stands;
+    brackets that don't pair up are text.
+    """
+    out: list[str] = []
+    ends: list[str] = []  # of each directive that is open: what becomes of its #end
+    blocks: list[tuple[int, int]] = []
+    filled = lambda m: values.get(m[0]) or m[0]
+    at = 0
+    for m in MARKS.finditer(text):
+        out.append(text[at : m.start()])
+        at, token = m.end(), m[0]
+        kind = next(k for k in ("named", "open", "close", "guard", "when", "loop", "other", "end", "field", "ref", "bare") if m[k] is not None)
+        if kind == "named":
+            token = f"${{data.{m['said'] or m['own']}}}"
+        elif kind == "open":
+            blocks.append((len(out), len(ends)))
+        elif kind == "close" and blocks:
+            begin, depth = blocks.pop()
+            if m["key"]:
+                del out[begin:], ends[depth:]
+                token = f"${{data.{m['key']}}}"
+        elif kind == "close" and m["key"] in registered:
+            token = f"]]${{data.{m['key']}}}"
+        elif kind == "guard":
+            keeps = "line" in ends
+            ends.append("stays" if keeps else "line")
+            token = _REF.sub(filled, token) if keeps else ""
+        elif kind == "when":
+            ends.append("stays" if m["flag"] in registered else "word")
+            token = f"#if($data.{m['flag']})" if m["flag"] in registered else ""
+        elif kind == "loop":
+            ends.append("stays")
+            over = _REF.search(token)
+            token = directives.get(over[0], "") if over else ""
+            token = token or _REF.sub(filled, m[0])
+        elif kind == "other":
+            ends.append("stays")
+        elif kind == "end":
+            token = {"line": "", "word": token.replace("#end", ""), "stays": token}[ends.pop() if ends else "stays"]
+        elif kind == "field":
+            token = values.get(f"$TBD_{m['name']}") or f"$TBD_{m['name']}"
+        elif kind == "ref":
+            token = filled(m)
+        elif kind == "bare" and m["to"] in registered:
+            token = f"${{data.{m['to']}}}"
+        out.append(token)
+    return "".join([*out, text[at:]])
+
+
+def references(text: str) -> Iterator[tuple[str, int, str | None, bool]]:
+    """(token, place, key of the innermost block around it, whether there is one) of each open reference, in order.
+
+    Brackets are paired first: an opener that isn't closed, or a closer without opener, is no block. Then one pass over
+    openers, closers and references keeps the blocks that are open, so that the last of them is the innermost.
+    """
+    found = [m for m in _EVENTS.finditer(text)]
+    waiting: list[int] = []
+    closer: dict[int, str | None] = {}
+    closes: set[int] = set()
+    for i, m in enumerate(found):
+        if m[0] == "[[":
+            waiting.append(i)
+        elif m[0].startswith("]]") and waiting:
+            closer[waiting.pop()] = m[1]
+            closes.add(i)
+    inner: list[str | None] = []
+    for i, m in enumerate(found):
+        if i in closer:
+            inner.append(closer[i])
+        elif i in closes:
+            inner.pop()
+        elif m[0].startswith("$"):
+            yield m[0], m.start(), inner[-1] if inner else None, bool(inner)
+
+
+_EVENTS = re.compile(rf"\[\[|\]\](?:\$doc\.([A-Za-z_]\w*))?|{OPEN_TOKEN}", re.ASCII)
+
+
+def final_texts(docs: DataFrame, values: DataFrame, blocks: list[str], directives: DataFrame | None = None) -> DataFrame:
+    """doc_id, text of docs (doc_id, text) with values (doc_id, token, value) and directives (doc_id, token, directive) put
+    in; see assembled. Blank values count for nothing; of several for one token the least counts. Rows that repeat a doc_id
+    all get its values; a null text stays null."""
+    of = lambda df, kind: df.where(F.coalesce(df[df.columns[2]], F.lit("")) != "").select("doc_id", F.lit(kind).alias("kind"), "token", F.col(df.columns[2]).alias("value"))
+    known = of(values, "value")
+    if directives is not None:
+        known = known.unionByName(of(directives, "loop"))
+    pairs = lambda kind: F.collect_set(F.when(F.col("kind") == kind, F.struct("token", "value")))
+    per = known.groupBy("doc_id").agg(pairs("value").alias("_values"), pairs("loop").alias("_loops"))
+    registered = frozenset(blocks)
+
+    def put(batches):
+        least = lambda found: dict(sorted(((x["token"], x["value"]) for x in found or ()), reverse=True))
+        for batch in batches:
+            ids, *columns = batch.columns
+            texts = [None if t is None else assembled(t, least(v), registered, least(d)) for t, v, d in zip(*(c.to_pylist() for c in columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    both = docs.select("doc_id", "text").join(per, "doc_id", "left")
+    return both.mapInArrow(put, both.select("doc_id", "text").schema)
+
+
+def block_references(docs: DataFrame) -> DataFrame:
+    """doc_id, token, place, block, inside of every open reference of docs (doc_id, text): the key of the innermost block
+    around it, null if that has none or there is none (inside: whether there is one)."""
+
+    def read(batches):
+        for batch in batches:
+            rows = [(k, *r) for k, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for r in references(t or "")]
+            kinds = (batch.schema.field(0).type, pa.string(), pa.int32(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["doc_id", "token", "place", "block", "inside"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(read, f"doc_id {kind}, token string, place int, block string, inside boolean")
+
+
+def delegated(docs: DataFrame) -> DataFrame:
+    """doc_id, token, delegated, blocks: whether all occurrences of an open reference are within [[...]] blocks, however
+    deep, so that not the template but the block's maker has to put it in; and the keys of the innermost ones, sorted."""
+    found = block_references(docs).groupBy("doc_id", "token").agg(F.bool_and("inside").alias("delegated"), F.sort_array(F.collect_set("block")).alias("_blocks"))
+    return found.select("doc_id", "token", "delegated", F.when(F.col("delegated"), F.col("_blocks")).otherwise(F.array().cast("array<string>")).alias("blocks"))

@@ -60,11 +60,6 @@ def reused_names(tokens: DataFrame) -> DataFrame:
     return tokens.where("loop is not null").groupBy("doc_id", "name").agg(F.count_distinct("loop").alias("n_loops")).where("n_loops >= 2")
 
 
-def list_items_outside(nodes: DataFrame) -> DataFrame:
-    """List items whose parent is no list, of tokens.html_nodes."""
-    return nodes.where("tag = 'li' and parent not in ('ul', 'ol')")
-
-
 def mixed_scopes(fields: DataFrame) -> DataFrame:
     """block, n_fields, mixed: of (block, scope), whether a block reads both quotes and policies."""
     return fields.groupBy("block").agg(F.count("*").alias("n_fields"), (F.count_distinct(F.when(F.col("scope").isin("quote", "policy"), F.col("scope"))) > 1).alias("mixed"))

@@ -42,35 +42,58 @@ def match_leaves(tokens: DataFrame, found: DataFrame) -> DataFrame:
     any case; the field but for signs; a display name that equals or holds it but for signs. All candidates of the best
     tier of the first two, and those of the third, are told apart by accessor; a single exact one is resolved, several
     are ambiguous; a single similar one is resolved where none is exact. A full accessor stands for itself.
+
+    The answer depends on name and loop alone: distinct ones are matched, however many documents ask for them, and the
+    documents meet the answers in one join, which Spark broadcasts where these are few.
     """
-    tokens = tokens.withColumn("_n", X.loose(F.col("name")))
-    found = found.withColumn("_field", X.loose(F.col("field"))).withColumn("_display", X.loose(F.col("display_name")))
+    found = found.withColumn("_field", X.loose(F.col("field"))).withColumn("_display", X.loose(F.col("display_name"))).withColumn("scope", F.coalesce("exposure", F.lit("")))
     loops = found.where("exposure is not null").select(F.col("exposure").alias("loop")).distinct().withColumn("known", F.lit(True))
-    placed = tokens.join(loops, "loop", "left").withColumn("scope", F.when(F.col("known"), F.col("loop"))).withColumn("note", F.when(F.col("loop").isNotNull() & F.col("known").isNull(), F.lit("no such field in the loop")))
+    placed = tokens.select("name", "loop").distinct().join(loops, "loop", "left")
+    placed = placed.select("name", "loop", F.coalesce(F.when(F.col("known"), F.col("loop")), F.lit("")).alias("scope"), F.when(F.col("loop").isNotNull() & F.col("known").isNull(), F.lit("no such field in the loop")).otherwise("").alias("note"))
+    names = placed.select("name", "scope", X.loose(F.col("name")).alias("_n")).distinct()
     offered = found.where("suggestable")
-    # a display name holds a token if the token is one of its substrings: these are looked up by equality too
-    size = F.length("_display")
-    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substring("_display", i, n)))))
-    keys = offered.select("accessor", "exposure", F.explode(F.array(F.struct(F.lit(0).alias("tier"), F.col("leaf").alias("key")), F.struct(F.lit(1).alias("tier"), F.col("_field").alias("key")))).alias("k")).select("accessor", "exposure", "k.*")
-    similar = offered.where(size > 0).select("accessor", "exposure", F.lit(2).alias("tier"), F.explode(grams).alias("key"))
-    asked = placed.select("doc_id", "name", "loop", "scope", F.explode(F.array(F.struct(F.lit(0).alias("tier"), F.lower("name").alias("key")), F.struct(F.lit(1).alias("tier"), F.col("_n").alias("key")), F.struct(F.lit(2).alias("tier"), F.col("_n").alias("key")))).alias("k")).select("doc_id", "name", "loop", "scope", "k.*")
-    both = keys.union(similar).withColumn("scope", F.coalesce("exposure", F.lit(""))).drop("exposure")
-    hits = asked.withColumn("scope", F.coalesce("scope", F.lit(""))).join(both, ["scope", "tier", "key"])
-    per = hits.groupBy("doc_id", "name", "loop").agg(
-        *(F.sort_array(F.collect_set(F.when(F.col("tier") == t, F.col("accessor")))).alias(f"t{t}") for t in (0, 1, 2))
-    )
+    tiers = lambda a, b: F.explode(F.array(F.struct(F.lit(0).alias("tier"), a.alias("key")), F.struct(F.lit(1).alias("tier"), b.alias("key")))).alias("k")
+    keys = offered.select("accessor", "scope", tiers(F.col("leaf"), F.col("_field"))).select("accessor", "scope", "k.*")
+    asked = names.select("name", "scope", tiers(F.lower("name"), F.col("_n"))).select("name", "scope", "k.*")
+    hits = asked.join(keys, ["scope", "tier", "key"]).select("name", "scope", "tier", "accessor").unionByName(holding(names, offered).withColumn("tier", F.lit(2)))
+    per = hits.groupBy("name", "scope").agg(*(F.sort_array(F.collect_set(F.when(F.col("tier") == t, F.col("accessor")))).alias(f"t{t}") for t in (0, 1, 2)))
     exact = F.when(F.size("t0") > 0, F.col("t0")).otherwise(F.col("t1"))
-    per = per.select("doc_id", "name", "loop", exact.alias("exact"), F.array_except("t2", exact).alias("similar"))
-    full = found.groupBy(F.col("accessor").alias("name")).agg(F.first("accessor").alias("full"))
-    same = F.expr("t.doc_id = p.doc_id and t.name = p.name and t.loop <=> p.loop")
-    out = placed.alias("t").join(per.alias("p"), same, "left").join(full.alias("f"), F.expr("t.name = f.name"), "left")
-    n_exact, n_similar = F.coalesce(F.size("exact"), F.lit(0)), F.coalesce(F.size("similar"), F.lit(0))
-    some = (F.greatest(n_exact, F.lit(0)) + F.greatest(n_similar, F.lit(0))) > 0
-    status = F.when(some & ((n_exact == 1) | ((n_exact <= 0) & (n_similar == 1))), "resolved").when(some, "ambiguous").when(F.col("full").isNotNull(), "resolved").otherwise("unmatched")
-    match = F.when(some & (n_exact > 0), "exact").when(some, "name-similar").when(F.col("full").isNotNull(), "full accessor").otherwise("")
-    chosen = F.when(some & (n_exact == 1), F.get("exact", F.lit(0))).when(some & (n_exact <= 0) & (n_similar == 1), F.get("similar", F.lit(0))).when(~some, F.col("full"))
+    per = per.select("name", "scope", exact.alias("exact"), F.array_except("t2", exact).alias("similar"))
+    full = found.select(F.col("accessor").alias("name")).distinct().withColumn("full", F.lit(True))
+    out = placed.join(per, ["name", "scope"], "left").join(full, "name", "left")
     none = F.array().cast("array<string>")
-    return out.select("t.doc_id", "t.name", "t.loop", status.alias("status"), match.alias("match"), F.coalesce(chosen, F.lit("")).alias("chosen"), F.concat(F.coalesce("exact", none), F.coalesce("similar", none)).alias("choices"), (F.greatest(n_exact, F.lit(0)) + F.greatest(n_similar, F.lit(0))).alias("n_choices"), F.coalesce("note", F.lit("")).alias("note"))
+    exact, similar = F.coalesce("exact", none), F.coalesce("similar", none)
+    single = F.when(F.size(exact) == 1, F.get(exact, F.lit(0))).when((F.size(exact) == 0) & (F.size(similar) == 1), F.get(similar, F.lit(0)))
+    some = F.size(exact) + F.size(similar) > 0
+    status = F.when(single.isNotNull() | (~some & F.col("full").isNotNull()), "resolved").when(some, "ambiguous").otherwise("unmatched")
+    match = F.when(F.size(exact) > 0, "exact").when(some, "name-similar").when(F.col("full").isNotNull(), "full accessor").otherwise("")
+    chosen = F.coalesce(single, F.when(~some & F.col("full").isNotNull(), F.col("name")), F.lit(""))
+    answers = out.select("name", F.col("loop").alias("_loop"), status.alias("status"), match.alias("match"), chosen.alias("chosen"), F.concat(exact, similar).alias("choices"), (F.size(exact) + F.size(similar)).alias("n_choices"), "note")
+    both = tokens.select("doc_id", "name", "loop").alias("t").join(answers.alias("a"), (F.col("t.name") == F.col("a.name")) & F.col("t.loop").eqNullSafe(F.col("a._loop")))
+    return both.select("t.doc_id", "t.name", "t.loop", "status", "match", "chosen", "choices", "n_choices", "note")
+
+
+#: Length of the parts that display names are looked up by.
+GRAM = 3
+
+
+def _grams(text: Column, n: int) -> Column:
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, n)))).otherwise(F.array().cast("array<string>"))
+
+
+def holding(names: DataFrame, offered: DataFrame) -> DataFrame:
+    """name, scope, accessor: candidates (accessor, scope, _display) whose display name holds a name (name, scope, _n).
+
+    An index has the display names' parts of GRAM signs and less: rows in proportion to their lengths. A name asks for that
+    of its parts which the fewest candidates have, and none if one of its parts is in no display name; what it finds is
+    held against the whole name. A name shorter than GRAM asks for itself.
+    """
+    parts = F.concat(*(_grams(F.col("_display"), n) for n in range(1, GRAM + 1)))
+    index = offered.select("accessor", "scope", "_display", F.explode(parts).alias("gram"))
+    sizes = index.groupBy("scope", "gram").agg(F.count("*").alias("_size"))
+    own = names.where("_n <> ''").select("name", "scope", "_n", F.explode(F.when(F.length("_n") < GRAM, F.array("_n")).otherwise(_grams(F.col("_n"), GRAM))).alias("gram"))
+    best = own.join(sizes, ["scope", "gram"], "left").groupBy("name", "scope", "_n").agg(F.min_by("gram", F.struct(F.coalesce("_size", F.lit(0)).alias("s"), "gram")).alias("gram"))
+    return best.join(index, ["scope", "gram"]).where(F.contains("_display", "_n")).select("name", "scope", "accessor").distinct()
 
 
 def strict_match(tokens: DataFrame, paths: DataFrame) -> DataFrame:

@@ -86,16 +86,25 @@ def bracket_blocks(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "ord", F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("text"), "s.start", "s.end")
 
 
+def placed(text: Column, pattern: str) -> Column:
+    """An array of (at, token): every match of a pattern without groups of its own, with the character at which it begins.
+    A match begins where the text before it ends, so places are sums over the parts of a split at the matches."""
+    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
+    pairs = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda p, t: F.struct(F.length(p).alias("gap"), t.alias("token")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,token:string>>").alias("out"))
+
+    def step(s: Column, p: Column) -> Column:
+        begins = s["at"] + p["gap"]
+        return F.struct((begins + F.length(p["token"])).alias("at"), F.concat(s["out"], F.array(F.struct(begins.alias("at"), p["token"].alias("token")))).alias("out"))
+
+    return F.aggregate(pairs, start, step)["out"]
+
+
 def marked_parts(docs: DataFrame, pattern: str) -> DataFrame:
-    """doc_id, pos, at (character at which it begins) and token of every match of a pattern without groups of its own."""
-    whole = F.regexp_extract_all("text", F.lit(f"({pattern})"), 1)
-    found = docs.select("doc_id", "text", F.posexplode(whole).alias("pos", "token"))
-    # a match begins where the text before it ends: between matches lie the parts of a split at them
-    parts = docs.select("doc_id", F.posexplode(F.split("text", pattern, -1)).alias("pos", "part"))
-    both = found.drop("text").join(parts, ["doc_id", "pos"])
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    at = F.sum(F.length("part") + F.length("token")).over(w) - F.length("token")
-    return both.select("doc_id", "pos", at.alias("at"), "token")
+    """doc_id, pos, at (character at which it begins) and token of every match of a pattern, within the row: no shuffle, and
+    rows that repeat a doc_id don't meet."""
+    found = docs.select("doc_id", F.posexplode(placed(F.col("text"), pattern)).alias("pos", "m"))
+    return found.select("doc_id", "pos", F.col("m.at").cast("long").alias("at"), F.col("m.token").alias("token"))
 
 
 _ANY_MARKER = MARKER.replace("(/?)([A-Za-z_]\\w*)([/?]?)", "/?[A-Za-z_]\\w*[/?]?")
@@ -192,13 +201,6 @@ def open_references(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"({OPEN_TOKEN})"), 1)).alias("pos", "token"))
 
 
-def delegated(docs: DataFrame) -> DataFrame:
-    """doc_id, token, delegated: whether all occurrences of an open reference are within [[...]] blocks, however deep."""
-    whole = open_references(docs).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
-    within = open_references(bracket_blocks(docs)).groupBy("doc_id", "token").agg(F.count("*").alias("m"))
-    return whole.join(within, ["doc_id", "token"], "left").select("doc_id", "token", (F.col("n") == F.coalesce("m", F.lit(0))).alias("delegated"))
-
-
 def nested_references(rules: DataFrame) -> DataFrame:
     """key, target of every [[$name]] in the texts of (key, text)."""
     return rules.select("key", F.explode(F.regexp_extract_all("text", F.lit(VARIANT), 1)).alias("target")).distinct()
@@ -235,21 +237,6 @@ def best_prefix(names: DataFrame, prefixes: DataFrame) -> DataFrame:
     return names.join(hit, "name", "left")
 
 
-def html_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """Text nodes of HTML with their context: key, ord, line, tag, heading (nearest before), label (nearest before in a
-    label-like tag), header (of the table column), parent. A parser of the standard library reads each page whole."""
-    ddl = f"{key} long, ord int, line int, tag string, text string, heading string, label string, header string, parent string"
-
-    def read(batches):
-        from .dom import nodes
-
-        for batch in batches:
-            rows = [(k, *n) for k, h in zip(batch[key], batch[html], strict=True) for n in nodes(h or "")]
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in ddl.split(", ")])
-
-    return pages.select(key, html).mapInPandas(read, ddl)
-
-
 def mustache(docs: DataFrame) -> DataFrame:
     """doc_id, pos, name of every {{name}}."""
     return docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(MUSTACHE), 1)).alias("pos", "name"))
@@ -312,17 +299,3 @@ def auto_loops(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
             yield pd.DataFrame(rows, columns=[key, "html", "loops"])
 
     return pages.select(key, html).mapInPandas(read, ddl)
-
-
-def repeated_children(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """Containers whose children of one tag repeat, which a loop may stand for: key, container, child, n."""
-    ddl = f"{key} long, container string, child string, n int"
-
-    def read(batches):
-        from .dom import repeats
-
-        for batch in batches:
-            rows = [(k, *r) for k, h in zip(batch[key], batch[html], strict=True) for r in repeats(h or "")]
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in ddl.split(", ")])
-
-    return pages.select(key, html).mapInPandas(read, ddl)

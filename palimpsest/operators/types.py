@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import cut
+
 #: Containers whose element counts as the type (fixed).
 WRAPPERS = ("Optional", "Collection", "List", "Set", "Iterable")
-#: Hops from a root that an index goes.
+#: Hops from a root that an index goes, unless it is told another number or none.
 DEPTH = 3
+#: Hops that are one plan.
+TOGETHER = 8
 
 
 def unwrapped(declared: Column) -> Column:
@@ -40,14 +44,20 @@ def shortest(names: DataFrame, by: str, name: str = "name") -> DataFrame:
     return names.groupBy(by).agg(F.min_by(name, F.struct(F.length(short_name(F.col(name))).alias("n"), F.col(name))).alias(name))
 
 
-def index(types: DataFrame, roots: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """type, depth of every type reachable from roots (type) in so many hops, by the shortest way: breadth first, a join a
-    hop. Types that aren't declared are left out."""
+def index(types: DataFrame, roots: DataFrame, depth: int | None = DEPTH) -> DataFrame:
+    """type, depth of every type reachable from roots (type) in so many hops, or (None) in any number, by the shortest way:
+    breadth first, a join a hop, until a hop finds none that wasn't seen, so types that lead to each other end it. Types
+    that aren't declared are left out."""
     edges = types.select(F.col("type").alias("from"), unwrapped(F.col("declared")).alias("to")).where("to is not null").distinct()
-    seen = roots.select("type").distinct().withColumn("depth", F.lit(0))
-    front = seen
-    for hop in range(1, depth + 1):
+    seen = front = roots.select("type").distinct().withColumn("depth", F.lit(0))
+    hop = 0
+    while depth is None or hop < depth:
+        hop += 1
         front = front.select(F.col("type").alias("from")).join(edges, "from").select(F.col("to").alias("type")).distinct().join(seen.select("type"), "type", "left_anti").withColumn("depth", F.lit(hop))
+        if depth is None:  # each hop is written, as their number isn't known
+            front = cut(front)
+            if front.isEmpty():
+                break
         seen = seen.unionByName(front)
     return seen.join(types.select("type").distinct(), "type", "left_semi")
 
@@ -77,15 +87,22 @@ def root_descriptors(spark: SparkSession, product: str, package: str) -> DataFra
     return spark.createDataFrame(rows, "root string, record string, request string")
 
 
-def walked(paths: DataFrame, types: DataFrame, hops: int = 6) -> DataFrame:
+def walked(paths: DataFrame, types: DataFrame) -> DataFrame:
     """paths (id, type, path: dotted fields from the type on) with verdict: verified, not_found (no such field; the hop
-    is told) or not_navigable (a field follows a value). Fields are met in any case; a join a hop, for all paths at once."""
+    is told) or not_navigable (a field follows a value). Fields are met in any case.
+
+    A join a hop, for all paths at once, up to the end of the longest one; every TOGETHER hops the paths that have more
+    are written, so that a plan stays small however long they are.
+    """
     own = types.groupBy("type", F.lower("field").alias("_f")).agg(F.min_by("declared", "field").alias("_d"))
+    most = paths.agg(F.max(F.size(F.split("path", r"\.")))).first()[0] or 0
     at = paths.select("id", "type", "path", F.split("path", r"\.").alias("_parts"), F.col("type").alias("_at"), F.lit(None).cast("string").alias("verdict"), F.lit(0).alias("hop"))
-    for i in range(hops):
+    for i in range(most):
         part = F.lower(F.get("_parts", F.lit(i)))
         step = at.withColumn("_f", part).join(own.withColumnRenamed("type", "_at"), ["_at", "_f"], "left")
         open_ = F.col("verdict").isNull() & F.col("_f").isNotNull()
         wrong = F.when(F.col("_at").isNull(), "not_navigable").when(F.col("_d").isNull(), "not_found")
         at = step.select("id", "type", "path", "_parts", F.when(open_, unwrapped(F.col("_d"))).otherwise(F.col("_at")).alias("_at"), F.when(open_, wrong).otherwise(F.col("verdict")).alias("verdict"), F.when(open_, F.lit(i + 1)).otherwise(F.col("hop")).alias("hop"))
+        if i % TOGETHER == TOGETHER - 1:
+            at = cut(at)
     return at.select("id", "type", "path", F.coalesce("verdict", F.lit("verified")).alias("verdict"), "hop")

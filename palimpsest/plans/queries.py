@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import conditions as C
-from ..operators import assembly, graph, nested, reports, resolve, templates, tokens, types, variants
+from ..operators import assembly, graph, marks, nested, pages, reports, resolve, templates, tokens, types, variants
 from ..sources import config_tree, contracts, documents, sinks
 from . import derived
 from .records import MONEY, category, charges, items, policies, records, table
@@ -146,11 +146,31 @@ def _edges(spark, sf_dir):
     return spark.sql(_EDGES.replace("FROM orders", "FROM _edge_orders"))
 
 
-@query("cycle_detect", f"""WITH RECURSIVE e AS (SELECT * FROM ({_EDGES}) WHERE b IN ('n0', 'n1', 'n2', 'n3', 'n4', 'n5', 'n6', 'n7', 'n8', 'n9', 'n10', 'n11', 'n12')), r(g, a, b) AS (SELECT g, a, b FROM e UNION SELECT r.g, r.a, e.b FROM r JOIN e ON e.g = r.g AND e.a = r.b)
- SELECT g, bool_or(coalesce(r.a = r.b, false)) AS cyclic, count(DISTINCT CASE WHEN r.a = r.b THEN r.a END) AS n_in_cycles FROM (SELECT DISTINCT g FROM ({_EDGES})) LEFT JOIN r USING (g) GROUP BY g""")
+_RINGS = f"""WITH RECURSIVE e AS (SELECT * FROM ({_EDGES}) WHERE b IN ('n0', 'n1', 'n2', 'n3', 'n4', 'n5', 'n6', 'n7', 'n8', 'n9', 'n10', 'n11', 'n12')), r(g, a, b) AS (SELECT g, a, b FROM e UNION SELECT r.g, r.a, e.b FROM r JOIN e ON e.g = r.g AND e.a = r.b)"""
+
+
+@query("cycle_detect", _RINGS + f" SELECT g, bool_or(coalesce(r.a = r.b, false)) AS cyclic, count(DISTINCT CASE WHEN r.a = r.b THEN r.a END) AS n_in_cycles FROM (SELECT DISTINCT g FROM ({_EDGES})) LEFT JOIN r USING (g) GROUP BY g")
 def cycles(spark, sf_dir):
     """Whether each graph has a cycle, and how many of its nodes lie on one. A graph is as small as a set of rules; graphs are many."""
-    return graph.cycles(_edges(spark, sf_dir))
+    return graph.cycles(_edges(spark, sf_dir)).drop("cycle")
+
+
+@query("cycle_paths", _RINGS + """, s AS (SELECT g, min(a) AS least FROM r WHERE a = b GROUP BY 1), d(g, least, b, n) AS (SELECT s.g, least, e.b, 1 FROM s JOIN e ON e.g = s.g AND e.a = least UNION SELECT d.g, d.least, e.b, d.n + 1 FROM d JOIN e ON e.g = d.g AND e.a = d.b WHERE d.n < 17)
+ SELECT g, least, min(n)::INTEGER AS steps, true AS real FROM d WHERE b = least GROUP BY g, least""")
+def cycle_paths(spark, sf_dir):
+    """A shortest cycle through the least node of each graph that is on one: where it begins, how long it is, and whether all its steps are references."""
+    edges = _edges(spark, sf_dir)
+    found = graph.cycles(edges).where("cyclic")
+    steps = found.select("g", F.explode(F.arrays_zip(F.slice("cycle", F.lit(1), F.size("cycle") - 1).alias("a"), F.slice("cycle", F.lit(2), F.size("cycle")).alias("b"))).alias("s")).select("g", "s.a", "s.b")
+    there = steps.join(edges.withColumn("there", F.lit(True)), ["g", "a", "b"], "left").groupBy("g").agg(F.every(F.coalesce("there", F.lit(False))).alias("real"))
+    return found.join(there, "g").select("g", F.get("cycle", F.lit(0)).alias("least"), (F.size("cycle") - 1).alias("steps"), "real")
+
+
+@query("first_parents", f"""WITH RECURSIVE e AS (SELECT g, a, b FROM ({_EDGES}) WHERE CAST(substr(a, 2) AS INT) < CAST(substr(b, 2) AS INT)), k AS (SELECT DISTINCT g, a AS key FROM e), p AS (SELECT k.g, k.key, min(e.a) AS parent FROM k LEFT JOIN e ON e.g = k.g AND e.b = k.key GROUP BY 1, 2),
+ d(g, key, depth) AS (SELECT g, key, 0 FROM p WHERE parent IS NULL UNION ALL SELECT p.g, p.key, d.depth + 1 FROM d JOIN p ON p.g = d.g AND p.parent = d.key) SELECT p.g, p.key, p.parent, d.depth::INTEGER AS depth FROM p JOIN d USING (g, key)""")
+def first_parents(spark, sf_dir):
+    """What refers to each node first, and how deep it lies below one that nothing refers to."""
+    return graph.first_parents(_edges(spark, sf_dir).where("cast(substr(a, 2) as int) < cast(substr(b, 2) as int)"))
 
 
 @query("topo_levels", f"""WITH RECURSIVE e AS (SELECT g, a, b FROM ({_EDGES}) WHERE CAST(substr(a, 2) AS INT) < CAST(substr(b, 2) AS INT)), d(g, key, depth) AS (SELECT DISTINCT g, a, 0 FROM e WHERE (g, a) NOT IN (SELECT (g, b) FROM e) UNION SELECT e.g, e.b, d.depth + 1 FROM d JOIN e ON e.g = d.g AND e.a = d.key) SELECT g, key, max(depth)::INTEGER AS depth FROM d GROUP BY ALL""")
@@ -522,7 +542,20 @@ def region_classes(spark, sf_dir):
 @query("open_references", "WITH " + _BLOCKS + r""", r AS (SELECT doc_id, tok, ch FROM """ + _marks(r"\$(?:\w+\.)?TBD_\w+(?:\.\w+)*") + """)
  SELECT r.doc_id, tok AS token, bool_and(EXISTS (SELECT 1 FROM blocks k WHERE k.doc_id = r.doc_id AND k.s <= r.ch AND r.ch < k.e)) AS delegated FROM r GROUP BY 1, 2""")
 def open_references(spark, sf_dir):
-    return tokens.delegated(_docs(spark, sf_dir))
+    return marks.delegated(_docs(spark, sf_dir)).drop("blocks")
+
+
+_KEYED = "replace(replace(\"text\", 'tail]]', 'tail]]$doc.outer'), 'bare text 1]]', 'bare text $TBD_q]]$doc.bare')"
+
+
+@query("delegated_blocks", "WITH " + _BLOCKS.replace(_DOCS, f"(SELECT doc_id, {_KEYED} AS \"text\" FROM {_DOCS})") + r""", r AS (SELECT doc_id, tok, ch FROM """ + _marks(r"\$(?:\w+\.)?TBD_\w+(?:\.\w+)*", docs=f'(SELECT doc_id, {_KEYED} AS "text" FROM {_DOCS})') + f"""),
+ o AS (SELECT r.doc_id, tok, r.ch, max(p.s) AS s FROM r LEFT JOIN pairs p ON p.doc_id = r.doc_id AND p.s <= r.ch AND r.ch < p.e GROUP BY ALL),
+ q AS (SELECT o.*, nullif(regexp_extract(substr({_KEYED}, p.e + 3), '^\\$doc\\.(\\w+)', 1), '') AS key FROM o LEFT JOIN pairs p ON p.doc_id = o.doc_id AND p.s = o.s JOIN {_DOCS} d ON d.doc_id = o.doc_id)
+ SELECT doc_id, tok AS token, bool_and(s IS NOT NULL) AS delegated, CASE WHEN bool_and(s IS NOT NULL) THEN coalesce(string_agg(DISTINCT key, ',' ORDER BY key), '') ELSE '' END AS blocks FROM q GROUP BY 1, 2""")
+def delegated_blocks(spark, sf_dir):
+    """Open references that only blocks hold, with the keys of the innermost blocks."""
+    keyed = _docs(spark, sf_dir).select("doc_id", F.expr(_KEYED.replace('"', "`")).alias("text"))
+    return marks.delegated(keyed).withColumn("blocks", F.array_join("blocks", ","))
 
 
 @query("html_headings", r"""SELECT page_id, unnest(regexp_extract_all(html, '(?i)<h[1-6](?:\s[^>]*)?>([^<]*)</h[1-6]>', 1)) AS heading FROM pages""")
@@ -540,9 +573,74 @@ def html_to_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(tokens.plain_text(F.col("html")).cast("binary")).alias("digest"))
 
 
-@query("html_context")
+def _tree_sql(pages: str) -> str:
+    """The nodes of pages (page_id, html) in SQL, by a recursion of its own over their tags: tree (page_id, node, kind, tag,
+    text, line, up and uptags: the elements around it, from the outermost on, parent) and marked (with words, label, beside)."""
+    return r"""RECURSIVE raw AS (
+  SELECT page_id, unnest(t) AS tok, unnest(range(1, len(t) + 1)) AS j FROM (SELECT page_id, regexp_extract_all(coalesce(html, ''), '(?is)<!--.*?-->|<!doctype[^>]*>|<script\b.*?</script>|<style\b.*?</style>|<[^>]+>|[^<]+') AS t FROM """ + pages + r""")
+), kinds AS (
+  SELECT page_id, j, lower(regexp_extract(tok, '^</?([a-zA-Z][\w-]*)', 1)) AS tag, 1 + coalesce(sum(len(tok) - len(replace(tok, chr(10), ''))) OVER (PARTITION BY page_id ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS line,
+   CASE WHEN starts_with(tok, '<!') THEN 'none' WHEN starts_with(tok, '</') THEN 'close' WHEN regexp_matches(tok, '(?i)^<(script|style|area|base|br|col|embed|hr|img|input|link|meta|source|track|wbr)\b') THEN 'void' WHEN starts_with(tok, '<') THEN 'open' ELSE 'text' END AS kind,
+   trim(regexp_replace(regexp_replace(replace(replace(replace(tok, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS "text" FROM raw
+), toks AS (
+  SELECT page_id, kind, CASE WHEN kind <> 'text' THEN tag END AS tag, CASE WHEN kind = 'text' THEN "text" END AS "text", line, row_number() OVER (PARTITION BY page_id ORDER BY j) AS i,
+   (count(*) FILTER (WHERE kind <> 'close') OVER (PARTITION BY page_id ORDER BY j ROWS UNBOUNDED PRECEDING) - 1)::INTEGER AS node
+  FROM kinds WHERE kind <> 'none' AND NOT (kind = 'text' AND "text" = '')
+), st(page_id, i, nodes, tags) AS (
+  SELECT DISTINCT page_id, 0::BIGINT, []::INTEGER[], []::VARCHAR[] FROM toks
+  UNION ALL
+  SELECT page_id, i, nodes[1:keep] || CASE WHEN kind = 'open' THEN [node] ELSE []::INTEGER[] END, tags[1:keep] || CASE WHEN kind = 'open' THEN [tag] ELSE []::VARCHAR[] END FROM (
+   SELECT s.page_id, t.i, t.kind, t.tag, t.node, s.nodes, s.tags, CASE WHEN t.kind = 'text' THEN len(s.tags) WHEN t.kind = 'close' THEN CASE WHEN list_contains(s.tags, t.tag) THEN len(s.tags) - list_position(list_reverse(s.tags), t.tag) ELSE len(s.tags) END
+     ELSE coalesce(list_max(list_filter(range(1, len(s.tags) + 1), lambda k: NOT ((s.tags[k] = 'p' AND t.tag IN ('p', 'div', 'ul', 'ol', 'table', 'h1', 'h2', 'h3')) OR (s.tags[k] = 'li' AND t.tag = 'li') OR (s.tags[k] IN ('td', 'th') AND t.tag IN ('td', 'th', 'tr')) OR (s.tags[k] = 'tr' AND t.tag = 'tr') OR (s.tags[k] IN ('dt', 'dd') AND t.tag IN ('dt', 'dd'))))), 0) END AS keep
+   FROM st s JOIN toks t ON t.page_id = s.page_id AND t.i = s.i + 1)
+), tree AS (
+  SELECT *, coalesce(up[-1], -1) AS parent, uptags[-1] AS within FROM (SELECT t.page_id, t.node, t.kind, t.tag, t."text", t.line, CASE WHEN t.kind = 'open' THEN nodes[1:len(nodes) - 1] ELSE nodes END AS up, CASE WHEN t.kind = 'open' THEN tags[1:len(nodes) - 1] ELSE tags END AS uptags FROM st JOIN toks t USING (page_id, i) WHERE t.kind <> 'close')
+), held AS (
+  SELECT page_id, unnest(up) AS node, node AS place, "text" FROM tree WHERE kind = 'text' UNION ALL SELECT page_id, node, node, "text" FROM tree WHERE kind = 'text'
+), words AS (
+  SELECT page_id, node, string_agg("text", ' ' ORDER BY place) AS words, count(*) AS n FROM held GROUP BY 1, 2
+), labelled AS (
+  SELECT tree.*, words, n, CASE WHEN words IS NULL OR regexp_matches(words, 'TBD_|\$|\{\{') THEN '' ELSE left(trim(regexp_replace(words, ':+$', '')), 80) END AS label FROM tree LEFT JOIN words USING (page_id, node)
+), marked AS (
+  SELECT *, last_value(nullif(label, '') IGNORE NULLS) OVER (PARTITION BY page_id, parent ORDER BY node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS beside,
+   last_value(CASE WHEN tag IN ('h1', 'h2', 'h3', 'h4', 'h5', 'h6') THEN coalesce(words, '') END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS heading FROM labelled
+)"""
+
+
+@query("html_context", "WITH " + _tree_sql("pages") + """, chain AS (SELECT page_id, node, unnest(c) AS place, unnest(range(1, len(c) + 1)) AS lvl FROM (SELECT page_id, node, [node] || list_reverse(up)[1:5] AS c FROM tree WHERE kind = 'text')),
+ near AS (SELECT c.page_id, c.node, arg_min(m.beside, c.lvl) AS label FROM chain c JOIN marked m ON m.page_id = c.page_id AND m.node = c.place WHERE m.beside IS NOT NULL GROUP BY 1, 2)
+ SELECT m.page_id, (row_number() OVER (PARTITION BY m.page_id ORDER BY m.node) - 1)::INTEGER AS ord, m.node, m.line, coalesce(m.within, '') AS tag, m."text", coalesce(m.heading, '') AS heading, coalesce(near.label, '') AS label, '' AS header, coalesce(m.uptags[-2], '') AS parent
+ FROM marked m LEFT JOIN near USING (page_id, node) WHERE m.kind = 'text'""")
 def html_context(spark, sf_dir):
-    return tokens.html_nodes(table(spark, sf_dir, "pages"))
+    """What names each text of a page. The tables' pages have no tables; tests hold column headers against brute force."""
+    found = pages.context(pages.tree(table(spark, sf_dir, "pages")))
+    return found.withColumn("tag", F.coalesce("tag", F.lit("")))
+
+
+#: Pages with variables, made of orders.
+_PAGE = "'<h2>' || o_orderpriority || '</h2><div>' || CASE o_orderkey % 6 WHEN 0 THEN '<p>Clerk: {{clerk}} {{pay.now}}</p>' WHEN 1 THEN '<p>{{clerk}}</p><span> {{ x' || CAST(o_custkey % 7 AS STRING) || ' }} </span>{{y}} {{y}}' WHEN 2 THEN '<ul><li>{{a}}<li>b {{c}}</ul><li>Lone:<br>x</li>' WHEN 3 THEN '<p><b>Total:</b> {{total}}</p>' || chr(10) || '{{tail}}' WHEN 4 THEN '<section><em>{{q}}</em><p>' || o_orderstatus || '</p>{{after}}<h3>$</h3></section>' ELSE 'none' END || '</div>{{end}}'"
+
+
+@query("page_findings", "WITH " + _tree_sql(f"(SELECT o_orderkey AS page_id, {_PAGE} AS html FROM orders)") + r""", v AS (SELECT page_id, line, unnest(l) AS found, unnest(range(1, len(l) + 1)) AS i, parts FROM (SELECT page_id, line, regexp_extract_all("text", '\{\{\s*([a-zA-Z_][\w.]*)\s*\}\}', 1) AS l, string_split_regex("text", '\{\{\s*[a-zA-Z_][\w.]*\s*\}\}') AS parts FROM marked WHERE kind = 'text' AND beside IS NULL))
+ SELECT DISTINCT page_id, line, 'unlabeled variable' AS category, found FROM v WHERE len(list_filter(parts[1:i], lambda p: trim(p) <> '')) = 0
+ UNION ALL SELECT page_id, line, 'single variable', tag || ' ' || regexp_extract(words, '[a-zA-Z_][\w.]*') FROM marked WHERE kind = 'open' AND tag IN ('p', 'li', 'tr', 'h1', 'h2', 'h3', 'h4', 'h5', 'h6', 'div', 'section', 'span', 'strong', 'em') AND n = 1 AND regexp_full_match(words, '\{\{\s*[a-zA-Z_][\w.]*\s*\}\}')
+ UNION ALL SELECT page_id, line, 'loose list item', label FROM marked WHERE tag = 'li' AND NOT list_has_any(uptags, ['ul', 'ol'])""")
+def page_findings(spark, sf_dir):
+    made = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id"), F.expr(_PAGE).alias("html"))
+    return pages.findings(pages.tree(made))
+
+
+#: Pages with open references, and what has to stand around their elements.
+_OPEN = "CASE o_orderkey % 5 WHEN 0 THEN '<div><p>Dear $TBD_name' || CAST(o_custkey % 9 AS STRING) || ', $TBD_a.b</p><p>plain</p></div>' WHEN 1 THEN '<ul><li>$TBD_x <b>$TBD_y</b> $TBD_x</li><li>no</li></ul>tail' WHEN 2 THEN '<div>#foreach ($i in $TBD_list)<p>$i.TBD_x</p><p>$TBD_x</p>#end</div><p>$TBD_after</p>' WHEN 3 THEN '<section>$TBD_s<p>$TBD_t é</p></section>' ELSE o_orderstatus || ' $TBD_loose' END"
+
+
+@query("block_wrapping", """SELECT o_orderkey AS page_id, CASE o_orderkey % 5 WHEN 0 THEN '<div>' || chr(10) || '#if($TBD_name' || o_custkey % 9 || ' and $TBD_a.b)' || chr(10) || '<p>Dear $TBD_name' || o_custkey % 9 || ', $TBD_a.b</p>' || chr(10) || '#end' || chr(10) || '<p>plain</p></div>'
+ WHEN 1 THEN '<ul>' || chr(10) || '#if($TBD_x and $TBD_y)' || chr(10) || '<li>$TBD_x <b>$TBD_y</b> $TBD_x</li>' || chr(10) || '#end' || chr(10) || '<li>no</li></ul>tail'
+ WHEN 2 THEN chr(10) || '#if($TBD_list)' || chr(10) || '<div>#foreach ($i in $TBD_list)<p>$i.TBD_x</p><p>$TBD_x</p>#end</div>' || chr(10) || '#end' || chr(10) || chr(10) || '#if($TBD_after)' || chr(10) || '<p>$TBD_after</p>' || chr(10) || '#end' || chr(10)
+ WHEN 3 THEN chr(10) || '#if($TBD_s and $TBD_t)' || chr(10) || '<section>$TBD_s' || chr(10) || '#if($TBD_t)' || chr(10) || '<p>$TBD_t é</p>' || chr(10) || '#end' || chr(10) || '</section>' || chr(10) || '#end' || chr(10) ELSE o_orderstatus || ' $TBD_loose' END AS html, CASE o_orderkey % 5 WHEN 2 THEN 2 WHEN 3 THEN 2 WHEN 4 THEN 0 ELSE 1 END AS n_guards FROM orders""")
+def block_wrapping(spark, sf_dir):
+    """Elements whose values may be missing put between #if and #end, in the page's source."""
+    return pages.guarded(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id"), F.expr(_OPEN).alias("html")))
 
 
 _CSS = "'p{font-family: ' || chr(39) || 'Open Sans' || chr(39) || ', Arial} h1{FONT-FAMILY:' || p_name || ' ,x} b{font-family:' || chr(34) || 'open sans' || chr(34) || '; } i{font-family: ' || p_type || '} u{font-family: ' || CASE p_size % 3 WHEN 0 THEN 'Lato' WHEN 1 THEN 'lato, serif' ELSE 'Times' END || '}'"
@@ -594,15 +692,19 @@ def prose(spark, sf_dir):
     return tokens.prose_conditionals(_docs(spark, sf_dir)).drop("pos")
 
 
-@query("loop_autodetect", "SELECT page_id, 'ul' AS container, 'li' AS child, len(regexp_extract_all(html, '<li[ >]'))::INTEGER AS n FROM pages WHERE len(regexp_extract_all(html, '<li[ >]')) >= 2")
+_REPEATS = "WITH " + _tree_sql("pages") + ", r AS (SELECT page_id, parent, within AS container, tag AS child, count(*)::INTEGER AS n FROM tree WHERE kind <> 'text' AND within IN ('tbody', 'ul', 'ol', 'table', 'section', 'div') GROUP BY ALL HAVING count(*) >= 2)"
+
+
+@query("loop_autodetect", _REPEATS + " SELECT page_id, container, child, count(*) AS loops, sum(n)::BIGINT AS n FROM r GROUP BY ALL")
 def autodetect(spark, sf_dir):
-    return tokens.repeated_children(table(spark, sf_dir, "pages")).where("container = 'ul' and child = 'li'")
+    """How many loops each kind of container offers, and of how many elements."""
+    return pages.repeats(pages.tree(table(spark, sf_dir, "pages"))).groupBy("page_id", "container", "child").agg(F.count("*").alias("loops"), F.sum("n").alias("n"))
 
 
-@query("loop_autodetect_all")
+@query("loop_autodetect_all", _REPEATS + " SELECT page_id, parent AS node, container, child, n FROM r")
 def autodetect_all(spark, sf_dir):
-    """Repeats in all containers; SQL can't follow the nesting of tags."""
-    return tokens.repeated_children(table(spark, sf_dir, "pages"))
+    """Repeats in all containers."""
+    return pages.repeats(pages.tree(table(spark, sf_dir, "pages")))
 
 
 @query("review_append", "SELECT c_custkey AS leaf, 'old' AS final FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT DISTINCT o_custkey, 'new' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)")
@@ -942,26 +1044,31 @@ def resolution_driver(spark, sf_dir):
 
 #: Documents whose fields are those of the catalogue, with guards in lines of their own.
 _LETTER = "'Dear {term' || CAST(o_custkey % 9 AS STRING) || '} of {$currency}, {nothing' || CAST(o_orderkey % 3 AS STRING) || '}.' || chr(10) || '#if($TBD_guarded)' || chr(10) || '<b>{currency}</b>' || chr(10) || '#end' || chr(10) || '<i>#if($doc.' || CASE o_orderkey % 2 WHEN 0 THEN 'clause' ELSE 'other' END || ')</i>' || chr(10) || 'in' || chr(10) || '<i>#end</i>' || chr(10) || '[[$clause]] [[free [[ $label ]] text]] [' || b || '/]{size' || n || '}[/' || b || '] end.'"
-_LETTERS = f"SELECT o_orderkey AS doc_id, {_LETTER} AS letter FROM (SELECT o_orderkey, o_custkey, 'Brand' || CAST(o_custkey % 5 + 1 AS STRING) || CAST(o_orderkey % 5 + 1 AS STRING) AS b, CAST(o_custkey % 50 + 1 AS STRING) AS n FROM orders)"
+_LETTERS = f"SELECT o_orderkey AS doc_id, CASE o_orderkey % 13 WHEN 0 THEN 'no marks' WHEN 1 THEN '[[ $clause ]]' WHEN 2 THEN 'only {{nothing1}} here' ELSE {_LETTER} || chr(10) || '  #foreach ($x in $TBD_' || b || ')' || chr(10) || 'row #if($y) z #end' || chr(10) || '#end $doc.label $doc.labels' END AS letter, b FROM (SELECT o_orderkey, o_custkey, 'Brand' || CAST(o_custkey % 5 + 1 AS STRING) || CAST(o_orderkey % 5 + 1 AS STRING) AS b, CAST(o_custkey % 50 + 1 AS STRING) AS n FROM orders)"
 _LETTER_ASKED = "SELECT o_orderkey AS doc_id, unnest(['term' || (o_custkey % 9), 'currency', 'nothing' || (o_orderkey % 3), 'size' || (o_custkey % 50 + 1)]) AS name, unnest([NULL, NULL, NULL, 'Brand' || (o_custkey % 5 + 1) || (o_orderkey % 5 + 1)]) AS loop FROM orders"
 
 
 @query("final_texts", _WITH + ", " + _MATCHED.replace("@asked", _LETTER_ASKED) + ", kk AS (SELECT doc_id, name, " + _CHOSEN + r""" FROM j), pth AS (SELECT accessor, min(path) AS path FROM cand GROUP BY 1), v AS (SELECT kk.doc_id, '$TBD_' || name AS token, path FROM kk JOIN pth ON accessor = chosen WHERE status = 'resolved'),
- m1 AS (SELECT doc_id, regexp_replace(regexp_replace(letter, '\{[$+*]?([a-zA-Z_][a-zA-Z0-9_.]*)\}', '$TBD_\1', 'g'), '\[\[\s*\$([A-Za-z_]\w*)\s*\]\]', '[[$\1]]$doc.\1', 'g') AS x FROM (""" + _LETTERS + r""")),
+ lets AS (SELECT doc_id, letter, iterator, list_path, b FROM (""" + _LETTERS + r""") LEFT JOIN (SELECT brand AS b, list_path, iterator FROM own WHERE quantifier IN ('+', '*')) USING (b)),
+ m0 AS (SELECT doc_id, CASE WHEN iterator IS NULL THEN letter ELSE replace(letter, '  #foreach ($x in $TBD_' || b || ')', '#foreach ($' || iterator || ' in ' || list_path || ')') END AS letter FROM lets),
+ m1 AS (SELECT doc_id, regexp_replace(regexp_replace(letter, '\{[$+*]?([a-zA-Z_][a-zA-Z0-9_.]*)\}', '$TBD_\1', 'g'), '\[\[\s*\$([A-Za-z_]\w*)\s*\]\]', '[[$\1]]$doc.\1', 'g') AS x FROM m0),
  m2 AS (SELECT doc_id, replace(x, '#if($TBD_guarded)' || chr(10) || '<b>$TBD_currency</b>' || chr(10) || '#end' || chr(10), '<b>$TBD_currency</b>' || chr(10)) AS x FROM m1),
  m3 AS (SELECT doc_id, replace(CASE WHEN contains(x, '#if($doc.other)') THEN replace(replace(x, '#if($doc.other)', ''), '<i>#end</i>', '<i></i>') ELSE x END, '#if($doc.clause)', '#if($data.clause)') AS x FROM m2),
- m4 AS (SELECT doc_id, replace(replace(x, '[[$clause]]$doc.clause', '${data.clause}'), '[[$label]]$doc.label', '${data.label}') AS "text" FROM m3),
+ m4 AS (SELECT doc_id, replace(replace(replace(x, '[[$clause]]$doc.clause', '${data.clause}'), '[[$label]]$doc.label', '${data.label}'), '#end $doc.label $doc.labels', '#end ${data.label} $doc.labels') AS "text" FROM m3),
  q AS (SELECT doc_id, regexp_extract_all("text", '\$(?:\w+\.)?TBD_\w+(?:\.\w+)*') AS toks, string_split_regex("text", '\$(?:\w+\.)?TBD_\w+(?:\.\w+)*') AS parts FROM m4),
  z AS (SELECT doc_id, unnest(parts) AS part, unnest(list_concat(toks, [''])) AS tok, unnest(range(0, len(parts))) AS i FROM q),
- o AS (SELECT z.doc_id, string_agg(part || coalesce(path, tok), '' ORDER BY i) AS "text" FROM z LEFT JOIN v ON v.doc_id = z.doc_id AND v.token = tok GROUP BY 1)
- SELECT doc_id, "text", len(regexp_extract_all("text", '\$TBD_\w+'))::INTEGER AS n_open, CASE WHEN contains("text", '$TBD_') THEN 'PARTIAL' ELSE 'COMPLETE' END AS state FROM o""")
+ o AS (SELECT z.doc_id, string_agg(part || coalesce(path, tok), '' ORDER BY i) AS "text" FROM z LEFT JOIN v ON v.doc_id = z.doc_id AND v.token = tok GROUP BY 1),
+ n AS (SELECT doc_id, "text", len(regexp_extract_all("text", '\$TBD_\w+'))::INTEGER AS n_open, regexp_matches("text", '\$(data|[a-z]\w*)\.\w') AS named, contains("text", '${data.') AS kept FROM o)
+ SELECT doc_id, "text", n_open, CASE WHEN n_open = 0 AND named THEN 'COMPLETE' WHEN n_open = 0 AND kept THEN 'CONDITIONAL-ONLY' WHEN n_open = 0 THEN 'EMPTY' WHEN named THEN 'PARTIAL' ELSE 'BLOCKED' END AS state FROM n""")
 def final_texts(spark, sf_dir):
-    """From documents to final texts in one job: parsed, resolved against the catalogue, and put in."""
+    """From documents to final texts in one job: parsed, resolved against the catalogue, fields and loops put in."""
     table(spark, sf_dir, "orders").createOrReplaceTempView("_letter_orders")
-    docs = spark.sql(_LETTERS.replace("FROM orders", "FROM _letter_orders")).withColumnRenamed("letter", "text")
-    fields = assembly.parsed(docs, spark.createDataFrame(_COVERAGES, "name string, exposure string")).where("kind = 'field'").select("doc_id", "name", "loop")
-    found = resolve.candidates(_catalogue(spark, sf_dir), ["segment"])
-    return assembly.final_texts(docs, assembly.annotated(fields, found), ["clause", "label"])
+    docs = spark.sql(_LETTERS.replace("FROM orders", "FROM _letter_orders")).select("doc_id", F.col("letter").alias("text"))
+    fields = tokens.loop_membership(docs)
+    cfgs = _configs(spark, sf_dir)
+    found = resolve.candidates(config_tree.gathered(config_tree.paths(cfgs)), ["segment"])
+    loops = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"#foreach\s*\(\$\w+ in \$TBD_(\w+)\)"), 1))).alias("loop"))
+    return assembly.final_texts(docs, assembly.annotated(fields, found), ["clause", "label"], resolve.loop_roots(loops, config_tree.iterables(cfgs)))
 
 
 _STATUS = "SELECT l_orderkey AS doc_id, l_linenumber AS pos, CASE l_linenumber % 5 WHEN 0 THEN 'optional' WHEN 1 THEN '' WHEN 2 THEN NULL WHEN 3 THEN 'one_or_more' ELSE 'zero_or_more' END AS occurrence, CASE l_returnflag WHEN 'R' THEN NULL WHEN 'A' THEN 'UNRESOLVED: no' ELSE '$data.x' END AS data_source, CASE l_linestatus WHEN 'O' THEN 'quote' ELSE NULL END AS scope, CASE WHEN l_partkey % 4 = 0 THEN 'a list' ELSE NULL END AS unsupported FROM lineitem"

@@ -23,21 +23,43 @@ def test_markers_by_place(spark):
     assert got == [(1, "closes nothing", 0), (1, "not closed", 7), (2, "reopened", 0), (3, "closes nothing", 9), (3, "old style", 4), (4, "block in a loop", 10), (4, "malformed", 0), (5, "old style", 14)]
 
 
-def test_guards(spark):
+def test_guards():
+    from palimpsest.operators import marks
+
+    put = lambda text, values=(), keys=(), loops=(): marks.assembled(text, dict(values), set(keys), dict(loops))
     text = "a\n#if($TBD_x)\nb\n#if($y)\nc\n#end\nd\n#end\n#foreach ($i in $TBD_L)\n$TBD_x\n#end"
-    assert made(spark, assembly.without_guards(F.col("t")), t=text) == "a\nb\n#if($y)\nc\n#end\nd\n#foreach ($i in $TBD_L)\n$TBD_x\n#end"
-    keys = F.array(F.lit("k"), F.lit("in"))
+    assert put(text) == "a\nb\n#if($y)\nc\n#end\nd\n#foreach ($i in $TBD_L)\n$TBD_x\n#end"
     text = "<p>#if($doc.k)</p>\n#if($doc.gone)\n[[a [[$in]]$doc.in b]]$doc.k\n<b>#end</b>\n#end\n$doc.k [[free]]"
-    assert made(spark, assembly.settled_blocks(F.col("t"), keys), t=text) == "<p>#if($data.k)</p>\n\n${data.k}\n<b></b>\n#end\n${data.k} [[free]]"
-    lines = F.create_map(F.lit("$TBD_L"), F.lit("#foreach ($car in $data.cars)"))
-    assert made(spark, assembly.looped(F.col("t"), lines), t="#foreach ($l in $TBD_L)\n{$car.x} $TBD_L\n#end") == "#foreach ($car in $data.cars)\n${car.x} $TBD_L\n#end"
-    assert made(spark, assembly.marked(F.col("t")), t="{a.b} {$c} [[ $d ]]") == "$TBD_a.b $TBD_c [[$d]]$doc.d"
+    assert put(text, keys=["k", "in"]) == "<p>#if($data.k)</p>\n\n${data.k}\n<b></b>\n#end\n${data.k} [[free]]"
+    # a guard in a guard stays, with its own end; one that stands in a line ends where it ends
+    assert put("#if($TBD_a)\n#if($TBD_b)\nx\n#end\n#if($z) y #end\n#end\nt", {"$TBD_b": "$b"}) == "#if($b)\nx\n#end\n#if($z) y #end\nt"
+    # keys are whole words
+    assert put("$doc.kk $doc.k. ]]$doc.k [[ $k ]] [[$k]]$doc.other", keys=["k"]) == "$doc.kk ${data.k}. ]]${data.k} ${data.k} ${data.other}"
+    assert put("  #foreach ($l in $TBD_L)\n{car.x} $TBD_L\n#end #foreach ($m in $TBD_M.a)", {"$TBD_M.a": "$m"}, loops={"$TBD_L": "#foreach ($car in $data.cars)"}) == "#foreach ($car in $data.cars)\n$TBD_car.x $TBD_L\n#end #foreach ($m in $m)"
+    deep = "".join(f"[[{i} " for i in range(3000)) + "x" + "".join(f"]]$doc.k{i}" for i in range(3000))
+    assert put(deep) == "${data.k2999}"
+    assert put("#end [[ #if($doc.z) ]]$doc.k #end", keys=["k"]) == "#end ${data.k} #end" and put("") == ""
 
 
 def test_references_are_cut_once(spark):
-    docs = spark.createDataFrame([(1, "$TBD_a.b. $TBD_a $TBD_c$TBD_d"), (2, None), (3, "plain")], "doc_id int, text string")
+    from palimpsest.operators import marks
+
+    docs = spark.createDataFrame([(1, "$TBD_a.b. $TBD_a $TBD_c$TBD_d"), (1, "{a}"), (2, None), (3, "plain")], "doc_id int, text string")
     values = spark.createDataFrame([(1, "$TBD_a", "$TBD_c"), (1, "$TBD_a.b", "x"), (1, "$TBD_d", "")], "doc_id int, token string, value string")
-    assert {r.doc_id: r.text for r in assembly.filled(docs, values).collect()} == {1: "x. $TBD_c $TBD_c$TBD_d", 2: None, 3: "plain"}
+    assert sorted(((r.doc_id, r.text) for r in marks.final_texts(docs, values, []).collect()), key=str) == [(1, "$TBD_c"), (1, "x. $TBD_c $TBD_c$TBD_d"), (2, None), (3, "plain")]
+
+
+def test_innermost_blocks(spark):
+    from palimpsest.operators import marks
+
+    docs = spark.createDataFrame([(1, "[[a $TBD_x [[b $TBD_y]]$doc.in $TBD_x]]$doc.out $TBD_z [[ $TBD_x"), (2, "[[open [[$TBD_x]] $TBD_y ]] $TBD_w ]]"), (3, None), (4, "[[$TBD_p.q.]]$doc.k [[$TBD_p]]$doc.l")], "doc_id int, text string")
+    got = {(r.doc_id, r.token): (r.delegated, r.blocks) for r in marks.delegated(docs).collect()}
+    assert got == {(1, "$TBD_x"): (False, []), (1, "$TBD_y"): (True, ["in"]), (1, "$TBD_z"): (False, []), (2, "$TBD_x"): (True, []), (2, "$TBD_y"): (True, []), (2, "$TBD_w"): (False, []), (4, "$TBD_p.q"): (True, ["k"]), (4, "$TBD_p"): (True, ["l"])}
+
+
+def test_rows_that_repeat_an_id(spark):
+    docs = spark.createDataFrame([(1, "abc [A/]{x}[/A]"), (1, "{x} [A/] {x}[/A]")], "doc_id int, text string")
+    assert sorted((r.at, r.name) for r in tokens.loop_marks(docs).collect()) == [(4, "A"), (4, "A"), (11, "A"), (12, "A")]
 
 
 def test_mustache_loops(spark):
@@ -87,10 +109,13 @@ def test_files_between_steps(spark, tmp_path):
     assert contracts.read_terminology(spark, at("none")) is None
 
 
-def test_contexts_of_text_nodes():
+def test_contexts_of_text_nodes(spark):
+    from palimpsest.operators import pages
+
     page = "<html><body><h2>Head</h2><p><b>Name:</b> {{x}}</p><table><tr><th>A</th><th>B:</th></tr><tr><td>1</td><td>2</td></tr></table><script>no</script></body></html>"
-    got = [(n[2], n[3], n[4], n[5], n[6]) for n in dom.nodes(page)]
-    assert got == [("h2", "Head", "", "", ""), ("b", "Name:", "Head", "", ""), ("p", "{{x}}", "Head", "Name", ""), ("th", "A", "Head", "Name", ""), ("th", "B:", "Head", "A", ""), ("td", "1", "Head", "B", "A"), ("td", "2", "Head", "B", "B")]
+    found = pages.context(pages.tree(spark.createDataFrame([(1, page)], "page_id long, html string"))).orderBy("ord").collect()
+    got = [(n.tag, n.text, n.heading, n.label, n.header) for n in found]
+    assert got == [("h2", "Head", "Head", "", ""), ("b", "Name:", "Head", "Head", ""), ("p", "{{x}}", "Head", "Name", ""), ("th", "A", "Head", "Head", ""), ("th", "B:", "Head", "A", ""), ("td", "1", "Head", "A B", "A"), ("td", "2", "Head", "1", "B:")]
 
 
 def test_collisions_and_order_of_columns(spark):
@@ -102,12 +127,14 @@ def test_collisions_and_order_of_columns(spark):
 
 
 def test_items_outside_lists_and_roots(spark, tmp_path):
-    from palimpsest.operators import reports, types
+    from palimpsest.operators import types
     from palimpsest.sources import documents
 
     (tmp_path / "a.html").write_text("<ul><li>in</ul><div><li>out</div>")
     pages = documents.read_html(spark, str(tmp_path)).select(F.lit(1).cast("long").alias("page_id"), "html")
-    assert [r.text for r in reports.list_items_outside(tokens.html_nodes(pages)).collect()] == ["out"]
+    from palimpsest.operators import pages as P
+
+    assert [(r.category, r.found) for r in P.findings(P.tree(pages)).collect()] == [("loose list item", "out")]
     assert {tuple(r) for r in types.root_descriptors(spark, "P", "own").collect()} == {("quote", "own.PQuote", "PQuoteRequest"), ("segment", "own.PSegment", "PRequest"), ("invoice", None, "InvoiceRequest")}
 
 
@@ -146,3 +173,46 @@ def test_pages_of_pdf_lines(spark):
 
     lines = spark.createDataFrame([(1, 1, 5.0, "b & c", "p"), (1, 0, 9.0, "two", "p"), (1, 0, 2.0, " One ", "h2")], "doc_id int, page int, line double, text string, tag string")
     assert documents.pdf_html(lines).first().html == "<h2>One</h2>\n<p>two</p>\n<!-- page break -->\n<p>b &amp; c</p>"
+
+
+def test_long_chains_and_large_graphs(spark, monkeypatch):
+    import random
+
+    from palimpsest.operators import graph
+
+    n = 100_000
+    chain = {f"{i:06}": [f"{i + 1:06}"] for i in range(n)}
+    assert graph.find_cycle(chain) is None and not graph.on_cycles(chain) and graph.ordered(chain)[0] == f"{n - 1:06}"
+    assert graph.parents(chain)[f"{n - 1:06}"] == (f"{n - 2:06}", n - 1)
+    ring = chain | {f"{n:06}": ["000000"]}
+    assert len(graph.on_cycles(ring)) == n + 1 and len(graph.shortest_cycle(ring)) == n + 2
+    rnd = random.Random(2)
+    edges = [(1, f"{rnd.randrange(200_000):06}", f"{rnd.randrange(200_000):06}") for _ in range(1_000_000)]
+    refs = {k: [] for _, k, _ in edges}
+    for _, a, b in edges:
+        refs[a].append(b)
+    assert len(graph.on_cycles(refs)) > 150_000
+    # joins alone give the same
+    small = [(g, rnd.choice("abcdefghij"), rnd.choice("abcdefghijz")) for g in range(12) for _ in range(rnd.randint(1, 16))]
+    df = spark.createDataFrame(small, "g long, a string, b string")
+    want = {r.g: (r.cyclic, r.n_in_cycles) for r in graph.cycles(df).collect()}
+    for r in graph.cycles(df).collect():
+        if r.cyclic:
+            own = {(a, b) for g, a, b in small if g == r.g}
+            assert r.cycle[0] == r.cycle[-1] and all(e in own for e in zip(r.cycle, r.cycle[1:]))
+    monkeypatch.setattr(graph, "EDGES", 3)
+    assert {r.g: (r.cyclic, r.n_in_cycles) for r in graph.cycles(df).collect()} == want
+
+
+def test_walks_of_any_length(spark):
+    from palimpsest.operators import types
+
+    known = spark.createDataFrame([("x.A", "a", "x.A"), ("x.A", "b", "List<x.B>"), ("x.B", "a", "x.A"), ("x.B", "n", "int"), ("x.C", "d", "x.D")], "type string, field string, declared string")
+    paths = {1: "a." * 11 + "b", 2: "a." * 7 + "zzz", 3: "b.a." * 6 + "b.n", 4: "b.n.x", 5: "b.a." * 9 + "q.b"}
+    got = {r.id: (r.verdict, r.hop) for r in types.walked(spark.createDataFrame([(i, "x.A", p) for i, p in paths.items()], "id int, type string, path string"), known).collect()}
+    assert got == {1: ("verified", 12), 2: ("not_found", 8), 3: ("verified", 14), 4: ("not_navigable", 3), 5: ("not_found", 19)}
+    assert types.walked(spark.createDataFrame([], "id int, type string, path string"), known).count() == 0
+    roots = spark.createDataFrame([("x.A",)], "type string")
+    long = known.union(spark.createDataFrame([(f"x.T{i}", "f", f"x.T{i + 1}") for i in range(9)] + [("x.B", "t", "x.T0"), ("x.T9", "end", "int")], known.schema))
+    assert {r.type: r.depth for r in types.index(long, roots, None).collect()} == {"x.A": 0, "x.B": 1} | {f"x.T{i}": i + 2 for i in range(10)}
+    assert {r.type for r in types.index(long, roots).collect()} == {"x.A", "x.B", "x.T0", "x.T1"}
