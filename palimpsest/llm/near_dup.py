@@ -6,8 +6,10 @@ Steps (t is the least similarity, a set the distinct shingles of a document):
 2. Leaders that may link share a part. Two sets with a similarity of t or more differ in at most d tokens, where d
    follows from their sizes. So if tokens are dealt by hash into d + 1 parts, they agree in a whole part; a part's
    tokens make a 64-bit key. Sizes come in bands, and a set near the lower end of its band also sends keys for the band
-   below. Parts in which a set has nothing tell little, so there are some parts to spare and these are left out,
-   unless a set has more of them than there are to spare. Keys that several leaders have are found by an exchange of
+   below. Parts in which a set has nothing tell nothing, so there are some parts to spare and these are left out. A set
+   that has more of them than there are to spare is dealt anew under another salt, and sends these keys too: two sets
+   agree in a part that isn't empty if either of them has few enough empty ones, and if neither has, both go on to the
+   next salt. A set that has too many under all SALTS, which is next to none, sends its empty parts too. Keys that several leaders have are found by an exchange of
    sorted arrays. With parts to spare, two sets that link agree in more than one: a leader that has fewer keys in
    common with all others together links with none, and goes no further.
 3. A leader's group is the one of its shared keys that most leaders have: similar documents have it in common, so
@@ -41,6 +43,8 @@ from .components import components
 SHARE, TOKENS = 512, 1_500_000
 #: Leaders in a block of the exchange of keys, about.
 LEADERS = 2500
+#: Ways to deal a set that has too many empty parts. More of them make keys of empty parts rarer; none is lost with fewer.
+SALTS = 16
 _SHINGLE, _WHOLE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
@@ -102,30 +106,32 @@ class Bands:
         keys, whose = [], []
         counts = np.zeros((3, len(size)), np.int32)
         for i, (which, b) in enumerate(((own, band), (below, band - 1))):
-            sets = np.flatnonzero(which)
-            if not len(sets):
-                continue
-            parts, b = self.parts[b[sets]], b[sets]
-            base = np.cumsum(parts) - parts
-            token = tokens[np.repeat(which, size)]
-            owner = np.repeat(np.arange(len(sets)), size[sets])
-            salted = mix(token ^ (b[owner].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-            slot = base[owner] + ((salted >> np.uint64(32)) * parts[owner].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-            total = int(parts.sum())
-            sums = np.zeros(total, np.uint64)
-            np.add.at(sums, slot, mix(salted ^ np.uint64(0x94D049BB133111EB)))
-            empty = np.bincount(slot, minlength=total) == 0
-            owner = np.repeat(np.arange(len(sets)), parts)
-            empties = np.bincount(owner, weights=empty, minlength=len(sets)).astype(np.int64)
-            over = empties > self.spare[b]
-            # parts empty in both are no keys in common if either leaves them out, and as many as are to spare at most then
-            counts[i + 1, sets] = self.spare[b] + 1 - np.minimum(empties, self.spare[b])
-            place = (np.arange(total) - base[owner] + (b[owner] << 40)).astype(np.uint64)
-            keep = ~empty | over[owner]
-            if i == 0:
-                counts[0, sets] = np.bincount(owner[keep], minlength=len(sets))
-            keys.append(mix(sums + mix(place))[keep])
-            whose.append(sets[owner[keep]])
+            for salt in range(SALTS):
+                sets = np.flatnonzero(which)
+                if not len(sets):
+                    break
+                parts, spare, of = self.parts[b[sets]], self.spare[b[sets]], b[sets].astype(np.uint64)
+                base = np.cumsum(parts) - parts
+                owner = np.repeat(np.arange(len(sets)), size[sets])
+                salted = mix(tokens[np.repeat(which, size)] ^ ((of[owner] | np.uint64(salt << 48)) * np.uint64(0x9E3779B97F4A7C15)))
+                slot = base[owner] + ((salted >> np.uint64(32)) * parts[owner].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+                total = int(parts.sum())
+                sums = np.zeros(total, np.uint64)
+                np.add.at(sums, slot, mix(salted ^ np.uint64(0x94D049BB133111EB)))
+                empty = np.bincount(slot, minlength=total) == 0
+                owner = np.repeat(np.arange(len(sets)), parts)
+                empties = np.bincount(owner, weights=empty, minlength=len(sets)).astype(np.int64)
+                over = empties > spare
+                if salt == 0:  # parts empty in both are no keys in common, and as many as are to spare at most count as such
+                    counts[i + 1, sets] = spare + 1 - np.minimum(empties, spare)
+                place = np.arange(total).astype(np.uint64) - base[owner].astype(np.uint64) + (of[owner] << np.uint64(40)) + np.uint64(salt << 32)
+                keep = ~empty | (over[owner] & (salt == SALTS - 1))
+                if i == 0:
+                    counts[0, sets] += np.bincount(owner[keep], minlength=len(sets)).astype(np.int32)
+                keys.append(mix(sums + mix(place))[keep])
+                whose.append(sets[owner[keep]])
+                which = np.zeros(len(size), bool)
+                which[sets[over]] = True
         k, w = np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.int64), *whose])
         order = np.argsort(w, kind="stable")
         return k[order], np.searchsorted(w[order], np.arange(len(size) + 1)), counts
