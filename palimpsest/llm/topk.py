@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import decimal
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -17,7 +19,7 @@ GATHERED = 8
 TILE = 1024
 _EXACT = 2**53
 #: The cutoff of queries that have fewer than k entries.
-_NEVER = -(2.0**62)
+_NEVER = -np.inf
 
 
 def usable(vector: str = "embedding") -> Column:
@@ -34,16 +36,30 @@ def _scaled(vectors: pa.Array) -> np.ndarray:
     return out
 
 
-def _lists(queries: np.ndarray, rows: np.ndarray, m: int) -> list[np.ndarray]:
-    """Of each of m slices of the components, the partial scores (queries x rows), exactly."""
+def _lists(queries: np.ndarray, rows: np.ndarray, m: int, need: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of each of m slices of the components, the partial scores (queries x rows), exactly; and which rows they are of.
+
+    With need (a cutoff a query), a row is left out after the list from which on it can't reach the cutoff of any query:
+    by Cauchy and Schwarz the lists still to come add no more than the products of the lengths in them.
+    """
     d = max(queries.shape[1], rows.shape[1])
     pad = lambda x: np.pad(x, ((0, 0), (0, d - x.shape[1])))
     queries, rows = pad(queries), pad(rows)
+    of_query, of_row = (_lengths(queries, d, m), _lengths(rows, d, m)) if need is not None else (None, None)
     if np.abs(queries).max(initial=0) * np.abs(rows).max(initial=0) * max(d, 1) >= _EXACT:
         whole = np.vectorize(int, otypes=[object])
         queries, rows = (whole(x) if x.size else x.astype(object) for x in (queries, rows))
     edges = np.linspace(0, d, m + 1).astype(int)
-    return [queries[:, a:b] @ rows[:, a:b].T if b > a else np.zeros((len(queries), len(rows))) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    left, out = np.arange(len(rows)), []
+    for j, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        out.append(queries[:, a:b] @ rows[left, a:b].T if b > a else np.zeros((len(queries), len(left)), queries.dtype))
+        if need is not None and j < m - 1 and len(left):
+            with np.errstate(over="ignore", invalid="ignore"):
+                so_far, rest = sum(out).astype(np.float64), of_query[j + 1 :].T @ of_row[j + 1 :, left]
+                open_ = ~(so_far + rest + 1e-9 * (np.abs(so_far) + rest) + 1 < need).all(axis=0)  # what is no number counts as open
+            if not open_.all():
+                left, out = left[open_], [x[:, open_] for x in out]
+    return left, out
 
 
 def _best(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,12 +77,14 @@ def _tiles(batches, qv: np.ndarray, m: int, t: np.ndarray | None = None):
         ids, rows = batch.column(0).to_numpy(zero_copy_only=False), _scaled(batch.column(1))
         for i in range(0, len(ids), TILE):
             for j in range(0, len(qv), TILE):
-                q, own, r = qv[j : j + TILE], ids[i : i + TILE], rows[i : i + TILE]
+                q, own, r, need = qv[j : j + TILE], ids[i : i + TILE], rows[i : i + TILE], None
                 if t is not None and (t[j : j + TILE] > _NEVER).all():
-                    left = _open(q, r, t[j : j + TILE, None], m)
+                    need = t[j : j + TILE, None]
+                    left = _open(q, r, need, m)
                     own, r = own[left], r[left]
-                if len(own):
-                    yield j, own, _lists(q, r, m)
+                left, lists = _lists(q, r, m, need)
+                if len(left):
+                    yield j, own[left], lists
 
 
 @np.errstate(over="ignore", invalid="ignore")  # what overflows counts as open
@@ -86,26 +104,37 @@ def _open(queries: np.ndarray, rows: np.ndarray, need: np.ndarray, m: int) -> np
     return np.flatnonzero(~(bound + 1e-9 * np.abs(bound) + 1 < need.min()))  # what is no number counts as open
 
 
+_WIDE = pa.decimal128(38, 0)
+
+
 def _rows(q, ids, score) -> pa.RecordBatch:
-    low, high = -(2**63), 2**63 - 1
-    score = pa.array([min(max(int(x), low), high) for x in score], pa.int64()) if score.dtype == object else pa.array(score.astype(np.int64))
+    """Entries with their scores as decimals, which order right beyond a long too."""
+    most = 10**38 - 1
+    score = pa.array([decimal.Decimal(min(max(int(x), -most), most)) for x in score], _WIDE) if score.dtype == object else pa.array(score.astype(np.int64)).cast(_WIDE)
     return pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(ids.astype(np.int64)), score], names=["q", "vec_id", "score"])
 
 
+def _not_over(score: int) -> float:
+    """The largest double that isn't over a score; one that was clamped from below bounds nothing."""
+    near = float(score)
+    return _NEVER if score <= -(10**38 - 1) else float(np.nextafter(near, -np.inf)) if int(near) > score else near
+
+
 def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, m: int = 4) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of each query's k highest inner products of floor(256 * component).
 
     vectors: vec_id, embedding (array of float or double), and maybe more columns, not looked at. Candidates are all
     rows but those with the query's own vec_id; ties go to the smaller vec_id. Vectors null or with null or non-finite
     components, or without vec_id, take no part. Shorter vectors count as padded with zeros. Rows that repeat a vec_id
-    are candidates one by one; as a query only the least of their vectors counts. Scores beyond a long are clamped.
+    are candidates one by one; as a query only the least of their vectors counts. Scores beyond a long are shown as the
+    nearest one, in the order of what they are (up to 38 digits).
 
     The components are cut into m lists of partial scores. In rounds of ROUND queries: (1) every partition gathers, of one
     row in GATHERED by a hash of its id, the k entries with the highest partial score of each list; the k-th best of their
     totals is a sure lower bound t of the k-th best score, whichever rows it comes from. (2) An entry that scores t in all must have t / m in some list, so with t broadcast each
     partition, looking at every row, leaves out those that can't score t with any query of a tile (_open),
-    and collects just the entries that reach that cutoff in a list, and drops those whose upper bound (t / m for
-    lists they don't reach it in) is under t. (3) The others' missing lists are resolved to exact totals. A partition
+    list by list, and collects just the entries that reach that cutoff in a list, and drops those whose upper bound (t / m
+    for lists they don't reach it in) is under t. (3) The others are resolved to exact totals. A partition
     hands on its own k best of each query, so equal vectors, however many, cost no more rows.
     """
     spark = vectors.sparkSession
@@ -142,10 +171,10 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, m: int = 4) ->
             yield _rows(*have)
 
         some = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(GATHERED)) == 0)
-        found = some.mapInArrow(gather, "q int, vec_id long, score long")
+        found = some.mapInArrow(gather, "q int, vec_id long, score decimal(38,0)")
         bound = found.groupBy("q").agg(F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(k - 1)).alias("t")).where("t is not null").toArrow()
         cut = np.full(len(qid), _NEVER)
-        cut[bound["q"].to_numpy()] = bound["t"].to_numpy()
+        cut[bound["q"].to_numpy()] = [_not_over(int(x)) for x in bound["t"].to_pylist()]
         bounds = spark.sparkContext.broadcast(cut)
 
         def resolve(batches, sent=sent, bounds=bounds):
@@ -155,21 +184,21 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, m: int = 4) ->
             more: list = []
             for j, ids, lists in _tiles(batches, qv, m, t):
                 need = t[j : j + len(lists[0]), None]
-                share = np.ceil(need / m)
-                reach = [x >= share for x in lists]
-                upper = sum(np.where(y, x, share) for x, y in zip(lists, reach, strict=True))
-                q, at = np.nonzero(np.logical_or.reduce(reach) & (upper >= need) & (ids[None, :] != qid[j : j + len(need), None]))
+                share = np.ceil(need / m - np.abs(need) * 1e-12)  # a smaller share is as safe
+                reach = [(x >= share).astype(bool) for x in lists]
+                upper = sum(np.where(y, x, share) for x, y in zip(lists, reach, strict=True)).astype(np.float64)
+                q, at = np.nonzero(np.logical_or.reduce(reach) & (upper + 1e-9 * np.abs(upper) + 1 >= need) & (ids[None, :] != qid[j : j + len(need), None]))
                 total = sum(x[q, at] for x in lists)
-                ok = total >= need[q, 0]
+                ok = (total >= need[q, 0]).astype(bool)
                 more.append((q[ok] + j, ids[at[ok]], total[ok]))
                 if sum(len(x[0]) for x in more) > 200_000:
                     have, more = list(_best(*(np.concatenate(x) for x in zip(have, *more, strict=True)), k)), []
             yield _rows(*_best(*(np.concatenate(x) for x in zip(have, *more, strict=True)), k))
 
-        best = rows.mapInArrow(resolve, "q int, vec_id long, score long")
+        best = rows.mapInArrow(resolve, "q int, vec_id long, score decimal(38,0)")
         best = best.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
         name = spark.createDataFrame(pa.table({"q": pa.array(np.arange(len(qid)), pa.int32()), "query_id": pa.array(qid)}))
-        best = best.join(F.broadcast(name), "q").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        best = best.join(F.broadcast(name), "q").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.greatest(F.lit(-(2**63)), F.least(F.lit(2**63 - 1), "score")).cast("long").alias("score"))
         best = best if rounds == 1 else staged(best, "round")  # a round's plan ends here
         out = best if out is None else out.union(best)
     return out
