@@ -12,14 +12,15 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
     """Per row of docs: doc_id, n_lines, n_dropped, kept (text).
 
     A text is split at \\n; a null or empty one has one empty line. A line's key is the line without white space at both
-    ends and with A-Z lower-cased. A key of min_chars code points or more that is in min_docs rows or more loses all its
-    lines, except in the rows with the largest doc_id that holds it. Rows that repeat a doc_id count one by one, and each
-    loses its own lines; rows whose doc_id is null are returned as they are and count for nothing. Other columns are not
-    looked at.
+    ends and with A-Z lower-cased. A key of min_chars code points or more that is in min_docs documents or more loses all
+    its lines, except in the rows with the largest doc_id that holds it. Rows that repeat a doc_id are one document when
+    documents are counted, and each loses its own lines; rows whose doc_id is null are returned as they are and count for
+    nothing. Other columns are not looked at.
 
     Plan: a line becomes (128-bit hash of its key, position); sorting these within the row marks each key's first line
-    there. They are written as a table of one row a text, so that lines are hashed once. Counting rows per key needs one
-    shuffle with map-side sums, however hot the key. Keys over the threshold are written too, so that their size is
+    there. They are written as a table of one row a text, so that lines are hashed once. Counting documents per key needs
+    one shuffle with map-side sums, however hot the key; only the keys of rows that share a doc_id are made distinct
+    before, by that id. Keys over the threshold are written too, so that their size is
     known, and joined back to the lines: broadcast under Spark's limit, else by hash. They are unique, so a hot key makes
     only one side long, which the adaptive skew join splits. The texts are shuffled once, by doc_id and a hash of the
     text (rows equal in both lose the same lines), to meet the positions they lose and be put together again.
@@ -36,7 +37,10 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
     first = lambda x, i: ((i > 0) & (before(i, "h") == x["h"]) & (before(i, "g") == x["g"])).cast("int")
     keys = keys.select("doc_id", "own", F.explode(F.transform("k", lambda x, i: F.struct(x["h"].alias("h"), x["g"].alias("g"), x["at"].alias("at"), (1 - F.coalesce(first(x, i), F.lit(0))).alias("first")))).alias("k"))
     keys = keys.select("doc_id", "own", "k.*")
-    frequent = keys.groupBy("h", "g").agg(F.sum("first").alias("n"), F.max("doc_id").alias("holder")).where(F.col("n") >= min_docs)
+    again = staged(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    each = keys.where("first = 1").select("doc_id", "h", "g")
+    once = each.join(again, "doc_id", "left_anti").unionByName(each.join(again, "doc_id", "left_semi").distinct())
+    frequent = once.groupBy("h", "g").agg(F.count("*").alias("n"), F.max("doc_id").alias("holder")).where(F.col("n") >= min_docs)
     frequent = staged(frequent.select("h", "g", "holder"), "frequent")
     gone = keys.select("doc_id", "own", "h", "g", "at").join(frequent, ["h", "g"]).where("doc_id <> holder")
     gone = gone.groupBy("doc_id", "own").agg(F.collect_set("at").alias("gone"))
