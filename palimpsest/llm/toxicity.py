@@ -187,8 +187,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             told = pa.RecordBatch.from_arrays([batch.column("token"), batch.column("toxic"), pa.array(s)], names=["token", "toxic", "score"])
             yield told.filter(pa.array(s != 0))
 
-    # a token in fewer than three texts can't be sure of its sign; of the others all that tell the classes apart
-    told = counted.where("toxic + clean >= 3").mapInArrow(scored, "token string, toxic long, score double").toArrow()
+    # all that tell the classes apart, however rare: log_odds is 0 for those that chance may deal so
+    told = counted.mapInArrow(scored, "token string, toxic long, score double").toArrow()
     words = told["token"].to_pylist()
     scores = own_stems(dict(zip(words, told["score"].to_pylist(), strict=True)), dict(zip(words, told["toxic"].to_pylist(), strict=True)))
 
