@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import ipaddress
 import re
+import unicodedata
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -41,6 +43,29 @@ HEX = "0123456789abcdef"
 _CLASS = {c: a for a in ALPHABETS for c in a}
 
 
+@functools.cache
+def _alphabets() -> dict[tuple, str]:
+    """All other letters, marks and figures by script (the first word of their names), general category, plane and case."""
+    out: dict = {}
+    for c in map(chr, range(128, 0x33480)):
+        if c not in _CLASS and (kind := _kind(c)):
+            out.setdefault(kind, []).append(c)
+    return {k: "".join(v) for k, v in out.items()}
+
+
+def _kind(c: str) -> tuple | None:
+    """Script, category, plane, and whether the character has a partner of the other case."""
+    kind = unicodedata.category(c)
+    return (unicodedata.name(c, "other").split(" ")[0].split("-")[0], kind, ord(c) >> 16, c.upper() != c and c.upper().lower() == c) if kind[0] in "LM" or kind == "Nd" else None
+
+
+def class_of(c: str) -> str:
+    """The characters that may stand in a character's place; empty for signs and white space."""
+    if c in _CLASS or c.isascii():
+        return _CLASS.get(c, "")
+    return _alphabets().get(_kind(c), "")
+
+
 # --- keyed permutations ----------------------------------------------------------------------------------------------
 
 
@@ -53,20 +78,28 @@ def _round(key: bytes, tweak: str, i: int, x: int, size: int) -> int:
 
 
 def permuted(key: bytes, tweak: str, value: int, size: int, inside: Callable[[int], bool] = lambda x: True) -> int:
-    """A keyed permutation of 0..size-1, and of its members for which inside holds if it holds for value.
+    """A keyed permutation of 0..size-1, and of its members for which inside holds if it holds for value, that leaves none
+    in its place (of two or more).
 
-    An additive Feistel network on value = a + low * b; within the smallest such rectangle, and within inside, by walking
-    the cycle. Being a permutation, it gives different values different images: nothing has to be remembered.
+    An additive Feistel network on value = a + low * b deals the values of the smallest such rectangle a place in a row; a
+    value's image is the next in the row, as long as that is within size and inside. So all values are one cycle. Being a
+    permutation, it gives different values different images: nothing has to be remembered.
     """
     if size < 2:
         return value
     low = max(1, int(size**0.5)) if size < 2**52 else 1 << (size.bit_length() // 2)
     high = -(-size // low)
+    b, a = divmod(value, low)
+    for i in range(0, 8, 2):
+        a = (a + _round(key, tweak, i, b, low)) % low
+        b = (b + _round(key, tweak, i + 1, a, high)) % high
+    place = b * low + a
     while True:
-        b, a = divmod(value, low)
-        for i in range(0, 8, 2):
-            a = (a + _round(key, tweak, i, b, low)) % low
-            b = (b + _round(key, tweak, i + 1, a, high)) % high
+        place = (place + 1) % (low * high)
+        b, a = divmod(place, low)
+        for i in range(6, -2, -2):
+            b = (b - _round(key, tweak, i + 1, a, high)) % high
+            a = (a - _round(key, tweak, i, b, low)) % low
         value = b * low + a
         if value < size and inside(value):
             return value
@@ -74,7 +107,7 @@ def permuted(key: bytes, tweak: str, value: int, size: int, inside: Callable[[in
 
 def permuted_string(key: bytes, tweak: str, text: str, classes: list[str] | None = None) -> str:
     """Every character changes within its class (digits, letters of a case and script); all others stay."""
-    classes = classes or [_CLASS.get(c, "") for c in text]
+    classes = classes or [class_of(c) for c in text]
     value, size = 0, 1
     for c, a in zip(text, classes, strict=True):
         if a:
@@ -138,7 +171,8 @@ def _phone(text: str) -> str | None:
     if re.fullmatch(r"\+\d+\.\d+", text):  # a number with decimals
         return None
     d = _digits(text)
-    country = COUNTRY.match(d)[0] if text.startswith("+") else ""
+    d = d[2:] if text.startswith("00") else d
+    country = COUNTRY.match(d)[0] if text.startswith(("+", "00")) else ""
     return f"{country} {d[len(country) :]}" if 7 <= len(d) <= 15 and len(d) > len(country) + 3 else None
 
 
@@ -149,9 +183,17 @@ def _ip(text: str) -> str | None:
         return None
 
 
+#: Ranges of addresses within which an address stays (fixed).
+RANGES = [ipaddress.IPv4Network(n) for n in ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16", "100.64.0.0/10", "224.0.0.0/4", "192.0.2.0/24", "198.51.100.0/24", "203.0.113.0/24")]
+
+
 def _ip_surrogate(key: bytes, canon: str) -> str:
     own = ipaddress.IPv4Address(canon)
-    return str(ipaddress.IPv4Address(permuted(key, "ip", int(own), 2**32, lambda v: ipaddress.IPv4Address(v).is_global == own.is_global)))
+    if net := next((n for n in RANGES if own in n), None):
+        first = int(net.network_address)
+        return str(ipaddress.IPv4Address(first + permuted(key, f"ip|{net}", int(own) - first, net.num_addresses)))
+    kept = lambda a: a.is_global == own.is_global and not any(a in n for n in RANGES)
+    return str(ipaddress.IPv4Address(permuted(key, "ip", int(own), 2**32, lambda v: kept(ipaddress.IPv4Address(v)))))
 
 
 def _ip6(text: str) -> str | None:
@@ -180,6 +222,8 @@ def _iban_surrogate(key: bytes, canon: str) -> str:
 def _email_surrogate(key: bytes, canon: str) -> str:
     local, _, domain = canon.rpartition("@")
     host, _, top = domain.rpartition(".")
+    if not any(map(class_of, local)):  # signs alone have no others of their kind
+        local = hashlib.blake2b(canon.encode(), key=key, digest_size=6).hexdigest()
     return f"{permuted_string(key, 'local', local)}@{permuted_string(key, 'host', host)}.{top}"
 
 
@@ -200,8 +244,8 @@ def script(text: str) -> str:
 def _name(text: str) -> str | None:
     """gender|parts in lower case, initials with a dot; the gender is the first that a title tells."""
     head = _TITLES.match(text)
-    gender = next((g for t in re.findall(_TITLE, head[0]) for g, titles in TITLES.items() if g and t in titles), "")
-    parts = _parts(text, head.end())
+    gender = next((g for t in re.findall(_TITLE, head[0]) for g, titles in TITLES.items() if g and (t in titles or t in [x.upper() for x in titles])), "") if head else ""
+    parts = _parts(text, head.end() if head else 0)
     return f"{gender}|{' '.join(p for _, _, p in parts)}" if parts else None
 
 
@@ -265,8 +309,9 @@ def _coreferent(text: str, named: list) -> list:
     whole = {p: p.partition("|")[2].split() for p in seen}
     words: set = set()
     for a, b, _, _ in named:
-        own = [text[x:y] for x, y, p in _parts(text, _TITLES.match(text, a).end(), b) if not _initial(p) and p not in PARTICLES]
-        words.update(own, (w.upper() for w in own if len(w) > 2))
+        head = _TITLES.match(text, a)
+        own = [text[x:y] for x, y, p in _parts(text, head.end() if head else a, b) if not _initial(p) and p not in PARTICLES]
+        words.update(own, (w.upper() for w in own if len(w) > 2), (w.title() for w in own if len(w) > 2 and w.isupper()))
     longest = max(map(len, whole.values()))
     free, at = [], 0
     for a, b, _, _ in named:
@@ -338,12 +383,12 @@ def _name_place(form: str, canon: str, new: str) -> str:
 
 
 def _same_case(form: str, new: str) -> str:
-    return "".join(n.upper() if f.isupper() else n for f, n in zip(form, new, strict=True)) if len(form) == len(new) else new
+    return "".join(n.upper() if f.isupper() and len(n.upper()) == 1 else n for f, n in zip(form, new, strict=True)) if len(form) == len(new) else new
 
 
 #: Words within names that are not names themselves; they stay (fixed).
 PARTICLES = ("van", "von", "vom", "der", "den", "de", "del", "della", "di", "da", "dos", "das", "do", "du", "la", "le", "el", "al", "bin", "bint", "ibn", "ben", "af", "av", "zu", "zur", "zum", "ter", "ten", "фон", "де")
-_TITLE = "|".join(sorted((t for group in TITLES.values() for t in group), key=len, reverse=True))
+_TITLE = "|".join(sorted({x for group in TITLES.values() for t in group for x in (t, t.upper())}, key=lambda t: (-len(t), t)))
 _PARTICLE = "|".join(sorted(PARTICLES, key=len, reverse=True))
 #: White space within a name: a line may end in it, a paragraph not.
 _WS = r"(?:[^\S\r\n]+(?:\r?\n[^\S\r\n]*)?|\r?\n[^\S\r\n]*)"
@@ -357,9 +402,9 @@ _NAME = rf"(?:{_INITIALS}|(?:{_PARTICLE}){_WS})*{_CAP}(?!\w)"
 _RUN = re.compile(rf"(?<!\w){_NAME}(?:{_WS}{_NAME})*")
 _CALLED = r"(?i:\b(?:token|password|passwd|secret|api[_-]?key))"
 #: Tokens that their beginnings tell, which stay (fixed).
-_PREFIXES = r"AKIA|ASIA|gh[pousr]_|github_pat_|sk-(?:[a-z]+-)?|xox[abprs]-|glpat-|AIza"
+_PREFIXES = r"AKIA|ASIA|gh[pousr]_|github_pat_|sk-(?:[a-z]+-)?|xox[abprs]-|glpat-|AIza|eyJ"
 _PREFIX = re.compile(_PREFIXES)
-_TOKEN = r"(?:AKIA|ASIA)[0-9A-Z]{16}|(?:gh[pousr]_|github_pat_|sk-(?:[a-z]+-)?|xox[abprs]-|glpat-|AIza)[A-Za-z0-9_-]{20,}"
+_TOKEN = r"(?:AKIA|ASIA)[0-9A-Z]{16}|(?:gh[pousr]_|github_pat_|sk-(?:[a-z]+-)?|xox[abprs]-|glpat-|AIza)[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}"
 #: Kinds in the order in which they claim text: pattern (group 1 is the entity), canonical form, surrogate, place.
 KINDS: dict[str, tuple] = {
     "email": (re.compile(r"(?<![\w.%+-])([\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,})(?![\w@])"), str.lower, _email_surrogate, _same_case),
@@ -377,8 +422,8 @@ KINDS: dict[str, tuple] = {
     "iban": (re.compile(r"(?<![A-Za-z0-9])([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"), _iban, _iban_surrogate, lambda form, new: "".join(next(it) if c != " " else c for it in [iter(new)] for c in form)),
     "ip": (re.compile(r"(?<![\d.])(\d{1,3}(?:\.\d{1,3}){3})(?!\.?\d)"), _ip, _ip_surrogate, lambda form, new: new),
     "ip6": (re.compile(r"(?<![\w:.])((?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4})(?![\w:.]\w|:)"), _ip6, _ip6_surrogate, lambda form, new: new.upper() if form.isupper() else new),
-    "phone": (re.compile(r"(?<![\w+])(\+1(?:[ \xa0./-]?\(?\d\)?){10}(?![\w-])|\+\d(?:[ \xa0./-]?\(?\d\)?){6,14}|\(\d{3}\) ?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|\(?0\d{2,4}\)?[ /-]\d{3,4}[ -]\d{3,4})(?![\w-])"), _phone, _phone_surrogate, lambda form, new: poured(new, form)),
-    "ssn": (re.compile(r"(?<![\w-])(\d{3}-\d{2}-\d{4})(?![\w-])"), _digits, lambda key, d: permuted_string(key, "ssn", d), lambda form, new: poured(new, form)),
+    "phone": (re.compile(r"(?<![\w+])(\+1(?:[ \xa0./-]?\(?\d\)?){10}(?![\w-])|\+\d(?:[ \xa0./-]?\(?\d\)?){6,14}|\(\d{3}\) ?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|\d{3} \d{3} \d{4}|00[1-9](?:[ \xa0./-]?\d){8,13}|\(?0\d{2,4}\)?[ /-]\d{3,4}[ -]\d{3,4})(?![\w-])"), _phone, _phone_surrogate, lambda form, new: poured(("00" if form.startswith("00") else "") + new, form)),
+    "ssn": (re.compile(r"(?<![\w-])(\d{3}(?P<gap>[ -])\d{2}(?P=gap)\d{4})(?![\w-])"), _digits, lambda key, d: permuted_string(key, "ssn", d), lambda form, new: poured(new, form)),
     "card": (re.compile(r"(?<![\w.-])(\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])"), _card, _card_surrogate, lambda form, new: poured(new, form)),
     "name": (re.compile(rf"(?<!\w)((?:(?:{_TITLE})\.?{_WS})+{_NAME}(?:{_WS}{_NAME})*)"), _name, _name_surrogate, _name_place),
 }
@@ -394,7 +439,7 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     for kind, (pattern, canon, _, _) in KINDS.items():
         parts, at, hidden = [], 0, text
         for m in pattern.finditer(text):
-            a, b = m.span(m.lastindex)
+            a, b = m.span(next(i for i in range(1, len(m.groups()) + 1) if m[i] is not None))
             if (c := canon(text[a:b])) is not None:
                 found.append((a, b, kind, c))
                 parts += [text[at:a], "\0" * (b - a)]
@@ -402,12 +447,41 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
         if parts:  # what is claimed is hidden from the kinds that follow
             text = "".join([*parts, text[at:]])
     named = [x for x in found if x[2] == "name"]
+    if named:
+        named = sorted(named + _given_before(text, named))
     return sorted([x for x in found if x[2] != "name"] + _coreferent(hidden, named) if named else found)
 
 
+def _given_before(text: str, named: list) -> list:
+    """Untitled names of a family that a title names elsewhere in the text: given names right before it, within a sentence
+    (its first word is capitalised anyway), or known as such. text: with the titled names hidden."""
+    families = {c.rpartition("|")[2].split()[-1] for _, _, _, c in named}
+    known = {g.lower() for group in GIVEN.values() for g in group}
+    out = []
+    for m in _RUN.finditer(text):
+        found = _parts(text, *m.span())
+        for i, (_, end, p) in enumerate(found):
+            if p not in families or _initial(p) or not i:
+                continue
+            first = i
+            while first and not _initial(p) and found[first - 1][2] not in families and i - first < 3:
+                first -= 1
+            starts = not re.search(r"[^\s.!?:;\0\"'(-]\s*$", text[max(0, found[first][0] - 40) : found[first][0]])
+            if starts and found[first][2] not in known and not _initial(found[first][2]):
+                first += 1
+            if first < i and (not out or out[-1][1] <= found[first][0]):
+                gender = next((g for (_, g), names in GIVEN.items() if g and found[first][2] in map(str.lower, names)), "")
+                out.append((found[first][0], end, "name", f"{gender}|" + " ".join(x for _, _, x in found[first : i + 1])))
+    return out
+
+
 def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
     own = hashlib.blake2b(f"{kind}|{attempt}".encode(), key=key, digest_size=32).digest()
-    return _name_surrogate(own, canon, attempt) if kind == "name" else KINDS[kind][2](own, canon)
+    if kind == "name":
+        while (new := _name_surrogate(own, canon, attempt)).lower() == canon.partition("|")[2]:
+            attempt += 2
+        return new
+    return KINDS[kind][2](own, canon)
 
 
 def replaced(text: str, found: list, key: bytes, exceptions: dict) -> str:

@@ -1,13 +1,16 @@
 """Faults that reviews found, held against brute force."""
 
+import ipaddress
 import math
+import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import line_dedup, near_dup, topk, toxicity
+from palimpsest.llm import line_dedup, near_dup, pii, topk, toxicity
 
 
 def short_sets(n, seed, low=12, high=40):
@@ -104,3 +107,62 @@ def test_rare_words_count(spark):
     docs, labels = list(zip(ids, texts)), [(ids[i], int(i >= 3000)) for i in range(len(texts))]
     out = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
     assert any(k.startswith("zorg") and v > 0 for k, v in out.scores.items()), out.scores
+
+
+KEY = b"k" * 32
+
+
+def changed(text):
+    return pii.replaced(text, pii.entities(text), KEY, {})
+
+
+def test_addresses_of_any_script_change_whole():
+    rnd = random.Random(6)
+    pools = ["abcz09", "żółćęłŁ", "王小明", "مريم", "Петр", "한국어", "ñü", "αβ", "हिन्दी", "𠀀𠀁"]
+    seen = {}
+    for _ in range(3000):
+        local = "".join(rnd.choice(rnd.choice(pools)) for _ in range(rnd.randint(1, 6)))
+        text = f"{local}@{''.join(rnd.choice(rnd.choice(pools[:2])) for _ in range(rnd.randint(1, 5)))}.org"
+        found = pii.entities(text)
+        if not found or found[0][:2] != (0, len(text)):
+            continue
+        new = changed(text)
+        assert new != text and new.partition("@")[0] != local and new.endswith(".org") and len(new) == len(text)
+        for a, b in zip(text, new):
+            assert a == b or pii.class_of(a.lower()) == pii.class_of(b.lower()) != ""
+        assert seen.setdefault(new.lower(), text.lower()) == text.lower()  # different ones stay different
+    assert len(seen) > 1500
+
+
+def test_permutations_leave_nothing_in_its_place():
+    for size in (2, 3, 10, 37, 100):
+        made = [pii.permuted(KEY, "t", v, size) for v in range(size)]
+        assert sorted(made) == list(range(size)) and all(a != b for a, b in enumerate(made))
+        even = lambda v: v % 2 == 0
+        if size > 3:
+            some = [pii.permuted(KEY, "t", v, size, even) for v in range(0, size, 2)]
+            assert sorted(some) == list(range(0, size, 2)) and all(a != b for a, b in zip(range(0, size, 2), some))
+
+
+def test_addresses_stay_in_their_ranges():
+    for text in ("10.0.0.1", "192.168.1.7", "172.31.255.255", "127.0.0.1", "169.254.0.9", "8.8.8.8", "100.64.3.3"):
+        new = changed(text)
+        a, b = ipaddress.ip_address(text), ipaddress.ip_address(new)
+        assert new != text and (a.is_private, a.is_loopback, a.is_link_local, a.is_global) == (b.is_private, b.is_loopback, b.is_link_local, b.is_global)
+
+
+@pytest.mark.parametrize(
+    ("text", "gone"),
+    [
+        ("Mr JOHN SMITH; John Smith left", ["JOHN", "John", "Smith"]), ("Mr. Smith came. We met John Smith there.", ["John", "Smith"]), ("MR. John Smith", ["John", "Smith"]),
+        ("call 555 123 4567 now", ["555", "4567"]), ("call 00447911123456 now", ["7911123456"]), ("ssn 123 45 6789", ["123 45", "6789"]), ("Bearer eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.SflKxwRJSMeKKF2QT4", ["hbGciOiJ", "SflKxw"]),
+    ],
+)
+def test_mentions_and_forms_that_leaked(text, gone):
+    new = changed(text)
+    assert not [g for g in gone if g in new], new
+
+
+def test_one_number_in_two_forms_has_one_surrogate():
+    a, b = re.findall(r"\d{11,}", changed("00447911123456 and +447911123456"))
+    assert a == "00" + b or a.removeprefix("00") == b
