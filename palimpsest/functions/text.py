@@ -197,8 +197,29 @@ def fonts(df: DataFrame, key: str, text: str) -> DataFrame:
     return found.groupBy(key, F.lower("font").alias("low")).agg(F.min_by("font", "pos").alias("font")).select(key, "font")
 
 
+#: Bytes of texts that a flat fingerprint reads in one task at most.
+FLAT = 256 * 2**20
+
+
 def fingerprint(df: DataFrame, path: str, text: str) -> DataFrame:
-    """One row: SHA-256 over path, line end, text, line end of all files, by path."""
+    """One row: SHA-256 over path, line end, text, line end of all files, by path.
+
+    A digest over all texts one after another is made in one task, so their bytes are summed first: more than FLAT are an
+    error, for which there is tree_fingerprint.
+    """
+    total = df.agg(F.sum(F.octet_length(path).cast("long") + F.octet_length(text))).first()[0] or 0
+    if total > FLAT:
+        raise ValueError(f"{total} bytes are too many for one digest over all of them; tree_fingerprint takes any number")
     files = F.array_sort(F.collect_list(F.struct(F.col(path).alias("p"), F.col(text).alias("t"))))
     joined = F.array_join(F.transform(files, lambda f: F.concat(f["p"], F.lit("\n"), f["t"], F.lit("\n"))), "")
     return df.agg(F.sha2(joined.cast("binary"), 256).alias("fingerprint"))
+
+
+def tree_fingerprint(df: DataFrame, path: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(sections, whole): section, files, digest of each section (a path up to its first slash), and one row with the
+    digest over all sections. A text is digested where it is; what is gathered of a section is a digest for each of its
+    files, by path, and of the whole a digest for each section. Sections that differ tell where two trees do."""
+    files = df.select(F.split_part(path, F.lit("/"), F.lit(1)).alias("section"), F.col(path).alias("p"), F.sha2(F.concat(F.col(path), F.lit("\n"), F.col(text)).cast("binary"), 256).alias("d"))
+    over = lambda rows, item: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(rows)), item), "\n").cast("binary"), 256)
+    sections = files.groupBy("section").agg(F.count("*").alias("files"), over(F.struct("p", "d"), lambda x: F.concat(x["p"], F.lit(" "), x["d"])).alias("digest"))
+    return sections, sections.agg(over(F.struct("section", "digest"), lambda x: F.concat(x["section"], F.lit(" "), x["digest"])).alias("fingerprint"))

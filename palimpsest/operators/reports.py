@@ -98,6 +98,84 @@ def audit(rendered: DataFrame) -> DataFrame:
     return rendered.select("doc_id", F.size(marks).alias("n_left"), F.array_sort(F.array_distinct(marks)).alias("left")).where("n_left > 0")
 
 
+#: Keys of the entities that a template's data is read from; data is told apart (fixed).
+ENTITIES = X.ENTITY_KEYS
+
+
+def prose(docs: DataFrame) -> DataFrame:
+    """doc_id, line (from 1), chunk: the words of documents (doc_id, text) that a template must have as they are. A line is
+    cut where it has markers of fields and loops and where two blanks or more stand; pieces of less than four characters, and
+    blanks, full stops and commas at their ends, don't count, nor do lines with [[...]] blocks, whose text goes elsewhere."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    cut = rf"{X.FIELD}|(?<!\[)\[/?[A-Za-z_]\w*[/?]?\](?!\])|\s{{2,}}"
+    own = lines.where(~F.col("line").rlike(r"\[\[.*?\]\]"))
+    chunk = F.regexp_replace(F.col("chunk"), r"^[\s.,]+|[\s.,]+$", "")
+    return own.select("doc_id", (F.col("pos") + 1).alias("line"), F.explode(F.split("line", cut, -1)).alias("chunk")).select("doc_id", "line", chunk.alias("chunk")).where(F.length("chunk") >= 4)
+
+
+def coverage(docs: DataFrame, templates: DataFrame) -> DataFrame:
+    """doc_id, line, chunk, state of the words of docs (doc_id, text) in their templates (doc_id, text): there, moved (there,
+    but before what an earlier line has) or missing. White space and tags of the template don't count.
+
+    Both sides are sequences of chunks in order; the first place of each in the template's text must not go back.
+    """
+    flat = lambda c: F.regexp_replace(F.regexp_replace(c, "<[^>]+>", ""), r"\s+", " ")
+    both = prose(docs).join(templates.select("doc_id", flat(F.col("text")).alias("_flat")), "doc_id", "left")
+    at = F.coalesce(F.call_function("locate", F.regexp_replace("chunk", r"\s+", " "), F.col("_flat")), F.lit(0))
+    placed = both.select("doc_id", "line", "chunk", at.alias("_at"))
+    w = Window.partitionBy("doc_id").orderBy("line").rangeBetween(Window.unboundedPreceding, -1)
+    before = F.max(F.when(F.col("_at") > 0, F.col("_at"))).over(w)
+    return placed.select("doc_id", "line", "chunk", F.when(F.col("_at") == 0, "missing").when(F.col("_at") < F.coalesce(before, F.lit(0)), "moved").otherwise("there").alias("state"))
+
+
+def shape(templates: DataFrame, system: DataFrame) -> DataFrame:
+    """doc_id, problem, found: references of templates (doc_id, text) that their data can't answer: those without the key of
+    an entity (data.data.x, or a bare field of system (field)), and those of a key that is none."""
+    refs = templates.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\$\{?data\.([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)"), 1))).alias("ref"))
+    first, rest = F.split_part("ref", F.lit("."), F.lit(1)), F.col("ref").contains(".")
+    known = refs.withColumn("_first", first).join(system.select(F.col("field").alias("_first"), F.lit(True).alias("_own")).distinct(), "_first", "left")
+    problem = F.when((first == "data") & rest, "no entity").when(F.col("_own"), "no entity").when(rest & ~first.isin(*ENTITIES), "unknown entity")
+    return known.select("doc_id", problem.alias("problem"), F.col("ref").alias("found")).where("problem is not null")
+
+
+def stale(outputs: DataFrame, inputs: DataFrame) -> DataFrame:
+    """doc_id, inputs: outputs (doc_id, at) that are older than something they were made of (doc_id, name, at), and of what."""
+    late = inputs.withColumnRenamed("at", "_at").join(outputs, "doc_id").where("_at > at")
+    return late.groupBy("doc_id").agg(F.sort_array(F.collect_set("name")).alias("inputs"))
+
+
+def validation(docs: DataFrame, templates: DataFrame, blocks: DataFrame, system: DataFrame, inputs: DataFrame | None = None, configured: bool = True) -> DataFrame:
+    """One report of each template (doc_id, text, at): doc_id, n_checks, failures, notes (arrays of texts, sorted) and passed.
+
+    Checked are: markers left over, prose that is missing (docs: doc_id, text), blocks (doc_id, key) that the template
+    doesn't refer to, the shape of references, and inputs (doc_id, name, at) that are newer. What only a configuration can
+    answer (open references, shape) is a failure if there is one, else a note.
+    """
+    told = lambda df, kind, text: df.select("doc_id", F.lit(kind).alias("kind"), text.alias("said"))
+    marks = templates.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\$TBD_\w+(?:\.\w+)*|(?<!\[)\[(?:[A-Za-z_]\w*[/?]|/[A-Za-z_]\w*)\](?!\])|(?<!\$)\{[$+*]?[a-zA-Z_][a-zA-Z0-9_.]*\}|\$doc\.\w+)"), 1))).alias("mark"))
+    open_ = F.col("mark").startswith("$TBD_")
+    found = [
+        told(marks.where(open_), "config", F.concat(F.lit("open reference: "), "mark")),
+        told(marks.where(~open_), "author", F.concat(F.lit("marker left: "), "mark")),
+        told(shape(templates, system), "config", F.concat(F.lit("shape: "), "problem", F.lit(": "), "found")),
+        told(coverage(docs, templates).where("state = 'missing'"), "author", F.concat(F.lit("prose missing: "), "chunk")),
+    ]
+    refers = F.coalesce(F.contains(F.col("text"), F.concat(F.lit("${data."), "key", F.lit("}"))), F.lit(False))
+    found.append(told(blocks.join(templates.select("doc_id", "text"), "doc_id", "left").where(~refers), "author", F.concat(F.lit("no reference to block: "), "key")))
+    if inputs is not None:
+        found.append(told(stale(templates.select("doc_id", "at"), inputs), "author", F.concat(F.lit("older than: "), F.array_join("inputs", ", "))))
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    fails = (F.col("kind") == "author") | F.lit(configured)
+    of = lambda c: F.sort_array(F.collect_set(F.when(c, F.col("said"))))
+    per = every.groupBy("doc_id").agg(of(fails).alias("failures"), of(~fails).alias("notes"))
+    checks = prose(docs).select("doc_id").unionByName(blocks.select("doc_id")).groupBy("doc_id").agg(F.count("*").alias("_n"))
+    none = F.array().cast("array<string>")
+    out = templates.select("doc_id").join(per, "doc_id", "left").join(checks, "doc_id", "left")
+    return out.select("doc_id", (F.coalesce("_n", F.lit(0)) + 4).alias("n_checks"), F.coalesce("failures", none).alias("failures"), F.coalesce("notes", none).alias("notes"), (F.size(F.coalesce("failures", none)) == 0).alias("passed"))
+
+
 def fingerprint_gate(stored: DataFrame, actual: DataFrame, key: str, required: bool = False, stale: bool = False) -> DataFrame:
     """key, state of catalogues (key, fingerprint) against their configs (the same): match; skipped where the catalogue
     has none or there is no config, which fails if a check is required; fail where they differ, or stale if that is allowed."""
@@ -108,8 +186,9 @@ def fingerprint_gate(stored: DataFrame, actual: DataFrame, key: str, required: b
 
 
 def appended(existing: DataFrame, new: DataFrame, key: str = "leaf") -> DataFrame:
-    """existing as it is, and rows of new whose keys it lacks."""
-    fresh = new.dropDuplicates([key]).join(existing.select(key).distinct(), key, "left_anti")
+    """existing as it is, and of new the least row of each key that it lacks."""
+    first = new.groupBy(key).agg(F.min(F.struct(*[c for c in new.columns if c != key])).alias("_row")).select(key, "_row.*")
+    fresh = first.join(existing.select(key).distinct(), key, "left_anti")
     return existing.unionByName(fresh.select(*existing.columns))
 
 

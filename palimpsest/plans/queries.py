@@ -397,9 +397,24 @@ def catalog_terms(spark, sf_dir):
     return config_tree.terms(_configs(spark, sf_dir)).select("field", "display_name", "type", "path", F.array_join("options", ",").alias("options"))
 
 
-@query("catalog_fingerprint", "SELECT sha256(string_agg(url || chr(10) || coalesce(html, '') || chr(10), '' ORDER BY url, coalesce(html, ''))) AS fingerprint FROM pages WHERE url IS NOT NULL")
+_FILES = "SELECT coalesce(url, '') AS p, coalesce(html, '') AS t FROM pages"
+
+
+@query("catalog_fingerprint", f"SELECT sha256(string_agg(p || chr(10) || t || chr(10), '' ORDER BY p, t)) AS fingerprint FROM ({_FILES})")
 def catalog_fingerprint(spark, sf_dir):
-    return X.fingerprint(table(spark, sf_dir, "pages").where("url is not null").select("url", F.coalesce("html", F.lit("")).alias("html")), "url", "html")
+    return X.fingerprint(_files(spark, sf_dir), "p", "t")
+
+
+def _files(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select(F.coalesce("url", F.lit("")).alias("p"), F.coalesce("html", F.lit("")).alias("t"))
+
+
+@query("catalog_fingerprint_tree", f"""WITH f AS (SELECT split_part(p, '/', 1) AS section, p, sha256(p || chr(10) || t) AS d FROM (SELECT regexp_replace(p, '^[a-z]+://', '') AS p, t FROM ({_FILES}))), s AS (SELECT section, count(*) AS files, sha256(string_agg(p || ' ' || d, chr(10) ORDER BY p, d)) AS digest FROM f GROUP BY 1)
+ SELECT * FROM s UNION ALL SELECT '', (SELECT sum(files) FROM s)::BIGINT, sha256(string_agg(section || ' ' || digest, chr(10) ORDER BY section, digest)) FROM s""")
+def catalog_fingerprint_tree(spark, sf_dir):
+    """Digests by section (the host of a page), and over all of them under an empty name."""
+    sections, whole = X.tree_fingerprint(_files(spark, sf_dir).select(F.regexp_replace("p", "^[a-z]+://", "").alias("p"), "t"), "p", "t")
+    return sections.unionByName(whole.crossJoin(sections.agg(F.sum("files").alias("files"))).select(F.lit("").alias("section"), "files", F.col("fingerprint").alias("digest")))
 
 
 @query("catalog_markdown", _WITH + """, o AS (SELECT paths.*, CASE WHEN category = 'coverage_term' THEN t.options END AS options FROM paths LEFT JOIN term t ON category = 'coverage_term' AND t.ptype = paths.coverage AND lower(left(t.name, 1)) || substr(t.name, 2) = paths.field),
@@ -643,6 +658,38 @@ def block_wrapping(spark, sf_dir):
     return pages.guarded(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id"), F.expr(_OPEN).alias("html")))
 
 
+#: Documents, what was made of them, and what they were made of, with faults by the order's number. Spark's SQL would
+#: put variables for what begins with a dollar and a brace.
+_MADE = "SELECT o_orderkey AS doc_id, 'Dear {name}, your order ' || o_orderkey || '  is ' || lower(o_orderstatus) || '-marked.' || chr(10) || '[[ $clause ]] extra' || chr(10) || '[Item/] Priority ' || o_orderpriority || '  of {$date} [/Item]' || chr(10) || 'Sincerely yours' AS source, '<p>Dear ' || chr(36) || '{data.policy.name}, your <b>order</b>' || chr(10) || o_orderkey || ' is ' || lower(o_orderstatus) || '-marked</p>' || CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN '$TBD_x.y [Item/]' ELSE '' || chr(36) || '{data.clause}' END || '<i>Priority ' || CASE o_orderkey % 3 WHEN 0 THEN 'none' ELSE o_orderpriority END || '</i> of ' || CASE o_orderkey % 5 WHEN 0 THEN '$data.data.a' WHEN 1 THEN '' || chr(36) || '{data.number}' WHEN 2 THEN '$data.other.z' ELSE '$data.quote.q' END || ' Sincerely yours' AS made, o_orderdate AS at FROM orders"
+
+
+def _made(spark, sf_dir):
+    table(spark, sf_dir, "orders").createOrReplaceTempView("_made_orders")
+    return spark.sql(_MADE.replace("FROM orders", "FROM _made_orders"))
+
+
+@query("prose_coverage", f"""WITH m AS ({_MADE}), c AS (SELECT doc_id, made, 1 AS line, unnest(['Dear', 'your order ' || doc_id, 'is ' || regexp_extract(source, 'is ([a-z]-marked)', 1)]) AS chunk FROM m UNION ALL SELECT doc_id, made, 3, 'Priority ' || regexp_extract(source, 'Priority (.*?)  of', 1) FROM m UNION ALL SELECT doc_id, made, 4, 'Sincerely yours' FROM m)
+ SELECT doc_id, line, chunk, CASE WHEN contains(regexp_replace(regexp_replace(made, '<[^>]+>', '', 'g'), '\s+', ' ', 'g'), chunk) THEN 'there' ELSE 'missing' END AS state FROM c""")
+def prose_coverage(spark, sf_dir):
+    """Whether the words of a document are in the template made of it."""
+    made = _made(spark, sf_dir)
+    return reports.coverage(made.select("doc_id", F.col("source").alias("text")), made.select("doc_id", F.col("made").alias("text")))
+
+
+@query("template_validation", f"""WITH m AS ({_MADE}), n AS (SELECT c_custkey AS doc_id, c_custkey % 2 AS newer FROM customer)
+ SELECT m.doc_id, 10::BIGINT AS n_checks, concat_ws('; ', CASE WHEN doc_id % 4 = 1 THEN 'marker left: [Item/]' END, CASE WHEN doc_id % 4 < 2 THEN 'no reference to block: clause' END, CASE WHEN newer = 1 THEN 'older than: sheet' END, CASE WHEN doc_id % 3 = 0 THEN 'prose missing: Priority ' || regexp_extract(source, 'Priority (.*?)  of', 1) END) AS failures,
+ concat_ws('; ', CASE WHEN doc_id % 4 = 1 THEN 'open reference: $TBD_x.y' END, CASE doc_id % 5 WHEN 0 THEN 'shape: no entity: data.a' WHEN 1 THEN 'shape: no entity: number' WHEN 2 THEN 'shape: unknown entity: other.z' END) AS notes, doc_id % 4 >= 2 AND doc_id % 3 <> 0 AND coalesce(newer, 0) = 0 AS passed FROM m LEFT JOIN n USING (doc_id)""")
+def template_validation(spark, sf_dir):
+    """One report a template: what is wrong with it, and what a configuration has to answer."""
+    made = _made(spark, sf_dir)
+    inputs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit("sheet").alias("name"), F.expr("timestamp '1990-01-01' + make_interval(20 * (c_custkey % 2))").alias("at"))
+    out = reports.validation(
+        made.select("doc_id", F.col("source").alias("text")), made.select("doc_id", F.col("made").alias("text"), "at"), made.select("doc_id", F.lit("clause").alias("key")),
+        spark.createDataFrame([("number",)], "field string"), inputs, configured=False,
+    )
+    return out.withColumn("failures", F.array_join("failures", "; ")).withColumn("notes", F.array_join("notes", "; "))
+
+
 _CSS = "'p{font-family: ' || chr(39) || 'Open Sans' || chr(39) || ', Arial} h1{FONT-FAMILY:' || p_name || ' ,x} b{font-family:' || chr(34) || 'open sans' || chr(34) || '; } i{font-family: ' || p_type || '} u{font-family: ' || CASE p_size % 3 WHEN 0 THEN 'Lato' WHEN 1 THEN 'lato, serif' ELSE 'Times' END || '}'"
 
 
