@@ -658,6 +658,35 @@ def block_wrapping(spark, sf_dir):
     return pages.guarded(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id"), F.expr(_OPEN).alias("html")))
 
 
+def _pdf(spark, sf_dir):
+    """The characters of a page for every part: a heading, a few lines of three cells, and a line of text."""
+    line = lambda top, x, size, text: F.struct(top.cast("double").alias("top"), x.cast("double").alias("x"), F.lit(size).cast("double").alias("size"), text.alias("text"))
+    rows = F.flatten(F.transform(F.sequence(F.lit(0), F.col("p_size") % 4), lambda i: F.array(
+        line(30 + 12 * i, F.lit(40), 10, F.concat(F.lit("v"), i.cast("string"))), line(30 + 12 * i + F.lit(0.02), 200 + i % 2 * 4, 10, F.col("p_name")), line(30 + 12 * i, F.lit(480), 10, F.concat(F.col("p_type"), F.lit("<"), i.cast("string"))),
+    )))
+    lines = F.concat(F.array(line(F.lit(10), F.lit(40), 20, F.concat(F.lit("Part "), F.col("p_partkey").cast("string")))), rows, F.array(line(F.lit(200), F.lit(40), 10, F.concat(F.lit("End of "), F.col("p_name")))))
+    each = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.explode(lines).alias("l"))
+    chars = each.select("doc_id", F.lit(0).alias("page"), "l.top", "l.size", F.col("l.x").alias("x0"), F.posexplode(F.split("l.text", "")).alias("j", "char")).where("char <> ''")
+    return chars.select("doc_id", "page", "top", (F.col("x0") + F.col("j") * F.col("size") / 2).alias("x"), "size", "char")
+
+
+_ROWS = "SELECT p_partkey AS doc_id, p_size, p_name, p_type, unnest(range(0, p_size % 4 + 1))::INTEGER AS row FROM part"
+
+
+@query("pdf_tables", f"""SELECT doc_id, 0 AS page, 0 AS "table", row, cell, CASE cell WHEN 0 THEN 'v' || row WHEN 1 THEN p_name ELSE p_type || '<' || row END AS "text" FROM ({_ROWS}), (VALUES (0), (1), (2)) c(cell) WHERE p_size % 4 > 0""")
+def pdf_tables(spark, sf_dir):
+    """Tables told from text by the gaps between characters."""
+    return documents.pdf_tables(documents.pdf_cells(_pdf(spark, sf_dir))).drop("line")
+
+
+@query("pdf_html", f"""WITH t AS (SELECT doc_id, string_agg('  <tr><td>v' || row || '</td><td>' || p_name || '</td><td>' || p_type || '&lt;' || row || '</td></tr>', chr(10) ORDER BY row) AS rows FROM ({_ROWS}) WHERE p_size % 4 > 0 GROUP BY 1)
+ SELECT p_partkey AS doc_id, coalesce('<table>' || chr(10) || rows || chr(10) || '</table>' || chr(10), '') || '<h2>Part ' || p_partkey || '</h2>' || chr(10) || CASE WHEN rows IS NULL THEN '<p>v0' || p_name || p_type || '&lt;0</p>' || chr(10) ELSE '' END || '<p>End of ' || p_name || '</p>' AS html FROM part LEFT JOIN t ON doc_id = p_partkey""")
+def pdf_html(spark, sf_dir):
+    chars = _pdf(spark, sf_dir)
+    found = documents.pdf_tables(documents.pdf_cells(chars))
+    return documents.pdf_html(documents.pdf_lines(chars, found), found)
+
+
 #: Documents, what was made of them, and what they were made of, with faults by the order's number. Spark's SQL would
 #: put variables for what begins with a dollar and a brace.
 _MADE = "SELECT o_orderkey AS doc_id, 'Dear {name}, your order ' || o_orderkey || '  is ' || lower(o_orderstatus) || '-marked.' || chr(10) || '[[ $clause ]] extra' || chr(10) || '[Item/] Priority ' || o_orderpriority || '  of {$date} [/Item]' || chr(10) || 'Sincerely yours' AS source, '<p>Dear ' || chr(36) || '{data.policy.name}, your <b>order</b>' || chr(10) || o_orderkey || ' is ' || lower(o_orderstatus) || '-marked</p>' || CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN '$TBD_x.y [Item/]' ELSE '' || chr(36) || '{data.clause}' END || '<i>Priority ' || CASE o_orderkey % 3 WHEN 0 THEN 'none' ELSE o_orderpriority END || '</i> of ' || CASE o_orderkey % 5 WHEN 0 THEN '$data.data.a' WHEN 1 THEN '' || chr(36) || '{data.number}' WHEN 2 THEN '$data.other.z' ELSE '$data.quote.q' END || ' Sincerely yours' AS made, o_orderdate AS at FROM orders"

@@ -8,10 +8,11 @@ import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import html_escape
+from ..staging import cut
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -50,39 +51,99 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, "path string, ord int, tag string, text string")
 
 
-def pdf_lines(chars: DataFrame) -> DataFrame:
-    """Lines of (doc_id, page, top, x, size, char) as a PDF reader gives them: doc_id, page, line, text, tag (h2 if
-    higher than 1.2 times the page's mean line, else p)."""
+#: A gap between characters that parts two cells, and how far the beginnings of cells may lie apart in a column, in sizes
+#: of a character.
+GAP, ASIDE = 1.5, 1.0
+
+
+def pdf_cells(chars: DataFrame) -> DataFrame:
+    """Cells of (doc_id, page, top, x, size, char, and width, if there is one) as a PDF reader gives them: doc_id, page, line
+    (its top to a tenth), cell (from 0), x, text, size. A line is cut where a gap is wider than GAP sizes."""
+    wide = F.col("width") if "width" in chars.columns else F.col("size") * 0.5
+    placed = chars.withColumn("line", F.round("top", 1)).withColumn("_end", F.col("x") + wide)
+    w = Window.partitionBy("doc_id", "page", "line").orderBy("x", "char")
+    parts = placed.withColumn("_new", (F.col("x") - F.lag("_end").over(w) > GAP * F.col("size")).cast("int"))
+    parts = parts.withColumn("cell", F.coalesce(F.sum(F.coalesce("_new", F.lit(0))).over(w), F.lit(0)).cast("int"))
+    cells = parts.groupBy("doc_id", "page", "line", "cell").agg(F.min("x").alias("x"), F.array_sort(F.collect_list(F.struct("x", "char"))).alias("cs"), F.max("size").alias("size"))
+    cells = cells.select("doc_id", "page", "line", "x", F.trim(F.array_join(F.transform("cs", lambda c: c["char"]), "")).alias("text"), "size").where("text <> ''")
+    return cells.withColumn("cell", F.row_number().over(Window.partitionBy("doc_id", "page", "line").orderBy("x")) - 1).select("doc_id", "page", "line", "cell", "x", "text", "size")
+
+
+def pdf_tables(cells: DataFrame) -> DataFrame:
+    """The cells (see pdf_cells) that lie in tables: doc_id, page, table (from 0 on its page), line, row, cell, text.
+
+    A table is a run of two lines or more, one after another on the page, of as many cells (two at least), each of which
+    begins within ASIDE sizes of the one above it. A line that is in none is text.
+    """
+    lines = cells.groupBy("doc_id", "page", "line").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "x"))), lambda c: c["x"]).alias("xs"), F.max("size").alias("size"))
+    down = Window.partitionBy("doc_id", "page").orderBy("line")
+    above = lines.withColumn("_xs", F.lag("xs").over(down))
+    near = F.forall(F.zip_with("xs", "_xs", lambda a, b: F.abs(a - b)), lambda d: F.coalesce(d <= ASIDE * F.col("size"), F.lit(False)))
+    goes_on = (F.size("xs") >= 2) & F.coalesce(F.size("xs") == F.size("_xs"), F.lit(False)) & F.coalesce(near, F.lit(False))
+    runs = above.withColumn("_run", F.sum((~goes_on).cast("int")).over(down))
+    whole = Window.partitionBy("doc_id", "page", "_run")
+    rows = runs.withColumn("_n", F.count("*").over(whole)).where("_n > 1").withColumn("row", F.row_number().over(whole.orderBy("line")) - 1)
+    rows = rows.withColumn("table", F.dense_rank().over(Window.partitionBy("doc_id", "page").orderBy("_run")) - 1)
+    return cells.join(rows.select("doc_id", "page", "line", "table", "row"), ["doc_id", "page", "line"]).select("doc_id", "page", "table", "line", "row", "cell", "text")
+
+
+def pdf_lines(chars: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """Lines of (doc_id, page, top, x, size, char): doc_id, page, line, text, tag (h2 if higher than 1.2 times the page's
+    mean line, else p). Lines of tables (see pdf_tables) are left out."""
     lines = chars.groupBy("doc_id", "page", F.round("top", 1).alias("line")).agg(F.array_sort(F.collect_list(F.struct("x", "char"))).alias("cs"), F.max("size").alias("height"))
     lines = lines.select("doc_id", "page", "line", F.array_join(F.transform("cs", lambda c: c["char"]), "").alias("text"), "height")
     mean = lines.groupBy("doc_id", "page").agg(F.avg("height").alias("mean"))
     out = lines.join(mean, ["doc_id", "page"])
+    if tables is not None:
+        out = out.join(tables.select("doc_id", "page", "line").distinct(), ["doc_id", "page", "line"], "left_anti")
     return out.select("doc_id", "page", "line", "text", F.when(F.col("height") > 1.2 * F.col("mean"), "h2").otherwise("p").alias("tag"))
 
 
-def pdf_html(lines: DataFrame) -> DataFrame:
-    """doc_id, html of the lines of pdf_lines: a paragraph or heading a line, pages in order with a break between them."""
+def pdf_html(lines: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """doc_id, html of the lines of pdf_lines: of a page its tables first, then a paragraph or heading a line; pages in
+    order with a break between them."""
     text = F.concat(F.lit("<"), "tag", F.lit(">"), html_escape(F.trim("text")), F.lit("</"), "tag", F.lit(">"))
-    page = lines.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("line", text.alias("t")))).alias("ls"))
+    parts = lines.select("doc_id", "page", F.lit(1).alias("kind"), F.col("line").cast("double").alias("at"), text.alias("t"))
+    if tables is not None:
+        cell = F.concat(F.lit("<td>"), html_escape(F.trim("text")), F.lit("</td>"))
+        rows = tables.groupBy("doc_id", "page", "table", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cell", cell.alias("t")))), lambda c: c["t"]), "").alias("t"))
+        body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", F.concat(F.lit("  <tr>"), "t", F.lit("</tr>")).alias("t")))), lambda r: r["t"]), "\n")
+        made = rows.groupBy("doc_id", "page", "table").agg(F.concat(F.lit("<table>\n"), body, F.lit("\n</table>")).alias("t"))
+        parts = parts.unionByName(made.select("doc_id", "page", F.lit(0).alias("kind"), F.col("table").cast("double").alias("at"), "t"))
+    page = parts.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("kind", "at", "t"))).alias("ls"))
     page = page.select("doc_id", "page", F.array_join(F.transform("ls", lambda x: x["t"]), "\n").alias("t"))
     pages = F.array_sort(F.collect_list(F.struct("page", "t")))
     return page.groupBy("doc_id").agg(F.array_join(F.transform(pages, lambda x: x["t"]), "\n<!-- page break -->\n").alias("html"))
 
 
-def read_pdf(spark: SparkSession, path: str) -> DataFrame:
-    """As pdf_lines, of all .pdf files of a folder; needs a PDF reader (pdfplumber), which is imported on executors."""
+def pdf_chars(content: bytes):
+    """(page, top, x, size, width, char) of a PDF, as its reader (pdfplumber, where it is installed) tells them."""
+    import pdfplumber
 
-    def run(batches):
-        import pdfplumber
+    with pdfplumber.open(io.BytesIO(content)) as pdf:
+        for i, page in enumerate(pdf.pages):
+            for c in page.chars:
+                yield i, float(c["top"]), float(c["x0"]), float(c["size"]), float(c.get("x1", c["x0"] + c["size"] / 2)) - float(c["x0"]), c["text"]
+
+
+def read_pdf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(html, errors) of all .pdf files of a folder: doc_id, html with tables and lines; and doc_id, error of files that
+    can't be read. A file is read by one task; what follows is done by page and line."""
 
+    def run(batches):
         for batch in batches:
             for p, c in zip(batch["path"], batch["content"], strict=True):
-                with pdfplumber.open(io.BytesIO(bytes(c))) as pdf:
-                    for i, page in enumerate(pdf.pages):
-                        yield pd.DataFrame([(p, i, ch["top"], ch["x0"], ch["size"], ch["text"]) for ch in page.chars], columns=["doc_id", "page", "top", "x", "size", "char"])
+                try:
+                    rows, error = [(p, *x, None) for x in pdf_chars(bytes(c))], None
+                except Exception as e:  # noqa: BLE001  a reader's errors are of any kind
+                    rows, error = [], f"{type(e).__name__}: {e}"
+                yield pd.DataFrame(rows if error is None else [(p, None, None, None, None, None, None, error)], columns=["doc_id", "page", "top", "x", "size", "width", "char", "error"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).select("path", "content")
-    return pdf_lines(files.mapInPandas(run, "doc_id string, page int, top double, x double, size double, char string"))
+    read = cut(files.mapInPandas(run, "doc_id string, page int, top double, x double, size double, width double, char string, error string"))
+    chars = read.where("error is null").drop("error")
+    tables = pdf_tables(pdf_cells(chars))
+    return pdf_html(pdf_lines(chars, tables), tables), read.where("error is not null").select("doc_id", "error")
 
 
 def read_review_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StructType
 
 
 def rendered(records: DataFrame, render: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
@@ -15,22 +16,39 @@ def rendered(records: DataFrame, render: Callable[[DataFrame], DataFrame], path:
     return render(records).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def keep_new(rows: DataFrame, path: str, key: str, checkpoint: str, order: tuple[str, ...] = ()) -> StreamingQuery:
-    """Appends to a table the first row of each key that it lacks: of a batch's rows of a key the least in order, then in
-    all columns. A batch that is run again finds its keys there. Of the table only the keys are read."""
+class _First(StatefulProcessor):
+    """Of a key's rows the least of the first batch that has some; the state is that there was one."""
+
+    def __init__(self, columns: list[str], order: tuple[str, ...]):
+        self.columns, self.order = columns, [*order, *(c for c in columns if c not in order)]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "had boolean")
 
-    def add(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        rest = [c for c in batch.columns if c not in order]
-        fresh = batch.groupBy(key).agg(F.min(F.struct(*order, *rest)).alias("_row")).select("_row.*").select(*batch.columns)
-        have = spark.read.schema(batch.schema).parquet(path) if _exists(spark, path) else None
-        if have is not None:
-            fresh = fresh.join(have.select(key), key, "left_anti").select(*batch.columns)
-        fresh.write.mode("append").parquet(path)
+    def handleInputRows(self, key, rows, timers) -> Iterator[Row]:
+        # nulls come first, as they do in Spark's order
+        best = min(rows, key=lambda r: tuple((r[c] is not None, r[c] if r[c] is not None else 0) for c in self.order), default=None)
+        if not self.seen.exists() and best is not None:
+            self.seen.update((True,))
+            yield Row(**{c: best[c] for c in self.columns})
 
-    return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def handleInitialState(self, key, initial, timers) -> None:
+        self.seen.update((True,))
 
+    def close(self) -> None:
+        pass
 
-def _exists(spark, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+def keep_new(rows: DataFrame, path: str, key: str, checkpoint: str, order: tuple[str, ...] = (), have: DataFrame | None = None) -> StreamingQuery:
+    """Appends to a table the first row of each key that it lacks: of a batch's rows of a key the least in order, then in
+    all columns. The keys that were met are the stream's state, so the table is never read again, however large; have
+    (with the key) are those that it had before the stream first ran. A batch that is run again gives the same rows, which
+    the file sink writes once. Rows without a key are one key."""
+    spark = rows.sparkSession
+    store = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema: StructType = rows.schema
+    first = _First(rows.columns, order)
+    initial = None if have is None else have.select(key).distinct().groupBy(key)
+    new = rows.groupBy(key).transformWithState(first, schema, "append", "none", initialState=initial)
+    return new.select(*(F.col(c) for c in rows.columns)).writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -100,3 +100,110 @@ def test_older_forms_with_their_sheet(spark):
     form = spark.createDataFrame([(1, " $a ", "x == 1"), (2, "plain text", None), (3, "$b", None)], "id int, source string, condition string")
     sheet = spark.createDataFrame([("a", "x", "1"), ("a", "", "2"), ("c", "", "3")], "key string, when string, text string")
     assert {(r.source, r.key, r.n_rows, r.problem) for r in documents.with_sheet(form, sheet).collect()} == {(" $a ", "a", 2, None), ("$b", "b", 0, "no rows"), (None, "c", 1, "no block"), ("plain text", None, 0, None)}
+
+
+FAKE_READER = '''
+import json
+
+
+class Page:
+    def __init__(self, chars):
+        self.chars = chars
+
+
+class Document:
+    def __init__(self, pages):
+        self.pages = [Page(p) for p in pages]
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        pass
+
+
+def open(stream):
+    return Document(json.loads(stream.read()))
+'''
+
+
+def test_files_as_a_data_source(spark, tmp_path):
+    """A fake PDF reader, as none is installed: pages as JSON lists of characters."""
+    import json
+
+    from palimpsest.sources import documents, files
+
+    (tmp_path / "fake").mkdir()
+    (tmp_path / "fake" / "pdfplumber.py").write_text(FAKE_READER)
+    spark.sparkContext.addPyFile(str(tmp_path / "fake" / "pdfplumber.py"))
+    folder = tmp_path / "in"
+    (folder / "deep").mkdir(parents=True)
+    chars = lambda top, x, text, size=10: [{"top": top, "x0": x + i * 5, "x1": x + i * 5 + 5, "size": size, "text": c} for i, c in enumerate(text)]
+    page = chars(10, 10, "Head", 20) + [c for i in range(3) for c in chars(30 + 10 * i, 10, f"a{i}") + chars(30 + 10 * i, 100, f"b {i}")] + chars(90, 10, "the end")
+    (folder / "one.pdf").write_text(json.dumps([page, chars(5, 5, "next")]))
+    (folder / "bad.pdf").write_text("no pdf")
+    (folder / "deep" / "page.html").write_text("<h1>T</h1><p>a &amp; b</p>")
+    (folder / "broken.docx").write_text("no zip")
+    (folder / "other.txt").write_text("not looked at")
+    files.register(spark)
+    df = spark.read.format(files.NAME).load(str(folder))
+    assert df.rdd.getNumPartitions() == 4
+    got = {}
+    for r in df.collect():
+        got.setdefault(r.path.rpartition("/")[2], []).append((r.tag, r.text) if r.error is None else r.error.partition(":")[0])
+    assert got == {"one.pdf": [("p", "Head"), ("p", "a0b 0"), ("p", "a1b 1"), ("p", "a2b 2"), ("p", "the end"), ("p", "next")], "bad.pdf": ["JSONDecodeError"], "page.html": [("h1", "T"), ("p", "a & b")], "broken.docx": ["BadZipFile"]}
+    (tmp_path / "empty").mkdir()
+    assert spark.read.format(files.NAME).load(str(tmp_path / "empty")).count() == 0
+    html, errors = documents.read_pdf(spark, str(folder))
+    table = "<table>\n" + "\n".join(f"  <tr><td>a{i}</td><td>b {i}</td></tr>" for i in range(3)) + "\n</table>"
+    assert [r.html for r in html.collect()] == [f"{table}\n<h2>Head</h2>\n<p>the end</p>\n<!-- page break -->\n<p>next</p>"]
+    assert [r.error.partition(":")[0] for r in errors.collect()] == ["JSONDecodeError"]
+
+
+def test_tables_of_characters_by_brute_force(spark):
+    """Random pages of lines of cells: what a plain loop over sorted lines finds."""
+    import random
+
+    from palimpsest.sources import documents
+
+    rnd = random.Random(11)
+    rows, want = [], []
+    for doc in range(60):
+        lines, columns = [], [40.0]
+        for i in range(rnd.randint(1, 12)):
+            if rnd.random() < 0.3 or i == 0:
+                columns = [40.0 + 80 * k for k in range(rnd.randint(1, 3))]
+            lines.append((10.0 + 11 * i, [(x + rnd.choice([0, 3, -4, 14]) if k else x, rnd.choice("abcd") * rnd.randint(1, 5)) for k, x in enumerate(columns)]))
+        for top, cells in lines:
+            rows += [(doc, 0, top, x + 5 * j, 10.0, c) for x, text in cells for j, c in enumerate(text)]
+        runs = [[lines[0]]]
+        for a, b in zip(lines, lines[1:]):
+            same = len(a[1]) == len(b[1]) >= 2 and all(abs(p[0] - q[0]) <= 10 for p, q in zip(a[1], b[1]))
+            runs[-1].append(b) if same else runs.append([b])
+        found = [r for r in runs if len(r) > 1]
+        want += [(doc, t, i, k, text) for t, r in enumerate(found) for i, (_, cells) in enumerate(r) for k, (_, text) in enumerate(cells)]
+    chars = spark.createDataFrame(rows, "doc_id int, page int, top double, x double, size double, char string")
+    got = sorted((r.doc_id, r.table, r.row, r.cell, r.text) for r in documents.pdf_tables(documents.pdf_cells(chars)).collect())
+    assert got == sorted(want)
+
+
+def test_fingerprints_by_section(spark, monkeypatch):
+    import hashlib
+
+    import pytest
+
+    from palimpsest.functions import text as X
+
+    files = {"a/x.json": "1", "a/y.json": "2", "b/z.json": "3", "top": ""}
+    df = spark.createDataFrame(list(files.items()), "p string, t string")
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    section = {}
+    for p, t in sorted(files.items()):
+        section.setdefault(p.split("/")[0], []).append(f"{p} {sha(f'{p}\n{t}')}")
+    want = {k: sha("\n".join(v)) for k, v in section.items()}
+    sections, whole = X.tree_fingerprint(df, "p", "t")
+    assert {r.section: r.digest for r in sections.collect()} == want
+    assert whole.first().fingerprint == sha("\n".join(f"{k} {want[k]}" for k in sorted(want)))
+    monkeypatch.setattr(X, "FLAT", 10)
+    with pytest.raises(ValueError, match="too many"):
+        X.fingerprint(df, "p", "t")
