@@ -161,6 +161,34 @@ def fetch_problems(rows: DataFrame) -> DataFrame:
     return rows.select("*", problem.alias("problem"))
 
 
+#: Methods that no document may call, and those that a root has nothing for: what it lacks (fixed).
+BLOCKED = ("getQuote", "getSegment")
+LACKING = {
+    ("getPolicy", "quote"): "policy", ("getTermCharges", "quote"): "term", ("getTermSubsegmentSummaries", "quote"): "term", ("getTransaction", "quote"): "transaction", ("getTransactionPricing", "quote"): "transaction",
+    ("getSegmentDocuments", "quote"): "segment", ("getQuotePricing", "segment"): "quote", ("getQuoteUnderwritingFlags", "segment"): "quote",
+}
+
+
+def fetch_verdicts(rows: DataFrame, roots: list[str]) -> DataFrame:
+    """rows of entities to be fetched (key, method, arg, roots: null for all) in each of roots: status and reason.
+
+    blocked: the entity is the root's own, or another's that can't be fetched at all; unavailable: what it belongs to
+    doesn't exist yet, or not there; other_root: the row isn't for this root; else ok. A row with a problem of its own (see
+    fetch_problems) is invalid everywhere. roots is a fixed relation of four at most, so a row becomes four at most.
+    """
+    each = fetch_problems(rows).withColumn("root", F.explode(F.array(*map(F.lit, roots))))
+    lacks = X.lookup({f"{m}:{r}": what for (m, r), what in LACKING.items()}, F.concat_ws(":", "method", "root"))
+    status = (
+        F.when(F.col("problem") != "", "invalid").when(F.col("method").isin(*BLOCKED), "blocked").when(F.col("roots").isNotNull() & ~F.array_contains("roots", F.col("root")), "other_root").when(lacks.isNotNull(), "unavailable").otherwise("ok")
+    )
+    each = each.withColumn("status", status)
+    reason = (
+        F.when(F.col("status") == "invalid", F.col("problem")).when(F.col("status") == "blocked", F.concat("method", F.lit(" can't be fetched — next-action: delete-from-template")))
+        .when(F.col("status") == "unavailable", F.concat("method", F.lit(": a "), "root", F.lit(" has no "), lacks, F.lit(" — next-action: supply-from-plugin"))).otherwise("")
+    )
+    return each.withColumn("reason", reason).drop("problem")
+
+
 def coverage_map(paths: DataFrame, iterables: DataFrame) -> DataFrame:
     """name (of a coverage), exposure (the least that has it), list_method and iterator (empty if that doesn't repeat)."""
     first = paths.where("coverage is not null").groupBy(F.col("coverage").alias("name")).agg(F.min("exposure").alias("exposure"))

@@ -698,7 +698,7 @@ def _made(spark, sf_dir):
 
 
 @query("prose_coverage", f"""WITH m AS ({_MADE}), c AS (SELECT doc_id, made, 1 AS line, unnest(['Dear', 'your order ' || doc_id, 'is ' || regexp_extract(source, 'is ([a-z]-marked)', 1)]) AS chunk FROM m UNION ALL SELECT doc_id, made, 3, 'Priority ' || regexp_extract(source, 'Priority (.*?)  of', 1) FROM m UNION ALL SELECT doc_id, made, 4, 'Sincerely yours' FROM m)
- SELECT doc_id, line, chunk, CASE WHEN contains(regexp_replace(regexp_replace(made, '<[^>]+>', '', 'g'), '\s+', ' ', 'g'), chunk) THEN 'there' ELSE 'missing' END AS state FROM c""")
+ SELECT doc_id, line, chunk, CASE WHEN contains(regexp_replace(regexp_replace(made, '<[^>]+>', '', 'g'), '\\s+', ' ', 'g'), chunk) THEN 'there' ELSE 'missing' END AS state FROM c""")
 def prose_coverage(spark, sf_dir):
     """Whether the words of a document are in the template made of it."""
     made = _made(spark, sf_dir)
@@ -1095,7 +1095,58 @@ def candidate_derivation(spark, sf_dir):
     found = _catalogue(spark, sf_dir)
     schema = found.where("category = 'exposure_data'").select(F.col("exposure").alias("entity"), "field").union(found.where("category = 'policy_data'").select(F.lit("Multi"), "field"))
     words = spark.range(1, 26).select(F.concat(F.lit("size"), F.col("id") * 2).alias("field"), F.concat(F.lit("DIM"), F.col("id") * 2).alias("alias"))
-    return assembly.derived(asked, schema, found, config_tree.iterables(_configs(spark, sf_dir)), words)
+    return assembly.derived(asked, schema, found, config_tree.iterables(_configs(spark, sf_dir)), words).drop("reason")
+
+
+_QUOTED = "SELECT o_orderkey AS doc_id, CASE o_orderkey % 4 WHEN 0 THEN 'quote.data.term' || CAST(o_custkey % 9 AS STRING) WHEN 1 THEN 'Multi.term' || CAST(o_custkey % 9 AS STRING) WHEN 2 THEN 'quote.locator' ELSE 'plain' || CAST(o_custkey % 3 AS STRING) END AS name, CAST(NULL AS STRING) AS loop, CAST(NULL AS STRING) AS loop_hint FROM orders"
+
+
+@query("derivation_reasons", _WITH + f""", t AS (SELECT DISTINCT * FROM ({_QUOTED})), f AS (SELECT DISTINCT field FROM paths WHERE category = 'policy_data'), n AS (SELECT field, count(DISTINCT path) AS n, min(path) AS path FROM paths WHERE iterator IS NULL GROUP BY 1),
+ q AS (SELECT t.*, f.field AS quoted FROM t LEFT JOIN f ON 'quote.data.' || f.field = t.name), m AS (SELECT q.*, g.field AS own, n.n, n.path AS single FROM q LEFT JOIN f g ON 'Multi.' || g.field = q.name LEFT JOIN n ON n.field = g.field)
+ SELECT doc_id, name, CASE WHEN quoted IS NOT NULL THEN 'quote-accessor' WHEN NOT contains(name, '.') THEN 'old-format' WHEN own IS NOT NULL THEN 'exact' ELSE 'none' END AS step, CASE WHEN quoted IS NOT NULL THEN '$data.' || name WHEN n = 1 THEN single ELSE '' END AS path,
+ CASE WHEN quoted IS NOT NULL THEN 'exact quote accessor: $data.' || name WHEN NOT contains(name, '.') THEN name || ' has no dot: a name is Entity.field — next-action: fix-token' WHEN n = 1 THEN 'exact match: ' || single WHEN n > 1 THEN 'it has several paths — next-action: pick-one' ELSE split_part(name, '.', 1) || ' or its field is not in the schema — next-action: fix-token' END AS reason FROM m""")
+def derivation_reasons(spark, sf_dir):
+    """Names of quotes before all others, and why a name has its path or none."""
+    table(spark, sf_dir, "orders").createOrReplaceTempView("_quoted_orders")
+    asked = spark.sql(_QUOTED.replace("FROM orders", "FROM _quoted_orders"))
+    found = _catalogue(spark, sf_dir)
+    schema = found.where("category = 'policy_data'").select(F.lit("Multi").alias("entity"), "field")
+    return assembly.derived(asked, schema, found, config_tree.iterables(_configs(spark, sf_dir))).select("doc_id", "name", "step", "path", "reason")
+
+
+_METHODS = "CASE o_orderkey % 6 WHEN 0 THEN 'getPolicy' WHEN 1 THEN 'getQuote' WHEN 2 THEN 'getQuotePricing' WHEN 3 THEN 'getTransaction' WHEN 4 THEN 'getAccount' ELSE '' END"
+
+
+@query("fetch_verdicts", f"""WITH m AS (SELECT o_orderkey AS doc_id, {_METHODS} AS method, o_custkey % 3 AS c FROM orders), r AS (SELECT *, CASE WHEN method = '' THEN 'invalid' WHEN method = 'getQuote' THEN 'blocked' WHEN c = 0 AND root <> 'segment' THEN 'other_root' WHEN root = 'quote' AND method IN ('getPolicy', 'getTransaction') OR root = 'segment' AND method = 'getQuotePricing' THEN 'unavailable' ELSE 'ok' END AS status FROM m, (VALUES ('quote'), ('segment')) v(root))
+ SELECT doc_id, root, status, CASE status WHEN 'invalid' THEN '' WHEN 'blocked' THEN 'delete-from-template' WHEN 'unavailable' THEN 'supply-from-plugin' ELSE '' END AS action, CASE status WHEN 'invalid' THEN 'no method' WHEN 'blocked' THEN 'getQuote can' || chr(39) || 't be fetched' WHEN 'unavailable' THEN method || ': a ' || root || ' has no ' || CASE method WHEN 'getPolicy' THEN 'policy' WHEN 'getTransaction' THEN 'transaction' ELSE 'quote' END ELSE '' END AS why FROM r""")
+def fetch_verdicts(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_orderkey").alias("doc_id"), F.lit("k").alias("key"), F.expr(_METHODS).alias("method"), F.lit("a").alias("arg"), F.when(F.col("o_custkey") % 3 == 0, F.array(F.lit("segment"))).alias("roots"))
+    return resolve.fetch_verdicts(rows, ["quote", "segment"]).select("doc_id", "root", "status", X.next_action(F.col("reason")).alias("action"), X.without_next_action(F.col("reason")).alias("why"))
+
+
+#: Entries of forms out of lines of orders, with what is known of each.
+_ENTRIES = "SELECT l_orderkey AS doc_id, CASE WHEN l_linenumber % 4 = 3 THEN 'loop' ELSE 'field' END AS kind, 'f' || CAST(l_linenumber AS STRING) AS name, max(CASE WHEN l_linenumber % 2 = 0 THEN 'Label ' || CAST(l_linenumber AS STRING) END) AS label, max(CASE WHEN l_linenumber % 3 <> 0 THEN CAST(10 - l_linenumber AS INT) END) AS line, min(CASE l_returnflag WHEN 'R' THEN '' WHEN 'A' THEN 'UNRESOLVED: x' ELSE '$data.p' || CAST(l_linenumber AS STRING) END) AS data_source, 'high' AS confidence, 'why — next-action: supply-from-plugin' AS reason FROM lineitem GROUP BY l_orderkey, l_linenumber"
+
+
+@query("form_report", f"""WITH e AS (SELECT *, '$TBD_' || name AS token, CASE WHEN kind = 'field' AND name = 'f2' AND doc_id % 2 = 0 THEN 'delegated' WHEN data_source = '' OR data_source LIKE 'UNRESOLVED:%' THEN 'open' ELSE 'resolved' END AS place FROM ({_ENTRIES})),
+ r AS (SELECT doc_id, 1 AS section, 0 AS a, 'Lato' AS b, '- `Lato`' AS t FROM (SELECT o_orderkey AS doc_id FROM orders WHERE o_orderkey % 5 = 0)
+  UNION ALL SELECT o_orderkey, 2, 0, 'clause', '| `$doc.clause` | policy.status == ' || o_orderstatus || ' | ' || CASE WHEN o_orderkey % 2 = 0 THEN 'a ' || chr(92) || '|b' ELSE left(repeat('long ', 13), 60) || '…' END || ' |' FROM orders WHERE o_orderkey % 3 = 0
+  UNION ALL SELECT doc_id, 3, coalesce(line, 999999), name, '| ' || kind || ' | `' || token || '` | ' || coalesce(label, '') || ' | `' || data_source || '` | high |' FROM e WHERE place = 'resolved'
+  UNION ALL SELECT doc_id, 4, coalesce(line, 999999), name, '| `' || token || '` | ' || data_source || ' | k1, k2 |' FROM e WHERE place = 'delegated'
+  UNION ALL SELECT doc_id, 5, coalesce(line, 999999), name, '### `' || token || '`' || chr(10) || '- line: ' || coalesce(line::VARCHAR, '?') || ', ' || kind || chr(10) || CASE WHEN label IS NULL THEN '' ELSE '- label: ' || label || chr(10) END || '- next: supply-from-plugin' || chr(10) || '- note: why' || chr(10) || '> No path gives this value: the record' || chr(39) || 's maker has to supply it; then resolve again.' FROM e WHERE place = 'open'),
+ p AS (SELECT doc_id, section, count(*) AS n, '## ' || CASE section WHEN 1 THEN 'Fonts to supply' WHEN 2 THEN 'Blocks' WHEN 3 THEN 'Resolved' WHEN 4 THEN 'Left to the blocks' || chr(39) || ' maker' ELSE 'Open' END || ' (' || count(*) || ')' || chr(10) || chr(10) || CASE section WHEN 2 THEN '| Block | Condition | Text |' || chr(10) || '|---|---|---|' || chr(10) WHEN 3 THEN '| Kind | Reference | Label | Path | Confidence |' || chr(10) || '|---|---|---|---|---|' || chr(10) WHEN 4 THEN '| Reference | Path | Blocks |' || chr(10) || '|---|---|---|' || chr(10) ELSE '' END || string_agg(t, chr(10) ORDER BY a, b) AS t FROM r GROUP BY 1, 2),
+ w AS (SELECT o_orderkey AS doc_id, coalesce(sum(n) FILTER (WHERE section = 2), 0)::BIGINT AS blocks, coalesce(sum(n) FILTER (WHERE section = 3), 0)::BIGINT AS resolved, coalesce(sum(n) FILTER (WHERE section = 4), 0)::BIGINT AS delegated, coalesce(sum(n) FILTER (WHERE section = 5), 0)::BIGINT AS opened, string_agg(t, chr(10) || chr(10) ORDER BY section) AS body FROM orders LEFT JOIN p ON doc_id = o_orderkey GROUP BY 1),
+ s AS (SELECT *, CASE WHEN resolved + delegated + opened = 0 AND blocks = 0 THEN 'EMPTY' WHEN resolved + delegated + opened = 0 THEN 'CONDITIONAL-ONLY' WHEN opened = 0 THEN 'COMPLETE' WHEN resolved + delegated = 0 THEN 'BLOCKED' ELSE 'PARTIAL' END AS state FROM w)
+ SELECT doc_id, state, concat_ws(chr(10) || chr(10), '# Template ' || doc_id, state || ': ' || resolved || ' of ' || (resolved + delegated + opened) || ' resolved, ' || delegated || ' delegated, ' || opened || ' open, ' || blocks || ' blocks', body, '## Next', CASE WHEN opened > 0 THEN 'Set a source for each open reference and run the substitution again.' ELSE 'Nothing is open: review the template and deploy it.' END) AS "text" FROM s""")
+def form_report(spark, sf_dir):
+    """One report a form: fonts, blocks, what is resolved, left to others or open, and what to do next."""
+    table(spark, sf_dir, "lineitem").createOrReplaceTempView("_entry_lines")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_orderstatus")
+    entries = spark.sql(_ENTRIES.replace("FROM lineitem", "FROM _entry_lines"))
+    blocks = o.where("doc_id % 3 = 0").select("doc_id", F.lit("clause").alias("key"), F.concat(F.lit("policy.status == "), "o_orderstatus").alias("condition"), F.when(F.col("doc_id") % 2 == 0, "a |b").otherwise("long " * 13).alias("text"))
+    held = o.where("doc_id % 2 = 0").select("doc_id", F.lit("$TBD_f2").alias("token"), F.array(F.lit("k1"), F.lit("k2")).alias("blocks"))
+    return assembly.form_report(entries, blocks, held, o.where("doc_id % 5 = 0").select("doc_id", F.lit("Lato").alias("font")), o)
 
 
 @query("list_spec", _WITH + """, k AS (SELECT brand, ptype, list_sort(list('limit' || size)) AS fields FROM held JOIN limits USING (ptype) GROUP BY ALL), c AS (SELECT brand, count(*) AS n, string_agg(ptype || '=' || list_aggregate(fields, 'string_agg', '+'), ',' ORDER BY ptype) AS coverages FROM k GROUP BY 1)
