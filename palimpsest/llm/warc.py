@@ -131,6 +131,16 @@ def arc_records(stored: bytes) -> Iterator[dict]:
         yield record | {"version": version}
 
 
+def told(records: Iterator) -> Iterator[tuple]:
+    """(record, None) of each record, and (None, what is wrong) where a file can't be read any further: a truncated one, or
+    one that isn't what it should be. What came before it counts."""
+    try:
+        for record in records:
+            yield record, None
+    except (ValueError, KeyError, EOFError, OSError, zlib.error) as e:
+        yield None, f"{type(e).__name__}: {e}"
+
+
 def write_arc(pages: DataFrame, path: str, date: str = "20240101000000") -> None:
     """Writes pages (page_id, url, html) as gzipped ARC files, one a partition, versions 1 and 2 in turn."""
 
@@ -210,6 +220,12 @@ def _synthesised(record: dict, name: str, at: int) -> tuple:
     return quoted(record["url"]), record["ip"], when or NO_DATE, None if when else quoted(date), named and quoted(named), record_id, kind, mime, _page_id(head), sha1_base32(payload), len(payload), sha1_base32(block), head, payload
 
 
+def _broken(name: str, at: int, error: str) -> tuple:
+    """A metadata record in place of what can't be read of a file, which says why."""
+    said = error.encode()
+    return f"urn:archive:{quoted(name)}", None, NO_DATE, None, None, f"urn:uuid:{uuid.uuid5(_NAMES, f'{name}#{at}#{error}')}", "metadata", "text/plain", None, sha1_base32(said), len(said), sha1_base32(said), b"", said
+
+
 def archives(spark: SparkSession, path: str) -> DataFrame:
     """path and content of every archive file in a folder, in whichever store. A file is read by one task."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
@@ -219,6 +235,7 @@ def convert_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFr
     """A row per record of the ARC files in a folder, with the WARC fields synthesised (CONVERTED).
 
     Identifiers are name-based, so that a task run again gives the same ones. payloads=False leaves head and payload out.
+    Where a file can't be read any further, a metadata record says why, and the job goes on with the other files.
     """
     names = _names(CONVERTED)
 
@@ -226,8 +243,8 @@ def convert_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFr
         for batch in batches:
             for name, stored in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows, held = [], 0
-                for at, record in enumerate(arc_records(stored.as_py())):
-                    row = _synthesised(record, name.rpartition("/")[2], at)
+                for at, (record, error) in enumerate(told(arc_records(stored.as_py()))):
+                    row = _broken(name.rpartition("/")[2], at, error) if error else _synthesised(record, name.rpartition("/")[2], at)
                     rows.append(row if payloads else (*row[:-2], b"", b""))
                     held += len(row[-1]) if payloads else 100
                     if held > 4 << 20:
@@ -327,12 +344,29 @@ def _left_out(fields: dict, head: bytes) -> int | None:
     return int(fields["x-payload-length"]) if fields.get("x-payload-length", "").isdigit() else int(n[1]) if n else None
 
 
+def _row_of(fields: dict, block: bytes, check: bool) -> tuple | None:
+    """A record as a row (READ); None for kinds that have no page."""
+    kind = fields.get("warc-type")
+    if kind is None:
+        return None, None, None, "error", None, "a record without WARC-Type", fields.get("warc-record-id", "").strip("<>"), fields.get("warc-date")
+    if kind not in ("response", "resource", "revisit"):
+        return None
+    head, payload = split_http(block) or (b"", block)
+    digest = fields.get("warc-payload-digest", "").rpartition(":")[2] or (None if kind == "revisit" else sha1_base32(payload))
+    n = _left_out(fields, head or payload) if kind == "revisit" else len(payload)
+    page, record_id = fields.get("x-refers-to-page", ""), fields.get("warc-record-id", "").strip("<>")
+    if check and kind != "revisit" and sha1_base32(payload) != digest:
+        return _page_id(head), n, digest, "error", None, "payload and digest differ", record_id, fields.get("warc-date")
+    return _page_id(head), n, digest, kind, int(page) if re.fullmatch(r"-?\d+", page) else None, fields.get("warc-target-uri"), record_id, fields.get("warc-date")
+
+
 def read_warc(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
     """A row per response, resource and revisit record of the WARC files in a folder (READ).
 
     payload_bytes and payload_digest are those of the full payload, which a revisit leaves out: its length is in a field
     that this writer adds. In revisits of others it is that of the HTTP header they keep, or null if that has none. With
-    check, the digests of payloads that are there are computed anew and must agree.
+    check, the digests of payloads that are there are computed anew and must agree. A record that has no type, or a wrong
+    digest, and what can't be read of a file are rows of record_type error, with what is wrong as their target.
     """
     names = _names(READ)
 
@@ -340,17 +374,10 @@ def read_warc(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
         for batch in batches:
             for stored in batch.column(1):
                 rows = []
-                for fields, block in warc_records(stored.as_py()):
-                    kind = fields["warc-type"]
-                    if kind not in ("response", "resource", "revisit"):
-                        continue
-                    head, payload = split_http(block) or (b"", block)
-                    digest = fields.get("warc-payload-digest", "").rpartition(":")[2] or (None if kind == "revisit" else sha1_base32(payload))
-                    n = _left_out(fields, head or payload) if kind == "revisit" else len(payload)
-                    if check and kind != "revisit" and sha1_base32(payload) != digest:
-                        raise ValueError(f"payload and digest of {fields['warc-record-id']} differ")
-                    page = fields.get("x-refers-to-page")
-                    rows.append((_page_id(head), n, digest, kind, int(page) if page else None, fields.get("warc-target-uri"), fields["warc-record-id"].strip("<>"), fields["warc-date"]))
+                for found, error in told(warc_records(stored.as_py())):
+                    row = (None, None, None, "error", None, error, None, None) if error else _row_of(*found, check)
+                    if row:
+                        rows.append(row)
                     if len(rows) == 10_000:
                         yield _batch(rows, names)
                         rows = []

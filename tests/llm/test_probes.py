@@ -1,5 +1,6 @@
 """Faults that reviews found, held against brute force."""
 
+import gzip
 import ipaddress
 import math
 import random
@@ -166,3 +167,26 @@ def test_mentions_and_forms_that_leaked(text, gone):
 def test_one_number_in_two_forms_has_one_surrogate():
     a, b = re.findall(r"\d{11,}", changed("00447911123456 and +447911123456"))
     assert a == "00" + b or a.removeprefix("00") == b
+
+
+def test_bad_archives_are_error_rows(spark, tmp_path):
+    from palimpsest.llm import warc
+
+    good = warc.arc_opening(1, "x.arc", "20240101000000") + warc.arc_record(1, "x.arc", "http://a/", "0.0.0.0", "20240101000000", "text/html", b"HTTP/1.1 200 OK\r\nX-Page-Id: 7\r\n\r\nbody")
+    files = {"good": good, "cut": good[:-9], "odd": good + b"\nno header line\n", "bare": b"http://a/ 0.0.0.0 20240101000000 text/html 3\nabc\n", "empty": b"", "half.gz": gzip.compress(good)[:-12]}
+    (tmp_path / "arc").mkdir()
+    for name, stored in files.items():
+        (tmp_path / "arc" / name).write_bytes(stored)
+    warc.arc_to_warc(spark, f"file://{tmp_path}/arc", f"file://{tmp_path}/warc")
+    got = sorted((r.record_type, r.page_id) for r in warc.read_warc(spark, f"file://{tmp_path}/warc").collect())
+    # of the good record, in three files, one is the response
+    assert [g for g in got if g[0] != "revisit"] == [("response", 7)] and len(got) in (2, 3)
+    why = [r.type for r in warc.convert_arc(spark, f"file://{tmp_path}/arc").collect()]
+    assert why.count("metadata") == 4 and why.count("warcinfo") >= 3
+    record = lambda *fields, block=b"abc": b"WARC/1.1\r\n" + "".join(f"{f}\r\n" for f in fields).encode() + b"\r\n" + block + b"\r\n\r\n"
+    (tmp_path / "in").mkdir()
+    length, kind = "Content-Length: 3", "WARC-Type: resource"
+    (tmp_path / "in" / "a").write_bytes(record(length) + record(length, kind, "WARC-Payload-Digest: sha1:NO") + record(length, kind, "WARC-Record-ID: <urn:x>") + record(kind) + record(length, kind))
+    (tmp_path / "in" / "b").write_bytes(b"not a record")
+    got = sorted((r.record_type, r.target or "", r.record_id or "") for r in warc.read_warc(spark, f"file://{tmp_path}/in").collect())
+    assert [(a, b.partition(":")[0], c) for a, b, c in got] == [("error", "KeyError", ""), ("error", "ValueError", ""), ("error", "a record without WARC-Type", ""), ("error", "payload and digest differ", ""), ("resource", "", "urn:x")]
