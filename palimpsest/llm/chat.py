@@ -45,7 +45,8 @@ def chains(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def tree_paths(links: DataFrame, keep: int | None = None) -> DataFrame:
-    """tree_id, leaf, rank, score, pos (from 0 at the root), node, copies: the nodes of each chosen path from a root to a leaf.
+    """tree_id, leaf, rank, score, pos (from 0 at the root), node, copies: the nodes of each chosen path from a root to a leaf,
+    which leaf numbers.
 
     links: tree_id, node (unique), parent (null, or of no node: a root), score, copies. A leaf's path has the sum of its
     nodes' scores; a tree's leaves are ranked by it, from 1, ties by their keys, and the first keep (all, if None) are
@@ -57,33 +58,35 @@ def tree_paths(links: DataFrame, keep: int | None = None) -> DataFrame:
     down: of a stretch longer than 2^k nodes the upper part begins at that ancestor. Every join is by a unique key, so its
     rows are those of the paths, at most.
     """
-    links = staged(links.select("tree_id", "node", "parent", "score", "copies"), "links")
-    there = links.select(F.col("node").alias("parent"), F.lit(True).alias("_there"))
-    at = staged(links.join(there, "parent", "left").select("node", F.when(F.col("_there"), F.col("parent")).alias("up"), "score"), "up0")
+    # numbers instead of keys: rows of the joins are a few bytes; they are stable once they are written
+    links = staged(links.select("tree_id", "node", "parent", "score", "copies", F.monotonically_increasing_id().alias("id")), "links")
+    numbers = links.select(F.col("node").alias("parent"), F.col("id").alias("up"))
+    at = staged(links.join(numbers, "parent", "left").select("id", "up", "score"), "up0")
     # what still goes up, 2^k steps so far, and what has found its root
-    goes, most, levels = at.where("up is not null").select("node", "up", F.col("score").alias("sum")), links.count(), []
-    rooted = at.where("up is null").select("node", F.lit(0).cast("long").alias("steps"), "score")
+    goes, most, levels = at.where("up is not null").select("id", "up", F.col("score").alias("sum")), links.count(), []
+    rooted = at.where("up is null").select("id", F.lit(0).cast("long").alias("steps"), "score")
     while not goes.isEmpty() and (full := 1 << len(levels)) <= most:  # what goes on for longer goes round
         levels.append(goes)
-        both = staged(goes.join(goes.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("sum").alias("_sum")), "up", "left"), f"up{len(levels)}")
-        goes = both.where("_up is not null").select("node", F.col("_up").alias("up"), (F.col("sum") + F.col("_sum")).alias("sum"))
-        ends = both.where("_up is null").join(rooted.select(F.col("node").alias("up"), F.col("steps").alias("_steps"), F.col("score").alias("_score")), "up")
-        rooted = rooted.unionByName(staged(ends.select("node", (F.col("_steps") + full).alias("steps"), (F.col("sum") + F.col("_score")).alias("score")), "rooted"))
-    leaves = rooted.join(links.select(F.col("parent").alias("node")).where("node is not null"), "node", "left_anti")
-    leaves = leaves.join(links.select("node", "tree_id"), "node").select("tree_id", F.col("node").alias("leaf"), "steps", "score")
-    ranked = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("score"), "leaf")))
+        both = staged(goes.join(goes.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("sum").alias("_sum")), "up", "left"), f"up{len(levels)}")
+        goes = both.where("_up is not null").select("id", F.col("_up").alias("up"), (F.col("sum") + F.col("_sum")).alias("sum"))
+        ends = both.where("_up is null").join(rooted.select(F.col("id").alias("up"), F.col("steps").alias("_steps"), F.col("score").alias("_score")), "up")
+        rooted = rooted.unionByName(staged(ends.select("id", (F.col("_steps") + full).alias("steps"), (F.col("sum") + F.col("_score")).alias("score")), "rooted"))
+    leaves = rooted.join(at.select(F.col("up").alias("id")).where("id is not null"), "id", "left_anti")
+    leaves = leaves.join(links.select("id", "tree_id", "node"), "id")
+    ranked = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("score"), "node")))
     if keep is not None:
         ranked = ranked.where(F.col("rank") <= keep)
-    part = ranked.select("tree_id", "leaf", "rank", "score", F.col("leaf").alias("node"), F.col("steps").alias("pos"), (F.col("steps") + 1).alias("n"))
+    ranked = staged(ranked.select("tree_id", F.col("id").alias("leaf"), "rank", "score", "steps"), "chosen")
+    part = ranked.select("leaf", F.col("leaf").alias("id"), F.col("steps").alias("pos"), (F.col("steps") + 1).alias("n"))
     for k in reversed(range(len(levels))):
         full = 1 << k
-        up = levels[k].select("node", F.col("up").alias("_up"))
-        whole = F.struct("node", "pos", "n")
-        lower = F.struct("node", "pos", F.lit(full).cast("long").alias("n"))
-        upper = F.struct(F.col("_up").alias("node"), (F.col("pos") - full).alias("pos"), (F.col("n") - full).alias("n"))
-        split = part.join(up, "node", "left").select("tree_id", "leaf", "rank", "score", F.explode(F.when(F.col("n") > full, F.array(lower, upper)).otherwise(F.array(whole))).alias("x"))
-        part = split.select("tree_id", "leaf", "rank", "score", "x.*")
-    return part.join(links.select("node", "copies"), "node").select("tree_id", "leaf", "rank", "score", "pos", "node", "copies")
+        up = levels[k].select("id", F.col("up").alias("_up"))
+        whole = F.struct("id", "pos", "n")
+        lower = F.struct("id", "pos", F.lit(full).cast("long").alias("n"))
+        upper = F.struct(F.col("_up").alias("id"), (F.col("pos") - full).alias("pos"), (F.col("n") - full).alias("n"))
+        split = part.join(up, "id", "left").select("leaf", F.explode(F.when(F.col("n") > full, F.array(lower, upper)).otherwise(F.array(whole))).alias("x"))
+        part = split.select("leaf", "x.*")
+    return part.join(links.select("id", "node", "copies"), "id").join(ranked.drop("steps"), "leaf").select("tree_id", "leaf", "rank", "score", "pos", "node", "copies")
 
 
 def escaped(text: Column, control: tuple[str, ...] = CONTROL) -> Column:
@@ -145,7 +148,7 @@ def read_back(pieces: DataFrame) -> DataFrame:
     The digests run on through a conversation, so its pieces meet in one task, sorted, and none is held but the one at
     hand: memory doesn't grow with a conversation's length.
     """
-    ddl = "tree_id long, leaf string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    ddl = "tree_id long, leaf long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
     @lean
     def run(batches):
@@ -176,7 +179,7 @@ def read_back(pieces: DataFrame) -> DataFrame:
         return [s[0], s[1], s[2], s[3].hexdigest(), s[4], s[5].hexdigest(), s[6]]
 
     def table(rows):
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in ddl.split(", ")])
 
     ordered = pieces.repartition("leaf").sortWithinPartitions("leaf", "pos")
