@@ -216,10 +216,10 @@ def fingerprint(df: DataFrame, path: str, text: str) -> DataFrame:
 
 
 def tree_fingerprint(df: DataFrame, path: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(sections, whole): section, files, digest of each section (a path up to its first slash), and one row with the
-    digest over all sections. A text is digested where it is; what is gathered of a section is a digest for each of its
+    """(sections, whole): section, files, digest of each section (a path up to its first slash), and one row of files and
+    fingerprint, the digest over all sections. A text is digested where it is; what is gathered of a section is a digest for each of its
     files, by path, and of the whole a digest for each section. Sections that differ tell where two trees do."""
     files = df.select(F.split_part(path, F.lit("/"), F.lit(1)).alias("section"), F.col(path).alias("p"), F.sha2(F.concat(F.col(path), F.lit("\n"), F.col(text)).cast("binary"), 256).alias("d"))
     over = lambda rows, item: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(rows)), item), "\n").cast("binary"), 256)
     sections = files.groupBy("section").agg(F.count("*").alias("files"), over(F.struct("p", "d"), lambda x: F.concat(x["p"], F.lit(" "), x["d"])).alias("digest"))
-    return sections, sections.agg(over(F.struct("section", "digest"), lambda x: F.concat(x["section"], F.lit(" "), x["digest"])).alias("fingerprint"))
+    return sections, sections.agg(F.sum("files").alias("files"), over(F.struct("section", "digest"), lambda x: F.concat(x["section"], F.lit(" "), x["digest"])).alias("fingerprint"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..staging import cut
 
 #: What optional values are guarded in, and what is fragile if it holds one variable alone (fixed).
 BLOCKS = ("p", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "div", "section")
@@ -80,10 +81,11 @@ def column_headers(nodes: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def context(nodes: DataFrame, key: str = "page_id") -> DataFrame:
-    """Texts with what names them: key, ord (among the page's texts), node, line, tag (of the element they are in), text,
+    """Texts with what names them (nodes are read several times, so they should be a table): key, ord (among the page's texts), node, line, tag (of the element they are in), text,
     heading (the text of the last one that begins before), label (of the nearest node before it beside the text, or else
     beside one of the LEVELS elements around it, the innermost first), header (of the table column), parent (tag around tag)."""
-    marked = siblings(nodes, key).withColumn("heading", _before(F.when(F.col("tag").isin(*HEADINGS), F.col("words")), key))
+    # dealt by page once: windows over siblings and over whole pages need no other order of pages
+    marked = siblings(nodes.repartition(key), key).withColumn("heading", _before(F.when(F.col("tag").isin(*HEADINGS), F.col("words")), key))
     texts = marked.where("text is not null").withColumn("ord", F.row_number().over(Window.partitionBy(key).orderBy("node")) - 1)
     around = F.reverse(F.slice("up", F.greatest(F.size("up") - LEVELS + 1, F.lit(1)), LEVELS))
     asked = texts.where("beside is null").select(key, "node", F.posexplode(F.transform(around, lambda u: u["node"])).alias("level", "at"))
@@ -155,7 +157,7 @@ def guards(nodes: DataFrame, key: str = "page_id") -> DataFrame:
 
 def guarded(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """key, html, n_guards: pages with #if($TBD_x and ..) and #end put around the elements that guards names."""
-    found = guards(tree(pages, key, html), key)
+    found = guards(cut(tree(pages, key, html)), key)
     test = F.array_join(F.transform("names", lambda n: F.concat(F.lit("$TBD_"), n)), " and ")
     # at one place an element that ends is closed before another begins, the inner before the outer, and opened the other way round
     edits = found.select(key, F.explode(F.array(

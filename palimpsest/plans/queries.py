@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import conditions as C
 from ..operators import assembly, graph, marks, nested, pages, reports, resolve, templates, tokens, types, variants
 from ..sources import config_tree, contracts, documents, sinks
+from ..staging import cut
 from . import derived
 from .records import MONEY, category, charges, items, policies, records, table
 
@@ -414,7 +415,7 @@ def _files(spark, sf_dir):
 def catalog_fingerprint_tree(spark, sf_dir):
     """Digests by section (the host of a page), and over all of them under an empty name."""
     sections, whole = X.tree_fingerprint(_files(spark, sf_dir).select(F.regexp_replace("p", "^[a-z]+://", "").alias("p"), "t"), "p", "t")
-    return sections.unionByName(whole.crossJoin(sections.agg(F.sum("files").alias("files"))).select(F.lit("").alias("section"), "files", F.col("fingerprint").alias("digest")))
+    return sections.unionByName(whole.select(F.lit("").alias("section"), "files", F.col("fingerprint").alias("digest")))
 
 
 @query("catalog_markdown", _WITH + """, o AS (SELECT paths.*, CASE WHEN category = 'coverage_term' THEN t.options END AS options FROM paths LEFT JOIN term t ON category = 'coverage_term' AND t.ptype = paths.coverage AND lower(left(t.name, 1)) || substr(t.name, 2) = paths.field),
@@ -628,7 +629,7 @@ def _tree_sql(pages: str) -> str:
  FROM marked m LEFT JOIN near USING (page_id, node) WHERE m.kind = 'text'""")
 def html_context(spark, sf_dir):
     """What names each text of a page. The tables' pages have no tables; tests hold column headers against brute force."""
-    found = pages.context(pages.tree(table(spark, sf_dir, "pages")))
+    found = pages.context(cut(pages.tree(table(spark, sf_dir, "pages"))))
     return found.withColumn("tag", F.coalesce("tag", F.lit("")))
 
 
@@ -642,7 +643,7 @@ _PAGE = "'<h2>' || o_orderpriority || '</h2><div>' || CASE o_orderkey % 6 WHEN 0
  UNION ALL SELECT page_id, line, 'loose list item', label FROM marked WHERE tag = 'li' AND NOT list_has_any(uptags, ['ul', 'ol'])""")
 def page_findings(spark, sf_dir):
     made = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id"), F.expr(_PAGE).alias("html"))
-    return pages.findings(pages.tree(made))
+    return pages.findings(cut(pages.tree(made)))
 
 
 #: Pages with open references, and what has to stand around their elements.
