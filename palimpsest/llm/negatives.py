@@ -80,7 +80,7 @@ def inverted_lists(vectors: DataFrame, lists: int | None = None) -> Index:
     vectors = staged(vectors, "vectors")
     n, d, most = vectors.agg(F.count("*"), F.max(F.size("x")), F.max(F.array_max(F.transform("x", F.abs)))).first()
     if not n:
-        return Index(vectors.withColumn("list", F.lit(0)), np.zeros((1, 0)), np.zeros(1), 0, 0.0)
+        return Index(vectors.withColumn("list", F.lit(0)), np.zeros((1, 1)), np.zeros(1), 1, 0.0)
     some = vectors.where(F.pmod(F.xxhash64("x"), F.lit(max(1, n // (SAMPLE // 2)))) == 0).select("x").distinct().limit(SAMPLE).toArrow()
     sample = _matrix(some["x"].combine_chunks(), d) if len(some) else np.zeros((1, d))
     c = centroids(sample, lists or int(min(LISTS, max(1, n // LIST_ROWS))))
@@ -228,7 +228,7 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, positives: int = 5, k:
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "embedding", is_anchor.alias("_asked"))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable())
-    d = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
+    d = max(1, rows.agg(F.max(F.size("embedding"))).first()[0] or 0)
     x = F.concat(F.transform("embedding", scaled), F.array_repeat(F.lit(0.0), F.lit(d) - F.size("embedding")))
     rows = rows.select("vec_id", "label", x.alias("x"), "_asked")
     index = inverted_lists(rows.select("vec_id", "label", "x"), lists)

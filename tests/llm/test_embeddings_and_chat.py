@@ -234,6 +234,8 @@ def test_hard_negatives_edges(spark):
     more = rows + [(10, [3.0, 1.0, 1.0], 0), (10, [3.0, 1.0, 1.0], 0), (5, [1.0, 2.0, 0.5], 1), (61, [1.0], 2), (62, [], 1)]
     assert mined(extra(more)) == brute(more, lambda i: i % 10 == 0)
     assert mined(extra([])) == [] and mined(extra(bad)) == [] and mined(extra(rows[:1])) == []
+    blank = [(i, [], i % 2) for i in range(25)]
+    assert mined(extra(blank)) == brute(blank, lambda i: i % 10 == 0) and mined(extra(blank))
     # products beyond 2^53 are exact
     large = [(i, [94_906_267.0 / 256 + i % 5, 94_906_267.0 / 256 - (i * i) % 7], i % 2) for i in range(30)]
     assert mined(extra(large)) == brute(large, lambda i: i % 10 == 0)
