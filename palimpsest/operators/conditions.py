@@ -269,14 +269,16 @@ def checked(written: DataFrame, schema: T.StructType, scope: str | None = None,
     """written with readable, and problems (what is wrong, empty if nothing) of each condition text over records of a schema."""
     ddl = T.StructType([*written.schema.fields, T.StructField("readable", T.BooleanType()), T.StructField("problems", T.ArrayType(T.StringType()))])
 
+    def judged(text):
+        try:
+            return True, check(parse(text), schema, scope)
+        except ConditionError as e:
+            return False, [str(e)]
+
     def run(batches):
         for batch in batches:
-            told = []
-            for text in batch[column]:
-                try:
-                    told.append((True, check(parse(text), schema, scope)))
-                except ConditionError as e:
-                    told.append((False, [str(e)]))
+            known = {text: judged(text) for text in batch[column].unique()}  # sheets repeat their conditions
+            told = [known[text] for text in batch[column]]
             yield batch.assign(readable=[r for r, _ in told], problems=[p for _, p in told])
 
     return written.mapInPandas(run, ddl)

@@ -40,8 +40,7 @@ def assembled(text: str, values: Mapping[str, str], registered: Set[str], direct
     at = 0
     for m in MARKS.finditer(text):
         out.append(text[at : m.start()])
-        at, token = m.end(), m[0]
-        kind = next(k for k in ("named", "open", "close", "guard", "when", "loop", "other", "end", "field", "ref", "bare") if m[k] is not None)
+        at, token, kind = m.end(), m[0], m.lastgroup  # of groups within each other the outer one closes last
         if kind == "named":
             token = f"${{data.{m['said'] or m['own']}}}"
         elif kind == "open":

@@ -349,9 +349,8 @@ _WITH = "WITH " + derived.CATALOGUE
 
 
 def _configs(spark, sf_dir):
-    """The configuration as its few files' texts (one a brand, one a type, and some fixed ones): read once, not by every branch."""
-    files = [tuple(r) for r in derived.config_files(spark, sf_dir).collect()]
-    return config_tree.configs(spark.createDataFrame(files, "rel string, text string"))
+    """The configuration, written once and not derived by every branch that reads it."""
+    return config_tree.configs(cut(derived.config_files(spark, sf_dir)))
 
 
 def _catalogue(spark, sf_dir):

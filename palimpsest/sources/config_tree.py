@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..staging import cut
 
 #: Types that a field can have without being of a custom type (fixed).
 PRIMITIVES = ("string", "text", "int", "number", "decimal", "boolean", "date", "datetime", "binary")
@@ -131,9 +132,8 @@ def paths(cfgs: DataFrame) -> DataFrame:
 
 
 def gathered(found: DataFrame) -> DataFrame:
-    """A catalogue as a table of its own. It is as small as the configuration that people wrote, and what uses it several
-    times need not derive it each time."""
-    return found.sparkSession.createDataFrame(found.toArrow(), found.schema)
+    """A catalogue as a written table of its own, so that what uses it several times need not derive it each time."""
+    return cut(found)
 
 
 def iterables(cfgs: DataFrame) -> DataFrame:

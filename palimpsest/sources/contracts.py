@@ -72,11 +72,21 @@ def _read(spark: SparkSession, path: str) -> str | None:
     return "".join(r.value for r in rows)
 
 
+#: Rows that a file for people holds at most: it is one text, which the driver writes.
+ROWS = 200_000
+
+
+def _gathered(rows: DataFrame, *order: str) -> list[dict]:
+    found = rows.limit(ROWS + 1).count()
+    if found > ROWS:
+        raise ContractError(f"more than {ROWS} rows are no file for people: keep them as a table")
+    return [json.loads(r) for r in rows.orderBy(*order).toJSON().collect()]
+
+
 def write_catalogue(paths: DataFrame, path: str, meta: dict | None = None) -> None:
     """A catalogue (see config_tree.PATHS) by section."""
     sections: dict = {}
-    for r in paths.orderBy("section", "path").toJSON().collect():  # a configuration's paths
-        entry = json.loads(r)
+    for entry in _gathered(paths, "section", "path"):
         sections.setdefault(entry.pop("section"), []).append(entry)
     _write(paths.sparkSession, path, "A catalogue of paths", {"schema_version": "1.0", "meta": meta or {}, "sections": sections})
 
@@ -95,7 +105,7 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
 
 def write_blocks(blocks: DataFrame, path: str) -> None:
     """The blocks of a template (columns of BLOCK)."""
-    _write(blocks.sparkSession, path, "Blocks of a template", {"schema_version": "1.0", "blocks": [json.loads(x) for x in blocks.orderBy("id").toJSON().collect()]})
+    _write(blocks.sparkSession, path, "Blocks of a template", {"schema_version": "1.0", "blocks": _gathered(blocks, "id")})
 
 
 def read_blocks(spark: SparkSession, path: str, required: bool = True) -> DataFrame:
