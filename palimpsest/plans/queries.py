@@ -167,6 +167,12 @@ def cycle_paths(spark, sf_dir):
     return found.join(there, "g").select("g", F.get("cycle", F.lit(0)).alias("least"), (F.size("cycle") - 1).alias("steps"), "real")
 
 
+@query("cycle_nodes", _RINGS + " SELECT DISTINCT g, a AS node FROM r WHERE a = b")
+def cycle_nodes(spark, sf_dir):
+    """The nodes on cycles by joins of references alone, as graphs of any size are judged."""
+    return graph.coloured(_edges(spark, sf_dir))
+
+
 @query("first_parents", f"""WITH RECURSIVE e AS (SELECT g, a, b FROM ({_EDGES}) WHERE CAST(substr(a, 2) AS INT) < CAST(substr(b, 2) AS INT)), k AS (SELECT DISTINCT g, a AS key FROM e), p AS (SELECT k.g, k.key, min(e.a) AS parent FROM k LEFT JOIN e ON e.g = k.g AND e.b = k.key GROUP BY 1, 2),
  d(g, key, depth) AS (SELECT g, key, 0 FROM p WHERE parent IS NULL UNION ALL SELECT p.g, p.key, d.depth + 1 FROM d JOIN p ON p.g = d.g AND p.parent = d.key) SELECT p.g, p.key, p.parent, d.depth::INTEGER AS depth FROM p JOIN d USING (g, key)""")
 def first_parents(spark, sf_dir):
@@ -1285,6 +1291,30 @@ def type_index(spark, sf_dir):
 _WALKS = "SELECT o_orderkey AS id, 'own.Brand' || CAST(o_custkey % 5 + 1 AS STRING) || '1' AS type, 'F' || CAST(o_orderkey % 50 + 1 AS STRING) || CASE o_custkey % 3 WHEN 0 THEN '' ELSE '.to' || CAST(o_custkey % 7 AS STRING) END AS path FROM orders"
 
 
+#: Types that lead round to each other, and paths of up to 16 fields over them.
+_ROUND = "SELECT DISTINCT 'own.T' || CAST(o_orderkey % 10 AS STRING) AS type, f.field AS field, CASE f.field WHEN 'next' THEN 'List<own.T' || CAST((o_orderkey + 1) % 10 AS STRING) || '>' ELSE 'int' END AS declared FROM orders, (VALUES ('next'), ('value')) f(field)"
+_LONG = "SELECT o_orderkey AS id, 'own.T' || CAST(o_orderkey % 10 AS STRING) AS type, repeat('Next.', CAST(o_custkey % 14 AS INT)) || CASE o_orderkey % 3 WHEN 0 THEN 'value' WHEN 1 THEN 'none' ELSE 'value.x' END AS path FROM orders"
+
+
+def _round(spark, sf_dir):
+    table(spark, sf_dir, "orders").createOrReplaceTempView("_round_orders")
+    return [spark.sql(q.replace("FROM orders", "FROM _round_orders")) for q in (_ROUND, _LONG)]
+
+
+@query("type_walk_long", f"SELECT id, type, path, CASE WHEN path LIKE '%none' THEN 'not_found' WHEN path LIKE '%x' THEN 'not_navigable' ELSE 'verified' END AS verdict, len(string_split(path, '.'))::INTEGER AS hop FROM ({_LONG})")
+def type_walk_long(spark, sf_dir):
+    """Paths over types that lead round to each other, each judged to its end."""
+    known, paths = _round(spark, sf_dir)
+    return types.walked(paths, known)
+
+
+@query("type_index_whole", "SELECT 'own.T' || n AS type, n::INTEGER AS depth FROM (SELECT DISTINCT o_orderkey % 10 AS n FROM orders)")
+def type_index_whole(spark, sf_dir):
+    """All that a type leads to, by the shortest way, however far."""
+    known = _round(spark, sf_dir)[0]
+    return types.index(known, known.where("type = 'own.T0'").select("type"), None)
+
+
 @query("type_walk", f"""WITH ty AS ({_TYPES}), d AS (SELECT type, lower(field) AS f, {_INNER} AS b FROM (SELECT *, {_UNWRAP} AS i FROM (SELECT type, field, min(declared) AS declared FROM ty GROUP BY ALL))), w AS (SELECT *, lower(split_part(path, '.', 1)) AS p1, nullif(lower(split_part(path, '.', 2)), '') AS p2 FROM ({_WALKS})),
  h AS (SELECT w.*, d1.f AS f1, d1.b AS b1, d2.f AS f2 FROM w LEFT JOIN d d1 ON d1.type = w.type AND d1.f = p1 LEFT JOIN d d2 ON d2.type = d1.b AND d2.f = p2)
  SELECT id, type, path, CASE WHEN f1 IS NULL THEN 'not_found' WHEN p2 IS NULL THEN 'verified' WHEN b1 IS NULL THEN 'not_navigable' WHEN f2 IS NULL THEN 'not_found' ELSE 'verified' END AS verdict FROM h""")
