@@ -56,17 +56,24 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
 GAP, ASIDE = 1.5, 1.0
 
 
+def _printed(chars: DataFrame) -> DataFrame:
+    """doc_id, page, line (its top to a tenth), cs: a line's characters from left to right. Cells and lines come from the
+    same rows, so that characters are shuffled once."""
+    wide = F.col("width") if "width" in chars.columns else F.col("size") * 0.5
+    char = F.struct("x", "char", (F.col("x") + wide).alias("end"), "size")
+    return chars.groupBy("doc_id", "page", F.round("top", 1).alias("line")).agg(F.array_sort(F.collect_list(char)).alias("cs"))
+
+
 def pdf_cells(chars: DataFrame) -> DataFrame:
     """Cells of (doc_id, page, top, x, size, char, and width, if there is one) as a PDF reader gives them: doc_id, page, line
     (its top to a tenth), cell (from 0), x, text, size. A line is cut where a gap is wider than GAP sizes."""
-    wide = F.col("width") if "width" in chars.columns else F.col("size") * 0.5
-    placed = chars.withColumn("line", F.round("top", 1)).withColumn("_end", F.col("x") + wide)
-    w = Window.partitionBy("doc_id", "page", "line").orderBy("x", "char")
-    parts = placed.withColumn("_new", (F.col("x") - F.lag("_end").over(w) > GAP * F.col("size")).cast("int"))
-    parts = parts.withColumn("cell", F.coalesce(F.sum(F.coalesce("_new", F.lit(0))).over(w), F.lit(0)).cast("int"))
-    cells = parts.groupBy("doc_id", "page", "line", "cell").agg(F.min("x").alias("x"), F.array_sort(F.collect_list(F.struct("x", "char"))).alias("cs"), F.max("size").alias("size"))
-    cells = cells.select("doc_id", "page", "line", "x", F.trim(F.array_join(F.transform("cs", lambda c: c["char"]), "")).alias("text"), "size").where("text <> ''")
-    return cells.withColumn("cell", F.row_number().over(Window.partitionBy("doc_id", "page", "line").orderBy("x")) - 1).select("doc_id", "page", "line", "cell", "x", "text", "size")
+    wide = lambda a, b: F.coalesce(b["x"] - a["end"] > GAP * b["size"], F.lit(False))
+    begins = lambda i: (i == 0) | wide(F.get("cs", i - 1), F.get("cs", i))
+    cut_ = _printed(chars).withColumn("_at", F.filter(F.sequence(F.lit(0), F.size("cs") - 1), begins))
+    held = lambda a, k: F.slice("cs", a + 1, F.coalesce(F.get("_at", k + 1), F.size("cs")) - a)
+    cell = lambda cs: F.struct(F.get(cs, F.lit(0))["x"].alias("x"), F.trim(F.array_join(F.transform(cs, lambda c: c["char"]), "")).alias("text"), F.array_max(F.transform(cs, lambda c: c["size"])).alias("size"))
+    cells = cut_.select("doc_id", "page", "line", F.posexplode(F.filter(F.transform(F.transform("_at", held), cell), lambda c: c["text"] != "")).alias("cell", "c"))
+    return cells.select("doc_id", "page", "line", "cell", "c.x", "c.text", "c.size")
 
 
 def pdf_tables(cells: DataFrame) -> DataFrame:
@@ -84,18 +91,17 @@ def pdf_tables(cells: DataFrame) -> DataFrame:
     whole = Window.partitionBy("doc_id", "page", "_run")
     rows = runs.withColumn("_n", F.count("*").over(whole)).where("_n > 1").withColumn("row", F.row_number().over(whole.orderBy("line")) - 1)
     rows = rows.withColumn("table", F.dense_rank().over(Window.partitionBy("doc_id", "page").orderBy("_run")) - 1)
-    return cells.join(rows.select("doc_id", "page", "line", "table", "row"), ["doc_id", "page", "line"]).select("doc_id", "page", "table", "line", "row", "cell", "text")
+    # cells are far more than the files they come from tell, so none of these joins may be by broadcast
+    return cells.join(rows.select("doc_id", "page", "line", "table", "row").hint("merge"), ["doc_id", "page", "line"]).select("doc_id", "page", "table", "line", "row", "cell", "text")
 
 
 def pdf_lines(chars: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     """Lines of (doc_id, page, top, x, size, char): doc_id, page, line, text, tag (h2 if higher than 1.2 times the page's
     mean line, else p). Lines of tables (see pdf_tables) are left out."""
-    lines = chars.groupBy("doc_id", "page", F.round("top", 1).alias("line")).agg(F.array_sort(F.collect_list(F.struct("x", "char"))).alias("cs"), F.max("size").alias("height"))
-    lines = lines.select("doc_id", "page", "line", F.array_join(F.transform("cs", lambda c: c["char"]), "").alias("text"), "height")
-    mean = lines.groupBy("doc_id", "page").agg(F.avg("height").alias("mean"))
-    out = lines.join(mean, ["doc_id", "page"])
+    lines = _printed(chars).select("doc_id", "page", "line", F.array_join(F.transform("cs", lambda c: c["char"]), "").alias("text"), F.array_max(F.transform("cs", lambda c: c["size"])).alias("height"))
+    out = lines.withColumn("mean", F.avg("height").over(Window.partitionBy("doc_id", "page")))
     if tables is not None:
-        out = out.join(tables.select("doc_id", "page", "line").distinct(), ["doc_id", "page", "line"], "left_anti")
+        out = out.join(tables.select("doc_id", "page", "line").distinct().hint("merge"), ["doc_id", "page", "line"], "left_anti")
     return out.select("doc_id", "page", "line", "text", F.when(F.col("height") > 1.2 * F.col("mean"), "h2").otherwise("p").alias("tag"))
 
 

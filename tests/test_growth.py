@@ -12,6 +12,6 @@ def planned(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["known_tokens", "field_report"])
+@pytest.mark.parametrize("name", ["known_tokens", "field_report", "pdf_tables", "pdf_html"])
 def test_rows_exploded_of_texts_are_not_broadcast(spark, name):
     assert "BroadcastExchange" not in planned(Q.QUERIES[name](spark, SF))
