@@ -1,7 +1,10 @@
 """What a query's plan must hold to, so that its memory doesn't grow with the input."""
 
+import hashlib
+
 import pytest
 
+from palimpsest.functions import text as X
 from palimpsest.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -15,3 +18,15 @@ def planned(df):
 @pytest.mark.parametrize("name", ["known_tokens", "field_report", "pdf_tables", "pdf_html"])
 def test_rows_exploded_of_texts_are_not_broadcast(spark, name):
     assert "BroadcastExchange" not in planned(Q.QUERIES[name](spark, SF))
+
+
+def test_flat_fingerprint_has_no_limit(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(X, "FLAT", 10)
+    rows = [("b", "2é"), ("a", "1"), ("a", ""), (None, "x" * 100)]
+    spark.createDataFrame(rows, "url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = Q.QUERIES["catalog_fingerprint"](spark, str(tmp_path)).first().fingerprint
+    assert got == hashlib.sha256("".join(f"{p}\n{t}\n" for p, t in sorted((p or "", t) for p, t in rows)).encode()).hexdigest()
+
+
+def test_fingerprint_of_nothing(spark):
+    assert X.streamed_fingerprint(spark.createDataFrame([], "p string, t string"), "p", "t").first().fingerprint == hashlib.sha256().hexdigest()
