@@ -9,6 +9,8 @@ elements around a text, a row, a cell or a list item, the outermost first).
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +25,9 @@ SINGLE = (*BLOCKS, "span", "strong", "em")
 LEVELS = 5
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
+#: Nodes that a task holds at once, besides those of one page.
+HELD = 4096
+
 _UP = pa.list_(pa.struct([("node", pa.int32()), ("tag", pa.string())]))
 _TREE = {
     "node": pa.int32(), "last": pa.int32(), "parent": pa.int32(), "within": pa.string(), "depth": pa.int32(), "tag": pa.string(), "text": pa.string(), "line": pa.int32(), "begin": pa.int32(), "finish": pa.int32(),
@@ -31,29 +36,32 @@ _TREE = {
 _DDL = "node int, last int, parent int, within string, depth int, tag string, text string, line int, begin int, finish int, child int, class string, label string, words string, up array<struct<node:int,tag:string>>"
 
 
+def _read(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """The nodes of batches of (key, html), page by page: a batch may hold thousands of pages, and their nodes as dicts are
+    many times its bytes."""
+    from .dom import tree as parsed
+
+    def table(keys, rows):
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array([r[c] for r in rows], kind) for c, kind in _TREE.items())], names=[key, *_TREE])
+
+    keys, rows = [], []
+    for batch in batches:
+        for k, page in zip(batch.column(0), batch.column(1), strict=True):
+            found = parsed(page.as_py() or "")
+            keys += [k.as_py()] * len(found)
+            rows += found
+            if len(rows) > HELD:
+                yield table(keys, rows)
+                keys, rows = [], []
+    yield table(keys, rows)
+
+
 def tree(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """The nodes of each page of (key, html), read with a parser of the standard library. A null page has none. Elements
     that aren't closed end with what they are in, or where their kind does; comments and what scripts and styles hold are
     no text. Rows that repeat a key should be told apart by the caller."""
 
-    def read(batches):
-        from .dom import tree as parsed
-
-        for batch in batches:
-            keys, rows = [], []
-            for k, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = parsed(page or "")
-                keys += [k] * len(found)
-                rows += found
-                if len(rows) > 50_000:
-                    yield table(keys, rows)
-                    keys, rows = [], []
-            yield table(keys, rows)
-
-    def table(keys, rows):
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array([r[c] for r in rows], kind) for c, kind in _TREE.items())], names=[key, *_TREE])
-
-    return pages.select(F.col(key).cast("long").alias(key), html).mapInArrow(read, f"{key} long, {_DDL}")
+    return pages.select(F.col(key).cast("long").alias(key), html).mapInArrow(lambda batches: _read(batches, key), f"{key} long, {_DDL}")
 
 
 def _before(value: Column, *by: str) -> Column:

@@ -2,9 +2,11 @@
 
 import hashlib
 
+import pyarrow as pa
 import pytest
 
 from palimpsest.functions import text as X
+from palimpsest.operators import pages
 from palimpsest.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -30,3 +32,10 @@ def test_flat_fingerprint_has_no_limit(spark, tmp_path, monkeypatch):
 
 def test_fingerprint_of_nothing(spark):
     assert X.streamed_fingerprint(spark.createDataFrame([], "p string, t string"), "p", "t").first().fingerprint == hashlib.sha256().hexdigest()
+
+
+def test_nodes_of_pages_are_handed_on_in_small_batches():
+    html = "<ul>" + "<li>x</li>" * 500 + "</ul>"
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(40)), "html": [html] * 39 + [None]})
+    sizes = [b.num_rows for b in pages._read([batch, batch], "page_id")]
+    assert sum(sizes) == 2 * 39 * 1001 and max(sizes) <= pages.HELD + 1001 < 39 * 1001
