@@ -255,15 +255,20 @@ def prose_blocks(docs: DataFrame, passes: int = 10) -> DataFrame:
     pattern = r"\[(?!/?[a-zA-Z_][a-zA-Z0-9_]*\])[^\[\]\n]{4,}\]"
     start = F.struct(F.coalesce("text", F.lit("")).alias("template"), F.array().cast("array<struct<id:int,text:string>>").alias("blocks"))
 
-    def step(s: Column, _: Column) -> Column:
-        found = F.regexp_extract_all(s["template"], F.lit(f"({pattern})"), 1)
+    def replaced(s: Column, found: Column) -> Column:
         new = F.transform(found, lambda t, i: F.struct((F.size(s["blocks"]) + i + 1).alias("id"), F.trim(F.substring(t, F.lit(2), F.length(t) - 2)).alias("text")))
         marks = F.concat(F.transform(found, lambda t, i: F.concat(F.lit("$doc.cond"), (F.size(s["blocks"]) + i + 1).cast("string"))), F.array(F.lit("")))
         text = F.array_join(F.flatten(F.zip_with(F.split(s["template"], pattern, -1), marks, lambda p, m: F.array(p, m))), "")
         return F.struct(text.alias("template"), F.concat(s["blocks"], new).alias("blocks"))
 
-    # one expression over a row: no shuffle
-    out = docs.withColumn("_p", F.aggregate(F.sequence(F.lit(1), F.lit(passes)), start, step)).select(*docs.columns, "_p.template", "_p.blocks")
+    def step(s: Column, _: Column) -> Column:
+        # the matches are found once a pass; a pass without any changes nothing
+        once = F.transform(F.array(F.regexp_extract_all(s["template"], F.lit(f"({pattern})"), 1)), lambda found: replaced(s, found))
+        return F.when(F.rlike(s["template"], F.lit(pattern)), F.get(once, F.lit(0))).otherwise(s)
+
+    # one expression over a row: no shuffle; most texts have no block and go through no pass
+    parsed = F.when(F.rlike("text", F.lit(pattern)), F.aggregate(F.sequence(F.lit(1), F.lit(passes)), start, step)).otherwise(start)
+    out = docs.withColumn("_p", parsed).select(*docs.columns, "_p.template", "_p.blocks")
     refers = lambda b, i: F.rlike(b["text"], F.concat(F.lit(r"\$doc\.cond"), i.cast("string"), F.lit(r"(?!\d)")))
     parent = lambda i: F.get(F.filter("blocks", lambda b: refers(b, i)), F.lit(0))["id"]
     linked = out.withColumn("blocks", F.transform("blocks", lambda b: F.struct(b["id"].alias("id"), b["text"].alias("text"), parent(b["id"]).alias("parent"))))

@@ -39,3 +39,8 @@ def test_nodes_of_pages_are_handed_on_in_small_batches():
     batch = pa.RecordBatch.from_pydict({"page_id": list(range(40)), "html": [html] * 39 + [None]})
     sizes = [b.num_rows for b in pages._read([batch, batch], "page_id")]
     assert sum(sizes) == 2 * 39 * 1001 and max(sizes) <= pages.HELD + 1001 < 39 * 1001
+
+
+def test_matches_of_prose_blocks_are_found_once_a_pass(spark):
+    plan = planned(Q.QUERIES["prose_blocks"](spark, SF))
+    assert plan.count("regexp_extract_all(") == 1
