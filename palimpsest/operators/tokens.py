@@ -7,10 +7,12 @@ characters.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import FIELD, MARKER, MUSTACHE, OCCURRENCES, OPEN_TOKEN, VARIANT, lookup
+from . import marks
 
 
 def plain_text(html: Column) -> Column:
@@ -123,10 +125,7 @@ def loop_spans(docs: DataFrame) -> DataFrame:
 
     [Name/] or [Name?] is closed by the next [/Name].
     """
-    marks = loop_marks(docs).where("kind in ('loop', 'region', 'close')")
-    w = Window.partitionBy("doc_id", "name").orderBy("pos")
-    nexts = marks.withColumn("next_kind", F.lead("kind").over(w)).withColumn("next_at", F.lead("at").over(w))
-    return nexts.where("kind <> 'close'").select("doc_id", "name", "kind", F.col("after").alias("start"), F.when(F.col("next_kind") == "close", F.col("next_at")).alias("end"))
+    return marks.in_rows(docs, lambda text: marks.spans(text)[0], "name string, kind string, start long, end long", [pa.string(), pa.string(), pa.int64(), pa.int64()])
 
 
 def marker_warnings(docs: DataFrame) -> DataFrame:
@@ -134,27 +133,11 @@ def marker_warnings(docs: DataFrame) -> DataFrame:
 
     not closed, reopened (the earlier opener is ignored), closes nothing, old style (a closer whose opener is a plain
     [Name]), malformed ([/Name?] and [/Name/]), and block in a loop ([[...]] within [Name/], which is alike for all
-    elements). Markers of a name tell each other apart by windows: an opener waits if the last opener or closer before a
-    mark is one; a plain [Name] waits from the last closer that closed nothing on.
+    elements). An opener waits for the
+    next opener or closer of its name; a plain [Name] waits from the last closer that closed nothing on. A text is gone
+    through where it is: no shuffle.
     """
-    marks = loop_marks(docs)
-    w = Window.partitionBy("doc_id", "name").orderBy("pos")
-    strict = F.when(F.col("kind").isin("loop", "region"), "open").when(F.col("kind") == "close", "close")
-    m = marks.withColumn("strict", strict)
-    m = m.withColumn("before", F.last("strict", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("next", F.first("strict", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
-    m = m.withColumn("alone", (F.col("strict") == "close") & ~F.col("before").eqNullSafe(F.lit("open")))
-    m = m.withColumn("turn", F.sum(F.coalesce(F.col("alone"), F.lit(False)).cast("int")).over(w) - F.coalesce(F.col("alone"), F.lit(False)).cast("int"))
-    v = Window.partitionBy("doc_id", "name", "turn").orderBy("pos")
-    m = m.withColumn("old", F.coalesce(F.bool_or(F.col("kind") == "plain").over(v), F.lit(False)))
-    opens = F.col("strict") == "open"
-    warning = (
-        F.when(F.col("kind") == "malformed", "malformed").when(opens & (F.col("next") == "open"), "reopened").when(opens & F.col("next").isNull(), "not closed")
-        .when(F.col("alone") & F.col("old"), "old style").when(F.col("alone"), "closes nothing")
-    )
-    own = m.select("doc_id", "name", warning.alias("warning"), "at").where("warning is not null")
-    held = _span_lists(docs, "loop").join(bracket_blocks(docs).select("doc_id", "start"), "doc_id")
-    inside = held.select("doc_id", F.explode(F.filter("spans", lambda s: (s["start"] <= F.col("start")) & (F.col("start") < s["end"]))).alias("s"))
-    return own.union(inside.select("doc_id", "s.name", F.lit("block in a loop"), F.col("s.start")).distinct())
+    return marks.in_rows(docs, marks.warned, "name string, warning string, at long", [pa.string(), pa.string(), pa.int64()])
 
 
 def _span_lists(docs: DataFrame, kind: str) -> DataFrame:

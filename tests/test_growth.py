@@ -44,3 +44,8 @@ def test_nodes_of_pages_are_handed_on_in_small_batches():
 def test_matches_of_prose_blocks_are_found_once_a_pass(spark):
     plan = planned(Q.QUERIES["prose_blocks"](spark, SF))
     assert plan.count("regexp_extract_all(") == 1
+
+
+@pytest.mark.parametrize("name", ["marker_warnings", "loop_markers"])
+def test_markers_are_read_where_a_text_is(spark, name):
+    assert "Exchange" not in planned(Q.QUERIES[name](spark, SF))
