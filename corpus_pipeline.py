@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import staged, table, unused
+from palimpsest.llm.common import maybe_in, staged, table, unused
 from palimpsest.llm.exact_dedup import exact_dedup
 from palimpsest.llm.near_dup import ngram_jaccard_classes
 from palimpsest.llm.packing import best_fit_packing
@@ -39,8 +39,11 @@ def prefix(docs: DataFrame, name: str) -> str:
 
 
 def without(docs: DataFrame, gone: DataFrame, *by: str) -> DataFrame:
-    """docs without the rows that gone names: a row goes by the verdict on its own text."""
-    return docs.join(staged(gone.select(*by).distinct(), "gone"), list(by), "left_anti")
+    """docs without the rows that gone names: a row goes by the verdict on its own text. Only rows whose doc_id may be among
+    those of gone meet it in a join, so that most texts are not shuffled."""
+    gone = staged(gone.select(*by).distinct(), "gone")
+    some, rest = maybe_in(docs, gone, "doc_id")
+    return some.join(gone, list(by), "left_anti").select(*docs.columns).union(rest.select(*docs.columns))
 
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, str]:

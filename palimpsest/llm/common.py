@@ -95,6 +95,22 @@ def discard(old: DataFrame, new: DataFrame) -> DataFrame:
     return new
 
 
+#: Bits of the table of hashes that rows are held against before a join: 4 MB, however large the tables are.
+BITS = 1 << 25
+
+
+def maybe_in(df: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of df whose column may be among those of ids, which are all that are and few others, and rows whose column is
+    not. A join that follows has to shuffle the texts of the first alone."""
+    at, bucket, bits = (unused(df, f"_{x}") for x in ("at", "bucket", "bits"))
+    hashed = F.pmod(F.xxhash64(column), F.lit(BITS)) + 1
+    table = ids.select(hashed.alias(at)).groupBy(F.bitmap_bucket_number(at).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias(bits))
+    both = df.withColumn(at, F.bitmap_bit_position(hashed)).withColumn(bucket, F.bitmap_bucket_number(hashed)).join(F.broadcast(table), bucket, "left")
+    byte = F.conv(F.hex(F.substring(bits, (F.col(at) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    there = F.coalesce(F.getbit(byte, (F.col(at) % 8).cast("int")) == 1, F.lit(False))
+    return both.where(there).drop(at, bucket, bits), both.where(~there).drop(at, bucket, bits)
+
+
 def ascii_lower(c):
     """Lower-cases A-Z alone. lower() does the same, faster, where all characters are of one byte."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))

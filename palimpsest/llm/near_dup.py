@@ -18,12 +18,13 @@ Steps (t is the least similarity, a set the distinct shingles of a document):
    with itself has all overlaps. Each share also holds the group's pivot, the member with the most shared keys.
 5. Pivots of groups that share keys are held against one another's groups, which connects most of these. Then members
    that are not connected with their own pivot are queries to all groups they share a key with, and other members to
-   those whose pivot is not connected with their own. Against a share, first the count of a query's tokens in the
+   those whose pivot is in a larger component than their own. Keys that the same groups have count once here: a member
+   of a large group has many of them. Against a share, first the count of a query's tokens in the
    union of the share bounds what any member can have in common with it; only shares that reach the bound are opened.
 
 Every pair of different sets that links is either compared or in one component already, so components are exact: of a
-pair that shares a key, either one is not connected with its pivot, and asks the other's group; or both are, and ask
-unless their pivots are connected.
+pair that shares a key, either one is not connected with its pivot, and asks the other's group; or both are, and the
+one in the smaller component asks unless their pivots are connected.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import ENTRIES, answered, as_table, block_of, counted, entries
-from .common import chunks, discard, lean, mix, release, sequences, staged, word_hashes, words_of
+from .common import chunks, discard, lean, maybe_in, mix, release, sequences, staged, word_hashes, words_of
 from .components import components
 
 #: Members of a share of a group, and their tokens, about; also of the queries held against a share by one task.
@@ -317,7 +318,8 @@ def ngram_jaccard_classes(docs: DataFrame, words: int = 5, t: tuple[int, int] =
             for i, j, s, at in shingle_sets(batch.column(1), words):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at)), _packed([s[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)])], names=["rep", "n", "tokens"])
 
-    asked = docs.select(F.col("doc_id").alias("rep"), "text").join(found.select("rep").distinct(), "rep").select("rep", "text")
+    some = maybe_in(docs.select(F.col("doc_id").alias("rep"), "text"), found.select("rep"), "rep")[0]
+    asked = some.join(found.select("rep").distinct(), "rep").select("rep", "text")
     sets = asked.mapInArrow(tokens, "rep long, n long, tokens binary")
     homes = staged(found.groupBy("home").agg(F.count("*").alias("size"), F.sum("n").alias("load"), F.max_by("rep", F.struct("n_shared", F.bitwise_not("rep"))).alias("pivot")), "homes")
     parts_of = lambda size, load: F.ceil(F.greatest(F.col(size) / SHARE, F.col(load) / TOKENS)).cast("int")
@@ -358,12 +360,21 @@ def ngram_jaccard_classes(docs: DataFrame, words: int = 5, t: tuple[int, int] =
         main = staged(homes.join(parts.select(F.col("rep").alias("pivot"), F.col("part").alias("main")), "pivot").select("home", "main", "shares"), "main")
         placed_in = parts.join(main.select(F.col("home").alias("own"), F.col("main").alias("own_main"), "shares"), "own")
         apart = staged(placed_in.where("part <> own_main").select("rep", "own", "shares"), "apart")
-        asks = keys.join(apart.select("rep"), "rep").join(mixed.select("key", "home"), "key").select("rep", "home").distinct()
+        # keys that the same groups have are as one, the least of them
+        same = mixed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("home")).alias("x"), F.bit_xor(F.xxhash64("home", F.lit(1))).alias("y"))
+        same = same.join(same.groupBy("n", "x", "y").agg(F.min("key").alias("first")), ["n", "x", "y"]).select("key", "first")
+        same = staged(same, "same")
+        groups = staged(mixed.select("key", "home").join(same.where("key = first").select("key"), "key").join(main.select("home", "main"), "home"), "groups")
+        has = staged(keys.join(same, "key").select("rep", F.col("first").alias("key")).distinct(), "has")
+        asks = has.join(apart.select("rep"), "rep").join(groups.select("key", "home"), "key").select("rep", "home").distinct()
         asks = asks.union(apart.where("shares > 1").select("rep", F.col("own").alias("home"))).distinct()
-        torn = mixed.join(main, "home").select("key", "home", "main")
-        torn = torn.join(torn.groupBy("key").agg(F.min("main").alias("m"), F.max("main").alias("n")).where("m <> n").select("key"), "key")
-        firm = placed_in.where("part = own_main").select("rep", "own_main")
-        across = keys.join(staged(torn, "torn"), "key").join(firm, "rep").where("main <> own_main").select("rep", "home").distinct()
+        # of two components the smaller one's members ask
+        rank = F.struct("members", "main").alias("rank")
+        ranks = parts.groupBy(F.col("part").alias("main")).agg(F.count("*").alias("members")).select("main", rank)
+        torn = groups.join(ranks, "main").select("key", "home", "rank")
+        torn = torn.join(torn.groupBy("key").agg(F.min("rank").alias("m"), F.max("rank").alias("n")).where("m <> n").select("key"), "key")
+        firm = placed_in.where("part = own_main").select("rep", F.col("own_main").alias("main")).join(ranks, "main").select("rep", F.col("rank").alias("own_rank"))
+        across = has.join(firm, "rep").join(staged(torn, "torn"), "key").where("own_rank < rank").select("rep", "home").distinct()
         edges = edges.union(staged(ask(asks.union(across).distinct(), parts.select("rep", "part")), "far"))
     final = staged(components(edges), "components")
     whole = classes.select("mark", "rep").join(final, F.col("rep") == F.col("id"), "left").select("mark", F.coalesce("component", "rep").alias("least"))

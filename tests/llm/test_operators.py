@@ -574,3 +574,16 @@ def test_pieces_of_the_table(spark):
         assert own.start.tolist() == list(range(0, len(ids[doc]), 4096)) and own.length.sum() == len(ids[doc])
         assert [zlib.crc32(np.array(ids[doc][s : s + n], "<u4").tobytes()) for s, n in zip(own.start, own.length, strict=True)] == own.ids_crc32.tolist()
     assert out.sequence_id.nunique() <= 1.02 * sum(map(len, ids.values())) / 4096 + 1
+
+
+def test_keys_of_the_same_groups_ask_once(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "LEADERS", 40)
+    rows, seen, staged = families(7, [90, 25, 2, 1], 120, 9), {}, near_dup.staged
+    monkeypatch.setattr(near_dup, "staged", lambda df, name: seen.setdefault(name, staged(df, name)) if name == "torn" else staged(df, name))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.ngram_jaccard_classes(df, 5, (80, 100)).collect()}
+    assert got == brute_classes(rows, 5, (80, 100))
+    homes = {}
+    for r in seen["torn"].collect():
+        homes.setdefault(r.key, set()).add(r.home)
+    assert homes and len(set(map(frozenset, homes.values()))) == len(homes)

@@ -79,3 +79,31 @@ def test_edges_of_every_stage(spark):
     assert all(r.n_chars == len(r.text or "") for r in private)
     packed = P.packing(spark, docs, SF)
     assert sum(r.piece == 0 for r in packed.collect()) == len(ROWS) and P.packing(spark, docs.where("false"), SF).collect() == []
+
+
+def shuffled(df):
+    """Rows that the exchanges of df's plan wrote when it ran."""
+    df.collect()
+    seen, rows, left = set(), 0, [df._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        name = node.getClass().getSimpleName()
+        if name == "ShuffleExchangeExec" and node.id() not in seen:
+            seen.add(node.id())
+            rows += node.metrics().apply("shuffleRecordsWritten").value()
+        left += [node.executedPlan()] if name == "AdaptiveSparkPlanExec" else [node.plan()] if name.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+    return rows
+
+
+def test_rows_that_stay_are_not_shuffled(spark):
+    docs = P.staged(spark.range(5000).selectExpr("if(id % 100 = 1, null, id) AS doc_id", "'x' || id AS text"), "docs")
+    gone = docs.where("doc_id % 50 = 0").select("doc_id")
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        out = P.without(docs, gone, "doc_id")
+        assert shuffled(out) < 1000
+        assert {r.text for r in out.collect()} == {f"x{i}" for i in range(5000) if i % 50}
+    finally:
+        spark.conf.set(limit, before)
