@@ -36,7 +36,7 @@ _TREE = {
 _DDL = "node int, last int, parent int, within string, depth int, tag string, text string, line int, begin int, finish int, child int, class string, label string, words string, up array<struct<node:int,tag:string>>"
 
 
-def _read(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+def _read(batches: Iterable[pa.RecordBatch], key: str, bare: tuple[str, ...] | None = None) -> Iterator[pa.RecordBatch]:
     """The nodes of batches of (key, html), page by page: a batch may hold thousands of pages, and their nodes as dicts are
     many times its bytes."""
     from .dom import tree as parsed
@@ -47,7 +47,7 @@ def _read(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatc
     keys, rows = [], []
     for batch in batches:
         for k, page in zip(batch.column(0), batch.column(1), strict=True):
-            found = parsed(page.as_py() or "")
+            found = parsed(page.as_py() or "", bare)
             keys += [k.as_py()] * len(found)
             rows += found
             if len(rows) > HELD:
@@ -56,12 +56,13 @@ def _read(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatc
     yield table(keys, rows)
 
 
-def tree(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+def tree(pages: DataFrame, key: str = "page_id", html: str = "html", bare: tuple[str, ...] | None = None) -> DataFrame:
     """The nodes of each page of (key, html), read with a parser of the standard library. A null page has none. Elements
     that aren't closed end with what they are in, or where their kind does; comments and what scripts and styles hold are
-    no text. Rows that repeat a key should be told apart by the caller."""
+    no text. Character references in texts are read by HTML's rule, by which old names need no semicolon (&quot, &copy); with
+    bare, those of its names alone need none. Rows that repeat a key should be told apart by the caller."""
 
-    return pages.select(F.col(key).cast("long").alias(key), html).mapInArrow(lambda batches: _read(batches, key), f"{key} long, {_DDL}")
+    return pages.select(F.col(key).cast("long").alias(key), html).mapInArrow(lambda batches: _read(batches, key, bare), f"{key} long, {_DDL}")
 
 
 def _before(value: Column, *by: str) -> Column:

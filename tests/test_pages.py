@@ -213,3 +213,13 @@ def test_wrapping(spark):
             inserts.setdefault(place[k][1], [[], []])[0].append((-k, "\n#end\n"))
         want = "".join("".join(x for part in inserts.get(i, [[], []]) for _, x in sorted(part)) + html[i : i + 1] for i in range(len(html) + 1))
         assert (r.html, r.n_guards) == (want, len(wrap))
+
+
+def test_references_with_and_without_semicolons():
+    text = "a &quot; &quot &amp &am &ampx; &amp;quot &copy &notit; &lt; &#39; &#39 &#x27; &"
+    own = lambda html, *bare: [n["text"] for n in dom.tree(html, *bare) if n["text"]]
+    for page in (text, f"<p>{text}</p>"):
+        assert own(page) == ["a \" \" & &am &x; &quot © ¬it; < ' ' ' &"]
+        assert own(page, ("amp",)) == ["a \" &quot & &am &x; &quot &copy &notit; < ' &#39 ' &"]
+        assert own(page, ()) == ["a \" &quot &amp &am &ampx; &quot &copy &notit; < ' &#39 ' &"]
+    assert own("<a&quot>&quot</a>x &quot<b &quot", ("amp",))[:2] == ["&quot", "x &quot"]
